@@ -83,3 +83,9 @@ def fits_broadcast(rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> bo
 def word_count(text: Column) -> Column:
     """Number of WORD_PATTERN words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def released(df: DataFrame) -> DataFrame:
+    """A written table, after the shuffle files of the steps that made it were let go."""
+    release(df.sparkSession)
+    return df
