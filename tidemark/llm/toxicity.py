@@ -256,7 +256,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     counts = released(written(count_expressions(training)))
     model = released(written(evidence(counts, sizes[0], sizes[1], options)))
     part = min(1.0, options.calibration_rows / sum(sizes.values()))
-    chosen = training.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(int(part * ((1 << 63) - 1))))
+    chosen = training.where(F.shiftrightunsigned(F.xxhash64("id"), 32) <= F.lit(int(part * (1 << 32))))
     seen = features(chosen.select(F.col("id").alias("rid"), "text", "toxic"), model, options).toPandas()
     w = fit_logistic(seen[["peak", "spread"]].to_numpy(), seen["toxic"].to_numpy(float))
     scored = features(out, model, options)
