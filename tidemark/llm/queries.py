@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, mixing, tokens, toxicity, urlgraph, warc
+from . import common, fingerprint, mixing, neardup, tokens, toxicity, urlgraph, warc, webtext
 
 #: Vocabulary of the token counts; a parameter of the operator, read on the driver only.
 VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -34,6 +34,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokens.read_ranks(VOCABULARY))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), options=neardup.Options(shingle=3, percent=85))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), common.word_count(F.col("text")))
 
