@@ -89,3 +89,12 @@ def released(df: DataFrame) -> DataFrame:
     """A written table, after the shuffle files of the steps that made it were let go."""
     release(df.sparkSession)
     return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
