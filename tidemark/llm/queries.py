@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, mixing, neardup, substrings, tokens, toxicity, urlgraph, warc, webtext
+from . import common, decontam, fingerprint, mixing, neardup, substrings, tokens, toxicity, urlgraph, warc, webtext
 
 #: Vocabulary of the token counts; a parameter of the operator, read on the driver only.
 VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -38,6 +38,10 @@ def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), options=neardup.Options(shingle=3, percent=85))
 
