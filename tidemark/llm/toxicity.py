@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_CACHE_WORDS, fits_broadcast, released, written
+from .common import HASH_CACHE_WORDS, discard, fits_broadcast, released, written
 
 #: Stripped from the ends of words before they are counted.
 PUNCTUATION = b""".,;:!?"'()*#$%&|-_[]{}<>/\\"""
@@ -176,30 +177,31 @@ def _lookup(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray], otherwise: n
     return np.where(known[at] == keys, values[at], otherwise)
 
 
-def features(docs: DataFrame, model: DataFrame, options: Options = Options()) -> DataFrame:
-    """``docs`` (rid, text, more) with peak and spread in place of the text.
+def features(docs: DataFrame, model: DataFrame, options: Options = Options(), *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (rid, text, more) with peak and spread in place of the text, or beside it.
 
     The evidence is broadcast while its counted size stays under options.broadcast_bytes; a larger one is joined to
     the documents' expressions, and the hits come back together by document.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    rest = [c for c in docs.columns if keep_text or c != text]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
     window = options.window
     if fits_broadcast(model.count(), 16, options.broadcast_bytes):
         table = model.toPandas().sort_values("key")
         shipped = spark.sparkContext.broadcast((table["key"].to_numpy(np.int64), table["llr"].to_numpy(np.float64)))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for text in batch["text"]:
-                    ids = word_ids(text)
+                for one in batch.column(text).to_pylist():
+                    ids = word_ids(one)
                     single = _lookup(ids, shipped.value, np.zeros(len(ids)))
                     found.append(window_features(_lookup(pair_keys(ids), shipped.value, single) if len(ids) else single, window))
-                yield batch[rest].assign(peak=[f[0] for f in found], spread=[f[1] for f in found])
+                both = [pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *both], [*rest, "peak", "spread"])
 
-        return docs.mapInPandas(score, f"{schema}, peak double, spread double")
+        return docs.mapInArrow(score, f"{schema}, peak double, spread double")
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,12 +216,12 @@ def features(docs: DataFrame, model: DataFrame, options: Options = Options()) ->
         peak, spread = window_features(ratios, window)
         return pd.DataFrame({"s_rid": [rows["s_rid"].iloc[0]], "peak": [peak], "spread": [spread]})
 
-    places = docs.select("rid", "text").mapInPandas(spell, "s_rid long, n long, pos long, w long, p long")
+    places = docs.select("rid", F.col(text).alias("text")).mapInPandas(spell, "s_rid long, n long, pos long, w long, p long")
     one = model.select(F.col("key").alias("w"), F.col("llr").alias("lw"))
     two = model.select(F.col("key").alias("p"), F.col("llr").alias("lp"))
     hits = places.join(one, "w", "left").join(two, "p", "left").select("s_rid", "n", "pos", F.coalesce("lp", "lw").alias("r")).where("r IS NOT NULL")
     by_doc = hits.groupBy("s_rid").applyInPandas(gather, "s_rid long, peak double, spread double")
-    joined = docs.drop("text").join(by_doc, F.col("rid") == F.col("s_rid"), "left")
+    joined = docs.join(by_doc, F.col("rid") == F.col("s_rid"), "left")
     return joined.select(*rest, F.coalesce("peak", F.lit(0.0)).alias("peak"), F.coalesce("spread", F.lit(0.0)).alias("spread"))
 
 
@@ -246,20 +248,32 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.select("id", held_out(F.col("id")).alias("held_out"), F.monotonically_increasing_id().alias("rid"), "text")
+    scored = _scores(rows, out, labels, options)
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _scores(rows: DataFrame, out: DataFrame, labels: DataFrame, options: Options, **how) -> DataFrame:
+    """``out`` (rid, text, more) with a score, by models of the labelled texts among ``rows`` (id, text)."""
     training = training_rows(rows, labels.select("doc_id", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = rows.select("id", held_out(F.col("id")).alias("held_out"), F.monotonically_increasing_id().alias("rid"), "text")
     if not sizes.get(0) or not sizes.get(1):
-        constant = 1.0 if sizes.get(1) else 0.0
-        done = out.select("id", "held_out", F.lit(constant).alias("score"))
-        return done.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        return out.withColumn("score", F.lit(1.0 if sizes.get(1) else 0.0))
     counts = released(written(count_expressions(training)))
     model = released(written(evidence(counts, sizes[0], sizes[1], options)))
+    discard(counts)
     part = min(1.0, options.calibration_rows / sum(sizes.values()))
     chosen = training.where(F.shiftrightunsigned(F.xxhash64("id"), 32) <= F.lit(int(part * (1 << 32))))
     seen = features(chosen.select(F.col("id").alias("rid"), "text", "toxic"), model, options).toPandas()
     w = fit_logistic(seen[["peak", "spread"]].to_numpy(), seen["toxic"].to_numpy(float))
-    scored = features(out, model, options)
     z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("peak") + F.lit(float(w[2])) * F.col("spread")
-    scored = scored.select("id", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return features(out, model, options, **how).withColumn("score", 1 / (1 + F.exp(-z)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, as they are."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    kept = _scores(rows, whole, labels, options, text=names[text_col], keep_text=True).where("score < 0.5")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
