@@ -9,8 +9,10 @@ least one symbol that is decided by words of the window alone: runs lose two wor
 4, 4 and 4, and of the 10 words left one symbol of at most 8 is whole.
 
 Each window's *anchor* is the longest such symbol (of the largest name, between equals).  Spark aggregates which
-anchors more than one document has; only windows with such an anchor are hashed whole, and a
-second aggregate over these hashes decides which windows repeat.
+anchors more than one document has; only windows with such an anchor are looked at further.
+Windows on end with one anchor form a run, and equal windows lie in runs of equal anchors.  A run whose whole extent
+an earlier document has too is repeated; where several extents share an anchor, the first document of each extent
+hashes its single windows, and an aggregate over these decides which of them repeat.
 """
 
 from __future__ import annotations
@@ -120,8 +122,8 @@ def anchors(docs: list[np.ndarray]) -> Iterator[np.ndarray]:
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def window_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of every window, from prefix sums of a polynomial modulo 2**64."""
+def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches [start, end) of a sequence, from prefix sums of a polynomial modulo 2**64."""
     n = len(words)
     if len(_powers[0]) < n + 1:
         size = 1 << (n + 1).bit_length()
@@ -130,8 +132,17 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
             p[0] = 1
             _powers[slot] = np.cumprod(p)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * _powers[0][:n])])
-    count = n - WINDOW + 1
-    return mix64((sums[WINDOW:] - sums[:count]) * _powers[1][:count])
+    return mix64((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def runs_of(anchor: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of windows on end that have the same anchor, for anchors among ``keys``."""
+    if not len(anchor):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cuts = np.flatnonzero(anchor[1:] != anchor[:-1])
+    a, b = np.append(0, cuts + 1), np.append(cuts, len(anchor) - 1)
+    known = np.isin(anchor[a], keys)
+    return a[known], b[known]
 
 
 def _chunks(rows: Iterator, size) -> Iterator[list]:
@@ -171,6 +182,18 @@ def _shared_anchors(found: DataFrame) -> DataFrame:
     return rows.unionByName(found.where("known").select("id", "key")).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
+def _settled_runs(runs: DataFrame) -> DataFrame:
+    """(id, again, open) from runs (id, key, extent): extents that a smaller id has whole, and extents of which the id
+    is the smallest while other extents share their anchor, so that single windows have to be compared."""
+    kinds = runs.groupBy("key", "extent").agg(F.min("id").alias("lo"))
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k2"))
+    kinds = kinds.join(mixed, F.col("key") == F.col("k2"), "left").select(F.col("key").alias("k3"), F.col("extent").alias("e3"), "lo", F.col("k2").isNotNull().alias("mixed"))
+    rows = runs.join(kinds, (F.col("key") == F.col("k3")) & (F.col("extent") == F.col("e3")))
+    later, first = F.col("id") > F.col("lo"), (F.col("id") == F.col("lo")) & F.col("mixed")
+    rows = rows.where(later | first)
+    return rows.groupBy("id").agg(F.collect_set(F.when(later, F.col("extent"))).alias("again"), F.collect_set(F.when(first, F.col("extent"))).alias("open"))
+
+
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """(id, keys): of each document the windows (key) that start in a smaller id too."""
     shared = windows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"), "lo")
@@ -209,7 +232,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the text itself where nothing goes, and null for a null text.
 
     The texts are shuffled once, to meet their shared anchors; after that only documents with windows in question
-    are held on.  Keys that very many documents share are aggregated before each shuffle and meet their documents
+    move on.  Keys that very many documents share are aggregated before each shuffle and meet their documents
     in joins that can be split.
     """
     spark = docs.sparkSession
@@ -219,58 +242,74 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     carry_schema = "".join(f", carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     found = released(written(rows.where("id IS NOT NULL").select("id", "text").mapInPandas(_anchor_rows, "key long, id long, known boolean, least boolean")))
     shared = _shared_anchors(found).withColumnRenamed("id", "k_id")
-    tasks = shuffle_partitions(spark)
-    joined = rows.repartition(tasks, "id").join(shared, F.col("id") == F.col("k_id"), "left").drop("k_id")
+    joined = rows.repartition(shuffle_partitions(spark), "id").join(shared, F.col("id") == F.col("k_id"), "left").drop("k_id")
 
     def question(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["id", "text", *carried]].copy()
             n = len(batch)
             words = [split_words(t) for t in batch["text"]]
-            runs: list = [None] * n
-            hashes: list = [None] * n
-            open_ = [i for i in range(n) if batch["keys"].iloc[i] is not None and len(words[i]) >= WINDOW]
-            for chunk in _chunks(iter(open_), lambda i: len(words[i])):
+            first, last, key, extent = ([None] * n for _ in range(4))
+            asked = [i for i in range(n) if batch["keys"].iloc[i] is not None and len(words[i]) >= WINDOW]
+            for chunk in _chunks(iter(asked), lambda i: len(words[i])):
                 arrays = [hash_words(words[i]) for i in chunk]
                 for i, array, anchor in zip(chunk, arrays, anchors(arrays), strict=True):
-                    at = np.flatnonzero(np.isin(anchor.view(np.int64), np.asarray(batch["keys"].iloc[i])))
-                    if len(at):
-                        cuts = np.flatnonzero(np.diff(at) > 1)
-                        a, b = at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)]
-                        runs[i] = np.column_stack([a, b - a + 1]).ravel().astype(np.int32)
-                        hashes[i] = window_hashes(array)[at].view(np.int64)
-            final = [r is None for r in runs]
+                    a, b = runs_of(anchor, np.asarray(batch["keys"].iloc[i]).view(np.uint64))
+                    if len(a):
+                        first[i], last[i], key[i] = a.astype(np.int32), b.astype(np.int32), anchor[a].view(np.int64)
+                        extent[i] = stretch_hashes(array, a, b + WINDOW).view(np.int64)
+            final = [a is None for a in first]
             out["n_words"] = [len(w) for w in words]
             out["kept_sha256"] = [_sha(w) if f else None for w, f in zip(words, final, strict=True)]
             if not with_text:
                 out["text"] = [None if f else t for t, f in zip(batch["text"], final, strict=True)]
-            out["runs"], out["hashes"], out["final"] = runs, hashes, final
+            out["first"], out["last"], out["key"], out["extent"], out["final"] = first, last, key, extent, final
             yield out.astype({"id": "Int64"})
 
-    state = written(joined.mapInPandas(question, f"id long, text string{carry_schema}, n_words long, kept_sha256 string, runs array<int>, hashes array<long>, final boolean"))
+    schema = f"id long, text string{carry_schema}, n_words long"
+    state = written(joined.mapInPandas(question, f"{schema}, kept_sha256 string, first array<int>, last array<int>, key array<long>, extent array<long>, final boolean"))
     discard(found)
     release(spark)
     pending = state.where("NOT final")
-    windows = pending.select("id", F.explode("hashes").alias("key"))
-    again = _repeated_windows(windows).withColumnRenamed("id", "k_id")
+    runs = pending.select("id", F.explode(F.arrays_zip("key", "extent")).alias("r")).select("id", "r.key", "r.extent")
+    settled_runs = _settled_runs(runs).withColumnRenamed("id", "k_id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["id", "text", *carried, "n_words"]].copy()
+            known, starts, hashes = [], [], []
+            for text, first, last, extent, again, open_ in zip(batch["text"], batch["first"], batch["last"], batch["extent"], batch["again"], batch["open"], strict=True):
+                first, last = np.asarray(first), np.asarray(last)
+                is_known = np.isin(np.asarray(extent), np.asarray(again if again is not None else [], np.int64))
+                is_open = np.isin(np.asarray(extent), np.asarray(open_ if open_ is not None else [], np.int64))
+                known.append(np.column_stack([first[is_known], last[is_known]]).ravel().astype(np.int32))
+                at = np.concatenate([np.arange(0), *(np.arange(a, b + 1) for a, b in zip(first[is_open], last[is_open], strict=True))])
+                starts.append(at.astype(np.int32))
+                hashes.append(stretch_hashes(hash_words(split_words(text)), at, at + WINDOW).view(np.int64) if len(at) else np.zeros(0, np.int64))
+            out["known"], out["starts"], out["hashes"] = known, starts, hashes
+            yield out.astype({"id": "Int64"})
+
+    compared = pending.join(settled_runs, F.col("id") == F.col("k_id"), "left").select("id", "text", *carried, "n_words", "first", "last", "extent", "again", "open")
+    asked = written(compared.mapInPandas(compare, f"{schema}, known array<int>, starts array<int>, hashes array<long>"))
+    release(spark)
+    again = _repeated_windows(asked.select("id", F.explode("hashes").alias("key"))).withColumnRenamed("id", "k_id")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             removed, shas, texts = [], [], []
-            for text, runs, hashes, keys in zip(batch["text"], batch["runs"], batch["hashes"], batch["keys"], strict=True):
+            for text, known, starts, hashes, keys in zip(batch["text"], batch["known"], batch["starts"], batch["hashes"], batch["keys"], strict=True):
                 words = split_words(text)
-                gone = np.zeros(len(words), bool)
+                at = [np.arange(a, b + 1) for a, b in np.asarray(known, np.int64).reshape(-1, 2)]
                 if keys is not None:
-                    pairs = np.asarray(runs).reshape(-1, 2)
-                    at = np.concatenate([np.arange(a, a + k) for a, k in pairs])
-                    gone = covered(at[np.isin(np.asarray(hashes), np.asarray(keys))], len(words))
+                    at.append(np.asarray(starts, np.int64)[np.isin(np.asarray(hashes), np.asarray(keys))])
+                gone = covered(np.concatenate([np.arange(0), *at]), len(words))
                 removed.append(int(gone.sum()))
                 shas.append(_sha([w for w, g in zip(words, gone, strict=True) if not g]))
                 texts.append(cut_text(text, gone) if with_text and gone.any() else text)
             yield pd.DataFrame({"id": batch["id"], "n_words": batch["n_words"], "n_removed": removed, "kept_sha256": shas, "kept_text": texts, **{c: batch[c] for c in carried}})
 
     columns = ["id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
-    settled = pending.join(again, F.col("id") == F.col("k_id"), "left").select("text", "runs", "hashes", "keys", "id", "n_words", *carried)
+    settled = asked.join(again, F.col("id") == F.col("k_id"), "left").select("text", "known", "starts", "hashes", "keys", "id", "n_words", *carried)
     settled = settled.mapInPandas(settle, f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string{carry_schema}")
     same = state.where("final").withColumn("n_removed", F.lit(0).cast("long")).withColumnRenamed("text", "kept_text").select(*columns)
     result = same.unionByName(settled.select(*columns)).withColumnRenamed("id", id_col)
