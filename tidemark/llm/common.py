@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Words whose hashes a Python worker remembers; the memory stays bounded, the hashes do not depend on it.
-HASH_CACHE_WORDS = 200_000
+HASH_CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
@@ -68,7 +70,23 @@ def written(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the context cleaner drop shuffle files of finished steps, which the driver's GC would do late."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first one finds, the cleaner's thread lets go of meanwhile
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+#: Rows and bytes of a batch that goes to a Python worker, whose memory is the executor's scarcest.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of texts no larger than BATCH."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+    return spark
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

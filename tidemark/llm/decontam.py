@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_CACHE_WORDS
+from .common import HASH_CACHE_WORDS, small_batches
 from .toxicity import PUNCTUATION
 
 #: Words that are searched at a time.
@@ -286,7 +286,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     shingles and of the words of question and answer.  Null texts hold nothing; repeated rows give repeated matches;
     a null id stays null; items without words are never found; empty tables give no rows.  No shuffle of documents.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     result = None
     for index in build_indexes(items, options):
@@ -311,7 +311,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", options: Options = Options()) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, as they are."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     kept = docs
     for index in build_indexes(items, options):
         shipped = spark.sparkContext.broadcast(index)

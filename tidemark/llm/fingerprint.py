@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, shuffle_partitions, split_words
+from .common import hash_words, mix64, shuffle_partitions, small_batches, split_words
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PAD = np.uint64(0xD6E8FEB86659FD93)
@@ -114,7 +114,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     documents a range gets one more row, the first document of the range below it, so a single shuffle of the texts
     brings every document and its next together, and a task streams through them one at a time.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     tasks = shuffle_partitions(spark)
     ranges = 4 * tasks
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

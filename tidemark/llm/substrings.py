@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, discard, hash_words, mix64, release, released, shuffle_partitions, split_words, written
+from .common import WORD_PATTERN, discard, hash_words, mix64, release, released, shuffle_partitions, small_batches, split_words, written
 
 WINDOW = 50
 CAPS = (2, 2, 4, 4, 4, 8)
@@ -178,6 +178,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shared_anchors(found: DataFrame) -> DataFrame:
     """(id, keys): of each document the anchors that another id has too."""
     shared = found.where("least").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
+    shared = written(shared)  # as a plain side of the join, whose hot keys can then be split
     rows = found.where("NOT known").join(shared, F.col("key") == F.col("k2"), "left_semi").select("id", "key")
     return rows.unionByName(found.where("known").select("id", "key")).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
@@ -188,6 +189,7 @@ def _settled_runs(runs: DataFrame) -> DataFrame:
     kinds = runs.groupBy("key", "extent").agg(F.min("id").alias("lo"))
     mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k2"))
     kinds = kinds.join(mixed, F.col("key") == F.col("k2"), "left").select(F.col("key").alias("k3"), F.col("extent").alias("e3"), "lo", F.col("k2").isNotNull().alias("mixed"))
+    kinds = written(kinds)
     rows = runs.join(kinds, (F.col("key") == F.col("k3")) & (F.col("extent") == F.col("e3")))
     later, first = F.col("id") > F.col("lo"), (F.col("id") == F.col("lo")) & F.col("mixed")
     rows = rows.where(later | first)
@@ -197,6 +199,7 @@ def _settled_runs(runs: DataFrame) -> DataFrame:
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """(id, keys): of each document the windows (key) that start in a smaller id too."""
     shared = windows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"), "lo")
+    shared = written(shared)
     rows = windows.join(shared, (F.col("key") == F.col("k2")) & (F.col("id") > F.col("lo"))).select("id", "key")
     return rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
@@ -219,6 +222,15 @@ def cut_text(text: str, gone: np.ndarray) -> str:
     return "\n".join(text[words[a].start() : words[b].end()] for a, b in zip(kept[np.append(0, breaks + 1)], kept[np.append(breaks, len(kept) - 1)], strict=True))
 
 
+def spread(runs) -> np.ndarray:
+    """Windows of runs given as first, last, first, last and so on."""
+    return np.concatenate([np.arange(0), *(np.arange(a, b + 1) for a, b in np.asarray(runs, np.int64).reshape(-1, 2))])
+
+
+def _kept_sha(text: str, gone: np.ndarray) -> str:
+    return _sha([w for w, g in zip(split_words(text), gone, strict=True) if not g])
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -235,7 +247,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     move on.  Keys that very many documents share are aggregated before each shuffle and meet their documents
     in joins that can be split.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     more = [F.col(c).alias(f"carry_{c}") for c in carry]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
     carried = [f"carry_{c}" for c in carry]
@@ -283,36 +295,45 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 is_known = np.isin(np.asarray(extent), np.asarray(again if again is not None else [], np.int64))
                 is_open = np.isin(np.asarray(extent), np.asarray(open_ if open_ is not None else [], np.int64))
                 known.append(np.column_stack([first[is_known], last[is_known]]).ravel().astype(np.int32))
-                at = np.concatenate([np.arange(0), *(np.arange(a, b + 1) for a, b in zip(first[is_open], last[is_open], strict=True))])
+                at = spread(np.column_stack([first[is_open], last[is_open]]))
                 starts.append(at.astype(np.int32))
                 hashes.append(stretch_hashes(hash_words(split_words(text)), at, at + WINDOW).view(np.int64) if len(at) else np.zeros(0, np.int64))
             out["known"], out["starts"], out["hashes"] = known, starts, hashes
-            yield out.astype({"id": "Int64"})
+            out["final"] = [not len(h) for h in hashes]
+            gone = [covered(spread(k), n) if f else None for k, n, f in zip(known, batch["n_words"], out["final"], strict=True)]
+            out["n_removed"] = [int(g.sum()) if g is not None else None for g in gone]
+            out["kept_sha256"] = [_kept_sha(t, g) if g is not None else None for t, g in zip(batch["text"], gone, strict=True)]
+            if with_text:
+                out["text"] = [cut_text(t, g) if g is not None and g.any() else t for t, g in zip(batch["text"], gone, strict=True)]
+            else:
+                out["text"] = [None if f else t for t, f in zip(batch["text"], out["final"], strict=True)]
+            yield out.astype({"id": "Int64", "n_removed": "Int64"})
 
     compared = pending.join(settled_runs, F.col("id") == F.col("k_id"), "left").select("id", "text", *carried, "n_words", "first", "last", "extent", "again", "open")
-    asked = written(compared.mapInPandas(compare, f"{schema}, known array<int>, starts array<int>, hashes array<long>"))
+    asked = written(compared.mapInPandas(compare, f"{schema}, known array<int>, starts array<int>, hashes array<long>, final boolean, n_removed long, kept_sha256 string"))
     release(spark)
-    again = _repeated_windows(asked.select("id", F.explode("hashes").alias("key"))).withColumnRenamed("id", "k_id")
+    undecided = asked.where("NOT final")
+    again = _repeated_windows(undecided.select("id", F.explode("hashes").alias("key"))).withColumnRenamed("id", "k_id")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             removed, shas, texts = [], [], []
             for text, known, starts, hashes, keys in zip(batch["text"], batch["known"], batch["starts"], batch["hashes"], batch["keys"], strict=True):
-                words = split_words(text)
-                at = [np.arange(a, b + 1) for a, b in np.asarray(known, np.int64).reshape(-1, 2)]
+                at = spread(known)
                 if keys is not None:
-                    at.append(np.asarray(starts, np.int64)[np.isin(np.asarray(hashes), np.asarray(keys))])
-                gone = covered(np.concatenate([np.arange(0), *at]), len(words))
+                    at = np.append(at, np.asarray(starts, np.int64)[np.isin(np.asarray(hashes), np.asarray(keys))])
+                gone = covered(at, len(split_words(text)))
                 removed.append(int(gone.sum()))
-                shas.append(_sha([w for w, g in zip(words, gone, strict=True) if not g]))
+                shas.append(_kept_sha(text, gone))
                 texts.append(cut_text(text, gone) if with_text and gone.any() else text)
             yield pd.DataFrame({"id": batch["id"], "n_words": batch["n_words"], "n_removed": removed, "kept_sha256": shas, "kept_text": texts, **{c: batch[c] for c in carried}})
 
     columns = ["id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
-    settled = asked.join(again, F.col("id") == F.col("k_id"), "left").select("text", "known", "starts", "hashes", "keys", "id", "n_words", *carried)
+    settled = undecided.join(again, F.col("id") == F.col("k_id"), "left").select("text", "known", "starts", "hashes", "keys", "id", "n_words", *carried)
     settled = settled.mapInPandas(settle, f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string{carry_schema}")
+    early = asked.where("final").withColumnRenamed("text", "kept_text").select(*columns)
     same = state.where("final").withColumn("n_removed", F.lit(0).cast("long")).withColumnRenamed("text", "kept_text").select(*columns)
-    result = same.unionByName(settled.select(*columns)).withColumnRenamed("id", id_col)
+    result = same.unionByName(early).unionByName(settled.select(*columns)).withColumnRenamed("id", id_col)
     for c in carry:
         result = result.withColumnRenamed(f"carry_{c}", c)
     return result if with_text else result.drop("kept_text")

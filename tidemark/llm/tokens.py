@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import split_words
+from .common import small_batches, split_words
 
 #: Words whose counts a Python worker remembers.
 COUNT_CACHE_WORDS = 300_000
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: Iterable[bytes], *, lead: bytes =
     whose word-initial tokens begin with a blank.  A null text has no words; repeated rows are counted each; a null
     id stays null; an empty table gives an empty table; other columns are not read.  One narrow pass, no shuffle.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     vocabulary = sorted(set(vocabulary))
     if sum(map(len, vocabulary)) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to ship to executors")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small_batches, written
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -246,7 +246,7 @@ def archive_round_trip(pages: DataFrame, *, least_bytes: int = 0, folder: str |
     rows: one response, the others revisits of it; an empty table: no archive and no row.  The archives and their
     indexes stay in ``folder``/normalised, a new folder of the shared one unless it is given.
     """
-    folder = folder or shared_dir(pages.sparkSession)
+    folder = folder or shared_dir(small_batches(pages.sparkSession))
     manifest = write_archives(pages, f"{folder}/monolithic")
     index = normalise(revisit_plan(manifest, least_bytes=least_bytes), f"{folder}/monolithic", f"{folder}/normalised")
     system, base = open_folder(f"{folder}/monolithic")
