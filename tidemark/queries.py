@@ -4,8 +4,447 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import paths, text
+from .operators import cache, context, escalate, extract, group, judge, moves, rank, render, score, symbols, task, views
+from .plans.review import review
+from .schemas import SEVERITIES, evidence, parse_severity, parse_verdict, rank_of
+from .sources import tables
+from .sources.tables import table
+from .streaming import progress
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _joined(xs: Column) -> Column:
+    return F.array_join(xs, "|")
+
+
+# -- files
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return tables.prepared(tables.doc_changes(spark, d))
+
+
+def _small_files(spark: SparkSession, d: str) -> DataFrame:
+    return tables.prepared(tables.conv_changes(spark, d))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Review items of the documents' change sets, without symbols."""
+    return group.group_items(_files(spark, d))
+
+
+def review_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rank.review_order(_items(spark, d)).select("changeset_id", F.col("pos").alias("item_rank"), "id", "category", "severity", "priority")
+
+
+def language_from_path(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (".rs", ".TSX", ".mjs", ".pyi", ".cs", ".go", ".java", ".h", ".cxx", ".txt", "")]), (F.col("p_partkey") % 11 + 1).cast("int")))
+    rows = table(spark, d, "part").select("p_partkey", path.alias("path"))
+    language = paths.language_of(F.col("path"))
+    return rows.select("p_partkey", language.alias("language"), paths.supports_symbols(language).alias("supported"))
+
+
+def path_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = _files(spark, d)
+    return rows.select("path", "language", "is_test_file", paths.generated_by_name(F.col("path")).alias("by_name"), paths.generated_by_content(F.col("old_content"), F.col("new_content")).alias("by_content"), _joined(paths.path_parts(F.col("path"))).alias("parts"))
+
+
+def file_records(spark: SparkSession, d: str) -> DataFrame:
+    skip = paths.skip_parse(F.col("is_binary"), F.col("is_generated"), F.col("old_content"), F.col("new_content"))
+    shown = paths.display_path(F.lit("old/name"), F.when(F.col("file_idx") % 3 == 0, "").otherwise(F.col("path")))
+    delta = F.element_at(F.array(*[F.lit(x) for x in "ADMRCT?X"]), (F.col("file_idx") % 8 + 1).cast("int"))
+    return _files(spark, d).select("file_idx", "status", "added_lines", "deleted_lines", "formatting_only", skip.alias("skip"), shown.alias("shown"), paths.status_of(delta).alias("status_of"))
+
+
+def formatting_only(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    old = F.concat(F.lit("fn a() {\n    "), F.element_at(F.array(F.lit("run();"), F.lit("let x = \"q\";"), F.lit("a / b"), F.lit("go()")), (n % 4 + 1).cast("int")), F.lit("\n}"))
+    new = F.when(F.col("l_orderkey") % 2 == 0, F.regexp_replace(old, "(?m)^    ", "\t\t")).otherwise(F.regexp_replace(old, "\\(", " ("))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", old.alias("old"), new.alias("new"))
+    flag = paths.formatting_only(F.when(F.col("l_orderkey") % 5 == 0, "Go").otherwise("Rust"), F.when(n == 7, "Added").otherwise("Modified"), F.lit(False), F.lit(1), F.col("old"), F.col("new"))
+    return rows.groupBy("l_linenumber", flag.alias("formatting_only")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- text
+
+
+def split_ident_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select(F.explode(text.split_ident(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def task_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", _joined(text.task_terms(F.col("text"))).alias("terms"))
+
+
+def bigram_dice_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Dice coefficient of each part's name with the next one's of its brand."""
+    other = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = table(spark, d, "part").select("p_partkey", "p_name", other.alias("other")).where("other IS NOT NULL")
+    a, b = F.col("p_name"), F.col("other")
+    return rows.select("p_partkey", text.shared_bigrams(text.bigrams(a), text.bigrams(b)).alias("shared"), F.round(text.dice(a, b), 6).alias("dice"), text.dice_possible(a, b).alias("possible"), F.round(text.match_score(a, b), 6).alias("score"))
+
+
+def name_similarity_customers(spark: SparkSession, d: str) -> DataFrame:
+    other = F.lead("c_name").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", other.alias("other")).where("other IS NOT NULL")
+    return rows.select("c_custkey", F.round(text.name_similarity(F.col("c_name"), F.col("other")), 6).alias("similarity"))
+
+
+def called_names_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", _joined(text.called_names(F.col("html"))).alias("calls"))
+
+
+def ident_list_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.size(text.ident_list(F.col("html"))).alias("n"), F.md5(_joined(text.ident_list(F.col("url")))).alias("of_url"))
+
+
+def content_key_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.content_key(F.col("lang"), F.coalesce("text", F.lit(""))).alias("content_key"))
+
+
+def strip_literals_values(spark: SparkSession, d: str) -> DataFrame:
+    parts = ["x = 1;", 'let s = "a // b";', "call(); // note", 'say("he said \\"no\\"") + 2', "http://host/path", 'open("never closed', "plain"]
+    line = F.concat(F.element_at(F.array(*map(F.lit, parts)), (F.col("ps") % len(parts) + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, parts)), (F.floor(F.col("ps") / 7) % len(parts) + 1).cast("int")))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ps")).select("ps", line.alias("line"))
+    return rows.select("ps", text.strip_code(F.col("line")).alias("stripped"), text.clean_line(F.col("line")).alias("cleaned"))
+
+
+def escapes(spark: SparkSession, d: str) -> DataFrame:
+    t = F.substring("text", 1, 300)
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", text.escape_github(t).alias("github"), text.escape_github_prop(t).alias("prop"), text.escape_xml(t).alias("xml"), text.shell_quote(t).alias("shell")
+    )
+
+
+def truncate_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.truncate(t, 40).alias("head"), text.approx_tokens(t).alias("tokens"), F.md5(text.single_line(t)).alias("line"), F.md5(text.trim_all(t)).alias("trimmed"))
+
+
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", text.lines(F.col("text")).alias("l"))
+    body = text.body_slice(F.col("l"), F.lit(2), F.lit(4))
+    return rows.select("doc_id", F.size("l").alias("n"), F.md5(F.coalesce(body, F.lit("-"))).alias("body"), F.md5(F.coalesce(text.body_key(body), F.lit("-"))).alias("body_key"), F.md5(F.coalesce(text.nosig_key(body), F.lit("-"))).alias("nosig_key"))
+
+
+NAMES = ("test_Region", "should_REGION", "regionTest", "TestRegion", "testregion", "Region_test", "Region", "m::Region", "a → b::Region", "Test", "contest")
+
+
+def name_functions(spark: SparkSession, d: str) -> DataFrame:
+    names = F.explode(F.array(*map(F.lit, NAMES))).alias("name")
+    rows = table(spark, d, "nation").select("n_nationkey", names)
+    n = F.col("name")
+    return rows.select("n_nationkey", "name", _joined(F.array_sort(text.test_cores(n))).alias("cores"), text.test_targets(n, F.lit("Region")).alias("targets"), text.short_name(text.new_name(n)).alias("short"), text.is_test_attr(n).alias("attr"))
+
+
+LEVELS = ("low", "MED", "medium", "High", "crit", "CRITICAL")
+TASK_LEVELS = ("Covered", "cover", "PARTIAL", "uncover", "uncovered", "Cover")
+
+
+def level_names(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    severity, verdict = parse_severity(of(LEVELS)), parse_verdict(of(TASK_LEVELS))
+    kind = F.element_at(F.array(*map(F.lit, ["unsafe", "schema", "docs", "secret-handling", "blast-radius", "x"])), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    return table(spark, d, "nation").select("n_nationkey", severity.alias("severity"), rank_of(severity, SEVERITIES).alias("severity_rank"), verdict.alias("verdict"), rank.task_gate(verdict, "Partial").alias("trips"), text.evidence_rank(kind).alias("evidence_rank"))
+
+
+def imports_values(spark: SparkSession, d: str) -> DataFrame:
+    return extract.import_samples(spark).select("language", _joined(text.imported_names(F.col("language"), F.col("content"))).alias("imports"))
+
+
+# -- symbols
+
+
+def generic_symbols_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("file"), F.col("text").alias("content"))
+    pages = tables.page_files(spark, d).select(F.concat(F.lit("page/"), "page_id").alias("file"), F.concat(F.lit("def run("), "page_id", F.lit("):\nclass Page"), "page_id", F.lit(":\npublic void load(int x) {\nif (x) {\n  async def test_go():\n// def no():\n"), F.col("content")).alias("content"))
+    return extract.generic_symbols(docs.unionByName(pages)).select("file", "name", "kind", "start_line", "signature", "is_test", "is_public")
+
+
+def _line_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return tables.line_symbols(tables.conv_changes(spark, d))
+
+
+CHANGE_COLUMNS = ("changeset_id", "file", "name", "kind", "change", "old_signature", "new_signature", "old_start", "new_start")
+
+
+def symbol_diff_lines(spark: SparkSession, d: str) -> DataFrame:
+    found = symbols.diff_symbols(_line_symbols(spark, d), renames=False)
+    return found.select(*CHANGE_COLUMNS, F.round(F.col("confidence").cast("double"), 4).alias("confidence"), _joined("evidence").alias("proof"))
+
+
+def symbol_added_removed(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.added_removed(symbols.paired(_line_symbols(spark, d))).groupBy("changeset_id", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def visibility_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.compared(symbols.paired(_line_symbols(spark, d))).where("change = 'VisibilityChanged'").select("changeset_id", "file", "name", "kind", "old_start", "new_start")
+
+
+def greedy_renames(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.renamed(symbols.paired(_line_symbols(spark, d))).select(*CHANGE_COLUMNS)
+
+
+def _doc_moves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols of the documents' lines: long enough that a move means something."""
+    rows = tables.line_symbols(tables.doc_changes(spark, d))
+    return symbols.added_removed(symbols.paired(rows)), rows
+
+
+MOVE_COLUMNS = ("changeset_id", "file", "name", "kind", "change", "moved_from", "old_start", "new_start")
+
+
+def exact_moves(spark: SparkSession, d: str) -> DataFrame:
+    changes, rows = _doc_moves(spark, d)
+    return moves.exact_moves(moves.candidates(changes, rows)).select(*MOVE_COLUMNS, F.round(F.col("confidence").cast("double"), 4).alias("confidence"), _joined("evidence").alias("proof"))
+
+
+def nosig_moves(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as one symbol each: the same but for the first line."""
+    ch = tables.doc_changes(spark, d).where("file_idx % 3 <> 0")
+    row = lambda side, c: ch.where(F.col(c).isNotNull()).select("changeset_id", F.col("path").alias("file"), F.lit(side).alias("side"), F.lit(1).alias("sym_idx"), F.concat(F.lit(side), "file_idx").alias("name"), F.lit("Function").alias("kind"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.substring(c, 1, 20).alias("signature"), F.lit(False).alias("is_test"), F.lit(True).alias("is_public"), F.col(c).alias("body"))
+    rows = row("old", "old_content").unionByName(row("new", "new_content"))
+    changes = symbols.added_removed(symbols.paired(rows))
+    return moves.renamed_moves(moves.candidates(changes, rows)).select(*MOVE_COLUMNS)
+
+
+def reorder_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' words as symbols, old in the order of the text and new in the order of the alphabet."""
+    docs = table(spark, d, "documents").where("length(text) < 400")
+    base = docs.select(F.lit("words").alias("changeset_id"), F.concat(F.lit("doc/"), "doc_id").alias("file"), F.slice(text.ident_list(F.col("text")), 1, 20).alias("w"))
+    side = lambda s, w: base.select("changeset_id", "file", F.lit(s).alias("side"), F.posexplode(w).alias("sym_idx", "name"))
+    rows = side("old", F.col("w")).unionByName(side("new", F.array_sort("w")))
+    rows = rows.select("*", F.lit("Function").alias("kind"), F.col("sym_idx").alias("start_line"), F.col("sym_idx").alias("end_line"), F.col("name").alias("signature"))
+    return moves.reordered(rows).select("file", "name", "old_start", "new_start", _joined("evidence").alias("proof"))
+
+
+def similar_moves(spark: SparkSession, d: str) -> DataFrame:
+    changes, rows = _doc_moves(spark, d)
+    return moves.similar_moves(moves.candidates(changes, rows)).select(*MOVE_COLUMNS)
+
+
+# -- scores and items
+
+
+def _evidence(c: str = "evidence") -> Column:
+    return _joined(F.transform(c, lambda e: F.concat(e["kind"], F.lit("="), e["summary"])))
+
+
+def file_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score.score_files(_files(spark, d).withColumn("symbols", F.array().cast(f"array<{group.SYMBOL}>"))).select("path", "priority", "severity", "category", _evidence().alias("proof"))
+
+
+SIGNAL_PATHS = ("src/auth/session.rs", "src/author.rs", "tests/auth_test.rs", "docs/auth.md", "src/keyboard.rs", "src/api_key.rs", "src/a.rs", "db/schema.sql", "Cargo.toml", "k8s/app.yaml", "Cargo.lock", "src/plain.rs")
+SIGNAL_ADDED = ("x", "let token = 1;", "ok();", "unsafe { f(); }", 'let s = "unsafe fn nope";', "if a { b }")
+SIGNAL_DELETED = ("y", "// validate input", "validate(x);", "match q { }")
+SIGNAL_CHANGES = ("Added", "Removed", "Modified", "SignatureChanged", "VisibilityChanged", "Renamed", "Moved")
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """Change records in which every combination of paths, lines and symbol changes comes up."""
+    k = F.col("o_orderkey")
+    of = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
+    path = of(SIGNAL_PATHS, k)
+    rows = table(spark, d, "orders").select(F.lit("signals").alias("changeset_id"), k.alias("file_idx"), path.alias("path"), F.array(of(SIGNAL_ADDED, F.floor(k / 12))).alias("added"), F.array(of(SIGNAL_DELETED, F.floor(k / 72))).alias("deleted"), of(SIGNAL_CHANGES, k).alias("c1"), of(SIGNAL_CHANGES, F.floor(k / 7)).alias("c2"), (k % 3).alias("n"))
+    symbol = lambda name, c: F.struct(F.lit(name).alias("name"), F.lit("Function").alias("kind"), F.col(c).alias("change"), F.lit(0.9).cast("float").alias("confidence"), F.lit(None).cast("string").alias("moved_from"))
+    rows = rows.withColumn("symbols", F.slice(F.array(symbol("f", "c1"), symbol("g", "c2")), F.lit(1), F.col("n").cast("int")))
+    return rows.select("changeset_id", "file_idx", "path", paths.language_of(F.col("path")).alias("language"), paths.generated_by_name(F.col("path")).alias("is_generated"), F.lit(False).alias("formatting_only"), paths.is_test_path(F.col("path")).alias("is_test_file"), "added", "deleted", "symbols")
+
+
+def signal_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score.score_files(_signals(spark, d)).select("file_idx", "priority", "severity", "category", _evidence().alias("proof"))
+
+
+def symbol_bonus(spark: SparkSession, d: str) -> DataFrame:
+    return score.symbol_bonus(symbols.diff_symbols(_line_symbols(spark, d), renames=False))
+
+
+def mechanical_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return group.mechanical_bucket(_files(spark, d)).select("changeset_id", "title", F.size("files").alias("n"), F.md5(_joined("files")).alias("files"), _evidence().alias("proof"))
+
+
+def _with_symbols(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations as change records, with the symbols of their first lines."""
+    files = _files(spark, d).where("changeset_id <> 'en'")
+    changes = symbols.diff_symbols(tables.line_symbols(tables.doc_changes(spark, d).where("changeset_id <> 'en'")), renames=False)
+    return files, changes
+
+
+def tests_bucket(spark: SparkSession, d: str) -> DataFrame:
+    files, changes = _with_symbols(spark, d)
+    rows = files.join(group.symbols_by_file(changes.where("change IN ('Added', 'Modified')")), ["changeset_id", "path"], "left")
+    return group.tests_bucket(rows).select("changeset_id", "title", F.size("files").alias("n"), F.md5(_joined("files")).alias("files"), F.size("evidence").alias("proofs"))
+
+
+def move_pairs(spark: SparkSession, d: str) -> DataFrame:
+    changes, rows = _doc_moves(spark, d)
+    linked = moves.exact_moves(moves.candidates(changes, rows)).select(*changes.columns)
+    return group.move_items(linked).select("changeset_id", "id", "title", "severity", "priority", F.size("symbols").alias("n"), F.md5(_joined("symbols")).alias("names"))
+
+
+def change_stats(spark: SparkSession, d: str) -> DataFrame:
+    files, changes = _with_symbols(spark, d)
+    return group.change_stats(files, changes, group.group_items(files))
+
+
+def file_items(spark: SparkSession, d: str) -> DataFrame:
+    files, changes = _with_symbols(spark, d)
+    rows = files.join(group.symbols_by_file(changes), ["changeset_id", "path"], "left")
+    return group.file_items(rows).select("changeset_id", "id", "title", "category", "severity", "priority", "why", F.size("symbols").alias("n"))
+
+
+# -- orders, gates, packages
+
+
+def gate_top(spark: SparkSession, d: str) -> DataFrame:
+    return rank.gate(_items(spark, d), "Medium")
+
+
+def judged_top25(spark: SparkSession, d: str) -> DataFrame:
+    return rank.judged(_items(spark, d)).select("changeset_id", "pos", "id")
+
+
+def deterministic_judge(spark: SparkSession, d: str) -> DataFrame:
+    return judge.local_judgement(_items(spark, d)).select("changeset_id", "id", F.round("risk", 4).alias("risk"), "score", "level")
+
+
+def judge_answers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    ask = F.when(k % 2 == 0, "risk").otherwise("severity")
+    rows = table(spark, d, "labels").join(tables.doc_changes(spark, d).select("changeset_id", F.col("file_idx").alias("doc_id"), "path"), "doc_id")
+    answers = rows.select("changeset_id", F.concat(F.lit("file:"), "path", F.lit("::"), ask).alias("question"), F.when(k % 6 == 5, "other").when(k % 2 == 0, "noul").otherwise("score").alias("type"), ((k % 10) / 10).alias("noul"), (k % 4).cast("double").alias("score"), F.when(k % 9 == 0, None).otherwise(0.5).alias("confidence"))
+    said = F.filter("evidence", lambda e: F.startswith(e["kind"], F.lit("jev-")))
+    return judge.apply_answers(_items(spark, d), answers).withColumn("said", said).where(F.size("said") > 0).select("changeset_id", "id", _evidence("said").alias("said"))
+
+
+def escalation_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = escalate.compact(rank.candidates(_items(spark, d), "Medium", 10))
+    return rows.select("changeset_id", "pos", "id", "title", "why", "approx_tokens", _joined("files").alias("files"), _joined("evidence").alias("proof"))
+
+
+def escalation_package(spark: SparkSession, d: str) -> DataFrame:
+    files, items = _files(spark, d), _items(spark, d)
+    stats = group.change_stats(files, spark.createDataFrame([], symbols.CHANGE), items)
+    return escalate.package(items, stats).select("changeset_id", "floor", "files_changed", "added_lines", "deleted_lines", F.size("items").alias("items"), "approx_tokens")
+
+
+def junit_cases(spark: SparkSession, d: str) -> DataFrame:
+    return render.junit_cases(_items(spark, d), "High").select("changeset_id", "id", "failed", "skipped", "case")
+
+
+def github_annotations(spark: SparkSession, d: str) -> DataFrame:
+    return render.github_annotations(_items(spark, d))
+
+
+def overview_lines(spark: SparkSession, d: str) -> DataFrame:
+    return render.overview_lines(_items(spark, d))
+
+
+def visible_items(spark: SparkSession, d: str) -> DataFrame:
+    return rank.visible(_items(spark, d), search="Src1").select("changeset_id", "id", "shown_pos")
+
+
+def next_meaningful(spark: SparkSession, d: str) -> DataFrame:
+    return rank.next_meaningful(_items(spark, d)).select("changeset_id", "pos", "id", "next_pos")
+
+
+# -- tasks
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("task_text"))
+
+
+def task_check(spark: SparkSession, d: str) -> DataFrame:
+    corpus = task.vocabulary(table(spark, d, "documents").where("lang = 'es'"))
+    checks = task.check_tasks(_tasks(spark, d), corpus)
+    return checks.select("task_id", "terms", "matched", _joined("unmatched").alias("unmatched"), F.round("coverage", 6).alias("coverage"), "verdict")
+
+
+def task_verdict_gate(spark: SparkSession, d: str) -> DataFrame:
+    corpus = task.vocabulary(table(spark, d, "documents").where("lang = 'de'"))
+    checks = task.check_tasks(_tasks(spark, d), corpus)
+    return checks.select("task_id", "verdict", rank.task_gate(F.col("verdict"), "Partial").alias("trips"))
+
+
+# -- context, views, messages, cache
+
+
+def _page_context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as sources: they call what they call, import the words of their paths, and define their title's first words."""
+    files = tables.page_files(spark, d)
+    sources = files.select("path", text.called_names(F.col("content")).alias("calls"), text.ident_list(F.col("path")).alias("imports"))
+    title = F.slice(text.ident_list(F.regexp_extract("content", "<title>([^<]*)", 1)), 1, 3)
+    return sources, files.select(F.explode(title).alias("name"), F.col("path").alias("file"))
+
+
+def definition_index(spark: SparkSession, d: str) -> DataFrame:
+    return context.definition_index(_page_context(spark, d)[1])
+
+
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    sources, definitions = _page_context(spark, d)
+    names = F.explode(F.array(F.lit("track"), F.lit("x::track"), F.lit("nothing")))
+    targets = table(spark, d, "nation").select(F.lit("pages").alias("changeset_id"), F.concat(F.lit("file:"), "n_name").alias("id"), F.array("n_name").alias("files"), names.alias("name"))
+    own = table(spark, d, "nation").select(F.lit("track").alias("name"), F.lit("src/track.js").alias("file")).distinct()
+    return context.blast_radius(targets, sources, definitions.where("name <> 'track'").unionByName(own)).select("id", F.size("affected").alias("n"), F.md5(_joined("affected")).alias("affected"), context.blast_summary().alias("summary"))
+
+
+def coverage_links(spark: SparkSession, d: str) -> DataFrame:
+    nouns = F.split("p_name", " ")
+    parts = table(spark, d, "part")
+    changed = parts.where("p_partkey % 2 = 0").select(F.lit("parts").alias("changeset_id"), F.concat(F.lit("src/"), "p_partkey", F.lit(".rs")).alias("file"), F.concat(F.lit("shop::"), F.get(nouns, F.lit(0))).alias("name"), F.lit("Function").alias("kind"), F.lit(False).alias("is_test_file"))
+    tests = parts.where("p_partkey % 7 = 1").select(F.lit("parts").alias("changeset_id"), F.concat(F.lit("test_"), F.get(nouns, F.lit(0))).alias("name"), F.concat(F.lit("tests/"), "p_partkey", F.lit(".rs")).alias("file"), F.slice(nouns, 2, 2).alias("calls"))
+    return context.coverage_links(changed, tests)
+
+
+def diff_rows(spark: SparkSession, d: str) -> DataFrame:
+    line = F.transform(text.lines(F.col("text")), lambda x: F.struct(F.lit("Addition").alias("kind"), x.alias("text")))
+    hunk = F.struct(F.lit(0).alias("old_start"), F.lit(0).alias("old_lines"), F.lit(1).alias("new_start"), F.size(line).alias("new_lines"), F.lit("untracked file").alias("header"), line.alias("lines"))
+    files = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("changeset_id"), F.col("turn").alias("file_idx"), F.concat(F.lit("talk/"), "conv_id", F.lit("/"), "turn").alias("path"), F.array(hunk).alias("hunks"))
+    return views.diff_rows(files)
+
+
+def item_detail(spark: SparkSession, d: str) -> DataFrame:
+    rows = diff_rows_files(spark, d)
+    items = rows.groupBy("changeset_id").agg(F.array_sort(F.collect_list("path")).alias("files")).select("changeset_id", F.lit("all").alias("id"), "files")
+    return views.item_detail(items, rows)
+
+
+def diff_rows_files(spark: SparkSession, d: str) -> DataFrame:
+    both = lambda kind, c: F.transform(F.col(c), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    hunk = F.struct(F.lit("@@").alias("header"), F.concat(both("Deletion", "deleted"), both("Addition", "added"), F.array(F.struct(F.lit("Context").alias("kind"), F.lit("x").alias("text")))).alias("lines"))
+    return _small_files(spark, d).select("changeset_id", "path", F.array(hunk).alias("hunks")).dropDuplicates(["changeset_id", "path", "hunks"])
+
+
+def progress_by_generation(spark: SparkSession, d: str) -> DataFrame:
+    return progress.analysed(tables.progress_events(spark, d))
+
+
+def progress_drained(spark: SparkSession, d: str) -> DataFrame:
+    return progress.drained(tables.progress_events(spark, d), 2)
+
+
+def cache_metrics(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
+    rows = cache.keyed(docs)
+    return cache.metrics(rows, rows.where("doc_id % 2 = 0")).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+def cache_eviction(spark: SparkSession, d: str) -> DataFrame:
+    rows = cache.keyed(table(spark, d, "orders").select("o_orderkey", F.lit("rust").alias("language"), F.col("o_orderkey").cast("string").alias("content")))
+    return cache.evict(rows).agg(F.count(F.lit(1)).alias("n"), F.min("content_key").alias("least"), F.max("content_key").alias("most"))
+
+
+_HELPERS = {"table", "evidence", "parse_severity", "parse_verdict", "rank_of", "review", "diff_rows_files", "queries"}
+
+
+def queries() -> dict[str, Query]:
+    own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
+    return {n: f for n, f in sorted(own.items()) if n not in _HELPERS}
