@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -77,7 +79,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: Rows and bytes of a batch that goes to a Python worker, whose memory is the executor's scarcest.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 250, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -89,6 +91,12 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system, where the C library can."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

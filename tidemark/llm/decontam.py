@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_CACHE_WORDS, small_batches
+from .common import HASH_CACHE_WORDS, give_back, small_batches
 from .toxicity import PUNCTUATION
 
 #: Words that are searched at a time.
@@ -242,6 +242,7 @@ class Searcher:
             if words >= CHUNK_WORDS:
                 yield from self.find(held)
                 held, words = [], 0
+                give_back()
         yield from self.find(held)
 
 

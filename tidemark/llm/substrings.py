@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, discard, hash_words, mix64, release, released, shuffle_partitions, small_batches, split_words, written
+from .common import WORD_PATTERN, discard, give_back, hash_words, mix64, release, released, shuffle_partitions, small_batches, split_words, written
 
 WINDOW = 50
 CAPS = (2, 2, 4, 4, 4, 8)
 #: Words that are parsed at a time.
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(WORD_PATTERN)
@@ -173,6 +173,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             length = np.diff(np.append(first, len(flat)))
             many = np.repeat(ids[first + length - 1] > ids[first], length)
             yield pd.DataFrame({"key": flat.view(np.int64), "id": ids, "known": many, "least": new})
+        give_back()
 
 
 def _shared_anchors(found: DataFrame) -> DataFrame:
@@ -277,6 +278,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out["text"] = [None if f else t for t, f in zip(batch["text"], final, strict=True)]
             out["first"], out["last"], out["key"], out["extent"], out["final"] = first, last, key, extent, final
             yield out.astype({"id": "Int64"})
+            give_back()
 
     schema = f"id long, text string{carry_schema}, n_words long"
     state = written(joined.mapInPandas(question, f"{schema}, kept_sha256 string, first array<int>, last array<int>, key array<long>, extent array<long>, final boolean"))

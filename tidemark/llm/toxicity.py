@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_CACHE_WORDS, discard, fits_broadcast, released, written
+from .common import HASH_CACHE_WORDS, discard, fits_broadcast, give_back, released, small_batches, written
 
 #: Stripped from the ends of words before they are counted.
 PUNCTUATION = b""".,;:!?"'()*#$%&|-_[]{}<>/\\"""
 #: The word before the first one of a text, and the mark of a row that counts a single word.
 START, SINGLE = 1, 0
 #: Words of texts whose counts a task adds up before it emits them.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,7 @@ def count_expressions(training: DataFrame) -> DataFrame:
                 if size >= CHUNK_WORDS:
                     yield emit()
                     held, size = [[], []], 0
+                    give_back()
         yield emit()
 
     rows = training.select("text", "toxic").mapInPandas(count, "key long, c0 long, c1 long")
@@ -255,6 +256,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def _scores(rows: DataFrame, out: DataFrame, labels: DataFrame, options: Options, **how) -> DataFrame:
     """``out`` (rid, text, more) with a score, by models of the labelled texts among ``rows`` (id, text)."""
+    small_batches(rows.sparkSession)
     training = training_rows(rows, labels.select("doc_id", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
