@@ -1,4 +1,7 @@
-"""Whole reviews: one lazy graph from change records to ranked items."""
+"""Whole reviews: from change records to ranked items.
+
+Tables that later steps use many times (symbols, their changes, items) are settled at barriers; the rest is lazy.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import context, escalate, group, judge, moves, rank, symbols, task
+from ..functions import paths, text
+from ..operators import context, escalate, extract, group, judge, moves, rank, symbols, task
+from ..sources.linediff import line_lists
 from ..sources.tables import prepared
+from .barrier import settled
 
 
 @dataclass(frozen=True)
@@ -48,18 +54,70 @@ def review(
     files = prepared(changes)
     parsed = files.where(~F.col("is_generated") & ~F.col("is_binary")).select("changeset_id", F.col("path").alias("file"))
     symbol_rows = symbol_rows.join(parsed, ["changeset_id", "file"], "left_semi")
-    found = moves.link_moves(symbols.diff_symbols(symbol_rows, renames=renames), symbol_rows, similar=similar)
-    items = group.group_items(files, found)
+    symbol_rows = settled(symbol_rows)
+    found = settled(moves.link_moves(settled(symbols.diff_symbols(symbol_rows, renames=renames)), symbol_rows, similar=similar))
+    return finished(files, found, tests=tests, sources=sources, definitions=definitions, local_judge=local_judge, tasks=tasks)
+
+
+def review_changes(changes: DataFrame, **how) -> Review:
+    """Review change records that carry their hunks, as a git source or ``with_hunks`` gives them.
+
+    Symbols of both sides are extracted from the contents; binary, generated and very large files are not parsed.
+    """
+    files = settled(with_lines(changes))
+    parsed = files.where(~paths.skip_parse(F.col("is_binary"), F.col("is_generated"), F.col("old_content"), F.col("new_content")))
+    rows = settled(symbols_of(parsed))
+    compared = settled(with_file_changes(symbols.diff_symbols(rows, renames=how.pop("renames", True)), rows, parsed))
+    found = settled(moves.link_moves(compared, rows, similar=how.pop("similar", True)))
+    return finished(files, found, **how)
+
+
+def with_lines(changes: DataFrame) -> DataFrame:
+    """Change records with hunks, and the derived columns that scoring reads."""
+    rows = line_lists(changes).withColumn("language", paths.language_of(F.col("path"))).withColumn("is_test_file", paths.is_test_path(F.col("path")))
+    rows = rows.withColumn("is_generated", paths.generated_by_name(F.col("path")) | paths.generated_by_content(F.col("old_content"), F.col("new_content")))
+    return rows.withColumn("formatting_only", paths.formatting_only(F.col("language"), F.col("status"), F.col("is_binary"), F.size("hunks"), F.col("old_content"), F.col("new_content")))
+
+
+def symbols_of(files: DataFrame) -> DataFrame:
+    """Symbols of both sides of change records, with their bodies."""
+    out = None
+    for side, column in (("old", "old_content"), ("new", "new_content")):
+        one = files.where(F.col(column).isNotNull()).select("changeset_id", "path", F.col(column).alias("content"))
+        found = extract.extract_symbols(one.select(F.col("path").alias("file"), "content").distinct())
+        keyed = one.join(found, F.col("path") == F.col("file")).withColumn("side", F.lit(side))
+        body = text.body_slice(text.lines(F.col("content")), F.col("start_line"), F.col("end_line"))
+        keyed = keyed.select("changeset_id", "file", "side", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public", F.coalesce(body, F.lit("")).alias("body"))
+        out = keyed if out is None else out.unionByName(keyed)
+    return out
+
+
+def with_file_changes(changes: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbol changes, with one for the whole file where an added or deleted file has lines but no symbols."""
+    known = rows.select("changeset_id", F.col("file").alias("path")).distinct()
+    bare = files.where(F.col("status").isin("Added", "Deleted", "Untracked") & (F.col("added_lines") + F.col("deleted_lines") > 0)).join(known, ["changeset_id", "path"], "left_anti")
+    gone = F.col("status") == "Deleted"
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = bare.select(
+        "changeset_id", F.col("path").alias("file"), F.col("path").alias("name"), F.lit("Module").alias("kind"), F.when(gone, "Removed").otherwise("Added").alias("change"), F.lit(0.9).cast("float").alias("confidence"),
+        none("string").alias("old_signature"), none("string").alias("new_signature"), none("int").alias("old_start"), none("int").alias("old_end"), none("int").alias("new_start"), none("int").alias("new_end"),
+        F.array(F.when(gone, "file deleted").otherwise("new file")).alias("evidence"), none("string").alias("moved_from"),
+    )
+    return changes.unionByName(whole)
+
+
+def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = None, sources: DataFrame | None = None, definitions: DataFrame | None = None, local_judge: bool = False, tasks: DataFrame | None = None) -> Review:
+    """Items, stats and task checks from files and their symbol changes."""
+    items = settled(group.group_items(files, found))
     if tests is not None:
         of_files = files.select("changeset_id", F.col("path").alias("file"), "is_test_file")
-        links = context.coverage_links(found.join(of_files, ["changeset_id", "file"]), tests)
-        items = context.apply_coverage(items, links, tests)
+        tests = settled(tests)
+        items = context.apply_coverage(items, context.coverage_links(found.join(of_files, ["changeset_id", "file"]), tests), tests)
     if sources is not None and definitions is not None:
         items = context.apply_blast_radius(items, sources, definitions, tests)
     if local_judge:
         items = judge.LocalJudge().apply(items)
+    items = settled(items)
     stats = group.change_stats(files, found, items)
-    checks = None
-    if tasks is not None:
-        checks = task.check_tasks(tasks, task.change_corpus(found, files, items), ("changeset_id",))
+    checks = None if tasks is None else task.check_tasks(tasks, task.change_corpus(found, files, items), ("changeset_id",))
     return Review(files, found, rank.review_order(items), stats, checks)
