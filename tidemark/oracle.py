@@ -461,6 +461,16 @@ def oracle_sql() -> dict[str, str]:
                CASE WHEN k = 0 THEN 'No parseable symbols changed in this file (' || path || '). Review the raw diff.'
                     ELSE array_to_string(list_transform(sy[1:5], x -> x.kind || ' ' || x.name || ' (' || x.change || ')'), '; ') || CASE WHEN k > 5 THEN '; …and ' || (k - 5) || ' more' ELSE '' END END AS why, k::INT AS n
         FROM sc WHERE NOT (is_generated OR formatting_only) AND NOT (is_test_file AND k > 0 AND am = k) AND NOT (k = 0 AND added_lines + deleted_lines = 0)"""
+    sql["snapshot_changes"] = """WITH r AS (SELECT 'talk/' || conv_id || '/' || turn // 2 AS path, turn % 2 AS k, text FROM conversations), o AS (SELECT path, text AS o FROM r WHERE k = 0), n AS (SELECT path, text AS n FROM r WHERE k = 1)
+        SELECT path, CASE WHEN o IS NULL THEN 'Added' WHEN n IS NULL THEN 'Deleted' ELSE 'Modified' END AS status, md5(o) AS old, md5(n) AS new FROM o FULL OUTER JOIN n USING (path) WHERE o IS DISTINCT FROM n"""
+    change = lambda kind, c: f"SELECT changeset_id, path, '{kind}' AS kind, {c} AS texts, len(deleted) AS nd FROM df"
+    sql["item_detail"] = f"""WITH {TALKS}, {FILES}, df AS (SELECT DISTINCT changeset_id, path, added, deleted FROM f), p AS (SELECT changeset_id, path, count(*) AS k FROM df GROUP BY ALL),
+        u AS (SELECT changeset_id, path, kind, unnest(texts) AS text, nd FROM ({change("Deletion", "deleted")} UNION ALL {change("Addition", "added")}))
+        SELECT u.changeset_id, 'all' AS id, u.path, u.kind, u.text FROM u JOIN p USING (changeset_id, path), range(p.k)"""
+    imports = [("Rust", "Session|auth|login|util"), ("Go", "fmt|os|str|strings"), ("CSharp", "System|Text"), ("TypeScript", "auth|db|enter|login"), ("Python", "auth|login|os|sys|system"), ("Java", "")]
+    sql["imports_values"] = " UNION ALL ".join(f"SELECT {q(a)} AS language, {q(b)} AS imports" for a, b in imports)
+    sql["junit"] = f"""WITH c AS ({sql["junit_cases"]}) SELECT changeset_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<testsuite name="tidemark" tests="' || count(*) || '" failures="' || count(*) FILTER (failed) || '" skipped="' ||
+        count(*) FILTER (skipped) || '">' || chr(10) || string_agg("case", '' ORDER BY id) || '</testsuite>' || chr(10) AS junit FROM c GROUP BY changeset_id"""
     return {name: _lambdas(text) for name, text in sql.items()}
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .operators import cache, context, escalate, extract, group, judge, moves, rank, render, score, symbols, task, views
-from .plans.review import review
-from .schemas import SEVERITIES, evidence, parse_severity, parse_verdict, rank_of
-from .sources import tables
+from .plans.review import review_changes
+from .schemas import SEVERITIES, parse_severity, parse_verdict, rank_of
+from .sources import linediff, repository, tables
 from .sources.tables import table
 from .streaming import progress
 
@@ -373,6 +373,88 @@ def task_verdict_gate(spark: SparkSession, d: str) -> DataFrame:
     return checks.select("task_id", "verdict", rank.task_gate(F.col("verdict"), "Partial").alias("trips"))
 
 
+def task_item_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's texts as tasks against the review items of each language's change set."""
+    files, items = _files(spark, d).where("changeset_id = 'es'"), _items(spark, d).where("changeset_id = 'es'")
+    no_changes = spark.createDataFrame([], symbols.CHANGE)
+    tasks = _tasks(spark, d).withColumn("changeset_id", F.lit("es"))
+    checks = task.check_tasks(tasks, task.change_corpus(no_changes, files, items), ("changeset_id",))
+    matched = checks.select("changeset_id", "task_id", F.explode("matched_terms").alias("m")).select("changeset_id", "task_id", "m.term_idx", "m.term")
+    return task.item_hits(tasks, matched, items, files).select("task_id", "rank", "id", _joined("matched_terms").alias("terms"), F.round("score", 6).alias("score"))
+
+
+# -- whole reviews, sources and documents
+
+
+def line_diff_hunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = linediff.with_hunks(tables.conv_changes(spark, d))
+    return rows.select("changeset_id", "file_idx", "added_lines", "deleted_lines", F.size("hunks").alias("hunks"), F.md5(F.to_json("hunks")).alias("content"))
+
+
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Odd and even turns of conversations as two snapshots of the same files."""
+    rows = table(spark, d, "conversations").select(F.concat(F.lit("talk/"), "conv_id", F.lit("/"), F.floor(F.col("turn") / 2)).alias("path"), F.col("turn") % 2, F.col("text").alias("content"))
+    side = lambda k: rows.where(F.col("(turn % 2)") == k)
+    return linediff.snapshots(side(0), side(1)).select("path", "status", F.md5("old_content").alias("old"), F.md5("new_content").alias("new"))
+
+
+CODE = {
+    "py": "LIMIT = {k}\n\nclass Box{k}:\n    def open(self):\n        return load({k})\n\ndef test_box_{k}():\n    open()\n", "rs": "pub fn load_{k}(id: u64) -> u64 {{\n    id + {k}\n}}\n",
+    "go": "package a\n\nfunc Load{k}(x int) int {{\n    return x\n}}\n", "ts": "export function load{k}() {{ return {k}; }}\n", "cs": "public class Box{k} {{\n    public int Load() {{ return {k}; }}\n}}\n",
+}
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """A file of code for each part, in five languages."""
+    kinds = list(CODE)
+    k = F.col("p_partkey")
+    template = F.element_at(F.array(*[F.lit(CODE[x].replace("{{", "{").replace("}}", "}")) for x in kinds]), (k % 5 + 1).cast("int"))
+    return table(spark, d, "part").select(F.concat(F.lit("src/f"), k, F.lit("."), F.element_at(lit_list(kinds), (k % 5 + 1).cast("int"))).alias("file"), F.replace(template, F.lit("{k}"), k.cast("string")).alias("content"))
+
+
+def lit_list(xs: list[str]) -> Column:
+    return F.array(*map(F.lit, xs))
+
+
+def extract_code_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract_symbols(_code(spark, d)).select("file", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public")
+
+
+def review_of_code(spark: SparkSession, d: str) -> DataFrame:
+    """Review of an edit in every third file of code, with coverage, blast radius and the local judge."""
+    rows = _code(spark, d).select(F.lit("code").alias("changeset_id"), F.xxhash64("file").alias("file_idx"), F.col("file").alias("path"), F.lit("Modified").alias("status"), F.lit(False).alias("is_binary"), F.col("content").alias("old_content"))
+    number = F.regexp_extract("path", r"f(\d+)", 1).cast("int")
+    edited = rows.where(number % 3 == 0).withColumn("new_content", F.regexp_replace(F.regexp_replace("old_content", "return", "yield_ = 1; return"), "Load", "Fetch"))
+    files = rows.where(number % 3 == 1).select("path", F.col("old_content").alias("content"))
+    tests, sources, definitions = repository.scan(files, most_tests=None, most_sources=None)
+    made = review_changes(linediff.with_hunks(edited), tests=tests.withColumn("changeset_id", F.lit("code")), sources=sources, definitions=definitions, local_judge=True)
+    return made.items.select("id", "pos", "category", "severity", "priority", "title", _evidence().alias("proof"))
+
+
+def escalation_summary(spark: SparkSession, d: str) -> DataFrame:
+    files, items = _files(spark, d), _items(spark, d)
+    return escalate.summary(escalate.package(items, group.change_stats(files, spark.createDataFrame([], symbols.CHANGE), items), most=3))
+
+
+def overview(spark: SparkSession, d: str) -> DataFrame:
+    files, items = _files(spark, d), _items(spark, d)
+    return render.overview(items, group.change_stats(files, spark.createDataFrame([], symbols.CHANGE), items))
+
+
+def junit(spark: SparkSession, d: str) -> DataFrame:
+    return render.junit(_items(spark, d), "High")
+
+
+def changeset_json(spark: SparkSession, d: str) -> DataFrame:
+    files, items = _files(spark, d).select("changeset_id", "file_idx", "path", "status", "language", "added_lines", "deleted_lines"), _items(spark, d)
+    changes = spark.createDataFrame([], symbols.CHANGE)
+    return render.changeset_json(files, changes, items, group.change_stats(_files(spark, d), changes, items))
+
+
+def judge_requests(spark: SparkSession, d: str) -> DataFrame:
+    return judge.requests(_items(spark, d), "HEAD", "worktree")
+
+
 # -- context, views, messages, cache
 
 
@@ -414,7 +496,7 @@ def diff_rows(spark: SparkSession, d: str) -> DataFrame:
 def item_detail(spark: SparkSession, d: str) -> DataFrame:
     rows = diff_rows_files(spark, d)
     items = rows.groupBy("changeset_id").agg(F.array_sort(F.collect_list("path")).alias("files")).select("changeset_id", F.lit("all").alias("id"), "files")
-    return views.item_detail(items, rows)
+    return views.item_detail(items, rows).drop("hunk_idx", "line_idx")
 
 
 def diff_rows_files(spark: SparkSession, d: str) -> DataFrame:
@@ -442,7 +524,7 @@ def cache_eviction(spark: SparkSession, d: str) -> DataFrame:
     return cache.evict(rows).agg(F.count(F.lit(1)).alias("n"), F.min("content_key").alias("least"), F.max("content_key").alias("most"))
 
 
-_HELPERS = {"table", "evidence", "parse_severity", "parse_verdict", "rank_of", "review", "diff_rows_files", "queries"}
+_HELPERS = {"diff_rows_files", "lit_list", "queries"}
 
 
 def queries() -> dict[str, Query]:
