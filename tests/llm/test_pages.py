@@ -145,6 +145,14 @@ def test_extraction_of_an_article():
     assert webtext.extract("<p>a" + "<div>" * 5000 + "deep" + "</div>" * 5000, []) == "a\n\ndeep"
 
 
+def test_wrappers_that_sound_like_boilerplate_stay():
+    story = "<p>" + "long story " * 40 + "</p>"
+    text = ("long story " * 40).strip()
+    assert webtext.extract(f'<body><form id="page"><nav>a</nav><div class="with-sidebar">{story}<div class="sidebar">s</div></div></form></body>', []) == text
+    assert webtext.extract(f'<body><div class="page-header-wrapper"><article><div class="post-header"><h1>T</h1></div>{story}</article></div></body>', []) == "T\n\n" + text
+    assert webtext.extract('<body><div id="comments"><article><p>only comments</p></article></div><p>x</p></body>', []) == "x"
+
+
 def test_template_nodes_leave_pages_without_article():
     make = lambda k: page(f'<div class="box"><p>Welcome to our site</p></div><div class="text"><p>Story {k} begins</p><p>and goes on {k * 7}</p><p>All rights kept by us</p></div>')
     shapes = [webtext.parse(make(k)).shape() for k in (1, 2)]
