@@ -155,13 +155,13 @@ def test_judges(spark):
     found = dicts(judge.local_judgement(items), "pos")
     assert len(found) == 25 and found[0]["id"] == "crit" and found[0]["risk"] == 0.7 and found[0]["score"] == 2.0
     after = {r["id"]: [e["kind"] for e in r["evidence"]] for r in dicts(judge.LocalJudge().apply(items))}
-    assert after["m"] == [] and after["crit"][-2:] == ["jev-risk", "jev-severity"]
+    assert after["m"] == [] and after["crit"][-2:] == ["judge-risk", "judge-severity"]
     (request,) = dicts(judge.requests(items, "a", "b"))
     document = json.loads(request["request"])
     assert len(document["questions"]) == 50 and "crit::risk" in document["questions"] and document["state"]["items_under_review"] == 25
     answers = spark.createDataFrame([("c", "crit::risk", "noul", 0.5, None, None), ("c", "crit::severity", "score", None, 1.6, 0.25), ("c", "low01::risk", "text", 0.1, None, None)], "changeset_id string, question string, type string, noul double, score double, confidence double")
     told = {r["id"]: [e["summary"] for e in r["evidence"]] for r in dicts(judge.apply_answers(items, answers))}
-    assert told["low01"] == [] and told["crit"][-2:] == ["Jev P(risky)=0.50", f"Jev severity 1.6 ({judge.LEVELS[2]}, confidence 0.25)"]
+    assert told["low01"] == [] and told["crit"][-2:] == ["Judge P(risky)=0.50", f"Judge severity 1.6 ({judge.LEVELS[2]}, confidence 0.25)"]
 
 
 def test_renderers(spark):

@@ -52,8 +52,8 @@ class LocalJudge:
         file = F.coalesce(F.get("files", F.lit(0)), F.lit(""))
         none = F.lit(None).cast("string")
         proof = lambda kind, what: F.struct(F.lit(kind).alias("kind"), what.alias("summary"), file.alias("file"), none.alias("old_value"), none.alias("new_value"))
-        risk = proof("jev-risk", F.format_string("Local P(risky)=%.2f (deterministic, no cloud call)", F.col("risk")))
-        severity = proof("jev-severity", F.format_string("Local severity %.1f (%s, confidence 0.90)", F.col("score"), F.col("level")))
+        risk = proof("judge-risk", F.format_string("Local P(risky)=%.2f (deterministic, no cloud call)", F.col("risk")))
+        severity = proof("judge-severity", F.format_string("Local severity %.1f (%s, confidence 0.90)", F.col("score"), F.col("level")))
         added = F.when(F.col("risk").isNotNull() & (F.col("category") != "Mechanical"), F.concat("evidence", F.array(risk, severity))).otherwise(F.col("evidence"))
         return rows.withColumn("evidence", added.cast(f"array<{EVIDENCE}>")).drop("risk", "score", "level")
 
@@ -87,8 +87,8 @@ def apply_answers(items: DataFrame, answers: DataFrame) -> DataFrame:
     level = F.get(F.array(*map(F.lit, LEVELS)), F.least(F.greatest(F.round("s"), F.lit(0)), F.lit(2)).cast("int"))
     more = F.array_compact(
         F.array(
-            F.when(F.col("p").isNotNull(), proof("jev-risk", F.format_string("Jev P(risky)=%.2f", F.col("p")))),
-            F.when(F.col("s").isNotNull(), proof("jev-severity", F.format_string("Jev severity %.1f (%s, confidence %.2f)", F.col("s"), level, F.col("c")))),
+            F.when(F.col("p").isNotNull(), proof("judge-risk", F.format_string("Judge P(risky)=%.2f", F.col("p")))),
+            F.when(F.col("s").isNotNull(), proof("judge-severity", F.format_string("Judge severity %.1f (%s, confidence %.2f)", F.col("s"), level, F.col("c")))),
         )
     )
     return rows.withColumn("evidence", F.concat("evidence", more).cast(f"array<{EVIDENCE}>")).drop("p", "s", "c")

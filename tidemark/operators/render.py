@@ -19,7 +19,7 @@ def overview_lines(items: DataFrame) -> DataFrame:
     rows = review_order(items.where("category <> 'Mechanical'"))
     head = F.concat(F.col("pos"), F.lit(". ["), "severity", F.lit("] "), "title", F.lit(" (priority "), "priority", F.lit(", "), _percent(F.col("confidence")), F.lit("% confidence)\n"))
     why = F.when(F.col("why") != "", F.concat(F.lit("    "), "why", F.lit("\n"))).otherwise("")
-    said = F.array_join(F.transform(F.filter("evidence", lambda e: F.startswith(e["kind"], F.lit("jev-"))), lambda e: F.concat(F.lit("    "), e["summary"], F.lit("\n"))), "")
+    said = F.array_join(F.transform(F.filter("evidence", lambda e: F.startswith(e["kind"], F.lit("judge-"))), lambda e: F.concat(F.lit("    "), e["summary"], F.lit("\n"))), "")
     return rows.select("changeset_id", F.col("pos").alias("n"), F.concat(head, why, said).alias("line"))
 
 

@@ -388,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
     sql["deterministic_judge"] = f"""{DOC_ITEMS}, {judged} SELECT changeset_id, id, least(15 + 25 * list_contains({li(RISKY_CATEGORIES)}, category)::INT + {signals}, 95) / 100 AS risk,
         least(severity_rank, 2)::DOUBLE AS score, ({li(JUDGE_LEVELS)})[least(severity_rank, 2) + 1] AS level FROM jd WHERE pos <= 25"""
     sql["judge_answers"] = f"""{DOC_ITEMS}, a AS (SELECT c.changeset_id, 'file:' || c.path AS id, doc_id AS k FROM labels JOIN ch c ON c.file_idx = doc_id)
-        SELECT changeset_id, id, CASE WHEN k % 2 = 0 THEN 'jev-risk=Jev P(risky)=' || printf('%.2f', (k % 10) / 10) ELSE 'jev-severity=Jev severity ' || printf('%.1f', (k % 4)::DOUBLE) || ' (' || ({li(JUDGE_LEVELS)})[least(k % 4, 2) + 1] || ', confidence 0.50)' END AS said
+        SELECT changeset_id, id, CASE WHEN k % 2 = 0 THEN 'judge-risk=Judge P(risky)=' || printf('%.2f', (k % 10) / 10) ELSE 'judge-severity=Judge severity ' || printf('%.1f', (k % 4)::DOUBLE) || ' (' || ({li(JUDGE_LEVELS)})[least(k % 4, 2) + 1] || ', confidence 0.50)' END AS said
         FROM a JOIN items USING (changeset_id, id) WHERE k % 6 <> 5 AND (k % 2 = 0 OR k % 9 <> 0)"""
     ev_rank = f"coalesce(list_position({li(EVIDENCE_PRIORITY)}, string_split(p, '=')[1]) - 1, {len(EVIDENCE_PRIORITY)})"
     sql["escalation_items"] = f"""{DOC_ITEMS}, e0 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY changeset_id ORDER BY severity_rank DESC, priority DESC, title, id)::INT AS pos FROM items2 WHERE category <> 'Mechanical' AND severity_rank >= 1),
