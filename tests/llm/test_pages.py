@@ -52,6 +52,13 @@ def test_hosts_paths_and_rules(pages, page_rows):
     assert {r["rule"] for r in rows_of(urlgraph.judge(pages, rules=()))} == {None}
 
 
+def test_many_rules_are_joined(pages):
+    host, path = urlgraph.host_and_path(F.col("url"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    few, many = (urlgraph.with_rule(rows, most_literals=n).select("page_id", "fit.rule", "fit.verdict").collect() for n in (200, 0))
+    assert collections.Counter(few) == collections.Counter(many) and len({r["rule"] for r in few}) > 3
+
+
 def test_propagation_follows_links(spark):
     links = [("good", "friend", 3), ("friend", "far", 1), ("liar", "bad", 2), ("minion", "liar", 1), ("good", "bad", 1)]
     seeds = [("good", 1.0, 0.0), ("bad", 0.0, 1.0), ("lone", 0.0, 0.0)]

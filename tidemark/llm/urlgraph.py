@@ -12,8 +12,8 @@ from .common import fits_broadcast, written
 
 #: (verdict, host/path) rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Rules are literals of the plan; more than this belong into a table of their own.
-MAX_RULES = 10_000
+#: Up to so many rules are literals of the plan; more become a table that hosts' domains are joined to.
+MAX_RULES = 200
 
 
 @dataclass(frozen=True)
@@ -37,10 +37,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(url, pattern, 2)
 
 
+def domains_of(host: Column) -> Column:
+    """The host and its parent domains."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def with_rule(rows: DataFrame, rules=RULES, most_literals: int = MAX_RULES) -> DataFrame:
+    """``rows`` (host, path, more) with fit, the rule of matching_rule."""
+    if len(rules) <= most_literals:
+        return rows.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    parts = [(rule.partition("/")[0], "/" + rule.partition("/")[2], len(rule), rule, verdict) for verdict, rule in rules]
+    table = rows.sparkSession.createDataFrame(parts, "domain string, start string, n int, rule string, verdict string")
+    keys = rows.select("host", "path").distinct().withColumn("domain", F.explode(domains_of(F.col("host"))))
+    fits = keys.join(table, "domain").where(F.startswith("path", F.col("start")))
+    fit = F.max(F.struct("n", "rule", "verdict", F.col("start").alias("path"))).alias("fit")
+    return rows.join(fits.groupBy("host", "path").agg(fit), ["host", "path"], "left")
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     """Struct (n, rule, verdict) of the longest rule that fits the host or a parent domain and the path's start, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError("too many rules for literals of a plan")
     by_host: dict[str, list[tuple[int, str, str, str]]] = {}
     for verdict, rule in rules:
         domain, _, rest = rule.partition("/")
@@ -49,9 +65,7 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
         return F.lit(None).cast("struct<n:int,rule:string,verdict:string,path:string>")
     row = lambda r: F.struct(F.lit(r[0]).alias("n"), F.lit(r[1]).alias("rule"), F.lit(r[2]).alias("verdict"), F.lit(r[3]).alias("path"))
     table = F.create_map(*[x for d, rs in by_host.items() for x in (F.lit(d), F.array(*map(row, rs)))])
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = F.flatten(F.filter(F.transform(domains, lambda d: table[d]), lambda rs: rs.isNotNull()))
+    fits = F.flatten(F.filter(F.transform(domains_of(host), lambda d: table[d]), lambda rs: rs.isNotNull()))
     return F.array_max(F.filter(fits, lambda r: F.startswith(path, r["path"])))
 
 
@@ -103,7 +117,7 @@ def judge(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", options: Op
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), "url", "html").withColumn("host", host).withColumn("path", path)
-    rows = rows.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    rows = with_rule(rows, rules)
     verdict = F.col("fit.verdict")
     hosts = rows.where(F.col("host") != "").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum((verdict == "allow").cast("long")).alias("a"), F.sum((verdict == "block").cast("long")).alias("b")
