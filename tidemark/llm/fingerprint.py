@@ -120,20 +120,30 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("id")
     cuts = sorted(set(ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ids.head(1) else []
-    order = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    rows = rows.withColumn("ord", order).withColumn("range", F.size(F.filter(bounds, lambda c: c <= F.col("ord"))))
+    rows = rows.withColumn("ord", F.coalesce(F.col("id"), F.lit(-(1 << 63))))
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ord_: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ord_.to_numpy(), side="right").astype(np.int32))
+
     # one row per range, so no more than 4 * tasks + 1
-    tops = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max("ord").alias("top")).collect()}
+    tops = {r["range"]: r["top"] for r in rows.groupBy(range_of("ord").alias("range")).agg(F.max("ord").alias("top")).collect()}
     filled = sorted(tops)
-    above = {r: filled[(i + 1) % len(filled)] for i, r in enumerate(filled)}
-    to = F.lit(None).cast("int")
-    if filled:
-        pairs = [F.lit(x) for r in filled for x in (r, above[r])]
-        starts = [F.lit(x) for r in filled for x in (r, tops[r])]
-        to = F.when(F.col("ord") == F.create_map(*starts)[F.col("range")], F.create_map(*pairs)[F.col("range")])
-    copies = F.array_compact(F.array(F.struct(F.col("range"), F.lit(0).alias("extra")), F.when(to.isNotNull(), F.struct(to.alias("range"), F.lit(1).alias("extra")))))
-    dealt = rows.select("ord", "text", F.explode(copies).alias("c")).select("ord", "text", "c.range", "c.extra")
+    top_of = np.full(len(bounds) + 1, -(1 << 63), np.int64)
+    above = np.full(len(bounds) + 1, -1, np.int64)
+    for i, r in enumerate(filled):
+        top_of[r], above[r] = tops[r], filled[(i + 1) % len(filled)]
+
+    @F.pandas_udf("range int, above int")
+    def place(ord_: pd.Series) -> pd.DataFrame:
+        """A row's range, and the range that it also goes to as the first of its own, else -1."""
+        at = np.searchsorted(bounds, ord_.to_numpy(), side="right")
+        return pd.DataFrame({"range": at.astype(np.int32), "above": np.where(top_of[at] == ord_.to_numpy(), above[at], -1).astype(np.int32)})
+
+    placed = rows.select("ord", "text", place("ord").alias("p"))
+    copies = F.array_compact(F.array(F.struct(F.col("p.range"), F.lit(0).alias("extra")), F.when(F.col("p.above") >= 0, F.struct(F.col("p.above").alias("range"), F.lit(1).alias("extra")))))
+    dealt = placed.select("ord", "text", F.explode(copies).alias("c")).select("ord", "text", "c.range", "c.extra")
     dealt = dealt.repartition(tasks, "range").sortWithinPartitions("range", "extra", F.desc("ord"), "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
