@@ -228,6 +228,29 @@ def test_near_duplicates_match_brute_force(spark, edge_rows, shingle, percent, b
     assert got == brute_components(rows, shingle, percent)
 
 
+@pytest.mark.parametrize("cell", [2_000, 16])
+def test_near_copies_among_texts_with_one_passage(spark, cell):
+    """Every indexed value is of a passage that all texts hold, so each list has all of them."""
+    rng = random.Random(5)
+    passage = [f"p{rng.randrange(9999)}" for _ in range(100)]
+    bar = neardup.shingle_set(" ".join(passage), 5)[11]
+    rows = []
+    for _ in range(60):
+        text = list(passage)
+        while len(text) < 180 + rng.randrange(40):
+            word = f"w{rng.randrange(99999)}"
+            if neardup.shingle_set(" ".join([*text[-4:], word]), 5)[0] > bar:
+                text.append(word)
+        for body in (text, text[:-3]):
+            rows.append((rng.randrange(1 << 40), " ".join(body)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    options = neardup.Options(cell=cell)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(neardup.near_duplicates(docs, options=options)))
+    assert got == brute_components(rows, 5, 80)
+    assert sum(n for (_, _, _, kept), n in got.items() if kept) == 60
+
+
 def test_near_duplicates_edges(edge_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     kept = neardup.without_near_duplicates(edge_docs)

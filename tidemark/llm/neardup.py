@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +21,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Options:
     """shingle: words.  percent: texts are linked if 100 * intersection >= percent * union of their shingle sets.
-    sketch: k.  indexed: smallest values that get an inverted list; a link is missed by all of its lists with
-    probability (1 - percent / 100) ** indexed.  slack: by how much an estimate may lie under the threshold.
+    sketch: k.  indexed: smallest values that get an inverted list in the first round of candidates.  slack: by how
+    much an estimate may lie under the threshold; a link whose estimate lies lower is missed.
     near: neighbours by size that each document meets in a part of a list.  part: documents of such a part.
+    cell: texts of one list that the second round compares in a task with as many others.
     block: shingles of documents whose exact links one task finds at a time."""
 
     shingle: int = 5
@@ -32,6 +34,7 @@ class Options:
     slack: float = 0.22
     near: int = 2
     part: int = 48
+    cell: int = 2_000
     block: int = 1_500_000
 
 
@@ -73,7 +76,7 @@ def candidate_pairs(sets: DataFrame, options: Options) -> DataFrame:
 
     In each retained value's list every text meets the list's hub, a random member, and its neighbours by size in a
     part of the list.  That is linear in the list's length; a list of a few texts gives all its pairs.  Texts left
-    apart by this are brought together by their other lists, which have other hubs and parts.
+    apart by this are what pairs_between_groups looks for.
     """
     entries = sets.select("rep", "n", F.explode(F.slice("sketch", 1, options.indexed)).alias("value"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("rep", "n"), F.xxhash64("value", "rep")).alias("hub")).where("size > 1")
@@ -93,6 +96,89 @@ def candidate_pairs(sets: DataFrame, options: Options) -> DataFrame:
     return joined.select("a", "b", (both / F.size(union)).alias("likeness")).where(F.col("likeness") >= options.percent / 100 - options.slack)
 
 
+def _joining(rows: list[tuple], options: Options) -> list[tuple[int, int, float]]:
+    """(i, j, likeness) that join the groups of a cell's rows (n, label, sketch, side) with an estimate near the threshold.
+
+    Every row of side 0 is compared with all rows, or with those of side 1 if there are such, that are in other groups.
+    """
+    least, found = options.percent / 100 - options.slack, []
+    sizes, sides = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+    _, group = np.unique([r[1] for r in rows], return_inverse=True)
+    lengths = np.array([len(r[2]) for r in rows], np.int64)
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    _, ids = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+    owners = owner[np.argsort(ids, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+    other = sides == 1 if sides.any() else np.ones(len(rows), bool)
+    for at in np.flatnonzero(sides == 0).tolist():
+        open_ = other & (group != group[at])
+        if not open_.any():
+            continue
+        mine = ids[cuts[at] : cuts[at + 1]]
+        shared = np.bincount(np.concatenate([owners[starts[v] : starts[v + 1]] for v in mine]), minlength=len(rows))
+        fits = 100 * np.minimum(sizes, sizes[at]) >= options.percent * np.maximum(sizes, sizes[at])
+        for h in np.flatnonzero(open_ & fits & (shared >= least * np.maximum(lengths, lengths[at]) - 1e-9)).tolist():
+            if group[h] == group[at]:
+                continue
+            both = np.union1d(mine, ids[cuts[h] : cuts[h + 1]])[: options.sketch]
+            likeness = float(np.isin(both, np.intersect1d(mine, ids[cuts[h] : cuts[h + 1]], assume_unique=True)).sum() / len(both))
+            if likeness >= least:
+                found.append((at, h, likeness))
+                group[group == group[h]] = group[at]
+    return found
+
+
+def pairs_between_groups(sets: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
+    """(a, b, likeness), a < b: pairs that join all groups ``labels`` (node, component) between which any two texts of
+    ``sets`` (rep, n, sketch) have an estimate near the threshold.  Nothing is sampled.
+
+    Such texts share most of their sketches' values, so one value at least is among the rarest of either sketch that
+    are left when as many as must be shared are set aside.  Lists of these values alone are searched, each in full if it
+    has texts of two groups: in cells of two parts of the list and of one step of sizes, so a long list is many tasks.
+    """
+    least = options.percent / 100 - options.slack
+    entries = sets.select("rep", F.explode("sketch").alias("value"))
+    common = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rare = entries.join(common, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("v"))
+    known = sets.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label"), F.size("sketch").alias("k"))
+    must = F.ceil(F.col("k") * F.lit(least) - 1e-9).cast("int")
+    rare = rare.join(known, "rep").where(F.size("v") >= must).select("rep", "n", "label", F.explode(F.slice("v", F.lit(1), F.size("v") - must + 1)).alias("e"))
+    rare = written(rare.select("rep", "n", "label", F.col("e.value").alias("value")))
+    lists = rare.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
+    rare = rare.join(lists.select("value", "size"), "value")
+    step = F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / options.percent) * (1 + 1e-9), 1e-9))
+    rare = rare.withColumn("parts", F.ceil(F.col("size") / options.cell)).withColumn("mine", F.pmod(F.xxhash64("rep", "value"), F.col("parts")))
+    bands = F.when(F.col("parts") > 1, F.array(step, step - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    rare = rare.withColumn("band", F.explode(bands)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = rare.select("rep", "n", "label", "value", "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    cells = cells.join(sets.select(F.col("rep").alias("r"), "sketch"), F.col("rep") == F.col("r")).drop("r")
+    cells = cells.repartition(shuffle_partitions(sets.sparkSession), "value", "band", "p", "q").sortWithinPartitions("value", "band", "p", "q", "rep")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, rows = None, [], []
+
+        def joined() -> pd.DataFrame:
+            found = _joining(rows, options) if len({r[1] for r in rows}) > 1 else []
+            return pd.DataFrame({"x": [ids[i] for i, _, _ in found], "y": [ids[j] for _, j, _ in found], "likeness": [e for _, _, e in found]}).astype({"x": "int64", "y": "int64", "likeness": "float64"})
+
+        for batch in batches:
+            for *at, rep, n, label, sketch, side in zip(*(batch[c] for c in ("value", "band", "p", "q", "rep", "n", "label", "sketch", "side")), strict=True):
+                if at != key:
+                    if len(ids) > 1:
+                        yield joined()
+                    if len(ids) > 1000:
+                        give_back()
+                    key, ids, rows = at, [], []
+                ids.append(rep)
+                rows.append((n, label, np.asarray(sketch, np.int64), side))
+        if len(ids) > 1:
+            yield joined()
+
+    found = cells.mapInPandas(search, "x long, y long, likeness double")
+    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("likeness").alias("likeness"))
+
+
 def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     """Links that join all texts of a block which are linked, directly or over others, on their full sets.
 
@@ -173,15 +259,19 @@ def links_in_blocks(docs: DataFrame, members: DataFrame, options: Options) -> Da
 def similar_texts(docs: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
     """(node, component) of the texts (rep, n, sketch) that have a link, confirmed on full sets.
 
-    Estimates cut the texts into candidate groups.  A group of up to options.block shingles is searched whole in one
+    Estimates cut the texts into candidate groups: those of short ways through the lists first, joined by those of all
+    pairs between groups.  A group of up to options.block shingles is searched whole in one
     task.  A larger one is dealt out to blocks at random and searched block by block; then, between parts not yet joined,
     candidate pairs are confirmed, the likeliest first and more of them in each round; at last every text that
     is still outside a group's largest part is compared with all of its group.
     """
     pairs = released(written(candidate_pairs(sets, options)))
+    labels = connected_components(pairs.select("a", "b"))
+    more = released(written(pairs_between_groups(sets, labels, options)))
+    pairs = pairs.unionByName(more)
     if not pairs.head(1):
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    groups = connected_components(pairs.select("a", "b"))
+    groups = connected_components(pairs.select("a", "b")) if more.head(1) else labels
     groups = groups.join(sets.select("rep", "n"), F.col("node") == F.col("rep")).select("node", "component", "n")
     sizes = groups.groupBy(F.col("component").alias("c")).agg(F.sum("n").alias("size"))
     dealt = groups.join(sizes, F.col("component") == F.col("c"))
