@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,31 @@ def test_template_nodes_leave_pages_without_article():
     assert webtext._from_text(webtext._to_text(shapes[0])) == shapes[0]
 
 
+def test_long_child_lists_are_aligned_whole():
+    def make(k, n):
+        return "<body>" + f"<h2>head {k}</h2>" * (k % 2) + "".join(f"<p>story {k} part {i}</p>" + "<pre>rule of the house</pre>" * (i % 400 == 7) for i in range(n)) + "<div>all rights kept</div><h3>foot text</h3></body>"
+
+    shapes = [webtext.parse(make(k, n)).shape() for k, n in ((1, 1003), (2, 1100))]
+    got = webtext.extract(make(3, 1050), shapes)
+    assert got.split("\n\n") == ["head 3", *(f"story 3 part {i}" for i in range(1050))]
+
+
+def test_halved_alignments_match_as_much_as_whole_ones():
+    rng = random.Random(3)
+    for _ in range(60):
+        one, two = ("<body>" + "".join(f"<{t}>{rng.randrange(4)}<div>{rng.randrange(3)}</div></{t}>" for t in rng.choices(("p", "div", "h2", "pre"), k=rng.randrange(1, 14))) + "</body>" for _ in range(2))
+        found = []
+        for cells in (1_000_000, 3):
+            root = webtext.parse(one)
+            webtext.align(root, webtext.parse(two).shape(), root.shape(), cells)
+            nodes, stack = [], [root]
+            while stack:
+                nodes.append(stack.pop())
+                stack.extend(nodes[-1].children)
+            found.append(sum(n.aligned + n.constant for n in nodes))
+        assert found[0] == found[1]
+
+
 def test_copies_are_no_evidence_of_a_template():
     source = page("<article><p>same words</p></article>")
     assert webtext.extract(source, [webtext.parse(source).shape()] * 2) == "same words"

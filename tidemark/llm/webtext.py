@@ -48,8 +48,8 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 @dataclass
 class Options:
     """references: pages of a host that every page is aligned with.  main_share: of a node's varying text, the share
-    that one child needs to be the slot's place.  max_cells: size of an alignment table from which only equal starts
-    and ends of two child lists are aligned."""
+    that one child needs to be the slot's place.  max_cells: size of an alignment table from which it is not held
+    whole but halved until it fits; the alignment stays a largest one."""
 
     references: int = 2
     main_share: float = 0.7
@@ -207,29 +207,23 @@ def align(node: Node, shape: list, own: list, max_cells: int) -> None:
     Roots match by label; their children are matched in order so that the number of matched nodes is largest.
     """
     score: dict[tuple[int, int], int] = {}
-    sizes: dict[int, int] = {}
 
-    def tree_size(a: list) -> int:
-        if id(a) not in sizes:
-            sizes[id(a)] = 1 + sum(map(tree_size, a[2]))
-        return sizes[id(a)]
-
-    def table(a: list, b: list) -> list[list[int]] | None:
-        n, m = len(a), len(b)
-        if n * m > max_cells:
-            return None
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            row, above, x = best[i], best[i - 1], a[i - 1]
-            for j in range(1, m + 1):
-                top = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                y = b[j - 1]
-                if x[0] == y[0]:
-                    both = above[j - 1] + matched(x, y)
-                    if both > top:
-                        top = both
-                row[j] = top
-        return best
+    def next_row(x: list, above: list[int], b: list) -> list[int]:
+        row = [0] * (len(b) + 1)
+        for j, y in enumerate(b, 1):
+            top = above[j] if above[j] >= row[j - 1] else row[j - 1]
+            if x[0] == y[0]:
+                both = above[j - 1] + matched(x, y)
+                if both > top:
+                    top = both
+            row[j] = top
+        return row
+
+    def last_row(a: list, b: list) -> list[int]:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = next_row(x, row, b)
+        return row
 
     def matched(a: list, b: list) -> int:
         if a[0] != b[0]:
@@ -238,32 +232,51 @@ def align(node: Node, shape: list, own: list, max_cells: int) -> None:
             return 1 + (a[1] == b[1] and a[1] != 0)
         key = (id(a), id(b))
         if key not in score:
-            best = table(a[2], b[2])
-            score[key] = 1 + (best[-1][-1] if best else 0)
+            found = 1 + last_row(a[2], b[2])[-1]
+            if len(score) >= max_cells:
+                score.clear()
+            score[key] = found
         return score[key]
 
-    def walk(node: Node, a: list, b: list) -> None:
-        node.aligned += 1
-        if a[1] and a[1] == b[1]:
-            node.constant += 1
-        best = table(a[2], b[2])
-        i, j = len(a[2]), len(b[2])
-        if best is None:
-            for k in range(min(i, j)):
-                if a[2][k][0] != b[2][k][0]:
-                    break
-                walk(node.children[k], a[2][k], b[2][k])
+    def pairs(a: list, b: list, i0: int = 0, j0: int = 0) -> Iterator[tuple[int, int]]:
+        """Places of the children matched with each other; large tables are halved, which needs two rows at a time."""
+        n, m = len(a), len(b)
+        if n > 1 and n * m > max_cells:
+            most = min(n, m)
+            start = next((k for k in range(most) if a[k] != b[k]), most)
+            end = next((k for k in range(most - start) if a[-1 - k] != b[-1 - k]), most - start)
+            if start or end:
+                yield from ((i0 + k, j0 + k) for k in range(start))
+                yield from pairs(a[start : n - end], b[start : m - end], i0 + start, j0 + start)
+                yield from ((i0 + n - k, j0 + m - k) for k in range(end, 0, -1))
+                return
+            half = n // 2
+            up, down = last_row(a[:half], b), last_row(a[half:][::-1], b[::-1])
+            cut = max(range(m + 1), key=lambda j: up[j] + down[m - j])
+            yield from pairs(a[:half], b[:cut], i0, j0)
+            yield from pairs(a[half:], b[cut:], i0 + half, j0 + cut)
             return
+        best = [[0] * (m + 1)]
+        for x in a:
+            best.append(next_row(x, best[-1], b))
+        i, j = n, m
         while i and j:
-            x, y = a[2][i - 1], b[2][j - 1]
+            x, y = a[i - 1], b[j - 1]
             if x[0] == y[0] and best[i][j] == best[i - 1][j - 1] + matched(x, y):
-                walk(node.children[i - 1], x, y)
+                yield i0 + i - 1, j0 + j - 1
                 i, j = i - 1, j - 1
             elif best[i][j] == best[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
 
+    def walk(node: Node, a: list, b: list) -> None:
+        node.aligned += 1
+        if a[1] and a[1] == b[1]:
+            node.constant += 1
+        for i, j in pairs(a[2], b[2]):
+            walk(node.children[i], a[2][i], b[2][j])
+
     walk(node, own, shape)
 
 
