@@ -193,6 +193,19 @@ def test_halved_alignments_match_as_much_as_whole_ones():
         assert found[0] == found[1]
 
 
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    """Two layouts, each with its own notice, and two pages that have a paragraph in common."""
+    rows = []
+    for k in range(24):
+        layout = "one" if k % 2 else "two"
+        shared = "<p>of both pages alone</p>" if k in (4, 6) else ""
+        rows.append((k, f"http://h.example/{k}", f'<body><div class="{layout}"><p>Notice of layout {layout}</p><div class="text"><p>Story {k} begins</p>{shared}<p>and goes on {k * 7}</p></div></div></body>'))
+    rows += [(90 + k, f"http://two.example/{k}", f"<body><h1>T {k}</h1><p>body {k}</p></body>") for k in range(2)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in rows_of(webtext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    story = {k: [f"Story {k} begins", *["of both pages alone"] * (k in (4, 6)), f"and goes on {k * 7}"] for k in range(24)}
+    assert got == story | {90 + k: [f"T {k}", f"body {k}"] for k in range(2)}
+
+
 def test_copies_are_no_evidence_of_a_template():
     source = page("<article><p>same words</p></article>")
     assert webtext.extract(source, [webtext.parse(source).shape()] * 2) == "same words"

@@ -49,11 +49,14 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 class Options:
     """references: pages of a host that every page is aligned with.  main_share: of a node's varying text, the share
     that one child needs to be the slot's place.  max_cells: size of an alignment table from which it is not held
-    whole but halved until it fits; the alignment stays a largest one."""
+    whole but halved until it fits; the alignment stays a largest one.  least_pages, held_share: a node is template
+    if at least so many different pages of the host, and this share of those with text at its place, hold its text."""
 
     references: int = 2
     main_share: float = 0.7
     max_cells: int = 1_000_000
+    least_pages: int = 3
+    held_share: float = 0.3
 
 
 @dataclass
@@ -67,6 +70,7 @@ class Node:
     text: str = ""
     constant: int = 0
     aligned: int = 0
+    template: bool = False
 
     def shape(self) -> list:
         """Label, hash of the text, children: what an alignment with another page needs."""
@@ -194,6 +198,16 @@ def _spare_wrappers(root: Node) -> None:
     spare(root)
 
 
+def _placed(node: Node, place: bytes = b"") -> Iterator[tuple[Node, int, int]]:
+    """(node, hash of its place, hash of place and text) of every node with text; a place is the labels from the root."""
+    place = xxhash.xxh64_digest(place + node.tag.encode("utf-8", "surrogatepass"))
+    if node.text:
+        full = xxhash.xxh64_digest(place + node.text.encode("utf-8", "surrogatepass"))
+        yield node, int.from_bytes(place, "big", signed=True), int.from_bytes(full, "big", signed=True)
+    for c in node.children:
+        yield from _placed(c, place)
+
+
 def _texts(shape: list) -> Iterator[int]:
     if shape[1]:
         yield shape[1]
@@ -284,7 +298,7 @@ def _varying(node: Node, references: int) -> int:
     """Characters below a node that the template does not hold."""
     if node.boiler:
         return 0
-    own = 0 if references and node.constant == references else len(node.text)
+    own = 0 if references and (node.template or 1 < references == node.constant) else len(node.text)
     return own + sum(_varying(c, references) for c in node.children)
 
 
@@ -319,12 +333,12 @@ def _slot(root: Node, references: int, share: float) -> list[Node]:
         at = child
 
 
-def extract(source: str | None, references: list[list], options: Options = Options()) -> str:
+def extract(source: str | None, references: list[list], options: Options = Options(), held: frozenset[int] | None = None) -> str:
     """Main text of a page, blocks joined by two line ends.
 
     ``references`` are shapes of other pages of the host.  One that equals the page in all its text is a copy and
-    says nothing about the template.  Nodes that keep their text in every other one are template; the slot is where
-    the text varies, or what the page itself marks as article; boilerplate by name stays out of both.
+    says nothing about the template.  Nodes that the host's pages hold (``held``, see held_nodes) are template; of a host
+    with too few pages to tell, those that keep their text in every reference.  The slot is where the text varies, or what the page itself marks as article; boilerplate by name stays out of both.
     """
     root = parse(source)
     own = root.shape()
@@ -333,12 +347,14 @@ def extract(source: str | None, references: list[list], options: Options = Optio
     for r in others:
         align(root, r, own, options.max_cells)
     n = len(others)
+    for node, _, full in _placed(root):
+        node.template = full in held if held is not None else 0 < n == node.constant
     out: list[str] = []
 
     def emit(node: Node, marked: bool) -> None:
         if node.boiler:
             return
-        if node.text and not (n and node.constant == n and not marked):
+        if node.text and (marked or not node.template):
             out.append(node.text)
         for c in node.children:
             emit(c, marked)
@@ -365,10 +381,40 @@ def _from_text(text: str) -> list:
     return top[2][0]
 
 
+def held_nodes(rows: DataFrame, options: Options) -> DataFrame:
+    """(g, held): each host's template nodes, counted over all its pages (host, html); copies of a page count once.
+
+    Hosts with fewer than options.least_pages different pages have no row.  Counts are pre-aggregated by node.
+    """
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, places, fulls = [], [], []
+            for html in batch["html"]:
+                found, text = {}, xxhash.xxh64()
+                for node, place, full in _placed(parse(html)):
+                    found[full] = place
+                    text.update(node.text.encode("utf-8", "surrogatepass") + b"\0")
+                texts.append(text.intdigest() - (1 << 63))
+                places.append(list(found.values()))
+                fulls.append(list(found))
+            yield pd.DataFrame({"g": batch["host"], "x": texts, "p": places, "f": fulls})
+
+    seen = rows.where("host IS NOT NULL").select("host", "html").mapInPandas(marks, "g string, x long, p array<long>, f array<long>")
+    seen = seen.groupBy("g", "x").agg(F.min(F.struct("p", "f")).alias("m")).select("g", "m.*")
+    nothing = F.lit(None).cast("long").alias("full")
+    nodes = F.concat(F.zip_with("p", "f", lambda p, f: F.struct(p.alias("place"), f.alias("full"))), F.transform(F.array_distinct("p"), lambda p: F.struct(p.alias("place"), nothing)))
+    counts = seen.select("g", F.explode(nodes).alias("e")).groupBy("g", "e.place", "e.full").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= options.least_pages)
+    counts = written(counts)
+    totals = counts.where("full IS NULL").select("g", "place", F.col("n").alias("total"))
+    kept = totals.join(counts.where("full IS NOT NULL"), ["g", "place"], "left")
+    return kept.groupBy("g").agg(F.collect_set(F.when(F.col("n") >= options.held_share * F.col("total"), F.col("full"))).alias("held"))
+
+
 def main_text(pages: DataFrame, *, id_col: str = "page_id", options: Options = Options()) -> DataFrame:
     """Main text of every page: id, url, text, n_chars.
 
-    Each host's reference pages are those with the smallest hashes of id and round, found by an aggregate, so a host
+    What is template is counted over all pages of a host (held_nodes).  Each host's reference pages are those with the smallest hashes of id and round, found by an aggregate, so a host
     of any size costs one shape per task.  The shapes come to the pages by a broadcast while their counted size
     allows, else by a join on the host that can be split.  Null html: empty text; null url: a host of its own;
     repeated rows: alike; a host with one page: no template, only names; an empty table: an empty table.
@@ -394,17 +440,22 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", options: Options = O
     size = outlines.agg(F.sum("bytes")).first()[0] or 0
     joined = rows.join(F.broadcast(outlines.drop("bytes")) if fits_broadcast(size, 1) else outlines.drop("bytes"), F.col("host") == F.col("h"), "left")
 
+    held = written(held_nodes(rows, options))
+    nodes = held.agg(F.sum(F.size("held"))).first()[0] or 0
+    joined = joined.join(F.broadcast(held) if fits_broadcast(nodes, 8) else held, F.col("host") == F.col("g"), "left")
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[list]] = {}
+        known: dict[str, tuple[list[list], frozenset[int] | None]] = {}
         for batch in batches:
             texts = []
-            for host, html, found in zip(batch["host"], batch["html"], batch["s"], strict=True):
+            for host, html, found, nodes in zip(batch["host"], batch["html"], batch["s"], batch["held"], strict=True):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = [_from_text(s) for s in found] if found is not None else []
-                texts.append(extract(html, known[host], options))
+                    known[host] = [_from_text(s) for s in found] if found is not None else [], frozenset(map(int, nodes)) if nodes is not None else None
+                shapes_of, held_of = known[host]
+                texts.append(extract(html, shapes_of, options, held_of))
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.select("id", "url", "host", "html", "s").mapInPandas(read, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return joined.select("id", "url", "host", "html", "s", "held").mapInPandas(read, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
