@@ -3,6 +3,7 @@ import json
 import pytest
 from helpers import dicts, items_frame, lit_array
 from pyspark.sql import functions as F
+from tidemark import queries
 from tidemark.operators import cache, context, escalate, extract, group, judge, moves, rank, render, scanners, score, symbols, task, views
 
 SYMBOL = "changeset_id string, file string, side string, sym_idx int, name string, kind string, start_line int, end_line int, signature string, is_test boolean, is_public boolean, body string"
@@ -268,3 +269,12 @@ def test_views(spark):
 
 def test_literal_arrays(spark):
     assert dicts(spark.range(1).select(lit_array([]).alias("x"))) == [{"x": []}]
+
+
+def test_review_of_code_reads_every_part(spark, tmp_path, monkeypatch):
+    spark.range(1, 31).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    read, scan = [], queries.repository.scan
+    monkeypatch.setattr(queries.repository, "scan", lambda files, **k: read.extend(r["path"] for r in files.select("path").collect()) or scan(files, **k))
+    made = queries.review_of_code(spark, str(tmp_path))
+    assert {int(p.split(".")[0][5:]) for p in read} == {k for k in range(1, 31) if k % 3}
+    assert made.count() > 0

@@ -421,11 +421,11 @@ def extract_code_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_of_code(spark: SparkSession, d: str) -> DataFrame:
-    """Review of an edit in every third file of code, with coverage, blast radius and the local judge."""
+    """Review of an edit in every third file of code, with coverage and blast radius in all the others and the local judge."""
     rows = _code(spark, d).select(F.lit("code").alias("changeset_id"), F.xxhash64("file").alias("file_idx"), F.col("file").alias("path"), F.lit("Modified").alias("status"), F.lit(False).alias("is_binary"), F.col("content").alias("old_content"))
     number = F.regexp_extract("path", r"f(\d+)", 1).cast("int")
     edited = rows.where(number % 3 == 0).withColumn("new_content", F.regexp_replace(F.regexp_replace("old_content", "return", "yield_ = 1; return"), "Load", "Fetch"))
-    files = rows.where(number % 3 == 1).select("path", F.col("old_content").alias("content"))
+    files = rows.where(number % 3 != 0).select("path", F.col("old_content").alias("content"))
     tests, sources, definitions = repository.scan(files, most_tests=None, most_sources=None)
     made = review_changes(linediff.with_hunks(edited), tests=tests.withColumn("changeset_id", F.lit("code")), sources=sources, definitions=definitions, local_judge=True)
     return made.items.select("id", "pos", "category", "severity", "priority", "title", _evidence().alias("proof"))
