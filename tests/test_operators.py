@@ -278,3 +278,11 @@ def test_review_of_code_reads_every_part(spark, tmp_path, monkeypatch):
     made = queries.review_of_code(spark, str(tmp_path))
     assert {int(p.split(".")[0][5:]) for p in read} == {k for k in range(1, 31) if k % 3}
     assert made.count() > 0
+
+
+def test_task_item_hits_of_every_change_set(spark, tmp_path):
+    docs = [(i, f"quarterly{i} ledger{i} text", lang, "s", 30) for i, lang in enumerate(["en", "es", "de", "fr"] * 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "quarterly ledger text src")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {r["changeset_id"] for r in queries.task_item_hits(spark, str(tmp_path)).collect()}
+    assert found == {"en", "es", "de", "fr"}

@@ -375,12 +375,12 @@ def task_verdict_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def task_item_hits(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark's texts as tasks against the review items of each language's change set."""
-    files, items = _files(spark, d).where("changeset_id = 'es'"), _items(spark, d).where("changeset_id = 'es'")
+    files, items = _files(spark, d), _items(spark, d)
     no_changes = spark.createDataFrame([], symbols.CHANGE)
-    tasks = _tasks(spark, d).withColumn("changeset_id", F.lit("es"))
+    tasks = _tasks(spark, d).crossJoin(files.select("changeset_id").distinct())
     checks = task.check_tasks(tasks, task.change_corpus(no_changes, files, items), ("changeset_id",))
     matched = checks.select("changeset_id", "task_id", F.explode("matched_terms").alias("m")).select("changeset_id", "task_id", "m.term_idx", "m.term")
-    return task.item_hits(tasks, matched, items, files).select("task_id", "rank", "id", _joined("matched_terms").alias("terms"), F.round("score", 6).alias("score"))
+    return task.item_hits(tasks, matched, items, files).select("changeset_id", "task_id", "rank", "id", _joined("matched_terms").alias("terms"), F.round("score", 6).alias("score"))
 
 
 # -- whole reviews, sources and documents
