@@ -3,7 +3,7 @@ import random
 import pytest
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
-EXTRA = ("id", "key", "n", "rn", "range", "rid", "label", "size", "host", "keys")
+EXTRA = ("id", "key", "n", "rn", "range", "rid", "label", "size", "host", "keys", "gone", "h", "s", "w", "words", "kept")
 
 
 @pytest.fixture(scope="session")

@@ -126,6 +126,23 @@ def test_repeats_on_random_splices(spark):
     assert all(hashlib.sha256(b" ".join(words(r["kept_text"]))).hexdigest() == r["kept_sha256"] for r in kept.values())
 
 
+def test_repeats_do_not_depend_on_hashes(spark):
+    """With names of 3 bits different words share names everywhere; the comparison of words finds that out."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(300)}" for _ in range(200)]
+    rows = [(i, " ".join([f"p{i}"] * (i % 3) + base[a : a + 80] + [f"w{rng.randrange(300)}" for _ in range(60)])) for i, a in enumerate(rng.randrange(120) for _ in range(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substrings.remove_repeats(docs, names=((0, 3), (1, 64)))))
+    assert got == brute_repeats(rows)
+    with pytest.raises(RuntimeError):
+        substrings.remove_repeats(docs, names=((0, 3),))
+
+
+def test_stretches_grow_past_windows():
+    assert substrings.grown([(1, 0, 10, 12, 110), (1, 0, 13, 13, 113), (1, 0, 30, 40, 130), (1, 0, 200, 200, 300), (2, 0, 14, 14, 14)]) == [(10, 80, 1, 0, 110), (200, 50, 1, 0, 300), (14, 50, 2, 0, 14)]
+    assert list(substrings.pieces(200, 400)) == [(200, 56), (256, 256), (512, 88)]
+
+
 def test_every_window_has_an_anchor_of_its_content():
     rng = random.Random(4)
     for size in (1, 2, 3, 20, 5000):

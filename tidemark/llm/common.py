@@ -22,14 +22,18 @@ HASH_CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HASH_CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
 
-_hashes = _Hashes()
+_hashes: dict[int, _Hashes] = {}
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -37,8 +41,11 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
+    if seed not in _hashes:
+        _hashes.clear()
+        _hashes[seed] = _Hashes(seed)
+    return np.fromiter(map(_hashes[seed].__getitem__, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -51,15 +58,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path in the folder that driver and executors share (``spark.checkpoint.dir``).
+    """URI of a new folder in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has no such setting, as in tests, a temporary folder takes its place.
+    A path without a scheme lies on the session's default file system, as for Spark itself.  Only where the session
+    runs on one machine and has no such setting, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -106,6 +117,23 @@ def fits_broadcast(rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> bo
     return rows * row_bytes <= limit_bytes
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", *, most: int = 1_000) -> DataFrame:
+    """``left`` joined with the written table ``right``, which has one row per key and in ``weight`` the key's rows in ``left``.
+
+    Keys with more than ``most`` rows, and with more than a 100,000th of all, are broadcast and their rows stay where they are: by
+    that share there can be no more than 100,000 of them, whatever the input.  The rows of all other keys meet in a
+    shuffle.  The result has the columns of both but ``weight``.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    line = max(most, total // 100_000)
+    hot = right.where(F.col(weight) > line).drop(weight)
+    rest = right.where(F.col(weight) <= line).drop(weight)
+    if not hot.head(1):
+        return left.join(rest, on, how)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return left.join(F.broadcast(hot), on, how).unionByName(cold)
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD_PATTERN words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

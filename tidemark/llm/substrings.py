@@ -1,18 +1,24 @@
-"""Substring dedup by recompression: long word sequences that an earlier document has too are found and removed.
+"""Substring dedup by recompression: long word sequences that an earlier document has too are found, compared and removed.
 
 Recompression renames a sequence in rounds.  The first round names runs of one word; each later round splits the
-symbols into left and right ones by a bit of their name and names every pair of a left and a right symbol.  A name is
-a hash of what it stands for, so it is the same everywhere without any exchange, and as a decision looks at two
-neighbours only, equal sequences get equal symbols inside: each round can lose one symbol at either end.  Symbols grow
-to no more than ``CAPS[-1]`` words, and the sizes in ``CAPS`` add up so that every window of ``WINDOW`` words has at
-least one symbol that is decided by words of the window alone: runs lose two words at either end, the rounds 2, 2, 2,
-4, 4 and 4, and of the 10 words left one symbol of at most 8 is whole.
-
-Each window's *anchor* is the longest such symbol (of the largest name, between equals).  Spark aggregates which
-anchors more than one document has; only windows with such an anchor are looked at further.
-Windows on end with one anchor form a run, and equal windows lie in runs of equal anchors.  A run whose whole extent
-an earlier document has too is repeated; where several extents share an anchor, the first document of each extent
-hashes its single windows, and an aggregate over these decides which of them repeat.
+symbols into left and right ones by a bit of their name and names every pair of a left and a right symbol.  As a
+decision looks at two neighbours only, equal sequences get equal symbols inside: each round can lose one symbol at
+either end.
+
+The low rounds, up to ``CAPS[-1]`` words, run within a task: there a name is a hash of what it stands for, so it is the
+same everywhere without an exchange of every word.  The sizes in ``CAPS`` add up so that every window of ``WINDOW`` words
+has at least one symbol that is decided by words of the window alone: runs lose two words at either end, the rounds
+2, 2, 2, 4, 4 and 4, and of the 10 words left one symbol of at most 8 is whole.  The longest such symbol (of the
+largest name, between equals) is the window's *anchor*.
+
+The high rounds are aggregates over all documents.  The first keeps the anchors that more than one document has.
+Windows on end with one anchor make a run, a symbol of 50 words and more; the second round names all distinct runs and
+finds the first document of each.  Where several runs share an anchor, the third round names the single windows of
+each run's first document.  Symbols then grow: those of a document that lie on end in the document they were first
+seen in become one stretch, as long as the repeat.
+
+Names only find repeats.  Every stretch is then compared word for word with the earlier document that has it, and
+should a single one differ, all is done again with other names.  So no word goes because of a hash alone.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, discard, give_back, hash_words, mix64, release, released, shuffle_partitions, small_batches, split_words, written
+from .common import WORD_PATTERN, discard, give_back, hash_words, mix64, released, small_batches, split_join, split_words, written
 
 WINDOW = 50
 CAPS = (2, 2, 4, 4, 4, 8)
@@ -135,16 +141,6 @@ def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix64((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
 
 
-def runs_of(anchor: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each run of windows on end that have the same anchor, for anchors among ``keys``."""
-    if not len(anchor):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cuts = np.flatnonzero(anchor[1:] != anchor[:-1])
-    a, b = np.append(0, cuts + 1), np.append(cuts, len(anchor) - 1)
-    known = np.isin(anchor[a], keys)
-    return a[known], b[known]
-
-
 def _chunks(rows: Iterator, size) -> Iterator[list]:
     held, words = [], 0
     for row in rows:
@@ -157,52 +153,97 @@ def _chunks(rows: Iterator, size) -> Iterator[list]:
         yield held
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, id, known, least): each document's anchors once; known if another id of the same chunk has it too, least for the smallest of them."""
-    for batch in batches:
-        rows = ((i, hash_words(w)) for i, t in zip(batch["id"], batch["text"], strict=True) if len(w := split_words(t)) >= WINDOW)
-        for chunk in _chunks(rows, lambda r: len(r[1])):
-            keys = [np.unique(a) for a in anchors([w for _, w in chunk])]
-            ids = np.repeat(np.array([i for i, _ in chunk], np.int64), [len(k) for k in keys])
-            flat = np.concatenate(keys)
-            order = np.lexsort((ids, flat))
-            flat, ids = flat[order], ids[order]
-            new = np.ones(len(flat), bool)
-            new[1:] = flat[1:] != flat[:-1]
-            first = np.flatnonzero(new)
-            length = np.diff(np.append(first, len(flat)))
-            many = np.repeat(ids[first + length - 1] > ids[first], length)
-            yield pd.DataFrame({"key": flat.view(np.int64), "id": ids, "known": many, "least": new})
-        give_back()
-
-
-def _shared_anchors(found: DataFrame) -> DataFrame:
-    """(id, keys): of each document the anchors that another id has too."""
-    shared = found.where("least").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
-    shared = written(shared)  # as a plain side of the join, whose hot keys can then be split
-    rows = found.where("NOT known").join(shared, F.col("key") == F.col("k2"), "left_semi").select("id", "key")
-    return rows.unionByName(found.where("known").select("id", "key")).groupBy("id").agg(F.collect_set("key").alias("keys"))
-
-
-def _settled_runs(runs: DataFrame) -> DataFrame:
-    """(id, again, open) from runs (id, key, extent): extents that a smaller id has whole, and extents of which the id
-    is the smallest while other extents share their anchor, so that single windows have to be compared."""
-    kinds = runs.groupBy("key", "extent").agg(F.min("id").alias("lo"))
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k2"))
-    kinds = kinds.join(mixed, F.col("key") == F.col("k2"), "left").select(F.col("key").alias("k3"), F.col("extent").alias("e3"), "lo", F.col("k2").isNotNull().alias("mixed"))
+#: Words that a stretch is compared by at a time.
+PIECE = 256
+#: How words are hashed, in the order in which it is tried: seed and bits.
+NAMES = ((0, 64), (1, 64), (2, 64), (3, 64))
+
+
+def word_names(words: list[bytes], how: tuple[int, int]) -> np.ndarray:
+    seed, bits = how
+    names = hash_words(words, seed)
+    return names if bits == 64 else names & np.uint64((1 << bits) - 1)
+
+
+def _runs(rows: DataFrame, how: tuple[int, int]) -> DataFrame:
+    """(id, h, key, extent, first, last): each run of windows of one anchor (key) in rows (id, h, text), and the name of its words."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            docs = ((i, h, word_names(w, how)) for i, h, t in zip(batch["id"], batch["h"], batch["text"], strict=True) if len(w := split_words(t)) >= WINDOW)
+            for chunk in _chunks(docs, lambda r: len(r[2])):
+                out = []
+                for (i, h, array), anchor in zip(chunk, anchors([r[2] for r in chunk]), strict=True):
+                    cuts = np.flatnonzero(anchor[1:] != anchor[:-1])
+                    a, b = np.append(0, cuts + 1), np.append(cuts, len(anchor) - 1)
+                    extent = stretch_hashes(array, a, b + WINDOW).view(np.int64)
+                    out.append((np.full(len(a), i), np.full(len(a), h), anchor[a].view(np.int64), extent, a.astype(np.int32), b.astype(np.int32)))
+                yield pd.DataFrame(dict(zip(("id", "h", "key", "extent", "first", "last"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            give_back()
+
+    return rows.where("id IS NOT NULL").select("id", "h", "text").mapInPandas(find, "id long, h long, key long, extent long, first int, last int")
+
+
+def _run_claims(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims (id, h, first, last, lo, lo_h, at) of runs that a smaller id has whole, and open runs (id, h, first, last).
+
+    Open are the runs of their first document whose anchor other runs have too: single windows decide there.
+    """
+    shared = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    runs = written(split_join(found, written(shared), ["key"], "n"))
+    kinds = runs.groupBy("key", "extent").agg(F.min(F.struct("id", "h", "first")).alias("src"), F.count(F.lit(1)).alias("n"))
     kinds = written(kinds)
-    rows = runs.join(kinds, (F.col("key") == F.col("k3")) & (F.col("extent") == F.col("e3")))
-    later, first = F.col("id") > F.col("lo"), (F.col("id") == F.col("lo")) & F.col("mixed")
-    rows = rows.where(later | first)
-    return rows.groupBy("id").agg(F.collect_set(F.when(later, F.col("extent"))).alias("again"), F.collect_set(F.when(first, F.col("extent"))).alias("open"))
+    many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", (F.col("n") > 1).alias("mixed"), "n")
+    kinds = written(split_join(kinds.withColumnRenamed("n", "runs"), written(many), ["key"], "n"))
+    placed = written(split_join(runs, kinds.where("mixed OR runs > 1").withColumnRenamed("runs", "n"), ["key", "extent"], "n"))
+    claims = placed.where("id > src.id").select("id", "h", "first", "last", F.col("src.id").alias("lo"), F.col("src.h").alias("lo_h"), F.col("src.first").alias("at"))
+    return claims, placed.where("id = src.id AND mixed").select("id", "h", "first", "last")
+
+
+def _window_claims(rows: DataFrame, open_runs: DataFrame, how: tuple[int, int]) -> DataFrame:
+    """Claims of single windows in open runs that a smaller id has in another open run."""
+    asked = open_runs.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("o"))
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, h, text, runs in zip(batch["id"], batch["h"], batch["text"], batch["o"], strict=True):
+                at = np.unique(spread([(r["first"], r["last"]) for r in runs]))
+                names = stretch_hashes(word_names(split_words(text), how), at, at + WINDOW).view(np.int64)
+                out.append((names, np.full(len(at), i), np.full(len(at), h), at.astype(np.int32)))
+            if out:
+                yield pd.DataFrame(dict(zip(("name", "id", "h", "first"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            give_back()
+
+    texts = rows.select("id", "h", "text").join(asked, ["id", "h"])
+    windows = written(texts.mapInPandas(name, "name long, id long, h long, first int"))
+    shared = windows.groupBy("name").agg(F.min(F.struct("id", "h", "first")).alias("src"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("src.id < hi").select("name", "src", "n")
+    rows = split_join(windows, written(shared), ["name"], "n").where("id > src.id")
+    return rows.select("id", "h", "first", F.col("first").alias("last"), F.col("src.id").alias("lo"), F.col("src.h").alias("lo_h"), F.col("src.first").alias("at"))
+
+
+def grown(claims: list[tuple]) -> list[tuple]:
+    """Stretches (first word, words, lo, lo_h, at) of claims (lo, lo_h, first, last, at): those on end in both documents joined."""
+    out: list[list] = []
+    for lo, lo_h, first, last, at in sorted(claims, key=lambda c: (c[0], c[1], c[4] - c[2], c[2])):
+        end = last + WINDOW
+        if out and out[-1][2:4] == [lo, lo_h] and out[-1][4] - out[-1][0] == at - first and first <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], end - out[-1][0])
+        else:
+            out.append([first, end - first, lo, lo_h, at])
+    return [tuple(x) for x in out]
+
+
+def _stretches(claims: DataFrame) -> DataFrame:
+    """(id, h, s): each document's stretches, arrays of (first, n, lo, lo_h, at)."""
 
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [grown([(c["lo"], c["lo_h"], c["first"], c["last"], c["at"]) for c in cs]) for cs in batch["c"]]
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "s": found})
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """(id, keys): of each document the windows (key) that start in a smaller id too."""
-    shared = windows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"), "lo")
-    shared = written(shared)
-    rows = windows.join(shared, (F.col("key") == F.col("k2")) & (F.col("id") > F.col("lo"))).select("id", "key")
-    return rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    listed = claims.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "lo_h", "first", "last", "at")).alias("c"))
+    return listed.mapInPandas(grow, "id long, h long, s array<struct<first:int,n:int,lo:long,lo_h:long,at:int>>")
 
 
 def covered(windows: np.ndarray, n: int) -> np.ndarray:
@@ -224,118 +265,102 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 
 
 def spread(runs) -> np.ndarray:
-    """Windows of runs given as first, last, first, last and so on."""
-    return np.concatenate([np.arange(0), *(np.arange(a, b + 1) for a, b in np.asarray(runs, np.int64).reshape(-1, 2))])
-
-
-def _kept_sha(text: str, gone: np.ndarray) -> str:
-    return _sha([w for w, g in zip(split_words(text), gone, strict=True) if not g])
+    """Windows of runs given as pairs of first and last."""
+    return np.concatenate([np.arange(0), *(np.arange(a, b + 1) for a, b in runs)])
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept_text], carried columns) of every document.
 
-    A word goes if a window of WINDOW words that covers it also starts in a document with a smaller id; windows are
-    those of the input.  Null and short texts have no window.  Rows that repeat an id do not count as smaller than
-    each other.  A null id neither removes nor loses anything.  An empty table gives an empty table.  kept_text is
-    the text itself where nothing goes, and null for a null text.
 
-    The texts are shuffled once, to meet their shared anchors; after that only documents with windows in question
-    move on.  Keys that very many documents share are aggregated before each shuffle and meet their documents
-    in joins that can be split.
+def pieces(at: int, n: int) -> Iterator[tuple[int, int]]:
+    """(start, words) of a stretch cut at every PIECE words of the document it is compared with.
+
+    So many stretches of one document ask for the same whole pieces, and what they ask for stays within a bound
+    that depends on that document's length only.
     """
-    spark = small_batches(docs.sparkSession)
-    more = [F.col(c).alias(f"carry_{c}") for c in carry]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
-    carried = [f"carry_{c}" for c in carry]
-    carry_schema = "".join(f", carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    found = released(written(rows.where("id IS NOT NULL").select("id", "text").mapInPandas(_anchor_rows, "key long, id long, known boolean, least boolean")))
-    shared = _shared_anchors(found).withColumnRenamed("id", "k_id")
-    joined = rows.repartition(shuffle_partitions(spark), "id").join(shared, F.col("id") == F.col("k_id"), "left").drop("k_id")
-
-    def question(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    end = at + n
+    while at < end:
+        to = min(end, (at // PIECE + 1) * PIECE)
+        yield at, to - at
+        at = to
+
+
+def _settled(rows: DataFrame, stretches: DataFrame, carried: dict[str, str], with_text: bool) -> DataFrame:
+    """Results and, beside them, the words of every piece of every stretch, from both documents it should be in."""
+    steps = F.sequence(F.floor(F.col("s.at") / PIECE), F.floor((F.col("s.at") + F.col("s.n") - 1) / PIECE))
+    start, end = lambda k: F.greatest(F.col("s.at").cast("long"), k * PIECE), lambda k: F.least(F.col("s.at") + F.col("s.n").cast("long"), (k + 1) * PIECE)
+    each = F.transform(steps, lambda k: F.struct(start(k).cast("int").alias("at"), (end(k) - start(k)).cast("int").alias("n")))
+    asked = stretches.select(F.explode("s").alias("s")).select("s.lo", "s.lo_h", F.explode(each).alias("p"))
+    asked = asked.groupBy("lo", "lo_h", "p").agg(F.lit(1).alias("one")).groupBy(F.col("lo").alias("id"), F.col("lo_h").alias("h")).agg(F.collect_list("p").alias("w"))
+    joined = rows.where("id IS NOT NULL").join(stretches, ["id", "h"], "left").join(asked, ["id", "h"], "left")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("s", stretches.schema["s"].dataType), ("w", asked.schema["w"].dataType))]
+    columns = ["id", "h", "text", *carried, "s", "w"]
+    joined = joined.select(*columns).unionByName(rows.where("id IS NULL").select("id", "h", "text", *carried, *none))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["id", "text", *carried]].copy()
-            n = len(batch)
-            words = [split_words(t) for t in batch["text"]]
-            first, last, key, extent = ([None] * n for _ in range(4))
-            asked = [i for i in range(n) if batch["keys"].iloc[i] is not None and len(words[i]) >= WINDOW]
-            for chunk in _chunks(iter(asked), lambda i: len(words[i])):
-                arrays = [hash_words(words[i]) for i in chunk]
-                for i, array, anchor in zip(chunk, arrays, anchors(arrays), strict=True):
-                    a, b = runs_of(anchor, np.asarray(batch["keys"].iloc[i]).view(np.uint64))
-                    if len(a):
-                        first[i], last[i], key[i] = a.astype(np.int32), b.astype(np.int32), anchor[a].view(np.int64)
-                        extent[i] = stretch_hashes(array, a, b + WINDOW).view(np.int64)
-            final = [a is None for a in first]
-            out["n_words"] = [len(w) for w in words]
-            out["kept_sha256"] = [_sha(w) if f else None for w, f in zip(words, final, strict=True)]
-            if not with_text:
-                out["text"] = [None if f else t for t, f in zip(batch["text"], final, strict=True)]
-            out["first"], out["last"], out["key"], out["extent"], out["final"] = first, last, key, extent, final
-            yield out.astype({"id": "Int64"})
+            n_words, n_removed, shas, texts, proofs = [], [], [], [], []
+            for id_, h, text, own, wanted in zip(batch["id"], batch["h"], batch["text"], batch["s"], batch["w"], strict=True):
+                words = split_words(text)
+                gone = np.zeros(len(words), bool)
+                for x in own if own is not None else ():
+                    gone[x["first"] : x["first"] + x["n"]] = True
+                    back = x["first"] - x["at"]
+                    proofs += [(x["lo"], x["lo_h"], a, n, b" ".join(words[a + back : a + back + n]), False) for a, n in pieces(x["at"], x["n"])]
+                for x in wanted if wanted is not None else ():
+                    proofs.append((id_, h, x["at"], x["n"], b" ".join(words[x["at"] : x["at"] + x["n"]]), True))
+                n_words.append(len(words))
+                n_removed.append(int(gone.sum()))
+                shas.append(_sha([w for w, g in zip(words, gone, strict=True) if not g] if n_removed[-1] else words))
+                texts.append(cut_text(text, gone) if with_text and n_removed[-1] else text if with_text else None)
+            frame = pd.DataFrame({"id": batch["id"], **{c: batch[c] for c in carried}, "n_words": n_words, "n_removed": n_removed, "kept_sha256": shas, "kept_text": texts})
+            yield frame.assign(lo=None, lo_h=None, at=None, n=None, words=None, source=None).astype({"id": "Int64"})
+            if proofs:
+                frame = pd.DataFrame(proofs, columns=["lo", "lo_h", "at", "n", "words", "source"])
+                yield frame.reindex(columns=["id", *carried, "n_words", "n_removed", "kept_sha256", "kept_text", *frame.columns]).astype(object).where(lambda t: t.notna(), None)
             give_back()
 
-    schema = f"id long, text string{carry_schema}, n_words long"
-    state = written(joined.mapInPandas(question, f"{schema}, kept_sha256 string, first array<int>, last array<int>, key array<long>, extent array<long>, final boolean"))
-    discard(found)
-    release(spark)
-    pending = state.where("NOT final")
-    runs = pending.select("id", F.explode(F.arrays_zip("key", "extent")).alias("r")).select("id", "r.key", "r.extent")
-    settled_runs = _settled_runs(runs).withColumnRenamed("id", "k_id")
+    kinds = "".join(f", {c} {t}" for c, t in carried.items())
+    return joined.mapInPandas(settle, f"id long{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string, lo long, lo_h long, at int, n int, words binary, source boolean")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[["id", "text", *carried, "n_words"]].copy()
-            known, starts, hashes = [], [], []
-            for text, first, last, extent, again, open_ in zip(batch["text"], batch["first"], batch["last"], batch["extent"], batch["again"], batch["open"], strict=True):
-                first, last = np.asarray(first), np.asarray(last)
-                is_known = np.isin(np.asarray(extent), np.asarray(again if again is not None else [], np.int64))
-                is_open = np.isin(np.asarray(extent), np.asarray(open_ if open_ is not None else [], np.int64))
-                known.append(np.column_stack([first[is_known], last[is_known]]).ravel().astype(np.int32))
-                at = spread(np.column_stack([first[is_open], last[is_open]]))
-                starts.append(at.astype(np.int32))
-                hashes.append(stretch_hashes(hash_words(split_words(text)), at, at + WINDOW).view(np.int64) if len(at) else np.zeros(0, np.int64))
-            out["known"], out["starts"], out["hashes"] = known, starts, hashes
-            out["final"] = [not len(h) for h in hashes]
-            gone = [covered(spread(k), n) if f else None for k, n, f in zip(known, batch["n_words"], out["final"], strict=True)]
-            out["n_removed"] = [int(g.sum()) if g is not None else None for g in gone]
-            out["kept_sha256"] = [_kept_sha(t, g) if g is not None else None for t, g in zip(batch["text"], gone, strict=True)]
-            if with_text:
-                out["text"] = [cut_text(t, g) if g is not None and g.any() else t for t, g in zip(batch["text"], gone, strict=True)]
-            else:
-                out["text"] = [None if f else t for t, f in zip(batch["text"], out["final"], strict=True)]
-            yield out.astype({"id": "Int64", "n_removed": "Int64"})
-
-    compared = pending.join(settled_runs, F.col("id") == F.col("k_id"), "left").select("id", "text", *carried, "n_words", "first", "last", "extent", "again", "open")
-    asked = written(compared.mapInPandas(compare, f"{schema}, known array<int>, starts array<int>, hashes array<long>, final boolean, n_removed long, kept_sha256 string"))
-    release(spark)
-    undecided = asked.where("NOT final")
-    again = _repeated_windows(undecided.select("id", F.explode("hashes").alias("key"))).withColumnRenamed("id", "k_id")
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            removed, shas, texts = [], [], []
-            for text, known, starts, hashes, keys in zip(batch["text"], batch["known"], batch["starts"], batch["hashes"], batch["keys"], strict=True):
-                at = spread(known)
-                if keys is not None:
-                    at = np.append(at, np.asarray(starts, np.int64)[np.isin(np.asarray(hashes), np.asarray(keys))])
-                gone = covered(at, len(split_words(text)))
-                removed.append(int(gone.sum()))
-                shas.append(_kept_sha(text, gone))
-                texts.append(cut_text(text, gone) if with_text and gone.any() else text)
-            yield pd.DataFrame({"id": batch["id"], "n_words": batch["n_words"], "n_removed": removed, "kept_sha256": shas, "kept_text": texts, **{c: batch[c] for c in carried}})
-
-    columns = ["id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
-    settled = undecided.join(again, F.col("id") == F.col("k_id"), "left").select("text", "known", "starts", "hashes", "keys", "id", "n_words", *carried)
-    settled = settled.mapInPandas(settle, f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string{carry_schema}")
-    early = asked.where("final").withColumnRenamed("text", "kept_text").select(*columns)
-    same = state.where("final").withColumn("n_removed", F.lit(0).cast("long")).withColumnRenamed("text", "kept_text").select(*columns)
-    result = same.unionByName(early).unionByName(settled.select(*columns)).withColumnRenamed("id", id_col)
+def _agree(state: DataFrame) -> bool:
+    """Whether every piece has the same words in all documents that are said to hold it, its first one among them."""
+    proofs = state.where("n_words IS NULL").groupBy("lo", "lo_h", "at", "n").agg(F.min("words").alias("a"), F.max("words").alias("b"), F.max("source").alias("source"))
+    return not proofs.where("a <> b OR NOT source").head(1)
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False, names: tuple[tuple[int, int], ...] = NAMES) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256[, kept_text], carried columns) of every document.
+
+    A word goes if a window of WINDOW words that covers it also starts in a document with a smaller id; windows are
+    those of the input.  Null and short texts have no window.  Rows that repeat an id do not count as smaller than
+    each other.  A null id neither removes nor loses anything.  An empty table gives an empty table.  kept_text is
+    the text itself where nothing goes, and null for a null text.  A text of any length is read whole, CHUNK_WORDS or one
+    document at a time.  Columns that are not carried are not read, so their names cannot clash.
+
+    Texts are shuffled to meet the windows in question and once more to be compared and cut.  Keys that very many
+    documents share are aggregated before each shuffle and joined without one (split_join).
+    """
+    spark = small_batches(docs.sparkSession)
+    carried = {f"carry_{c}": docs.schema[c].dataType.simpleString() for c in carry}
+    for how in names:
+        text = F.col(text_col)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(how[0]), text).alias("h"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+        found = released(written(_runs(rows, how)))
+        claims, open_runs = _run_claims(found)
+        discard(found)
+        claims = claims.unionByName(_window_claims(rows, open_runs, how))
+        stretches = released(written(_stretches(claims)))
+        state = released(written(_settled(rows, stretches, carried, with_text)))
+        if _agree(state):
+            break
+    else:
+        raise RuntimeError("different words have the same names under every hash that was tried")
+    result = state.where("n_words IS NOT NULL").select("id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried).withColumnRenamed("id", id_col)
     for c in carry:
         result = result.withColumnRenamed(f"carry_{c}", c)
     return result if with_text else result.drop("kept_text")
