@@ -15,85 +15,89 @@ from pyspark.sql import functions as F
 from .common import hash_words, mix64, shuffle_partitions, small_batches, split_words
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Scale:
-    """The fixed fractions: 2**-most of all shingle hashes, or the larger power of a half that still leaves ``least``.
-
-    Long texts all keep the same fraction; only texts with fewer than least * 2**most shingles keep a larger one,
-    short ones every shingle.  The fraction is a function of the text's own set and is written into the fingerprint.
-    """
+    """shingle: words.  shift: the fixed fraction is 2**-shift of all shingle hashes, for texts of every size.  whole: sets of
+    at most so many shingles are kept whole, as the fraction would leave little or nothing of them."""
 
     shingle: int = 5
-    most: int = 4
-    least: int = 64
+    shift: int = 3
+    whole: int = 256
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Retained hashes, sorted: all shingle hashes below 2**(64 - shift)."""
+    """Retained hashes, sorted: all shingle hashes below 2**(64 - scale.shift), or all of a small set.
+
+    What a small set keeps beyond the fraction only makes small sets exact: it is left out whenever a sketch meets one
+    that has the fraction alone, so all sketches are comparable and merge to the sketch of the texts together.
+    """
 
-    shift: int
     hashes: np.ndarray
+    is_whole: bool
+    scale: Scale = Scale()
 
     def text(self) -> str:
-        return f"{self.shift}:{base64.b64encode(self.hashes.astype('<u8').tobytes()).decode()}"
+        return f"{0 if self.is_whole else self.scale.shift}:{base64.b64encode(self.hashes.astype('<u8').tobytes()).decode()}"
 
     @staticmethod
-    def parse(text: str) -> Sketch:
+    def parse(text: str, scale: Scale = Scale()) -> Sketch:
         shift, _, data = text.partition(":")
-        return Sketch(int(shift), np.frombuffer(base64.b64decode(data), "<u8").astype(np.uint64))
+        return Sketch(np.frombuffer(base64.b64decode(data), "<u8").astype(np.uint64), shift == "0", scale)
 
-    def at(self, shift: int) -> np.ndarray:
-        """Hashes that a smaller fraction keeps."""
-        if shift <= self.shift:
-            return self.hashes
-        return self.hashes[: np.searchsorted(self.hashes, np.uint64(1 << (64 - shift)))]
+    @staticmethod
+    def of(hashes: np.ndarray, scale: Scale = Scale()) -> Sketch:
+        """The sketch of a set of sorted distinct hashes."""
+        whole = Sketch(hashes, True, scale)
+        return whole if len(hashes) <= scale.whole else Sketch(whole.below(), False, scale)
+
+    def below(self) -> np.ndarray:
+        """The hashes below the fixed fraction."""
+        return self.hashes[: np.searchsorted(self.hashes, np.uint64(1 << (64 - self.scale.shift)))] if self.is_whole and self.scale.shift else self.hashes
 
     def merge(self, other: Sketch) -> Sketch:
-        """The sketch of both texts' shingles together, at the smaller of the two fractions."""
-        shift = max(self.shift, other.shift)
-        return Sketch(shift, np.union1d(self.at(shift), other.at(shift)))
+        """The sketch of both texts' shingles together."""
+        if self.is_whole and other.is_whole:
+            return Sketch.of(np.union1d(self.hashes, other.hashes), self.scale)
+        return Sketch(np.union1d(self.below(), other.below()), False, self.scale)
 
     def _both(self, other: Sketch) -> tuple[int, int, int]:
-        shift = max(self.shift, other.shift)
-        a, b = self.at(shift), other.at(shift)
+        a, b = (self.hashes, other.hashes) if self.is_whole and other.is_whole else (self.below(), other.below())
         return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
 
     def likeness(self, other: Sketch) -> float:
-        """Estimated Jaccard similarity of the shingle sets; two empty sketches are alike only if they are equal."""
+        """Jaccard similarity of the shingle sets, exact for two whole ones, else estimated; two empty ones are alike."""
         both, a, b = self._both(other)
-        if a + b == 0:
-            return float(self.shift == other.shift and np.array_equal(self.hashes, other.hashes))
-        return both / (a + b - both)
+        return both / (a + b - both) if a + b else float(self.is_whole and other.is_whole)
 
-    def containment(self, other: Sketch) -> float:
-        """Estimated share of this text's shingles that the other has too, however long the other is."""
+    def containment(self, other: Sketch) -> float | None:
+        """Share of this text's shingles that the other has too, however long the other is; None where nothing of this
+        text lies below the fraction (or it has no words), so nothing is known."""
         both, a, _ = self._both(other)
-        return both / a if a else 0.0
+        return both / a if a else None
 
 
 def sketch(text: str | None, scale: Scale = Scale()) -> Sketch:
-    """Sketch of a whole text.  The shingle that ends at each word starts up to four words before the text, so short texts have shingles too; a text without words has none."""
+    """Sketch of a whole text.  With fewer words than a shingle has, all of them are one; a text without words has none."""
     words = hash_words(split_words(text))
     n = len(words)
     if n == 0:
-        return Sketch(0, np.zeros(0, np.uint64))
-    padded = np.concatenate([np.full(scale.shingle - 1, _PAD), words])
-    z = np.zeros(n, np.uint64)
-    for k in range(scale.shingle):
-        z = z * _BASE + padded[k : k + n]
-    hashes = np.unique(mix64(z))
-    shift = 0
-    while shift < scale.most and len(hashes) >> (shift + 1) >= scale.least:
-        shift += 1
-    return Sketch(shift, Sketch(0, hashes).at(shift))
+        return Sketch(np.zeros(0, np.uint64), True, scale)
+    k = min(scale.shingle, n)
+    z = np.full(n - k + 1, np.uint64(k))
+    for i in range(k):
+        z = z * _BASE + words[i : i + n - k + 1]
+    return Sketch.of(np.unique(mix64(z)), scale)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scale: Scale = Scale()) -> DataFrame:
-    """Fingerprint of each whole text: id, n_chars, fingerprint.  Null text: as the empty one.  No shuffle."""
+    """Fingerprint of each whole text: id, n_chars, fingerprint.  Null text: as the empty one.
+
+    A very long text is read whole, by itself; repeated rows are fingerprinted each; an empty table gives an empty table;
+    other columns are not read.  No shuffle.
+    """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,7 +112,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     The next document has the next smaller id; after the last comes the first.  Equal ids follow each other in the
     order of their texts, a null id comes last, a null text counts as empty, and a single document is its own next.
-    An empty table gives an empty table; other columns are not read.
+    An empty table gives an empty table; other columns are not read.  A very long text is held with the one before it.
 
     Quantiles of the ids (the ids alone are read for them) deal documents to ranges, a few per task.  Besides its own
     documents a range gets one more row, the first document of the range below it, so a single shuffle of the texts
