@@ -111,17 +111,28 @@ def test_archives_round_trip(pages, page_rows):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def test_null_ids_and_repeated_rows_in_archives(spark, tmp_path):
+    rows = [(None, "http://a/", "same"), (None, "http://b/", "same"), (5, None, "x"), (5, None, "x"), (None, None, "x"), (None, None, None), (7, "", "")]
+    got = rows_of(warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), folder=str(tmp_path)))
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == collections.Counter(
+        [(None, 4, "response", None), (None, 4, "revisit", None), (5, 1, "response", None), (5, 1, "revisit", 5), (None, 1, "revisit", 5), (7, 0, "response", None), (None, 0, "revisit", 7)]
+    )
+    ids = [line.split("\t")[0] for idx in (tmp_path / "normalised").glob("*.idx") for line in idx.read_text().splitlines()]
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
 def test_normaliser_reads_any_member_layout():
-    data = [warc.response(str(k), f"http://h/{k}", b"x" * k * 7, warc.payload_digest(b"x" * k * 7), "2020-01-01T00:00:00Z") for k in range(6)]
+    data = [warc.response(warc.record_id(str(k), "part-0", k), f"http://h/{k}", b"x" * k * 7, warc.payload_digest(b"x" * k * 7), "2020-01-01T00:00:00Z") for k in range(6)]
     for layout in ([data], [data[:2], data[2:]], [[d] for d in data]):
         source = io.BytesIO(b"".join(gzip.compress(b"".join(part)) for part in layout))
         target = io.BytesIO()
-        index = list(warc.normalise_archive(source, target, {3: 1}))
+        index = list(warc.normalise_archive(source, target, {3: "<urn:page:1:part-0:1> http://h/1"}))
         out = target.getvalue()
-        assert [i for i, *_ in index] == [f"<urn:page:{k}>" for k in range(6)]
+        assert [i for i, *_ in index] == [f"<urn:page:{k}:part-0:{k}>" for k in range(6)]
         for k, (_, offset, length) in enumerate(index):
             ((headers, block),) = warc.records(iter([gzip.decompress(out[offset : offset + length])]))
             assert headers["WARC-Type"] == ("revisit" if k == 3 else "response")
+            assert (headers.get("WARC-Refers-To"), headers.get("WARC-Refers-To-Target-URI")) == (("<urn:page:1:part-0:1>", "http://h/1") if k == 3 else (None, None))
             assert block.endswith(b"\r\n\r\n" if k == 3 else b"x" * k * 7)
     with pytest.raises(ValueError, match="cut off"):
         list(warc.records(iter([data[5][:-20]])))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import shared_dir, small_batches, split_join, written
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,10 +32,10 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
-def response(page_id: str, url: str, payload: bytes, digest: str, date: str) -> bytes:
+def response(identity: str, url: str, payload: bytes, digest: str, date: str) -> bytes:
     return record(
         [
-            ("WARC-Type", "response"), ("WARC-Record-ID", f"<{ID_PREFIX}{page_id}>"), ("WARC-Date", date), ("WARC-Target-URI", url),
+            ("WARC-Type", "response"), ("WARC-Record-ID", identity), ("WARC-Date", date), ("WARC-Target-URI", url),
             ("WARC-Payload-Digest", f"sha1:{digest}"), (LENGTH_HEADER, str(len(payload))), ("Content-Type", "application/http; msgtype=response"),
         ],
         HTTP_HEAD + payload,
@@ -92,9 +92,21 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def as_revisit(headers: dict[str, str], refers_to: int) -> bytes:
+def record_id(page_id: str, archive: str, ordinal: int) -> str:
+    """A record's id: the page and, as rows may repeat a page, the place where it was first written."""
+    return f"<{ID_PREFIX}{page_id}:{archive}:{ordinal}>"
+
+
+def page_of(record_id: str) -> int | None:
+    page = record_id[1:-1].removeprefix(ID_PREFIX).split(":", 1)[0]
+    return None if page == "null" else int(page)
+
+
+def as_revisit(headers: dict[str, str], refers_to: str) -> bytes:
+    """The record as a revisit of the record of that id, whose payload is the same and whose target and date it names."""
     keep = [(k, v) for k, v in headers.items() if k not in ("WARC-Type", "Content-Length", "Content-Type")]
-    extra = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{ID_PREFIX}{refers_to}>"), ("Content-Type", "application/http; msgtype=response")]
+    target, _, url = refers_to.partition(" ")
+    extra = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", target), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", headers.get("WARC-Date", "")), ("Content-Type", "application/http; msgtype=response")]
     return record([("WARC-Type", "revisit"), *keep, *extra], HTTP_HEAD)
 
 
@@ -103,10 +115,11 @@ def member(data: bytes, level: int) -> bytes:
     return engine.compress(data) + engine.flush()
 
 
-def normalise_archive(source: BinaryIO, target: BinaryIO, revisits: dict[int, int], level: int = 1) -> Iterator[tuple[str, int, int]]:
+def normalise_archive(source: BinaryIO, target: BinaryIO, revisits: dict[int, str], level: int = 1) -> Iterator[tuple[str, int, int]]:
     """Rewrite a gzip WARC of any member layout: (record id, offset, length) of the members written.
 
-    The input is inflated once as a stream; records whose ordinal is in ``revisits`` become revisits of that page.
+    The input is inflated once as a stream; records whose ordinal is in ``revisits`` become revisits of the record
+    named there, an id and the target after a blank.
     """
     offset = 0
     for ordinal, (headers, block) in enumerate(records(inflate(source))):
@@ -124,7 +137,7 @@ def normalise_archive(source: BinaryIO, target: BinaryIO, revisits: dict[int, in
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2020-01-01T00:00:00Z", level: int = 1) -> DataFrame:
     """Write each input partition's rows as one monolithic gzip stream; returns the written manifest.
 
-    Manifest: archive, ordinal, page_id, payload_bytes, payload_digest.  A file gets its final name when it is
+    Manifest: archive, ordinal, page_id, url, payload_bytes, payload_digest.  A file gets its final name when it is
     complete, so a retried task replaces it by equal content.
     """
 
@@ -143,10 +156,10 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 digest = payload_digest(payload)
                 clean = "".join((url or "").split("\r")).replace("\n", "")
-                out.write(engine.compress(response(id_ if id_ is not None else "null", clean, payload, digest, date)))
-                rows.append((name, ordinal, int(id_) if id_ is not None else None, len(payload), digest))
+                out.write(engine.compress(response(record_id(id_ if id_ is not None else "null", name, ordinal), clean, payload, digest, date)))
+                rows.append((name, ordinal, int(id_) if id_ is not None else None, clean, len(payload), digest))
                 ordinal += 1
-            frame = pd.DataFrame(rows, columns=["archive", "ordinal", "page_id", "payload_bytes", "payload_digest"])
+            frame = pd.DataFrame(rows, columns=["archive", "ordinal", "page_id", "url", "payload_bytes", "payload_digest"])
             yield frame.astype({"page_id": "Int64"})
         if out is not None:
             out.write(engine.flush())
@@ -154,20 +167,25 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             system.move(part, f"{base}/{name}")
 
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
-    return written(rows.mapInPandas(write, "archive string, ordinal long, page_id long, payload_bytes long, payload_digest string"))
+    return written(rows.mapInPandas(write, "archive string, ordinal long, page_id long, url string, payload_bytes long, payload_digest string"))
 
 
 def revisit_plan(manifest: DataFrame, *, least_bytes: int = 0) -> DataFrame:
-    """Manifest with refers_to: the smallest page with the same payload, null for that page itself.
+    """(archive, ordinal, refers_to) of the manifest: the record, with its target, that has the same payload first; null for that one itself.
 
-    Of repeated rows of one page the first written is the response.  Payloads under ``least_bytes`` never refer.
-    The first of each payload is an aggregate, so copies by the thousand meet only in a join that can be split.
+    First is the smallest page_id, null last; of repeated rows of one page the first written.  Payloads under
+    ``least_bytes`` never refer.  The first of each payload is an aggregate, and the payloads that very many pages share
+    are joined without a shuffle (split_join).
     """
-    key = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("page_id"), "archive", "ordinal")
-    firsts = manifest.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
-    firsts = firsts.agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = manifest.join(firsts, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
-    return joined.select("archive", "ordinal", F.when(F.col("first").isNotNull() & (key != F.col("first")), F.col("first.page_id")).alias("refers_to"))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "archive", "ordinal")
+    key = ["payload_digest", "payload_bytes"]
+    firsts = manifest.where(F.col("payload_bytes") >= least_bytes).groupBy(*key)
+    firsts = firsts.agg(F.min(F.struct(*[order[c].alias(c) for c in ("last", "page_id", "archive", "ordinal")], F.col("url"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = split_join(manifest, written(firsts), key, "n", "left")
+    own = (F.col("archive") == F.col("first.archive")) & (F.col("ordinal") == F.col("first.ordinal"))
+    page = F.coalesce(F.col("first.page_id").cast("string"), F.lit("null"))
+    named = F.concat(F.lit(f"<{ID_PREFIX}"), F.concat_ws(":", page, "first.archive", F.col("first.ordinal").cast("string")), F.lit("> "), F.col("first.url"))
+    return joined.select("archive", "ordinal", F.when(F.col("first").isNotNull() & ~own, named).alias("refers_to"))
 
 
 def normalise(plan: DataFrame, source: str, target: str, *, level: int = 1) -> DataFrame:
@@ -201,12 +219,12 @@ def normalise(plan: DataFrame, source: str, target: str, *, level: int = 1) -> D
                         yield run()
                     name, revisits = archive, {}
                 if of is not None:
-                    revisits[int(ordinal)] = int(of)
+                    revisits[int(ordinal)] = of
         if name is not None:
             yield run()
 
     archives = max(1, plan.select("archive").distinct().count())
-    rows = plan.select("archive", "ordinal", F.col("refers_to").cast("string").alias("of")).repartition(archives, "archive").sortWithinPartitions("archive", "ordinal")
+    rows = plan.select("archive", "ordinal", F.col("refers_to").alias("of")).repartition(archives, "archive").sortWithinPartitions("archive", "ordinal")
     return written(rows.mapInPandas(rewrite, "archive string, offset long, length long"))
 
 
@@ -224,14 +242,13 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
                 file.seek(int(offset))
                 headers, block = next(records(iter([zlib.decompress(file.read(int(length)), 31)])))
                 kind = headers["WARC-Type"]
-                id_ = headers["WARC-Record-ID"][1:-1].removeprefix(ID_PREFIX)
                 if kind == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     size, digest, of = len(payload), payload_digest(payload), None
                 else:
                     size, digest = int(headers[LENGTH_HEADER]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    of = int(headers["WARC-Refers-To"][1:-1].removeprefix(ID_PREFIX))
-                rows.append((None if id_ == "null" else int(id_), size, digest, kind, of))
+                    of = page_of(headers["WARC-Refers-To"])
+                rows.append((page_of(headers["WARC-Record-ID"]), size, digest, kind, of))
             frame = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
             yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
@@ -242,8 +259,10 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, *, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as monolithic archives, normalise them, and read every record back.
 
-    Null html: an empty payload; null url: an empty target; null page_id: kept, last among equal payloads; repeated
-    rows: one response, the others revisits of it; an empty table: no archive and no row.  The archives and their
+    Null html: an empty payload; null url: an empty target; null page_id: kept, last among equal payloads; if all
+    of them are null, the first written is the response and the others are revisits whose refers_to is null; repeated
+    rows: one response, the others revisits of it; an empty table: no archive and no row.  A very long html is one record,
+    held whole by one task at a time.  Other columns are not read.  The archives and their
     indexes stay in ``folder``/normalised, a new folder of the shared one unless it is given.
     """
     folder = folder or shared_dir(small_batches(pages.sparkSession))
