@@ -96,7 +96,7 @@ class WordCounts(dict):
         return value
 
 
-_counters: dict[int, WordCounts] = {}
+_counters: dict[str, WordCounts] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: Iterable[bytes], *, lead: bytes = b" ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,21 +104,21 @@ def token_counts(docs: DataFrame, vocabulary: Iterable[bytes], *, lead: bytes =
 
     A word is a run of characters other than ASCII white space; ``lead`` goes in front of each, as in vocabularies
     whose word-initial tokens begin with a blank.  A null text has no words; repeated rows are counted each; a null
-    id stays null; an empty table gives an empty table; other columns are not read.  One narrow pass, no shuffle.
+    id stays null; a very long text is read whole, by itself; an empty table gives an empty table; other columns are not read.  One narrow pass, no shuffle.
     """
     spark = small_batches(docs.sparkSession)
     vocabulary = sorted(set(vocabulary))
     if sum(map(len, vocabulary)) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to ship to executors")
     shipped = spark.sparkContext.broadcast((vocabulary, lead))
+    name = f"{spark.sparkContext.applicationId}-{shipped._jbroadcast.id()}"  # a worker may outlive a query
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = hash((len(shipped.value[0]), shipped.value[1], id(shipped.value[0])))
-        counts = _counters.get(key)
+        counts = _counters.get(name)
         if counts is None:
             _counters.clear()
-            counts = _counters[key] = WordCounts(LongestMatch(*shipped.value))
+            counts = _counters[name] = WordCounts(LongestMatch(*shipped.value))
         for batch in batches:
             out = np.zeros((len(batch), 3), dtype=np.int64)
             for i, text in enumerate(batch["text"]):
