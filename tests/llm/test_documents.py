@@ -426,6 +426,59 @@ def test_toxicity_learns_and_holds_out(spark):
     assert clean.columns == docs.columns and {r["doc_id"] for r in rows_of(clean)} == {i for i, r in got.items() if r["predicted"] == 0}
 
 
+def test_class_models_match_brute_force(spark):
+    """Interpolated Kneser-Ney in plain Python: probabilities that sum to 1 in every context, and their ratios."""
+    rng = random.Random(13)
+    options = toxicity.Options(least_docs=2, least_g2=1.0, rare=2)
+    rows = []
+    for k in range(60):
+        toxic = k % 3 == 0
+        rows.append((" ".join(rng.choice(["bad", "thing"] if toxic and rng.random() < 0.5 else ["a", "b", "c", "d", f"r{k}"]) for _ in range(12)), int(toxic)))
+    counts = common.written(toxicity.count_expressions(spark.createDataFrame(rows, "text string, toxic int")))
+    model = toxicity.models(counts, 40, 20, options)
+    ids = lambda text: toxicity.word_ids(text).tolist()
+    d, single, pair = options.discount, [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for text, toxic in rows:
+        w = ids(text)
+        single[toxic].update(set(w))
+        pair[toxic].update(set(zip([toxicity.START, *w[:-1]], w, strict=True)))
+    vocabulary = sorted(set(single[0]) | set(single[1]))
+    n = [collections.Counter(w for _, w in pair[c]) for c in (0, 1)]
+    total = [sum(n[c].values()) for c in (0, 1)]
+    seen = {w for w in vocabulary if single[0][w] + single[1][w] >= options.rare}
+    unknown = -1
+    shared = {w: (n[0][w] + n[1][w] + 0.5) / (sum(total) + 0.5 * (len(vocabulary) + 1)) for w in [*vocabulary, unknown]}
+    first = [{w: max(n[c][w] - d, 0) / total[c] if w in seen else 0.0 for w in shared} for c in (0, 1)]
+    word_p = [{w: first[c][w] + (1 - sum(first[c].values())) * shared[w] for w in shared} for c in (0, 1)]
+    kept = {(r["v"], r["w"]) for r in rows_of(model.rows) if r["v"] != toxicity.SINGLE and r["w"] != toxicity.ANY}
+    assert kept and kept < set(pair[0]) | set(pair[1])
+    assert {r["w"] for r in rows_of(model.rows) if r["v"] == toxicity.SINGLE} == seen
+
+    def p(c, v, w):
+        t = sum(x for (y, _), x in pair[c].items() if y == v)
+        more = {y: max(pair[c][(v, y)] - d, 0) / t for x, y in kept if x == v} if t else {}
+        return more.get(w, 0.0) + (1 - sum(more.values())) * word_p[c][w]
+
+    for v in [toxicity.START, *vocabulary]:
+        assert all(abs(sum(p(c, v, w) for w in shared) - 1) < 1e-9 for c in (0, 1))
+    r = model.rows.toPandas()
+    ratios = toxicity.Ratios(*(r[c].to_numpy() for c in ("v", "w", "ratio", "strong")), model.unknown)
+    for text, _ in [*rows, ("never seen words bad thing a", 0)]:
+        w = ids(text)
+        expected = []
+        for v, x in zip([toxicity.START, *w[:-1]], w, strict=True):
+            v, x = (v if v in vocabulary or v == toxicity.START else unknown), (x if x in vocabulary else unknown)
+            expected.append(np.log(p(1, v, x) / p(0, v, x)))
+        assert np.allclose(ratios.of(toxicity.word_ids(text))[0], expected)
+        assert abs(ratios.features(text, 8)[0] - np.mean(expected)) < 1e-9
+
+
+def test_toxicity_of_texts_without_words(spark):
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "..."), (2, "plain words"), (3, None)], "doc_id long, text string")
+    assert all(0 <= r["score"] <= 1 for r in rows_of(toxicity.score(docs, marks)))
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     marks = spark.createDataFrame([(4, 1), (4, 0), (9, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     assert toxicity.score(edge_docs, marks).count() == edge_docs.count()

@@ -1,4 +1,17 @@
-"""Toxicity: class-conditional Kneser-Ney models over words, compared by length-normalised log-likelihood."""
+"""Toxicity: class-conditional Kneser-Ney models over words, compared by length-normalised log-likelihood.
+
+Each class, toxic and ordinary, has an interpolated model.  A pair's discounted count in the class backs off to the
+class's continuation counts of the word (in how many different contexts it stands), and these to the continuation
+counts that both classes share.  A word that is rare or was never seen is left to the shared counts alone, so every
+word of a text has a probability under both models.  As continuation counts do for words, the counts of pairs are of
+documents, so that what one document repeats is no evidence of its class.
+
+Pairs that do not tell the classes apart are pruned; the mass that goes with them is the context's backoff weight.
+
+A document's score is a logistic curve of three features: the mean log-likelihood ratio of all its words, and of those
+ratios that a log-likelihood-ratio test bears out the largest mean over a few words on end and the sum over the root
+of the length.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +26,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_CACHE_WORDS, discard, fits_broadcast, give_back, released, small_batches, written
+from .common import HASH_CACHE_WORDS, discard, fits_broadcast, give_back, mix64, released, small_batches, split_join, written
 
 #: Stripped from the ends of words before they are counted.
 PUNCTUATION = b""".,;:!?"'()*#$%&|-_[]{}<>/\\"""
-#: The word before the first one of a text, and the mark of a row that counts a single word.
-START, SINGLE = 1, 0
+#: The context of a row that counts a single word; the word before the first one of a text; the word of a row about a context.
+SINGLE, START, ANY = 0, 1, 0
+#: Bits of a word's id: of 100 million different words, one in 10,000 shares its id with another.
+BITS = 40
 #: Words of texts whose counts a task adds up before it emits them.
 CHUNK_WORDS = 1 << 19
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Options:
-    """discount: of Kneser-Ney.  least_docs: documents an expression needs to count as evidence.  least_g2: its
-    log-likelihood ratio against the classes' sizes, or 2 ln(expressions tested) where that is more.  window: words
-    over which the largest mean is taken.  calibration_rows: labelled rows, about so many and those of smallest id hash, that
-    the final logistic curve is fitted to; all counts cover every labelled row."""
+    """discount: of Kneser-Ney.  rare: words of fewer labelled documents are left to the shared counts.  least_docs:
+    documents an expression needs to be tested.  least_g2: the log-likelihood ratio against the classes' sizes that bears it out, or
+    2 ln(expressions tested) where that is more.  window: words over which the largest mean is taken.  calibration_rows:
+    labelled rows, about so many and no more than calibration_share of them, of smallest id hash, that the logistic curve is fitted to; the
+    counts cover every other labelled row.  broadcast_bytes: size of a model up to which it is shipped; a larger one is joined."""
 
     discount: float = 0.75
+    rare: int = 2
     least_docs: int = 4
     least_g2: float = 15.0
     window: int = 8
     calibration_rows: int = 20_000
+    calibration_share: float = 0.25
     broadcast_bytes: int = 64 << 20
 
 
@@ -43,7 +62,7 @@ class _Ids(dict):
         if len(self) >= HASH_CACHE_WORDS:
             self.clear()
         bare = word.strip(PUNCTUATION)
-        value = self[word] = max(2, xxhash.xxh64_intdigest(bare) & 0x7FFFFFFF) if bare else 0
+        value = self[word] = max(2, xxhash.xxh64_intdigest(bare) >> (64 - BITS)) if bare else 0
         return value
 
 
@@ -51,16 +70,15 @@ _ids = _Ids()
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """31-bit hashes of a text's words, lower-cased (A-Z) and without punctuation at their ends."""
+    """Ids of a text's words, lower-cased (A-Z) and without punctuation at their ends."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     ids = np.fromiter(map(_ids.__getitem__, words), np.int64, len(words))
     return ids[ids != 0]
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """(word before, word) of each position as one long."""
-    before = np.concatenate([np.array([START], np.int64), ids[:-1]])
-    return (before << 32) | ids
+def contexts(ids: np.ndarray) -> np.ndarray:
+    """The word before each."""
+    return np.concatenate([np.array([START], np.int64), ids[:-1]])[: len(ids)]
 
 
 def held_out(id_: Column) -> Column:
@@ -84,24 +102,39 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_expressions(training: DataFrame) -> DataFrame:
-    """(key, c0, c1): documents of each class that hold a word (key = word) or a pair of words (before << 32 | word)."""
+    """(w, v, c0, c1): documents of each class that hold a word (v = SINGLE) or a pair (v, w), from (text, toxic).
+
+    A row travels as 64 and 16 bits: the word's id with the first bits of the context's, and the context's last ones.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[np.ndarray]] = [[], []]
         size = 0
 
         def emit() -> pd.DataFrame:
-            parts = [np.unique(np.concatenate(h) if h else np.zeros(0, np.int64), return_counts=True) for h in held]
-            keys = np.concatenate([p[0] for p in parts])
-            ones = [p[1] for p in parts]
-            zeros = [np.zeros(len(p[0]), np.int64) for p in parts]
-            return pd.DataFrame({"key": keys, "c0": np.concatenate([ones[0], zeros[1]]), "c1": np.concatenate([zeros[0], ones[1]])})
+            parts = []
+            for k, rows in enumerate(held):
+                pairs = np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
+                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+                pairs = pairs[order]
+                new = np.ones(len(pairs), bool)
+                new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(pairs)))
+                parts.append(pd.DataFrame({"high": pairs[at, 0], "low": pairs[at, 1].astype(np.int16), f"c{k}": n, f"c{1 - k}": np.zeros(len(n), np.int64)}))
+            return pd.concat(parts)[["high", "low", "c0", "c1"]]
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 ids = word_ids(text)
                 if len(ids):
-                    held[int(toxic > 0)] += [np.unique(ids), np.unique(pair_keys(ids))]
+                    both = np.concatenate([np.column_stack([ids, np.full(len(ids), SINGLE)]), np.column_stack([ids, contexts(ids)])])
+                    packed = np.column_stack([(both[:, 0] << 24) | (both[:, 1] >> 16), both[:, 1] & 0xFFFF])
+                    order = np.lexsort((packed[:, 1], packed[:, 0]))
+                    packed = packed[order]
+                    new = np.ones(len(packed), bool)
+                    new[1:] = (packed[1:] != packed[:-1]).any(axis=1)
+                    held[int(toxic > 0)].append(packed[new])
                     size += len(ids)
                 if size >= CHUNK_WORDS:
                     yield emit()
@@ -109,8 +142,14 @@ def count_expressions(training: DataFrame) -> DataFrame:
                     give_back()
         yield emit()
 
-    rows = training.select("text", "toxic").mapInPandas(count, "key long, c0 long, c1 long")
-    return rows.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    rows = training.select("text", "toxic").mapInPandas(count, "high long, low short, c0 long, c1 long")
+    rows = rows.groupBy("high", "low").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return rows.select("high", "low", F.col("c0").cast("int").alias("c0"), F.col("c1").cast("int").alias("c1"))
+
+
+def _unpacked(counts: DataFrame) -> DataFrame:
+    v = F.shiftleft(F.col("high").bitwiseAND((1 << 24) - 1), 16).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFF))
+    return counts.select(F.shiftrightunsigned("high", 24).alias("w"), v.alias("v"), "c0", "c1")
 
 
 def _g2(a: Column, b: Column, share: float) -> Column:
@@ -119,116 +158,166 @@ def _g2(a: Column, b: Column, share: float) -> Column:
     return 2 * (term(a, n * F.lit(share)) + term(b, n * F.lit(1 - share)))
 
 
-def evidence(counts: DataFrame, docs0: int, docs1: int, options: Options = Options()) -> DataFrame:
-    """(key, llr): log-likelihood ratio, toxic to ordinary, of the expressions that tell the classes apart.
+@dataclass(frozen=True)
+class Model:
+    """rows (v, w, ratio, strong): log-likelihood ratios, toxic to ordinary, of words (v = SINGLE), of the pairs that were kept, and
+    of the backoff weights of these pairs' contexts (w = ANY).  unknown: the ratio of any other word."""
 
-    Interpolated Kneser-Ney: a pair's discounted count in a class backs off to the class's continuation counts of
-    the word (in how many different contexts it stands), and these to the continuation counts that both classes
-    share.  An expression that is too rare to tell anything is left to the shared counts, where the classes agree.
-    ``counts`` must be a written table; docs0 and docs1 are the classes' documents.
-    """
-    d = options.discount
-    singles = counts.where(F.shiftright("key", 32) == SINGLE).select(F.col("key").alias("w"), "c0", "c1")
-    pairs = counts.where(F.shiftright("key", 32) != SINGLE).select(F.shiftright("key", 32).alias("v"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("w"), "key", "c0", "c1")
+    rows: DataFrame
+    unknown: float
+
+
+def models(counts: DataFrame, docs0: int, docs1: int, options: Options = Options()) -> Model:
+    """The two models of ``counts``, a written table of count_expressions, as ratios; docs0 and docs1 are the classes' documents."""
+    d, spark = options.discount, counts.sparkSession
+    rows = _unpacked(counts)
+    singles = rows.where(F.col("v") == SINGLE).select("w", "c0", "c1")
+    pairs = rows.where(F.col("v") != SINGLE)
     kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    cont = written(pairs.groupBy("w").agg(kinds("c0").alias("n0"), kinds("c1").alias("n1")))
-    total = cont.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), kinds("n0").alias("v0"), kinds("n1").alias("v1"), F.count(F.lit(1)).alias("v")).first()
-    tested = singles.where(F.col("c0") + F.col("c1") >= options.least_docs).count()
-    if not total["n0"] or not total["n1"]:
-        return counts.sparkSession.createDataFrame([], "key long, llr double")
-    least = max(options.least_g2, 2 * math.log(max(tested, 1)))
+    cont = pairs.groupBy("w").agg(kinds("c0").alias("n0"), kinds("c1").alias("n1"))
+    words = written(singles.join(cont, "w").withColumn("seen", F.col("c0") + F.col("c1") >= options.rare))
+    kept_sum = lambda c: F.sum(F.when(F.col("seen"), F.greatest(F.col(c) - d, F.lit(0.0))).otherwise(0.0))
+    total = words.agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), kept_sum("n0").alias("k0"), kept_sum("n1").alias("k1"), F.count(F.lit(1)).alias("v"),
+        F.count_if(F.col("c0") + F.col("c1") >= options.least_docs).alias("tested"),
+    ).first()
+    left = [1 - total[f"k{c}"] / total[f"n{c}"] for c in (0, 1)]
+    least = max(options.least_g2, 2 * math.log(max(total["tested"], 1)))
     everything = total["n0"] + total["n1"] + 0.5 * (total["v"] + 1)
 
     def word_p(c: int) -> Column:
         shared = (F.col("n0") + F.col("n1") + 0.5) / F.lit(everything)
-        return (F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) + F.lit(d * total[f"v{c}"]) * shared) / F.lit(float(total[f"n{c}"]))
+        return F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.lit(float(total[f"n{c}"])) + F.lit(left[c]) * shared
 
     share = docs1 / (docs0 + docs1)
     tells = (F.col("c0") + F.col("c1") >= options.least_docs) & (_g2(F.col("c1"), F.col("c0"), share) >= least)
-    contexts = _g2(F.col("n1"), F.col("n0"), total["n1"] / (total["n0"] + total["n1"])) >= least
-    words = singles.where(tells).join(cont, "w").where(contexts)
-    words = words.select(F.col("w").alias("key"), F.log(word_p(1) / word_p(0)).alias("llr"))
-    kept = pairs.where(tells).withColumn("strong", _g2(F.col("c1"), F.col("c0"), share) >= 2 * least)
-    before = pairs.groupBy("v").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), kinds("c0").alias("k0"), kinds("c1").alias("k1"))
-    kept = kept.join(words.select(F.col("key").alias("w"), F.lit(True).alias("known")), "w", "left").where(F.col("known") | F.col("strong"))
-    kept = kept.join(cont, "w").join(before, "v")
-
-    def pair_p(c: int) -> Column:
-        seen = (F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) + d * F.col(f"k{c}") * word_p(c)) / F.col(f"t{c}")
-        return F.when(F.col(f"t{c}") > 0, seen).otherwise(word_p(c))
-
-    return words.unionByName(kept.select("key", F.log(pair_p(1) / pair_p(0)).alias("llr")))
-
-
-def window_features(ratios: np.ndarray, window: int) -> tuple[float, float]:
-    """Largest mean log-likelihood ratio of ``window`` words on end (of all words, if fewer), and sum over root of length."""
-    n = len(ratios)
-    if n == 0 or not ratios.any():
-        return 0.0, 0.0
-    sums = np.concatenate([[0.0], np.cumsum(ratios)])
-    k = min(window, n)
-    return float((sums[k:] - sums[:-k]).max() / k), float(sums[-1] / math.sqrt(n))
-
-
-def _lookup(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray], otherwise: np.ndarray) -> np.ndarray:
-    known, values = table
-    if not len(known):
-        return otherwise
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], otherwise)
-
-
-def features(docs: DataFrame, model: DataFrame, options: Options = Options(), *, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` (rid, text, more) with peak and spread in place of the text, or beside it.
-
-    The evidence is broadcast while its counted size stays under options.broadcast_bytes; a larger one is joined to
-    the documents' expressions, and the hits come back together by document.
+    in_contexts = _g2(F.col("n1"), F.col("n0"), total["n1"] / (total["n0"] + total["n1"])) >= least
+    seen = words.where("seen").withColumn("strong", tells & in_contexts).withColumn("p0", word_p(0)).withColumn("p1", word_p(1))
+    # of the pairs those are kept that tell the classes apart, and of words that do not, only by twice the bar
+    kept = pairs.where(tells).withColumn("clear", _g2(F.col("c1"), F.col("c0"), share) >= 2 * least)
+    kept = kept_rows = written(kept.join(seen.select("w", "p0", "p1", "strong"), "w").where("strong OR clear").select("v", "w", "c0", "c1", "p0", "p1"))
+    few = kept.select("v").distinct()
+    few = F.broadcast(few) if fits_broadcast(few.count(), 16) else few
+    of = pairs.join(few, "v").groupBy("v").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
+    more = lambda c: F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0)
+    kept = kept.join(of, "v").withColumn("m0", more(0)).withColumn("m1", more(1))
+    weights = kept.groupBy("v").agg((1 - F.sum("m0")).alias("g0"), (1 - F.sum("m1")).alias("g1"))
+    two = kept.join(weights, "v")
+    pair_p = lambda c: F.col(f"m{c}") + F.col(f"g{c}") * F.col(f"p{c}")
+    row = lambda df, v, w, ratio, strong: df.select(v.cast("long").alias("v"), w.cast("long").alias("w"), ratio.alias("ratio"), strong.alias("strong"))
+    out = row(seen, F.lit(SINGLE), F.col("w"), F.log(F.col("p1") / F.col("p0")), F.col("strong"))
+    out = out.unionByName(row(two, F.col("v"), F.col("w"), F.log(pair_p(1) / pair_p(0)), F.lit(True)))
+    out = out.unionByName(row(weights, F.col("v"), F.lit(ANY), F.log(F.col("g1") / F.col("g0")), F.lit(False)))
+    out = written(out)
+    discard(words, kept_rows)
+    return Model(out, math.log(left[1] / left[0]))
+
+
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(v.astype(np.uint64) * _BASE + w.astype(np.uint64))
+
+
+class Ratios:
+    """A model's rows in arrays, to look up the words of a text."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, ratio: np.ndarray, strong: np.ndarray, unknown: float):
+        self.unknown = unknown
+        single, context = v == SINGLE, (v != SINGLE) & (w == ANY)
+        pair = ~single & ~context
+        pick = lambda keys, which: (keys[o := np.argsort(keys)], ratio[which][o], strong[which][o])
+        self.words = pick(w[single].astype(np.uint64), single)
+        self.contexts = pick(v[context].astype(np.uint64), context)
+        self.pairs = pick(_pair_key(v[pair], w[pair]), pair)
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table[0]):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return table[0][at] == keys, at
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each word after the one before it, and the same where it is borne out, else 0."""
+        before = contexts(ids)
+        known, at = self._find(self.words, ids.astype(np.uint64))
+        ratio = np.full(len(ids), self.unknown)
+        ratio[known] = self.words[1][at[known]]
+        proof = np.zeros(len(ids))
+        borne = known.copy()
+        borne[known] = self.words[2][at[known]]
+        proof[borne] = ratio[borne]
+        in_context, at = self._find(self.contexts, before.astype(np.uint64))
+        ratio[in_context] += self.contexts[1][at[in_context]]
+        kept, at = self._find(self.pairs, _pair_key(before, ids))
+        ratio[kept] = proof[kept] = self.pairs[1][at[kept]]
+        return ratio, proof
+
+    def features(self, text: str | None, window: int) -> tuple[float, float, float]:
+        """Mean ratio of all words; largest mean of ``window`` proofs on end (of all, if fewer); their sum over the root of length."""
+        ids = word_ids(text)
+        n = len(ids)
+        if n == 0:
+            return 0.0, 0.0, 0.0
+        ratio, proof = self.of(ids)
+        sums = np.concatenate([[0.0], np.cumsum(proof)])
+        k = min(window, n)
+        return float(ratio.mean()), float((sums[k:] - sums[:-k]).max() / k), float(sums[-1] / math.sqrt(n))
+
+
+FEATURES = ("mean", "peak", "spread")
+
+
+def features(docs: DataFrame, model: Model, options: Options = Options(), *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (text, more) with FEATURES in place of the text, or beside it.
+
+    The model is broadcast while its counted size stays under options.broadcast_bytes.  A larger one is joined to the
+    distinct words and pairs of each document, whose part of the model then meets its text.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if keep_text or c != text]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    window = options.window
-    if fits_broadcast(model.count(), 16, options.broadcast_bytes):
-        table = model.toPandas().sort_values("key")
-        shipped = spark.sparkContext.broadcast((table["key"].to_numpy(np.int64), table["llr"].to_numpy(np.float64)))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for one in batch.column(text).to_pylist():
-                    ids = word_ids(one)
-                    single = _lookup(ids, shipped.value, np.zeros(len(ids)))
-                    found.append(window_features(_lookup(pair_keys(ids), shipped.value, single) if len(ids) else single, window))
-                both = [pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *both], [*rest, "peak", "spread"])
-
-        return docs.mapInArrow(score, f"{schema}, peak double, spread double")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in rest}
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), *(f"{c} double" for c in FEATURES)])
+    window, unknown = options.window, model.unknown
+    own = ("v", "w", "ratio", "strong")
+    arrays = lambda rows: (np.asarray(rows["v"], np.int64), np.asarray(rows["w"], np.int64), np.asarray(rows["ratio"], float), np.asarray(rows["strong"], bool))
+    whole = fits_broadcast(model.rows.count(), 32, options.broadcast_bytes)
+    shipped = spark.sparkContext.broadcast(arrays(model.rows.toPandas())) if whole else None
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = Ratios(*shipped.value, unknown) if whole else None
+        for batch in batches:
+            found = []
+            parts = [None] * batch.num_rows if whole else batch.column("model").to_pylist()
+            for one, part in zip(batch.column(text).to_pylist(), parts, strict=True):
+                of = ratios or Ratios(*arrays({k: [r[k] for r in part or ()] for k in own}), unknown)
+                found.append(of.features(one, window))
+            scored = [pa.array([f[k] for f in found], pa.float64()) for k in range(len(FEATURES))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *scored], [*rest, *FEATURES])
+
+    if whole:
+        return docs.mapInArrow(score, schema)
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rid, text in zip(batch["rid"], batch["text"], strict=True):
-                ids = word_ids(text)
-                if len(ids):
-                    yield pd.DataFrame({"s_rid": rid, "n": len(ids), "pos": np.arange(len(ids)), "w": ids, "p": pair_keys(ids)})
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        ratios = np.zeros(int(rows["n"].iloc[0]))
-        ratios[rows["pos"].to_numpy()] = rows["r"].to_numpy()
-        peak, spread = window_features(ratios, window)
-        return pd.DataFrame({"s_rid": [rows["s_rid"].iloc[0]], "peak": [peak], "spread": [spread]})
+            for place, one in zip(batch["place"], batch["text"], strict=True):
+                ids = word_ids(one)
+                before = contexts(ids)
+                asked = np.concatenate([np.column_stack([np.full(len(ids), SINGLE), ids]), np.column_stack([before, ids]), np.column_stack([before, np.full(len(ids), ANY)])])
+                asked = np.unique(asked, axis=0)
+                yield pd.DataFrame({"place": place, "v": asked[:, 0], "w": asked[:, 1]})
 
-    places = docs.select("rid", F.col(text).alias("text")).mapInPandas(spell, "s_rid long, n long, pos long, w long, p long")
-    one = model.select(F.col("key").alias("w"), F.col("llr").alias("lw"))
-    two = model.select(F.col("key").alias("p"), F.col("llr").alias("lp"))
-    hits = places.join(one, "w", "left").join(two, "p", "left").select("s_rid", "n", "pos", F.coalesce("lp", "lw").alias("r")).where("r IS NOT NULL")
-    by_doc = hits.groupBy("s_rid").applyInPandas(gather, "s_rid long, peak double, spread double")
-    joined = docs.join(by_doc, F.col("rid") == F.col("s_rid"), "left")
-    return joined.select(*rest, F.coalesce("peak", F.lit(0.0)).alias("peak"), F.coalesce("spread", F.lit(0.0)).alias("spread"))
+    placed = written(docs.withColumn("place", F.monotonically_increasing_id()))  # ids of a plan that runs twice may differ
+    asked = written(placed.select("place", F.col(text).alias("text")).mapInPandas(spell, "place long, v long, w long"))
+    weighed = asked.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")).join(model.rows, ["v", "w"])
+    hits = split_join(asked, written(weighed), ["v", "w"], "n")
+    parts = hits.groupBy("place").agg(F.collect_list(F.struct(*own)).alias("model"))
+    return placed.join(parts, "place", "left").drop("place").mapInArrow(score, schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic curve, intercept first, by Newton's method."""
-    a = np.column_stack([np.ones(len(x)), x])
+    """Weights of a logistic curve, intercept first, by Newton's method on features of unit variance."""
+    middle, width = x.mean(0), x.std(0) + 1e-9
+    a = np.column_stack([np.ones(len(x)), (x - middle) / width])
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -237,45 +326,65 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return np.concatenate([[w[0] - (w[1:] * middle / width).sum()], w[1:] / width])
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()) -> DataFrame:
     """Toxicity of every whole text: id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     ``labels`` has (doc_id, toxic).  Learning is from rows that are not held out; ids only join labels to texts.
-    Null or empty texts hold no evidence and get the score of a text without any; repeated rows score alike; a null
-    id is scored too (held out).  Without labels of both classes the score is the share of toxic labels (0 if none).
-    An empty table gives an empty table.
+    Null or empty texts hold no evidence and get the score of a text without any; a very long text is read whole, by itself;
+    repeated rows score alike; a null id is scored too (held out).  Without labels of both classes the score is the share of
+    toxic labels (0 if none).  An empty table gives an empty table; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.select("id", held_out(F.col("id")).alias("held_out"), F.monotonically_increasing_id().alias("rid"), "text")
+    out = rows.select("id", held_out(F.col("id")).alias("held_out"), "text")
     scored = _scores(rows, out, labels, options)
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _scores(rows: DataFrame, out: DataFrame, labels: DataFrame, options: Options, **how) -> DataFrame:
-    """``out`` (rid, text, more) with a score, by models of the labelled texts among ``rows`` (id, text)."""
-    small_batches(rows.sparkSession)
+def _learnt(rows: DataFrame, labels: DataFrame, options: Options) -> tuple[Model | None, np.ndarray]:
+    """The model of the labelled texts among ``rows`` (id, text) and the weights of the logistic curve; without both classes no model
+    and the score of every text."""
     training = training_rows(rows, labels.select("doc_id", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return out.withColumn("score", F.lit(1.0 if sizes.get(1) else 0.0))
-    counts = released(written(count_expressions(training)))
-    model = released(written(evidence(counts, sizes[0], sizes[1], options)))
+        return None, np.array([1.0 if sizes.get(1) else 0.0])
+    part = min(options.calibration_share, options.calibration_rows / sum(sizes.values()))
+    apart = F.shiftrightunsigned(F.xxhash64("id"), 32) < F.lit(int(part * (1 << 32)))
+    counted = {r["toxic"]: r["n"] for r in training.where(~apart).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    both = len(counted) == 2 and all(sizes[k] > counted[k] for k in (0, 1))
+    fitted, counted_rows = (training.where(apart), training.where(~apart)) if both else (training, training)
+    counted = counted if both else sizes
+    counts = released(written(count_expressions(counted_rows)))
+    if counts.agg(F.sum("c0") * F.sum("c1")).first()[0] in (None, 0):  # a class whose texts have no words
+        return None, np.array([sizes[1] / (sizes[0] + sizes[1])])
+    model = models(counts, counted[0], counted[1], options)
     discard(counts)
-    part = min(1.0, options.calibration_rows / sum(sizes.values()))
-    chosen = training.where(F.shiftrightunsigned(F.xxhash64("id"), 32) <= F.lit(int(part * (1 << 32))))
-    seen = features(chosen.select(F.col("id").alias("rid"), "text", "toxic"), model, options).toPandas()
-    w = fit_logistic(seen[["peak", "spread"]].to_numpy(), seen["toxic"].to_numpy(float))
-    z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("peak") + F.lit(float(w[2])) * F.col("spread")
+    seen = features(fitted.select("text", "toxic"), model, options).toPandas()
+    return model, fit_logistic(seen[list(FEATURES)].to_numpy(), seen["toxic"].to_numpy(float))
+
+
+def _scores(rows: DataFrame, out: DataFrame, labels: DataFrame, options: Options, **how) -> DataFrame:
+    """``out`` (text, more) with a score, by models of the labelled texts among ``rows`` (id, text)."""
+    small_batches(rows.sparkSession)
+    model, w = _learnt(rows, labels, options)
+    if model is None:
+        return out.withColumn("score", F.lit(float(w[0])))
+    z = F.lit(float(w[0]))
+    for weight, name in zip(w[1:], FEATURES, strict=True):
+        z = z + F.lit(float(weight)) * F.col(name)
     return features(out, model, options, **how).withColumn("score", 1 / (1 + F.exp(-z)))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, as they are."""
+    """The rows of ``docs`` that ``score`` does not predict to be toxic, as they are, with all their columns whatever these are named.
+
+    Null and empty texts stay unless texts without evidence are predicted toxic; very long texts are read whole; repeated rows stay
+    or go together; without labels of both classes all stay if the labels are not toxic; an empty table gives an empty table.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    whole = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     kept = _scores(rows, whole, labels, options, text=names[text_col], keep_text=True).where("score < 0.5")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
