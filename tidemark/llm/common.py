@@ -131,7 +131,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, ho
     if not hot.head(1):
         return left.join(rest, on, how)
     cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
-    return left.join(F.broadcast(hot), on, how).unionByName(cold)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def word_count(text: Column) -> Column:

@@ -1,9 +1,18 @@
-"""HTML extraction by wrapper induction: DOM trees of same-host pages aligned by simple tree matching."""
+"""HTML extraction by wrapper induction: DOM trees of same-host pages aligned by simple tree matching.
+
+Every page of a host is aligned with reference pages of that host.  For each node of a reference its pages' texts are
+counted: a node that most different pages hold with one text is template, and the others are varying slots.  The
+deepest node below which most of the host's varying text lies is where the content is.  Names of elements and classes
+decide only what this leaves open: which of several varying parts are comments, adverts and the like, and all of a
+host with too few pages to compare.
+"""
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, small_batches, written
+from .common import fits_broadcast, give_back, small_batches, split_join, written
 from .urlgraph import host_and_path
 
 # Element names of HTML, by how a text extractor treats them.
@@ -40,23 +49,28 @@ SURE_TAGS = frozenset("nav footer aside head header menu button dialog".split())
 SURE_NAMES = frozenset("comment comments commentlist disqus respond reply replies footer nav navbar navigation menu submenu".split())
 #: Share of a page's text from which a node is a wrapper and no boilerplate.
 WRAPPER_SHARE = 0.8
-#: Blocks nested deeper than this become neighbours; their text stays.
-MAX_DEPTH = 150
+# Elements that hold a piece of text, and so are no place of a whole content.
+TEXT_TAGS = frozenset("#text p td th li dt dd h1 h2 h3 h4 h5 h6 pre blockquote caption".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 @dataclass
 class Options:
-    """references: pages of a host that every page is aligned with.  main_share: of a node's varying text, the share
-    that one child needs to be the slot's place.  max_cells: size of an alignment table from which it is not held
-    whole but halved until it fits; the alignment stays a largest one.  least_pages, held_share: a node is template
-    if at least so many different pages of the host, and this share of those with text at its place, hold its text."""
+    """references: pages of a host that every page is aligned with.  main_share: of a host's varying text, the share
+    that must lie below the content's place.  max_cells: size of an alignment table from which it is not held
+    whole but halved until it fits; the alignment stays a largest one.  fit_share: a page counts for every reference that
+    fits it at least so well, as a share of the best fit.  least_pages, held_share: a node is template
+    if at least so many different pages of the host, and this share of those that have it, hold it with the same text.
+    vary_share: of the texts at a reference's nodes, the share that must vary; else the pages are near copies.  names: whether names of elements and classes decide what the alignment leaves open."""
 
     references: int = 2
     main_share: float = 0.7
     max_cells: int = 1_000_000
+    fit_share: float = 0.7
     least_pages: int = 3
-    held_share: float = 0.3
+    held_share: float = 0.6
+    vary_share: float = 0.5
+    names: bool = True
 
 
 @dataclass
@@ -68,13 +82,28 @@ class Node:
     main: bool = False
     children: list[Node] = field(default_factory=list)
     text: str = ""
-    constant: int = 0
-    aligned: int = 0
+    at: int = -1
     template: bool = False
 
+    def nodes(self) -> Iterator[Node]:
+        """The node and all below it, in page order."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(reversed(node.children))
+
     def shape(self) -> list:
         """Label, hash of the text, children: what an alignment with another page needs."""
-        return [self.tag, xxhash.xxh32_intdigest(self.text.encode("utf-8", "surrogatepass")) if self.text else 0, [c.shape() for c in self.children]]
+        shapes: dict[int, list] = {}
+        for node in self.nodes():
+            shapes[id(node)] = [node.tag, xxhash.xxh32_intdigest(node.text.encode("utf-8", "surrogatepass")) if node.text else 0, []]
+        for node in self.nodes():
+            shapes[id(node)][2].extend(shapes[id(c)] for c in node.children)
+        return shapes[id(self)]
+
+    def key(self) -> int:
+        return xxhash.xxh64_intdigest(self.text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _attributes(source: str, inside_main: bool = False) -> tuple[bool, bool, str]:
@@ -96,9 +125,11 @@ def _attributes(source: str, inside_main: bool = False) -> tuple[bool, bool, str
 
 
 def parse(source: str | None) -> Node:
-    """Tree of the page's blocks.  Inline elements only pass on their text; open paragraphs end where a block starts."""
+    """Tree of the page's blocks, however deep.  Inline elements only pass on their text; open paragraphs end where a block starts."""
     root = Node("root")
-    stack = [root]
+    stack, names = [root], ["root"]
+    opened: Counter[str] = Counter()
+    mains = 0
     pieces: list[str] = []
 
     def flush() -> None:
@@ -108,6 +139,12 @@ def parse(source: str | None) -> Node:
             if text:
                 stack[-1].children.append(Node("#text", text=text))
 
+    def close(k: int) -> None:
+        nonlocal mains
+        while len(stack) > k:
+            mains -= stack.pop().main
+            opened[names.pop()] -= 1
+
     at, size, source = 0, len(source or ""), source or ""
     inline_boiler: list[str] = []
     while at < size:
@@ -127,34 +164,35 @@ def parse(source: str | None) -> Node:
             continue
         if tag in BLOCKS:
             if m["end"]:
-                if tag == "p" or any(n.tag.partition(".")[0] == tag for n in stack):
+                if tag == "p" or opened[tag]:
                     flush()
                     inline_boiler.clear()
-                    k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag.partition(".")[0] == tag), 0)
-                    if k:
-                        del stack[k:]
+                    if opened[tag]:
+                        close(next(i for i in range(len(stack) - 1, 0, -1) if names[i] == tag))
                 continue
             flush()
             inline_boiler.clear()
-            if tag in CLOSES_P and stack[-1].tag.partition(".")[0] == "p":
-                stack.pop()
+            if tag in CLOSES_P and names[-1] == "p":
+                close(len(stack) - 1)
             closing = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            while closing and stack[-1].tag.partition(".")[0] in closing:
-                stack.pop()
+            while closing and names[-1] in closing:
+                close(len(stack) - 1)
             if tag == "body":
-                while len(stack) > 1 and stack[-1].tag.partition(".")[0] == "head":
-                    stack.pop()
+                while len(stack) > 1 and names[-1] == "head":
+                    close(len(stack) - 1)
             if tag in VOID:
                 continue
-            boiler, main, label = _attributes(m["attrs"], any(n.main for n in stack))
+            boiler, main, label = _attributes(m["attrs"], mains > 0)
             if tag in ("html", "body"):
                 boiler = False
             node = Node(tag + label, boiler or tag in BOILER_TAGS, main or tag in ("article", "main"))
-            if tag == "header" and not any(n.main for n in stack):
+            if tag == "header" and not mains:
                 node.boiler = True
             stack[-1].children.append(node)
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            stack.append(node)
+            names.append(tag)
+            opened[tag] += 1
+            mains += node.main
         elif tag == "br":
             pieces.append(" ")
         elif tag not in VOID:
@@ -174,52 +212,29 @@ def parse(source: str | None) -> Node:
 def _spare_wrappers(root: Node) -> None:
     """Nodes that only sound like boilerplate, such as a form around the whole page, are none: those that hold a main
     part or most of the page's text."""
-    sizes: dict[int, tuple[int, bool]] = {}
-
-    def measure(node: Node) -> tuple[int, bool]:
-        size, main = len(node.text), node.main and not node.boiler
-        for c in node.children:
-            n, has = measure(c)
-            size, main = size + n, main or has
-        sizes[id(node)] = size, main
-        return size, main
-
-    total, _ = measure(root)
-
-    def spare(node: Node) -> None:
-        size, main = sizes[id(node)]
-        tag, _, label = node.tag.partition(".")
-        only_sounds = node.boiler and tag not in SURE_TAGS and not SURE_NAMES.intersection(NAME_PARTS.findall(label))
-        if only_sounds and (main and not node.main or size > WRAPPER_SHARE * total > 0):
-            node.boiler = False
+    order = list(root.nodes())
+    size = {id(n): len(n.text) for n in order}
+    main = {id(n): n.main and not n.boiler for n in order}
+    for node in reversed(order):
         for c in node.children:
-            spare(c)
-
-    spare(root)
-
-
-def _placed(node: Node, place: bytes = b"") -> Iterator[tuple[Node, int, int]]:
-    """(node, hash of its place, hash of place and text) of every node with text; a place is the labels from the root."""
-    place = xxhash.xxh64_digest(place + node.tag.encode("utf-8", "surrogatepass"))
-    if node.text:
-        full = xxhash.xxh64_digest(place + node.text.encode("utf-8", "surrogatepass"))
-        yield node, int.from_bytes(place, "big", signed=True), int.from_bytes(full, "big", signed=True)
-    for c in node.children:
-        yield from _placed(c, place)
-
-
-def _texts(shape: list) -> Iterator[int]:
-    if shape[1]:
-        yield shape[1]
-    for c in shape[2]:
-        yield from _texts(c)
+            size[id(node)] += size[id(c)]
+            main[id(node)] |= main[id(c)]
+    total = size[id(root)]
+    for node in order:
+        if node.boiler:
+            tag, _, label = node.tag.partition(".")
+            only_sounds = tag not in SURE_TAGS and not SURE_NAMES.intersection(NAME_PARTS.findall(label))
+            if only_sounds and (main[id(node)] and not node.main or size[id(node)] > WRAPPER_SHARE * total > 0):
+                node.boiler = False
 
 
-def align(node: Node, shape: list, own: list, max_cells: int) -> None:
-    """Simple tree matching of a page with another's shape: counts each aligned node, and each that has the same text.
+def align(node: Node, shape: list, own: list, max_cells: int) -> tuple[int, list[tuple[Node, list]]]:
+    """Simple tree matching of a page with another's shape: the score, and the matched nodes with their shapes there.
 
-    Roots match by label; their children are matched in order so that the number of matched nodes is largest.
+    Roots match by label; their children are matched in order so that the number of matched nodes, and of those with
+    the same text, is largest.
     """
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # as deep as the trees are
     score: dict[tuple[int, int], int] = {}
 
     def next_row(x: list, above: list[int], b: list) -> list[int]:
@@ -284,88 +299,148 @@ def align(node: Node, shape: list, own: list, max_cells: int) -> None:
             else:
                 j -= 1
 
-    def walk(node: Node, a: list, b: list) -> None:
-        node.aligned += 1
-        if a[1] and a[1] == b[1]:
-            node.constant += 1
-        for i, j in pairs(a[2], b[2]):
-            walk(node.children[i], a[2][i], b[2][j])
+    found, open_ = [], [(node, own, shape)]
+    while open_:
+        at, a, b = open_.pop()
+        found.append((at, b))
+        open_ += [(at.children[i], a[2][i], b[2][j]) for i, j in pairs(a[2], b[2])]
+    return matched(own, shape), found
+
+
+class Wrapper:
+    """What is known of a host: its references' shapes and, by a node's number there in page order, the text hash of
+    template nodes and the content's place (-1: not known)."""
+
+    def __init__(self, shapes: list[list], template: list[dict[int, int]] | None = None, places: list[int] | None = None):
+        self.shapes = shapes
+        self.numbers, self.parents, self.tags = [], [], []
+        for shape in shapes:
+            numbers, parents, tags, stack = {}, [], [], [(shape, -1)]
+            while stack:
+                node, parent = stack.pop()
+                numbers[id(node)] = at = len(tags)
+                parents.append(parent)
+                tags.append(node[0].partition(".")[0])
+                stack.extend((c, at) for c in reversed(node[2]))
+            self.numbers.append(numbers)
+            self.parents.append(parents)
+            self.tags.append(tags)
+        self.template = template or [{} for _ in shapes]
+        self.places = places or [-1] * len(shapes)
+
+    def matches(self, root: Node, options: Options) -> list[tuple[int, list[tuple[Node, list]]]]:
+        """The references that fit a page about as well as the best does, best first, each with its matched nodes.
+
+        How well is the share of both trees' nodes that are matched.
+        """
+        own, size, found = root.shape(), sum(1 for _ in root.nodes()), []
+        for k, shape in enumerate(self.shapes):
+            pairs = align(root, shape, own, options.max_cells)[1]
+            found.append((-2 * len(pairs) / (size + len(self.tags[k])), k, pairs))
+        found.sort(key=lambda x: x[:2])
+        return [(k, pairs) for fit, k, pairs in found if fit <= options.fit_share * found[0][0]]
+
+    def place(self, root: Node, k: int, pairs: list[tuple[Node, list]]) -> None:
+        """Gives the page's nodes the numbers of the reference's nodes that they match."""
+        for node in root.nodes():
+            node.at = -1
+        for node, shape in pairs:
+            node.at = self.numbers[k][id(shape)]
+
+    def learn(self, seen: list[tuple[int, int, int, int, int]], options: Options) -> None:
+        """Template and places from (reference, node, text hash of the template or 0, characters that vary, characters).
+
+        Where little varies the pages are near copies of each other, and what they share is no template.
+        """
+        for k, parents in enumerate(self.parents):
+            rows = [x[1:] for x in seen if x[0] == k]
+            if sum(c for _, _, c, _ in rows) < options.vary_share * sum(c for *_, c in rows):
+                continue
+            self.template[k] = {n: t for n, t, _, _ in rows if t}
+            mass = [0] * len(parents)
+            for n, _, c, _ in rows:
+                mass[n] += c
+            for n in range(len(mass) - 1, 0, -1):
+                mass[parents[n]] += mass[n]
+            heavy = [n for n, m in enumerate(mass) if m >= options.main_share * mass[0] > 0 and self.tags[k][n] not in TEXT_TAGS]
+            self.places[k] = heavy[-1] if heavy else -1
 
-    walk(node, own, shape)
 
+def observed(root: Node, wrapper: Wrapper, options: Options) -> list[tuple[int, int, int, int]]:
+    """(reference, node there, text hash, characters) of the page's texts, for every reference that fits.
 
-def _varying(node: Node, references: int) -> int:
-    """Characters below a node that the template does not hold."""
-    if node.boiler:
-        return 0
-    own = 0 if references and (node.template or 1 < references == node.constant) else len(node.text)
-    return own + sum(_varying(c, references) for c in node.children)
+    A text that matches nothing counts, without its hash, for the node above it; one that names call boilerplate has
+    no characters, so it can be template but no place of the content.
+    """
+    out = []
+    for k, pairs in wrapper.matches(root, options):
+        wrapper.place(root, k, pairs)
+        stack = [(root, 0, False)]
+        while stack:
+            node, above, boiler = stack.pop()
+            boiler |= node.boiler and options.names
+            at = node.at if node.at >= 0 else above
+            if node.text:
+                out.append((k, at, node.key() if node.at >= 0 else 0, 0 if boiler else len(node.text)))
+            stack.extend((c, at, boiler) for c in node.children)
+    return out
+
+
+def _content(root: Node, place: int, options: Options) -> list[Node]:
+    """The nodes that hold the content: those at the host's place, or where that is open or not on this page the whole
+    page; and of these what the page itself marks as article or main part, if anything there is left."""
+    tops = [n for n in root.nodes() if n.at == place] if place > 0 else []
+    tops = tops or [root]
+    if not options.names:
+        return tops
+    marked, stack = [], tops[::-1]
+    while stack:
+        node = stack.pop()
+        if node.boiler:
+            continue
+        if node.main:
+            marked.append(node)
+        else:
+            stack.extend(reversed(node.children))
+    return [m for m in marked if any(_kept(m, options))] or tops
 
 
-def _slot(root: Node, references: int, share: float) -> list[Node]:
-    """The nodes that hold the content: marked main parts, or else the deepest node with most of the varying text.
+def _kept(top: Node, options: Options) -> Iterator[str]:
+    """Texts below a node that are neither template nor boilerplate by name, in page order."""
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.boiler and options.names:
+            continue
+        if node.text and not node.template:
+            yield node.text
+        stack.extend(reversed(node.children))
 
-    Without another page to compare with nothing is known to vary, and the whole page is the place.
-    """
-    marked: list[Node] = []
 
-    def find(node: Node) -> None:
-        for c in node.children:
-            if c.boiler:
-                continue
-            if c.main:
-                marked.append(c)
-            else:
-                find(c)
-
-    find(root)
-    marked = [m for m in marked if _varying(m, 0)]
-    if marked:
-        return marked
-    at = root
-    if not references:
-        return [at]
-    while True:
-        total = _varying(at, references)
-        child = max(at.children, key=lambda c: _varying(c, references), default=None)
-        if child is None or child.tag == "#text" or child.boiler or _varying(child, references) < share * total or total == 0 or child.tag.partition(".")[0] in ("p", "td", "li"):
-            return [at]
-        at = child
-
-
-def extract(source: str | None, references: list[list], options: Options = Options(), held: frozenset[int] | None = None) -> str:
-    """Main text of a page, blocks joined by two line ends.
-
-    ``references`` are shapes of other pages of the host.  One that equals the page in all its text is a copy and
-    says nothing about the template.  Nodes that the host's pages hold (``held``, see held_nodes) are template; of a host
-    with too few pages to tell, those that keep their text in every reference.  The slot is where the text varies, or what the page itself marks as article; boilerplate by name stays out of both.
-    """
+def extract(source: str | None, wrapper: Wrapper | None = None, options: Options = Options()) -> str:
+    """Main text of a page, blocks joined by two line ends; without a wrapper the names alone decide."""
     root = parse(source)
-    own = root.shape()
-    mine = list(_texts(own))
-    others = [r for r in references if list(_texts(r)) != mine]
-    for r in others:
-        align(root, r, own, options.max_cells)
-    n = len(others)
-    for node, _, full in _placed(root):
-        node.template = full in held if held is not None else 0 < n == node.constant
-    out: list[str] = []
-
-    def emit(node: Node, marked: bool) -> None:
-        if node.boiler:
-            return
-        if node.text and (marked or not node.template):
-            out.append(node.text)
-        for c in node.children:
-            emit(c, marked)
-
-    for node in _slot(root, n, options.main_share):
-        emit(node, node.main)
-    return "\n\n".join(out)
+    place = -1
+    if wrapper is not None and wrapper.shapes:
+        k, pairs = wrapper.matches(root, options)[0]
+        wrapper.place(root, k, pairs)
+        template, place = wrapper.template[k], wrapper.places[k]
+        for node in root.nodes():
+            node.template = bool(node.text) and node.at in template and template[node.at] == node.key()
+    return "\n\n".join(text for node in _content(root, place, options) for text in _kept(node, options))
 
 
 def _to_text(shape: list) -> str:
-    return f"{shape[0].replace('(', '').replace(')', '').replace(' ', '_')} {shape[1]}({''.join(map(_to_text, shape[2]))})"
+    out, stack = [], [shape]
+    while stack:
+        node = stack.pop()
+        if node is None:
+            out.append(")")
+            continue
+        out.append(f"{node[0].replace('(', '').replace(')', '').replace(' ', '_')} {node[1]}(")
+        stack.append(None)
+        stack.extend(reversed(node[2]))
+    return "".join(out)
 
 
 def _from_text(text: str) -> list:
@@ -381,81 +456,98 @@ def _from_text(text: str) -> list:
     return top[2][0]
 
 
-def held_nodes(rows: DataFrame, options: Options) -> DataFrame:
-    """(g, held): each host's template nodes, counted over all its pages (host, html); copies of a page count once.
-
-    Hosts with fewer than options.least_pages different pages have no row.  Counts are pre-aggregated by node.
-    """
-
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, places, fulls = [], [], []
-            for html in batch["html"]:
-                found, text = {}, xxhash.xxh64()
-                for node, place, full in _placed(parse(html)):
-                    found[full] = place
-                    text.update(node.text.encode("utf-8", "surrogatepass") + b"\0")
-                texts.append(text.intdigest() - (1 << 63))
-                places.append(list(found.values()))
-                fulls.append(list(found))
-            yield pd.DataFrame({"g": batch["host"], "x": texts, "p": places, "f": fulls})
-
-    seen = rows.where("host IS NOT NULL").select("host", "html").mapInPandas(marks, "g string, x long, p array<long>, f array<long>")
-    seen = seen.groupBy("g", "x").agg(F.min(F.struct("p", "f")).alias("m")).select("g", "m.*")
-    nothing = F.lit(None).cast("long").alias("full")
-    nodes = F.concat(F.zip_with("p", "f", lambda p, f: F.struct(p.alias("place"), f.alias("full"))), F.transform(F.array_distinct("p"), lambda p: F.struct(p.alias("place"), nothing)))
-    counts = seen.select("g", F.explode(nodes).alias("e")).groupBy("g", "e.place", "e.full").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= options.least_pages)
-    counts = written(counts)
-    totals = counts.where("full IS NULL").select("g", "place", F.col("n").alias("total"))
-    kept = totals.join(counts.where("full IS NOT NULL"), ["g", "place"], "left")
-    return kept.groupBy("g").agg(F.collect_set(F.when(F.col("n") >= options.held_share * F.col("total"), F.col("full"))).alias("held"))
-
-
-def main_text(pages: DataFrame, *, id_col: str = "page_id", options: Options = Options()) -> DataFrame:
-    """Main text of every page: id, url, text, n_chars.
+def wrappers(rows: DataFrame, options: Options) -> DataFrame:
+    """(h, s, seen, n): each host's references, of their nodes the template's text hash and the characters that vary, its pages.
 
-    What is template is counted over all pages of a host (held_nodes).  Each host's reference pages are those with the smallest hashes of id and round, found by an aggregate, so a host
-    of any size costs one shape per task.  The shapes come to the pages by a broadcast while their counted size
-    allows, else by a join on the host that can be split.  Null html: empty text; null url: a host of its own;
-    repeated rows: alike; a host with one page: no template, only names; an empty table: an empty table.
+    ``rows`` has (id, url, html, host).  The references of a host are the pages with the smallest hashes of id and
+    round, found by an aggregate.  Then every page is aligned with them and its texts are counted by node; pages with the same
+    text count once.  Counts are pre-aggregated, so a host of any size is spread over all
+    tasks, and a host's row is no larger than its references.
     """
-    small_batches(pages.sparkSession)
-    host, _ = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host)
     order = lambda k: F.xxhash64(F.lit(k), F.col("id"), F.col("url"))
     picks = rows.groupBy("host").agg(*[F.min(F.struct(order(k).alias("o"), F.col("id"), F.col("url"))).alias(f"p{k}") for k in range(options.references)])
     chosen = picks.select("host", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.id", f"p{k}.url") for k in range(options.references)]))).alias("p"))
     chosen = written(chosen.select(F.col("host").alias("h"), F.col("p.id").alias("i"), F.col("p.url").alias("u")))
     few = fits_broadcast(chosen.count(), 200)
-    hint = F.broadcast if few else lambda t: t
-    pages_of = rows.join(hint(chosen), F.col("host").eqNullSafe(F.col("h")) & F.col("id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")))
+    pages_of = rows.join(F.broadcast(chosen) if few else chosen, F.col("host").eqNullSafe(F.col("h")) & F.col("id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")))
 
     def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_to_text(parse(h).shape()) for h in batch["html"]]
-            yield pd.DataFrame({"h": batch["host"], "s": found, "bytes": list(map(len, found))})
+            yield pd.DataFrame({"h": batch["host"], "s": [_to_text(parse(h).shape()) for h in batch["html"]]})
+
+    outlines = pages_of.select("host", "html").mapInPandas(shapes, "h string, s string").where("h IS NOT NULL")
+    outlines = outlines.groupBy("h", F.xxhash64("s").alias("x")).agg(F.min("s").alias("s")).groupBy("h").agg(F.slice(F.array_sort(F.collect_set("s")), 1, options.references).alias("s"))
+    weights = rows.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    outlines = written(outlines.join(weights, "h").where(F.col("n") >= options.least_pages))
+
+    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known()
+        for batch in batches:
+            out = []
+            for host, html, found in zip(batch["h"], batch["html"], batch["s"], strict=True):
+                root = parse(html)
+                whole = "\0".join(n.text for n in root.nodes() if n.text)
+                seen = observed(root, known.wrapper(host, found, None, options), options)
+                out.append((host, xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass")) - (1 << 63), *([r[i] for r in seen] for i in range(4))))
+            yield pd.DataFrame(out, columns=["h", "x", "k", "at", "t", "c"])
+        give_back()
+
+    joined = split_join(rows.where("host IS NOT NULL").select(F.col("host").alias("h"), "html"), outlines, ["h"], "n")
+    seen = joined.mapInPandas(observe, "h string, x long, k array<int>, at array<int>, t array<long>, c array<int>")
+    seen = seen.groupBy("h", "x").agg(F.min(F.struct("k", "at", "t", "c")).alias("m"))
+    nodes = seen.select("h", F.explode(F.arrays_zip("m.k", "m.at", "m.t", "m.c")).alias("e")).select("h", "e.*")
+    counts = nodes.groupBy("h", "k", "at", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
+    most = F.max_by(F.struct("t", "n", "c"), F.struct("n", "t"))
+    by_node = counts.groupBy("h", "k", "at").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), most.alias("top"))
+    held = (F.col("top.t") != 0) & (F.col("top.n") >= options.least_pages) & (F.col("top.n") >= options.held_share * F.col("n"))
+    by_node = by_node.select("h", "k", "at", F.when(held, F.col("top.t")).otherwise(0).alias("t"), (F.col("c") - F.when(held, F.col("top.c")).otherwise(0)).alias("v"), "c")
+    learnt = by_node.groupBy("h").agg(F.collect_list(F.struct("k", "at", "t", "v", "c")).alias("seen"))
+    different = seen.groupBy("h").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= options.least_pages).select("h")
+    return outlines.join(learnt.join(different, "h", "left_semi"), "h", "left")
+
+
+class _Known:
+    """Wrappers of the hosts that a task has met last."""
+
+    def __init__(self):
+        self.held: dict[str, Wrapper | None] = {}
+
+    def wrapper(self, host: str | None, shapes, seen, options: Options) -> Wrapper | None:
+        if shapes is None:
+            return None
+        if host not in self.held:
+            if len(self.held) > 1000:
+                self.held.clear()
+            made = Wrapper([_from_text(s) for s in shapes])
+            if seen is not None:
+                made.learn([(r["k"], r["at"], r["t"], r["v"], r["c"]) for r in seen], options)
+            self.held[host] = made
+        return self.held[host]
 
-    outlines = pages_of.select("host", "html").mapInPandas(shapes, "h string, s string, bytes long")
-    outlines = written(outlines.groupBy("h", F.xxhash64("s").alias("x")).agg(F.min("s").alias("s"), F.max("bytes").alias("bytes")).groupBy("h").agg(F.slice(F.array_sort(F.collect_set("s")), 1, options.references).alias("s"), F.sum("bytes").alias("bytes")))
-    size = outlines.agg(F.sum("bytes")).first()[0] or 0
-    joined = rows.join(F.broadcast(outlines.drop("bytes")) if fits_broadcast(size, 1) else outlines.drop("bytes"), F.col("host") == F.col("h"), "left")
 
-    held = written(held_nodes(rows, options))
-    nodes = held.agg(F.sum(F.size("held"))).first()[0] or 0
-    joined = joined.join(F.broadcast(held) if fits_broadcast(nodes, 8) else held, F.col("host") == F.col("g"), "left")
+def main_text(pages: DataFrame, *, id_col: str = "page_id", options: Options = Options()) -> DataFrame:
+    """Main text of every page: id, url, text, n_chars.
+
+    What is template and where the content lies is learnt from all pages of a host (wrappers).  The wrappers come to
+    the pages by a broadcast of the hosts with very many pages and a join of the others.  Null html: empty text; null url: no
+    host, so names alone decide; repeated rows: alike; a host with fewer than options.least_pages different pages: names
+    alone; a very long or deep html: read whole, by itself; an empty table: an empty table; other columns are not read.
+    """
+    small_batches(pages.sparkSession)
+    host, _ = host_and_path(F.col("url"))
+    rows = pages.select(F.col(id_col).alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", F.nullif(host, F.lit("")))
+    known = written(wrappers(rows, options))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[list[list], frozenset[int] | None]] = {}
+        hosts = _Known()
         for batch in batches:
             texts = []
-            for host, html, found, nodes in zip(batch["host"], batch["html"], batch["s"], batch["held"], strict=True):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = [_from_text(s) for s in found] if found is not None else [], frozenset(map(int, nodes)) if nodes is not None else None
-                shapes_of, held_of = known[host]
-                texts.append(extract(html, shapes_of, options, held_of))
+            for host, html, found, seen in zip(batch["h"], batch["html"], batch["s"], batch["seen"], strict=True):
+                wrapper = hosts.wrapper(host, found, seen, options) if seen is not None else None
+                texts.append(extract(html, wrapper, options))
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        give_back()
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.select("id", "url", "host", "html", "s", "held").mapInPandas(read, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    joined = split_join(rows.withColumnRenamed("host", "h"), known, ["h"], "n", "left")
+    return joined.select("id", "url", "h", "html", "s", "seen").mapInPandas(read, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
