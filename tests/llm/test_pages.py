@@ -84,6 +84,33 @@ def test_propagation_follows_links(spark):
     assert got["liar"][1] > got["good"][1] and got["friend"][0] > got["far"][0] > 0
 
 
+def test_propagation_over_ten_thousand_hosts(spark):
+    """Hubs that everyone links to or that link to everyone, dangling hosts, and hosts apart, against plain Python."""
+    rng = random.Random(29)
+    hosts = [f"h{k}" for k in range(10_000)]
+    links = {("h0", f"h{k}") for k in range(1, 4000)} | {(f"h{k}", "h1") for k in range(2, 5000)}
+    links |= {(rng.choice(hosts[:9000]), rng.choice(hosts[:9500])) for _ in range(20_000)}
+    links = [(a, b, 1 + len(a + b) % 3) for a, b in sorted(links) if a != b]
+    seeds = [(h, 1 / 50 if k % 200 == 0 else 0.0, 1 / 50 if k % 200 == 1 else 0.0) for k, h in enumerate(hosts)]
+    options = urlgraph.Options(rounds=5, still=0.0)
+    frames = spark.createDataFrame(links, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trusted double, blocked double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in rows_of(urlgraph.propagate(*frames, options))}
+    out, into = collections.Counter(), collections.Counter()
+    for a, b, n in links:
+        out[a] += n
+        into[b] += n
+    start = {h: (0.15 * x, 0.15 * y) for h, x, y in seeds}
+    trust, distrust = {h: x for h, (x, _) in start.items()}, {h: y for h, (_, y) in start.items()}
+    for _ in range(options.rounds):
+        t, b = {h: x for h, (x, _) in start.items()}, {h: y for h, (_, y) in start.items()}
+        for x, y, n in links:
+            t[y] += 0.85 * trust[x] * n / out[x]
+            b[x] += 0.85 * distrust[y] * n / into[y]
+        trust, distrust = t, b
+    assert got.keys() == set(hosts)
+    assert all(abs(got[h][0] - trust[h]) < 1e-12 and abs(got[h][1] - distrust[h]) < 1e-12 for h in hosts)
+
+
 def test_distrust_blocks_pages_without_rule(spark):
     html = '<a href="http://bad.net/x">x</a>'
     rows = [(1, "http://liar.com/a", html), (2, "http://fine.com/a", '<a href="/in">x</a>'), (3, "http://bad.net/", "")]
@@ -208,7 +235,7 @@ def test_template_leaves_pages_with_and_without_article(spark):
 
 def test_outlines_travel_as_text():
     shape = webtext.parse(page('<article><p>x</p><ul class="a b"><li>1</li></ul></article>')).shape()
-    assert webtext._from_text(webtext._to_text(shape))[2][0][2][0][0] == shape[2][0][2][0][0]
+    assert [(x.label.replace(" ", "_"), x.text) for x in shape.all()] == [(x.label, x.text) for x in webtext._from_text(webtext._to_text(shape)).all()]
     deep = webtext.parse("<div>" * 3000 + "x").shape()
     assert webtext._to_text(webtext._from_text(webtext._to_text(deep))) == webtext._to_text(deep)
 
@@ -223,13 +250,13 @@ def test_alignment_is_a_largest_simple_tree_matching():
     """Scores against the recursion of simple tree matching, written out."""
 
     def matching(a, b):
-        if a[0] != b[0]:
+        if a.label != b.label:
             return 0
-        best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
-        for i, x in enumerate(a[2], 1):
-            for j, y in enumerate(b[2], 1):
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children, 1):
+            for j, y in enumerate(b.children, 1):
                 best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + matching(x, y))
-        return 1 + (a[1] == b[1] != 0) + best[-1][-1]
+        return 1 + (a.text == b.text != 0) + best[-1][-1]
 
     rng = random.Random(17)
 
@@ -242,7 +269,7 @@ def test_alignment_is_a_largest_simple_tree_matching():
         one, two = webtext.parse(tree(3)), webtext.parse(tree(3))
         score, found = webtext.align(one, two.shape(), one.shape(), 1_000_000)
         assert score == matching(one.shape(), two.shape())
-        assert score == sum(1 + (bool(n.text) and n.shape()[1] == b[1]) for n, b in found)
+        assert score == sum(1 + (bool(n.text) and n.shape().text == b.text) for n, b in found)
 
 
 def test_long_child_lists_are_aligned_whole():

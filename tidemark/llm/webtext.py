@@ -73,6 +73,34 @@ class Options:
     names: bool = True
 
 
+class Shape:
+    """Label, hash of the text and children of a node, and of the tree below it: nodes, score when matched with itself, and
+    hashes of the labels alone and of labels and texts.  number: place in page order, for a reference."""
+
+    __slots__ = ("children", "full", "label", "labels", "nodes", "number", "score", "text")
+
+    def __init__(self, label: str, text: int, children: list[Shape]):
+        self.label, self.text, self.children, self.number = label, text, children, -1
+        if children:
+            self.nodes = 1 + sum([c.nodes for c in children])
+            self.score = 1 + (text != 0) + sum([c.score for c in children])
+            self.labels = hash((label, *[c.labels for c in children]))
+            self.full = hash((label, text, *[c.full for c in children]))
+        else:
+            self.nodes, self.score = 1, 1 + (text != 0)
+            self.labels, self.full = hash((label,)), hash((label, text))
+
+    def all(self) -> list[Shape]:
+        """The node and all below it, in page order."""
+        out, stack = [], [self]
+        while stack:
+            shape = stack.pop()
+            out.append(shape)
+            if shape.children:
+                stack += shape.children[::-1]
+        return out
+
+
 @dataclass
 class Node:
     """A block of the page; text without markup of the stretches between its child blocks."""
@@ -85,21 +113,22 @@ class Node:
     at: int = -1
     template: bool = False
 
-    def nodes(self) -> Iterator[Node]:
+    def nodes(self) -> list[Node]:
         """The node and all below it, in page order."""
-        stack = [self]
+        out, stack = [], [self]
         while stack:
             node = stack.pop()
-            yield node
-            stack.extend(reversed(node.children))
-
-    def shape(self) -> list:
-        """Label, hash of the text, children: what an alignment with another page needs."""
-        shapes: dict[int, list] = {}
-        for node in self.nodes():
-            shapes[id(node)] = [node.tag, xxhash.xxh32_intdigest(node.text.encode("utf-8", "surrogatepass")) if node.text else 0, []]
-        for node in self.nodes():
-            shapes[id(node)][2].extend(shapes[id(c)] for c in node.children)
+            out.append(node)
+            if node.children:
+                stack += node.children[::-1]
+        return out
+
+    def shape(self) -> Shape:
+        """What an alignment with another page needs."""
+        shapes: dict[int, Shape] = {}
+        for node in reversed(self.nodes()):
+            text = xxhash.xxh32_intdigest(node.text.encode("utf-8", "surrogatepass")) if node.text else 0
+            shapes[id(node)] = Shape(node.tag, text, [shapes.pop(id(c)) for c in node.children])
         return shapes[id(self)]
 
     def key(self) -> int:
@@ -212,7 +241,7 @@ def parse(source: str | None) -> Node:
 def _spare_wrappers(root: Node) -> None:
     """Nodes that only sound like boilerplate, such as a form around the whole page, are none: those that hold a main
     part or most of the page's text."""
-    order = list(root.nodes())
+    order = root.nodes()
     size = {id(n): len(n.text) for n in order}
     main = {id(n): n.main and not n.boiler for n in order}
     for node in reversed(order):
@@ -228,57 +257,99 @@ def _spare_wrappers(root: Node) -> None:
                 node.boiler = False
 
 
-def align(node: Node, shape: list, own: list, max_cells: int) -> tuple[int, list[tuple[Node, list]]]:
+def align(node: Node, shape: Shape, own: Shape, max_cells: int, order: list[Shape] | None = None, texts: set[int] | None = None) -> tuple[int, list[tuple[Node, Shape]]]:
     """Simple tree matching of a page with another's shape: the score, and the matched nodes with their shapes there.
 
     Roots match by label; their children are matched in order so that the number of matched nodes, and of those with
-    the same text, is largest.
+    the same text, is largest.  Equal trees at the start or end of two lists match each other, and so do trees of equal labels
+    in lists without a text that the other page has: neither could match better elsewhere.  What is left takes a table.
+    ``order`` and ``texts`` are all shapes of the page, and all texts of the other one, where they are known already.
     """
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # as deep as the trees are
+    texts = {x.text for x in shape.all()} - {0} if texts is None else texts
+    shared: set[int] = set()  # the page's nodes with a text below them that the other page has
+    for x in (own.all() if order is None else order)[::-1]:
+        if x.text in texts:
+            shared.add(id(x))
+        else:
+            for c in x.children:
+                if id(c) in shared:
+                    shared.add(id(x))
+                    break
     score: dict[tuple[int, int], int] = {}
-
-    def next_row(x: list, above: list[int], b: list) -> list[int]:
-        row = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            top = above[j] if above[j] >= row[j - 1] else row[j - 1]
-            if x[0] == y[0]:
-                both = above[j - 1] + matched(x, y)
+    labels_only: dict[tuple[int, int], int] = {}
+
+    def ends(a: list[Shape], b: list[Shape], free: bool) -> tuple[int, int]:
+        """How many children match at the start and at the end of two lists; ``free``: they have no text in common."""
+        most, start, end = min(len(a), len(b)), 0, 0
+        if free:
+            while start < most and a[start].labels == b[start].labels:
+                start += 1
+            while end < most - start and a[-1 - end].labels == b[-1 - end].labels:
+                end += 1
+        else:
+            while start < most and a[start].full == b[start].full:
+                start += 1
+            while end < most - start and a[-1 - end].full == b[-1 - end].full:
+                end += 1
+        return start, end
+
+    def next_row(x: Shape, above: list[int], b: list[Shape]) -> list[int]:
+        row = [0]
+        left, label, j = 0, x.label, 0
+        for y in b:
+            top = above[j + 1]
+            if left > top:
+                top = left
+            if label == y.label:
+                both = above[j] + matched(x, y)
                 if both > top:
                     top = both
-            row[j] = top
+            row.append(top)
+            left = top
+            j += 1
         return row
 
-    def last_row(a: list, b: list) -> list[int]:
+    def last_row(a: list[Shape], b: list[Shape]) -> list[int]:
         row = [0] * (len(b) + 1)
         for x in a:
             row = next_row(x, row, b)
         return row
 
-    def matched(a: list, b: list) -> int:
-        if a[0] != b[0]:
+    def matched(a: Shape, b: Shape) -> int:
+        if a.label != b.label:
             return 0
-        if not a[2] or not b[2]:
-            return 1 + (a[1] == b[1] and a[1] != 0)
-        key = (id(a), id(b))
-        if key not in score:
-            found = 1 + last_row(a[2], b[2])[-1]
-            if len(score) >= max_cells:
-                score.clear()
-            score[key] = found
-        return score[key]
-
-    def pairs(a: list, b: list, i0: int = 0, j0: int = 0) -> Iterator[tuple[int, int]]:
+        if a.full == b.full:
+            return a.score
+        if not a.children or not b.children:
+            return 1 + (a.text == b.text != 0)
+        if id(a) in shared:
+            known, key = score, (id(a), id(b))
+        else:
+            known, key = labels_only, (a.labels, b.labels)
+        found = known.get(key)
+        if found is None:
+            x, y, free = a.children, b.children, known is labels_only
+            start, end = ends(x, y, free)
+            n, m = len(x) - end, len(y) - end
+            found = 1 + sum([c.nodes if free else c.score for c in [*x[:start], *x[n:]]])
+            if start < n and start < m:
+                found += last_row(x[start:n], y[start:m])[-1]
+            if len(known) >= max_cells:
+                known.clear()
+            known[key] = found
+        return found
+
+    def pairs(a: list[Shape], b: list[Shape], i0: int = 0, j0: int = 0) -> Iterator[tuple[int, int]]:
         """Places of the children matched with each other; large tables are halved, which needs two rows at a time."""
         n, m = len(a), len(b)
+        if not n or not m:
+            return
+        if n == m == 1:
+            if a[0].label == b[0].label:
+                yield i0, j0
+            return
         if n > 1 and n * m > max_cells:
-            most = min(n, m)
-            start = next((k for k in range(most) if a[k] != b[k]), most)
-            end = next((k for k in range(most - start) if a[-1 - k] != b[-1 - k]), most - start)
-            if start or end:
-                yield from ((i0 + k, j0 + k) for k in range(start))
-                yield from pairs(a[start : n - end], b[start : m - end], i0 + start, j0 + start)
-                yield from ((i0 + n - k, j0 + m - k) for k in range(end, 0, -1))
-                return
             half = n // 2
             up, down = last_row(a[:half], b), last_row(a[half:][::-1], b[::-1])
             cut = max(range(m + 1), key=lambda j: up[j] + down[m - j])
@@ -291,7 +362,7 @@ def align(node: Node, shape: list, own: list, max_cells: int) -> tuple[int, list
         i, j = n, m
         while i and j:
             x, y = a[i - 1], b[j - 1]
-            if x[0] == y[0] and best[i][j] == best[i - 1][j - 1] + matched(x, y):
+            if x.label == y.label and best[i][j] == best[i - 1][j - 1] + matched(x, y):
                 yield i0 + i - 1, j0 + j - 1
                 i, j = i - 1, j - 1
             elif best[i][j] == best[i - 1][j]:
@@ -303,7 +374,13 @@ def align(node: Node, shape: list, own: list, max_cells: int) -> tuple[int, list
     while open_:
         at, a, b = open_.pop()
         found.append((at, b))
-        open_ += [(at.children[i], a[2][i], b[2][j]) for i, j in pairs(a[2], b[2])]
+        nodes, x, y = at.children, a.children, b.children
+        start, end = ends(x, y, id(a) not in shared)
+        n, m = len(x) - end, len(y) - end
+        open_ += zip(nodes[:start], x[:start], y[:start], strict=True)
+        open_ += zip(nodes[n:], x[n:], y[m:], strict=True)
+        if start < n and start < m:
+            open_ += [(nodes[i], x[i], y[j]) for i, j in pairs(x[start:n], y[start:m], start, start)]
     return matched(own, shape), found
 
 
@@ -311,42 +388,36 @@ class Wrapper:
     """What is known of a host: its references' shapes and, by a node's number there in page order, the text hash of
     template nodes and the content's place (-1: not known)."""
 
-    def __init__(self, shapes: list[list], template: list[dict[int, int]] | None = None, places: list[int] | None = None):
+    def __init__(self, shapes: list[Shape], template: list[dict[int, int]] | None = None, places: list[int] | None = None):
         self.shapes = shapes
-        self.numbers, self.parents, self.tags = [], [], []
+        self.parents, self.tags, self.texts = [], [], []
         for shape in shapes:
-            numbers, parents, tags, stack = {}, [], [], [(shape, -1)]
-            while stack:
-                node, parent = stack.pop()
-                numbers[id(node)] = at = len(tags)
-                parents.append(parent)
-                tags.append(node[0].partition(".")[0])
-                stack.extend((c, at) for c in reversed(node[2]))
-            self.numbers.append(numbers)
+            order = shape.all()
+            parents = [-1] * len(order)
+            for n, x in enumerate(order):
+                x.number = n
+            for n, x in enumerate(order):
+                for c in x.children:
+                    parents[c.number] = n
             self.parents.append(parents)
-            self.tags.append(tags)
+            self.tags.append([x.label.partition(".")[0] for x in order])
+            self.texts.append({x.text for x in order} - {0})
         self.template = template or [{} for _ in shapes]
         self.places = places or [-1] * len(shapes)
 
-    def matches(self, root: Node, options: Options) -> list[tuple[int, list[tuple[Node, list]]]]:
+    def matches(self, root: Node, options: Options) -> list[tuple[int, list[tuple[Node, Shape]]]]:
         """The references that fit a page about as well as the best does, best first, each with its matched nodes.
 
         How well is the share of both trees' nodes that are matched.
         """
-        own, size, found = root.shape(), sum(1 for _ in root.nodes()), []
+        own, found = root.shape(), []
+        order = own.all()
         for k, shape in enumerate(self.shapes):
-            pairs = align(root, shape, own, options.max_cells)[1]
-            found.append((-2 * len(pairs) / (size + len(self.tags[k])), k, pairs))
+            pairs = align(root, shape, own, options.max_cells, order, self.texts[k])[1]
+            found.append((-2 * len(pairs) / (own.nodes + shape.nodes), k, pairs))
         found.sort(key=lambda x: x[:2])
         return [(k, pairs) for fit, k, pairs in found if fit <= options.fit_share * found[0][0]]
 
-    def place(self, root: Node, k: int, pairs: list[tuple[Node, list]]) -> None:
-        """Gives the page's nodes the numbers of the reference's nodes that they match."""
-        for node in root.nodes():
-            node.at = -1
-        for node, shape in pairs:
-            node.at = self.numbers[k][id(shape)]
-
     def learn(self, seen: list[tuple[int, int, int, int, int]], options: Options) -> None:
         """Template and places from (reference, node, text hash of the template or 0, characters that vary, characters).
 
@@ -374,15 +445,17 @@ def observed(root: Node, wrapper: Wrapper, options: Options) -> list[tuple[int,
     """
     out = []
     for k, pairs in wrapper.matches(root, options):
-        wrapper.place(root, k, pairs)
+        place = {id(node): shape.number for node, shape in pairs}
         stack = [(root, 0, False)]
         while stack:
             node, above, boiler = stack.pop()
             boiler |= node.boiler and options.names
-            at = node.at if node.at >= 0 else above
+            at = place.get(id(node))
             if node.text:
-                out.append((k, at, node.key() if node.at >= 0 else 0, 0 if boiler else len(node.text)))
-            stack.extend((c, at, boiler) for c in node.children)
+                out.append((k, above if at is None else at, 0 if at is None else node.key(), 0 if boiler else len(node.text)))
+            if node.children:
+                at = above if at is None else at
+                stack += [(c, at, boiler) for c in node.children]
     return out
 
 
@@ -423,37 +496,35 @@ def extract(source: str | None, wrapper: Wrapper | None = None, options: Options
     place = -1
     if wrapper is not None and wrapper.shapes:
         k, pairs = wrapper.matches(root, options)[0]
-        wrapper.place(root, k, pairs)
         template, place = wrapper.template[k], wrapper.places[k]
-        for node in root.nodes():
+        for node, shape in pairs:
+            node.at = shape.number
             node.template = bool(node.text) and node.at in template and template[node.at] == node.key()
     return "\n\n".join(text for node in _content(root, place, options) for text in _kept(node, options))
 
 
-def _to_text(shape: list) -> str:
+def _to_text(shape: Shape) -> str:
     out, stack = [], [shape]
     while stack:
         node = stack.pop()
         if node is None:
             out.append(")")
             continue
-        out.append(f"{node[0].replace('(', '').replace(')', '').replace(' ', '_')} {node[1]}(")
+        out.append(f"{node.label.replace('(', '').replace(')', '').replace(' ', '_')} {node.text}(")
         stack.append(None)
-        stack.extend(reversed(node[2]))
+        stack.extend(reversed(node.children))
     return "".join(out)
 
 
-def _from_text(text: str) -> list:
-    top: list = ["", 0, []]
-    stack = [top]
+def _from_text(text: str) -> Shape:
+    stack: list[tuple[str, int, list]] = [("", 0, [])]
     for m in re.finditer(r"([^\s()]+) (\d+)\(|\)", text):
         if m[0] == ")":
-            stack.pop()
+            label, hashed, children = stack.pop()
+            stack[-1][2].append(Shape(label, hashed, children))
         else:
-            node = [m[1], int(m[2]), []]
-            stack[-1][2].append(node)
-            stack.append(node)
-    return top[2][0]
+            stack.append((m[1], int(m[2]), []))
+    return stack[0][2][0]
 
 
 def wrappers(rows: DataFrame, options: Options) -> DataFrame:
@@ -487,7 +558,7 @@ def wrappers(rows: DataFrame, options: Options) -> DataFrame:
             for host, html, found in zip(batch["h"], batch["html"], batch["s"], strict=True):
                 root = parse(html)
                 whole = "\0".join(n.text for n in root.nodes() if n.text)
-                seen = observed(root, known.wrapper(host, found, None, options), options)
+                seen = [(-1, 0, 0, 0), *observed(root, known.wrapper(host, found, None, options), options)]
                 out.append((host, xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass")) - (1 << 63), *([r[i] for r in seen] for i in range(4))))
             yield pd.DataFrame(out, columns=["h", "x", "k", "at", "t", "c"])
         give_back()
@@ -500,10 +571,10 @@ def wrappers(rows: DataFrame, options: Options) -> DataFrame:
     most = F.max_by(F.struct("t", "n", "c"), F.struct("n", "t"))
     by_node = counts.groupBy("h", "k", "at").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), most.alias("top"))
     held = (F.col("top.t") != 0) & (F.col("top.n") >= options.least_pages) & (F.col("top.n") >= options.held_share * F.col("n"))
-    by_node = by_node.select("h", "k", "at", F.when(held, F.col("top.t")).otherwise(0).alias("t"), (F.col("c") - F.when(held, F.col("top.c")).otherwise(0)).alias("v"), "c")
-    learnt = by_node.groupBy("h").agg(F.collect_list(F.struct("k", "at", "t", "v", "c")).alias("seen"))
-    different = seen.groupBy("h").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= options.least_pages).select("h")
-    return outlines.join(learnt.join(different, "h", "left_semi"), "h", "left")
+    by_node = by_node.select("h", "k", "at", F.col("n").alias("pages"), F.when(held, F.col("top.t")).otherwise(0).alias("t"), (F.col("c") - F.when(held, F.col("top.c")).otherwise(0)).alias("v"), "c")
+    learnt = by_node.groupBy("h").agg(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "at", "t", "v", "c"))).alias("seen"), F.max(F.when(F.col("k") < 0, F.col("pages"))).alias("pages"))
+    learnt = learnt.where(F.col("pages") >= options.least_pages).drop("pages")
+    return outlines.join(learnt, "h", "left")
 
 
 class _Known:
