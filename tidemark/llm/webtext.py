@@ -42,7 +42,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
-SPACE = re.compile(r"\s+")
+NO_BRACKETS = str.maketrans("", "", "()")  # outlines of pages travel with brackets around children
 NAME_PARTS = re.compile(r"[a-z]+")
 # Elements and names that never wrap a page.
 SURE_TAGS = frozenset("nav footer aside head header menu button dialog".split())
@@ -139,6 +139,8 @@ def _attributes(source: str, inside_main: bool = False) -> tuple[bool, bool, str
     """(names boilerplate, names the main part, class for the label).  Within the main part a header is its title's."""
     boiler = main = False
     label = ""
+    if not source or source.isspace():
+        return boiler, main, label
     for m in ATTR.finditer(source):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -147,7 +149,7 @@ def _attributes(source: str, inside_main: bool = False) -> tuple[bool, bool, str
             main |= value in ("main", "article")
         elif name in ("class", "id"):
             boiler |= any(p in BOILER_NAMES and not (inside_main and p == "header") for p in NAME_PARTS.findall(value))
-            label += "." + value
+            label += "." + "_".join(value.split()).translate(NO_BRACKETS)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             boiler = True
     return boiler, main, label
@@ -163,7 +165,7 @@ def parse(source: str | None) -> Node:
 
     def flush() -> None:
         if pieces:
-            text = SPACE.sub(" ", html_lib.unescape("".join(pieces))).strip()
+            text = " ".join(html_lib.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
                 stack[-1].children.append(Node("#text", text=text))
@@ -242,19 +244,20 @@ def _spare_wrappers(root: Node) -> None:
     """Nodes that only sound like boilerplate, such as a form around the whole page, are none: those that hold a main
     part or most of the page's text."""
     order = root.nodes()
-    size = {id(n): len(n.text) for n in order}
-    main = {id(n): n.main and not n.boiler for n in order}
+    doubtful = [n for n in order if n.boiler and n.tag.partition(".")[0] not in SURE_TAGS and not SURE_NAMES.intersection(NAME_PARTS.findall(n.tag.partition(".")[2]))]
+    if not doubtful:
+        return
+    size, main = {}, {}
     for node in reversed(order):
+        n, has = len(node.text), node.main and not node.boiler
         for c in node.children:
-            size[id(node)] += size[id(c)]
-            main[id(node)] |= main[id(c)]
+            n += size[id(c)]
+            has = has or main[id(c)]
+        size[id(node)], main[id(node)] = n, has
     total = size[id(root)]
-    for node in order:
-        if node.boiler:
-            tag, _, label = node.tag.partition(".")
-            only_sounds = tag not in SURE_TAGS and not SURE_NAMES.intersection(NAME_PARTS.findall(label))
-            if only_sounds and (main[id(node)] and not node.main or size[id(node)] > WRAPPER_SHARE * total > 0):
-                node.boiler = False
+    for node in doubtful:
+        if main[id(node)] and not node.main or size[id(node)] > WRAPPER_SHARE * total > 0:
+            node.boiler = False
 
 
 def align(node: Node, shape: Shape, own: Shape, max_cells: int, order: list[Shape] | None = None, texts: set[int] | None = None) -> tuple[int, list[tuple[Node, Shape]]]:
@@ -510,7 +513,7 @@ def _to_text(shape: Shape) -> str:
         if node is None:
             out.append(")")
             continue
-        out.append(f"{node.label.replace('(', '').replace(')', '').replace(' ', '_')} {node.text}(")
+        out.append(f"{node.label} {node.text}(")
         stack.append(None)
         stack.extend(reversed(node.children))
     return "".join(out)
@@ -530,6 +533,8 @@ def _from_text(text: str) -> Shape:
 def wrappers(rows: DataFrame, options: Options) -> DataFrame:
     """(h, s, seen, n): each host's references, of their nodes the template's text hash and the characters that vary, its pages.
 
+    Both travel as one string each, which a task reads once per host and not once per page.
+
     ``rows`` has (id, url, html, host).  The references of a host are the pages with the smallest hashes of id and
     round, found by an aggregate.  Then every page is aligned with them and its texts are counted by node; pages with the same
     text count once.  Counts are pre-aggregated, so a host of any size is spread over all
@@ -547,7 +552,7 @@ def wrappers(rows: DataFrame, options: Options) -> DataFrame:
             yield pd.DataFrame({"h": batch["host"], "s": [_to_text(parse(h).shape()) for h in batch["html"]]})
 
     outlines = pages_of.select("host", "html").mapInPandas(shapes, "h string, s string").where("h IS NOT NULL")
-    outlines = outlines.groupBy("h", F.xxhash64("s").alias("x")).agg(F.min("s").alias("s")).groupBy("h").agg(F.slice(F.array_sort(F.collect_set("s")), 1, options.references).alias("s"))
+    outlines = outlines.groupBy("h", F.xxhash64("s").alias("x")).agg(F.min("s").alias("s")).groupBy("h").agg(F.concat_ws("\n", F.slice(F.array_sort(F.collect_set("s")), 1, options.references)).alias("s"))
     weights = rows.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     outlines = written(outlines.join(weights, "h").where(F.col("n") >= options.least_pages))
 
@@ -572,7 +577,7 @@ def wrappers(rows: DataFrame, options: Options) -> DataFrame:
     by_node = counts.groupBy("h", "k", "at").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), most.alias("top"))
     held = (F.col("top.t") != 0) & (F.col("top.n") >= options.least_pages) & (F.col("top.n") >= options.held_share * F.col("n"))
     by_node = by_node.select("h", "k", "at", F.col("n").alias("pages"), F.when(held, F.col("top.t")).otherwise(0).alias("t"), (F.col("c") - F.when(held, F.col("top.c")).otherwise(0)).alias("v"), "c")
-    learnt = by_node.groupBy("h").agg(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "at", "t", "v", "c"))).alias("seen"), F.max(F.when(F.col("k") < 0, F.col("pages"))).alias("pages"))
+    learnt = by_node.groupBy("h").agg(F.concat_ws(";", F.collect_list(F.when(F.col("k") >= 0, F.concat_ws(",", "k", "at", "t", "v", "c")))).alias("seen"), F.max(F.when(F.col("k") < 0, F.col("pages"))).alias("pages"))
     learnt = learnt.where(F.col("pages") >= options.least_pages).drop("pages")
     return outlines.join(learnt, "h", "left")
 
@@ -583,15 +588,15 @@ class _Known:
     def __init__(self):
         self.held: dict[str, Wrapper | None] = {}
 
-    def wrapper(self, host: str | None, shapes, seen, options: Options) -> Wrapper | None:
+    def wrapper(self, host: str | None, shapes: str | None, seen: str | None, options: Options) -> Wrapper | None:
         if shapes is None:
             return None
         if host not in self.held:
             if len(self.held) > 1000:
                 self.held.clear()
-            made = Wrapper([_from_text(s) for s in shapes])
+            made = Wrapper([_from_text(s) for s in shapes.split("\n")])
             if seen is not None:
-                made.learn([(r["k"], r["at"], r["t"], r["v"], r["c"]) for r in seen], options)
+                made.learn([tuple(map(int, x.split(","))) for x in seen.split(";") if x], options)
             self.held[host] = made
         return self.held[host]
 
