@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, written
+from .common import discard, fits_broadcast, split_join, written
 
 #: (verdict, host/path) rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -83,6 +83,7 @@ def propagate(links: DataFrame, seeds: DataFrame, options: Options = Options())
     Personalised PageRank carries trust along links, in shares of each host's links; distrust goes the other way,
     from a host to those that link to it, in shares of its incoming links.  Both walk in one pass over the edges;
     every round is written to the shared folder, so its lineage stays short and a lost executor costs one round.
+    Hosts with very many links meet them without a shuffle (split_join), and flows are added up before theirs.
     """
     d = options.damping
     out_of = links.groupBy("src").agg(F.sum("n").alias("out_n"))
@@ -91,16 +92,23 @@ def propagate(links: DataFrame, seeds: DataFrame, options: Options = Options())
     forward = edges.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), (F.col("n") / F.col("out_n")).alias("t"), F.lit(0.0).alias("b"))
     backward = edges.select(F.col("dst").alias("giver"), F.col("src").alias("taker"), F.lit(0.0).alias("t"), (F.col("n") / F.col("in_n")).alias("b"))
     shares = written(forward.unionByName(backward).groupBy("giver", "taker").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
+    fan = written(shares.groupBy(F.col("giver").alias("host")).agg(F.count(F.lit(1)).alias("n")))
     start = seeds.select("host", ((1 - d) * F.col("trusted")).alias("trust"), ((1 - d) * F.col("blocked")).alias("distrust"))
-    scores = start = written(start)
+    kept = [F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")]
+    scores = start = written(start.groupBy("host").agg(*kept))
     if not shares.head(1):
         return scores
+    links_of = shares.withColumnRenamed("giver", "host")
     for _ in range(options.rounds):
-        flow = shares.join(scores, F.col("giver") == F.col("host")).select(F.col("taker").alias("host"), (d * F.col("t") * F.col("trust")).alias("trust"), (d * F.col("b") * F.col("distrust")).alias("distrust"))
-        after = written(start.unionByName(flow).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+        givers = written(scores.join(fan, "host"))
+        flow = split_join(links_of, givers, ["host"], "n").select(F.col("taker").alias("host"), (d * F.col("t") * F.col("trust")).alias("trust"), (d * F.col("b") * F.col("distrust")).alias("distrust"))
+        after = written(start.unionByName(flow).groupBy("host").agg(*kept))
+        discard(givers)
         moved = after.unionByName(scores.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
         moved = moved.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("b"))
         delta = moved.agg(F.sum(F.abs("t") + F.abs("b"))).first()[0]
+        if scores is not start:
+            discard(scores)
         scores = after
         if (delta or 0.0) <= options.still:
             break
@@ -112,8 +120,8 @@ def judge(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", options: Op
 
     The longest fitting rule decides; without one the host's propagated scores do.  Hosts most of whose pages a
     block (allow) rule decides are the seeds.  A host that no score reaches is allowed, and so is a url without a
-    host.  Null html has no links; repeated rows count as pages of their own; a null id stays null; an empty table
-    gives an empty table; other columns are not read.
+    host.  Null html has no links; a very long html is read whole; repeated rows count as pages of their own; a null id stays null;
+    an empty table gives an empty table; other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), "url", "html").withColumn("host", host).withColumn("path", path)
