@@ -3,6 +3,10 @@
 Weights are divided by the score that an item gives itself, so scores run from 0 to 1 and one threshold serves items
 of any length.  A passage of twice the longest item's length starts at every item length, so every occurrence of an
 item lies in one passage whole.
+
+Before a passage enters WAND, a bound on the weights of its rarer terms settles most of them: an item's commonest terms
+cannot bring it to the threshold by themselves, so without enough of its rarer ones it is not retrieved.  The
+bound is exact; WAND finds the same items with it and without.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_CACHE_WORDS, give_back, small_batches
+from .common import HASH_CACHE_WORDS, give_back, small_batches, written
 from .toxicity import PUNCTUATION
 
 #: Words that are searched at a time.
@@ -63,7 +67,8 @@ def question_words(text: str) -> int:
 class Index:
     """Inverted index of items with the block maxima that WAND skips by."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], total: int, mean_length: float, options: Options):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], total: int, mean_length: float, options: Options, longest: int = 0):
+        """``longest``: words of the longest item of all, if others are in other indexes; passages are of its length."""
         self.options = options
         order = sorted(((len(terms_of(text)), item, text) for item, text in items), key=lambda x: (x[0], x[1], x[2]))
         self.items = [item for n, item, _ in order if n]
@@ -71,7 +76,7 @@ class Index:
         self.words = [terms_of(text) for text in texts]
         self.questions = [question_words(text) for text in texts]
         self.terms = {t: i for i, t in enumerate(sorted({w for ws in self.words for w in ws}))}
-        self.longest = max(map(len, self.words), default=1)
+        self.longest = max(longest, max(map(len, self.words), default=1))
         weights: list[dict[int, float]] = []
         for words in self.words:
             norm = options.k1 * (1 - options.b + options.b * len(words) / mean_length)
@@ -246,28 +251,32 @@ class Searcher:
         yield from self.find(held)
 
 
-def build_indexes(items: DataFrame, options: Options = Options(), *, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes of all items, each small enough to ship; term statistics are of all items together."""
+def build_indexes(items: DataFrame, options: Options = Options(), *, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """Indexes of all items, one after the other, each small enough to ship; the driver holds one at a time.
+
+    Term statistics and the passages' length are of all items together, so the results do not depend on how many
+    indexes there are.
+    """
     rows = items.select(F.col(id_col).cast("long").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / options.index_bytes))
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(t, len(w)) for w in map(terms_of, batch["text"]) for t in set(w)]
-            yield pd.DataFrame({"term": [t for t, _ in found]}).astype(object)
+            found = [t for text in batch["text"] for t in set(terms_of(text))]
+            yield pd.DataFrame({"term": found}).astype(object)
 
     lengths = rows.mapInPandas(lambda bs: (pd.DataFrame({"n": [len(terms_of(t)) for t in b["text"]]}) for b in bs), "n long").where("n > 0")
-    total, mean_length = lengths.agg(F.count(F.lit(1)), F.avg("n")).first()
+    total, mean_length, longest = lengths.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
     df = rows.mapInPandas(spell, "term binary").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    out = []
+    if shards > 1:
+        df = written(df)
     for shard in range(shards):
         part = rows.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
         own = [(r["item"], r["text"]) for r in part.collect()]
         known = df if shards == 1 else df.join(part.mapInPandas(spell, "term binary").distinct(), "term")
         counts = {bytes(r["term"]): r["df"] for r in known.collect()}
-        out.append(Index(own, counts, total, mean_length or 1.0, options))
-    return out
+        yield Index(own, counts, total, mean_length or 1.0, options, longest or 0)
 
 
 _searchers: dict[str, Searcher] = {}
@@ -285,7 +294,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     Every passage of every whole text searches the index; retrieved items are verified by the overlap of their
     shingles and of the words of question and answer.  Null texts hold nothing; repeated rows give repeated matches;
-    a null id stays null; items without words are never found; empty tables give no rows.  No shuffle of documents.
+    a null id stays null; a very long text is searched whole, passage by passage; items without words are never found;
+    repeated items are found each; empty tables give no rows; other columns are not read.  No shuffle of documents.
     """
     spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -311,7 +321,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", options: Options = Options()) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, as they are."""
+    """The rows of ``docs`` whose text holds no item, as they are, with all their columns whatever these are named.
+
+    Null, empty and wordless texts stay; very long ones are searched whole; repeated rows stay or go together; without items
+    all rows stay; an empty table gives an empty table.
+    """
     spark = small_batches(docs.sparkSession)
     kept = docs
     for index in build_indexes(items, options):
