@@ -328,7 +328,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Equal sets are one text from the start, whatever their number, so only different texts are searched.  Null or
     wordless texts have an empty set and are linked with nothing.  Rows that repeat an id share its component.  A
-    null id is linked with nothing, has no component, and is kept.  An empty table gives an empty table.
+    null id is linked with nothing, has no component, and is kept.  A very long text is one set, held whole.  An empty table gives
+    an empty table; other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -344,11 +345,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, as they are; of rows that repeat a kept id, all.
+    """The rows of ``docs`` that near_duplicates keeps, as they are, with all their columns whatever these are named.
 
-    The ids that go are broadcast while their counted size allows; else the join shuffles.
+    Of rows that repeat a kept id all stay, and so do those without id and null, empty or wordless texts.  Very long texts
+    are compared whole.  An empty table gives an empty table.  The ids that go are broadcast while their counted size allows;
+    else the join shuffles.
     """
     marked = near_duplicates(docs, id_col=id_col, text_col=text_col, options=options)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     gone = written(marked.where("NOT kept").select(F.col(id_col).alias("gone")).distinct())
     gone = F.broadcast(gone) if fits_broadcast(gone.count(), 16) else gone
-    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    kept = whole.join(gone, F.col(names[id_col]) == F.col("gone"), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
