@@ -257,6 +257,59 @@ def test_leaks_are_found_and_others_left(spark, edge_docs, no_docs):
     assert decontam.without_contaminated(edge_docs, bench).count() == edge_docs.count()
 
 
+def brute_leaks(rows, items, options):
+    """BM25 scores, overlaps and best passages in plain Python, every item against every passage."""
+    known = {i: decontam.terms_of(t) for i, t in items if i is not None and decontam.terms_of(t)}
+    texts = dict(items)
+    df = collections.Counter(w for ws in known.values() for w in set(ws))
+    mean = sum(map(len, known.values())) / len(known)
+    step = max(map(len, known.values()))
+    out = {}
+    for doc, text in rows:
+        words_ = decontam.terms_of(text)
+        for start in range(0, len(words_), step):
+            passage = words_[start : start + 2 * step]
+            for i, ws in known.items():
+                norm = options.k1 * (1 - options.b + options.b * len(ws) / mean)
+                raw = {w: np.log(1 + (len(known) - df[w] + 0.5) / (df[w] + 0.5)) * n * (options.k1 + 1) / (n + norm) for w, n in collections.Counter(ws).items()}
+                score = sum(x for w, x in raw.items() if w in set(passage)) / sum(raw.values())
+                if score < options.threshold - 1e-9:
+                    continue
+                k = min(options.shingle, len(ws))
+                there = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)}
+                held = [tuple(ws[j : j + k]) in there for j in range(len(ws) - k + 1)]
+                covered = [any(held[max(0, j - k + 1) : j + 1]) for j in range(len(ws))]
+                q = decontam.question_words(texts[i])
+                row = (sum(held) / len(held), score, start, sum(covered[:q]) / q, sum(covered[q:]) / (len(ws) - q) if len(ws) > q else 1.0)
+                if row[0] >= options.overlap and min(row[3], row[4]) >= options.part and ((doc, i) not in out or row[:2] > out[doc, i][:2]):
+                    out[doc, i] = row
+    return out
+
+
+def test_leaks_match_brute_force_whatever_the_number_of_indexes(spark):
+    rng = random.Random(16)
+    word = lambda: f"k{rng.randrange(400)}"
+    items = [(n, " ".join(word() for _ in range(rng.randrange(3, 40))) + "? " + " ".join(word() for _ in range(rng.randrange(9)))) for n in range(25)]
+    items += [(30, items[3][1]), (31, items[4][1] + " " + word())]
+    rows = []
+    for d in range(50):
+        text = [word() for _ in range(rng.randrange(2, 300))]
+        for _ in range(rng.randrange(3)):
+            leak = [w for w in rng.choice(items)[1].split() if rng.random() < 0.97]
+            at = rng.randrange(len(text))
+            text[at:at] = leak
+        rows.append((d, " ".join(text)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    options = decontam.Options(overlap=0.6, part=0.3)
+    expected = brute_leaks(rows, items, options)
+    assert len(expected) > 20
+    for index_bytes in (1 << 20, 300):
+        got = rows_of(decontam.contaminated(docs, bench, options=decontam.Options(overlap=0.6, part=0.3, index_bytes=index_bytes)))
+        found = {(r["doc_id"], r["item_id"]): (r["overlap"], r["score"], r["passage_start"], r["question"], r["answer"]) for r in got}
+        assert found.keys() == expected.keys() and len(got) == len(found)
+        assert all(np.allclose(found[x], expected[x]) for x in expected)
+
+
 # -- near duplicates
 
 
@@ -283,6 +336,12 @@ def brute_components(rows, shingle, percent):
     return collections.Counter((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets)
 
 
+def test_without_near_duplicates_keeps_all_columns(spark, edge_docs, no_docs):
+    kept = neardup.without_near_duplicates(edge_docs)
+    assert kept.columns == edge_docs.columns and no_docs.columns == neardup.without_near_duplicates(no_docs).columns
+    assert sorted(str(r["doc_id"]) for r in rows_of(kept)) == sorted(str(r["doc_id"]) for r in rows_of(neardup.near_duplicates(edge_docs)) if r["kept"])
+
+
 @pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 85, 1_500_000), (3, 85, 4_000), (5, 80, 1_500)])
 def test_near_duplicates_match_brute_force(spark, edge_rows, shingle, percent, block):
     rng = random.Random(1)
