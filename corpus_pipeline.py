@@ -1,66 +1,11 @@
-"""The corpus pipeline: five stages from raw documents to a mix of sources, each written and read again as Parquet."""
+"""The corpus pipeline: five stages from raw documents to a mix of sources, each written and read again as Parquet.
 
-from __future__ import annotations
+The stages are defined in ``tidemark.llm.pipeline``.
+"""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import common, decontam, mixing, neardup, substrings, toxicity
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models do not predict to be toxic."""
-    return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at a similarity of 0.8 or more."""
-    return neardup.without_near_duplicates(docs.select(*COLUMNS), options=neardup.Options(shingle=5, percent=80))
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 50 words that an earlier document has; a text of which nothing is left goes."""
-    cut = substrings.remove_repeats(docs, carry=("lang", "source", "n_chars"), with_text=True)
-    rows = cut.where("n_removed = 0 OR n_removed < n_words")
-    chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", chars.alias("n_chars"))
-
-
-def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that holds an item of ``benchmark``."""
-    return decontam.without_contaminated(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix of sources takes."""
-    return mixing.mix(docs, common.word_count(F.col("text")))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_duplicates),
-    ("substring_dedup", cut_repeats),
-    ("decontamination", drop_benchmark_leaks),
-    ("source_mix", mix_sources),
-]
+from tidemark.llm.pipeline import STAGES, run
 
 #: SQL expresses neither the models nor the links; tests hold the stages against brute-force versions.
 ORACLE_SQL: str | None = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = common.released(common.written(docs))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
