@@ -218,37 +218,34 @@ def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Ratios:
-    """A model's rows in arrays, to look up the words of a text."""
+    """A model's rows in sorted arrays, to look up the words of a text: words with their ratios, which of them are strong, pairs, contexts."""
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, ratio: np.ndarray, strong: np.ndarray, unknown: float):
-        self.unknown = unknown
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], strong: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], in_context: tuple[np.ndarray, np.ndarray], unknown: float):
+        self.words, self.strong, self.pairs, self.contexts, self.unknown = words, strong, pairs, in_context, unknown
+
+    @classmethod
+    def of_rows(cls, v: np.ndarray, w: np.ndarray, ratio: np.ndarray, strong: np.ndarray, unknown: float) -> Ratios:
         single, context = v == SINGLE, (v != SINGLE) & (w == ANY)
         pair = ~single & ~context
-        pick = lambda keys, which: (keys[o := np.argsort(keys)], ratio[which][o], strong[which][o])
-        self.words = pick(w[single].astype(np.uint64), single)
-        self.contexts = pick(v[context].astype(np.uint64), context)
-        self.pairs = pick(_pair_key(v[pair], w[pair]), pair)
+        pick = lambda keys, values: (keys[o := np.argsort(keys)], values[o].astype(np.float32))
+        return cls(pick(w[single], ratio[single]), np.sort(w[single & strong]), pick(_pair_key(v[pair], w[pair]), ratio[pair]), pick(v[context], ratio[context]), unknown)
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table[0]):
+    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return table[0][at] == keys, at
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return table[at] == keys, at
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of each word after the one before it, and the same where it is borne out, else 0."""
         before = contexts(ids)
-        known, at = self._find(self.words, ids.astype(np.uint64))
-        ratio = np.full(len(ids), self.unknown)
-        ratio[known] = self.words[1][at[known]]
-        proof = np.zeros(len(ids))
-        borne = known.copy()
-        borne[known] = self.words[2][at[known]]
-        proof[borne] = ratio[borne]
-        in_context, at = self._find(self.contexts, before.astype(np.uint64))
-        ratio[in_context] += self.contexts[1][at[in_context]]
-        kept, at = self._find(self.pairs, _pair_key(before, ids))
+        known, at = self._find(self.words[0], ids)
+        ratio = np.where(known, self.words[1][at], self.unknown) if len(self.words[0]) else np.full(len(ids), self.unknown)
+        proof = np.where(self._find(self.strong, ids)[0], ratio, 0.0)
+        there, at = self._find(self.contexts[0], before)
+        ratio[there] += self.contexts[1][at[there]]
+        kept, at = self._find(self.pairs[0], _pair_key(before, ids))
         ratio[kept] = proof[kept] = self.pairs[1][at[kept]]
         return ratio, proof
 
@@ -279,17 +276,19 @@ def features(docs: DataFrame, model: Model, options: Options = Options(), *, tex
     schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), *(f"{c} double" for c in FEATURES)])
     window, unknown = options.window, model.unknown
     own = ("v", "w", "ratio", "strong")
-    arrays = lambda rows: (np.asarray(rows["v"], np.int64), np.asarray(rows["w"], np.int64), np.asarray(rows["ratio"], float), np.asarray(rows["strong"], bool))
-    whole = fits_broadcast(model.rows.count(), 32, options.broadcast_bytes)
-    shipped = spark.sparkContext.broadcast(arrays(model.rows.toPandas())) if whole else None
+    kinds_of = {"v": np.int64, "w": np.int64, "ratio": float, "strong": bool}
+    whole = fits_broadcast(model.rows.count(), 12, options.broadcast_bytes)
+    if whole:
+        table = model.rows.toArrow()
+        shipped = spark.sparkContext.broadcast(Ratios.of_rows(*(table.column(c).to_numpy() for c in own), unknown))
+        del table
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = Ratios(*shipped.value, unknown) if whole else None
         for batch in batches:
             found = []
             parts = [None] * batch.num_rows if whole else batch.column("model").to_pylist()
             for one, part in zip(batch.column(text).to_pylist(), parts, strict=True):
-                of = ratios or Ratios(*arrays({k: [r[k] for r in part or ()] for k in own}), unknown)
+                of = shipped.value if whole else Ratios.of_rows(*(np.array([r[k] for r in part or ()], t) for k, t in kinds_of.items()), unknown)
                 found.append(of.features(one, window))
             scored = [pa.array([f[k] for f in found], pa.float64()) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *scored], [*rest, *FEATURES])
