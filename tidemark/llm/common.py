@@ -152,3 +152,15 @@ def discard(*tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch(list):
+    """Written tables of one computation, to be deleted together when what was made of them is written itself."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.append(written(df))
+        return self[-1]
+
+    def clear(self) -> None:
+        discard(*self)
+        super().clear()

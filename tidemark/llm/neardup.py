@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, give_back, hash_words, mix64, released, shuffle_partitions, small_batches, written
+from .common import Scratch, fits_broadcast, give_back, hash_words, mix64, released, shuffle_partitions, small_batches, written
 from .components import connected_components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -265,38 +265,45 @@ def similar_texts(docs: DataFrame, sets: DataFrame, options: Options) -> DataFra
     candidate pairs are confirmed, the likeliest first and more of them in each round; at last every text that
     is still outside a group's largest part is compared with all of its group.
     """
-    pairs = released(written(candidate_pairs(sets, options)))
+    keep = Scratch()
+    found = _similar_texts(docs, sets, options, keep)
+    keep.clear()
+    return found
+
+
+def _similar_texts(docs: DataFrame, sets: DataFrame, options: Options, keep: Scratch) -> DataFrame:
+    pairs = released(keep(candidate_pairs(sets, options)))
     labels = connected_components(pairs.select("a", "b"))
-    more = released(written(pairs_between_groups(sets, labels, options)))
+    more = released(keep(pairs_between_groups(sets, labels, options)))
     pairs = pairs.unionByName(more)
     if not pairs.head(1):
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return connected_components(pairs.select("a", "b"))
     groups = connected_components(pairs.select("a", "b")) if more.head(1) else labels
     groups = groups.join(sets.select("rep", "n"), F.col("node") == F.col("rep")).select("node", "component", "n")
     sizes = groups.groupBy(F.col("component").alias("c")).agg(F.sum("n").alias("size"))
     dealt = groups.join(sizes, F.col("component") == F.col("c"))
-    dealt = written(dealt.select("node", F.col("component").alias("g1"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / options.block)).alias("g2"), (F.col("size") > options.block).alias("large")))
-    links = written(links_in_blocks(docs, dealt.drop("large"), options))
+    dealt = keep(dealt.select("node", F.col("component").alias("g1"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / options.block)).alias("g2"), (F.col("size") > options.block).alias("large")))
+    links = keep(links_in_blocks(docs, dealt.drop("large"), options))
     large = dealt.where("large").select("node", F.col("g1").alias("group"))
     if not large.head(1):
         return connected_components(links)
     members = large.select(F.col("node").alias("m"))
-    open_pairs = written(pairs.join(members, F.col("a") == F.col("m"), "left_semi"))
+    open_pairs = keep(pairs.join(members, F.col("a") == F.col("m"), "left_semi"))
     for parts in (16, 128, 1024):
         labels = connected_components(links)
         of = lambda x: labels.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
         apart = open_pairs.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
         apart = apart.select("a", "b", "likeness", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        apart = written(apart)
+        apart = keep(apart)
         best = apart.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part"))
-        best = written(best.agg(F.max_by(F.struct("a", "b"), F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b"))
+        best = keep(best.agg(F.max_by(F.struct("a", "b"), F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b"))
         if not best.head(1):
             break
         twos = best.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("g1"), F.col("b").alias("g2"))
-        links = written(links.unionByName(links_in_blocks(docs, twos, options)))
-        open_pairs = written(apart.select("a", "b", "likeness").join(best, ["a", "b"], "left_anti"))
+        links = keep(links.unionByName(links_in_blocks(docs, twos, options)))
+        open_pairs = keep(apart.select("a", "b", "likeness").join(best, ["a", "b"], "left_anti"))
     links = links.unionByName(links_in_blocks(docs, _last_blocks(large, connected_components(links), sets, options), options))
-    return connected_components(written(links))
+    return connected_components(keep(links))
 
 
 def _last_blocks(large: DataFrame, labels: DataFrame, sets: DataFrame, options: Options) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, discard, give_back, hash_words, mix64, released, small_batches, split_join, split_words, written
+from .common import WORD_PATTERN, Scratch, discard, give_back, hash_words, mix64, released, small_batches, split_join, split_words, written
 
 WINDOW = 50
 CAPS = (2, 2, 4, 4, 4, 8)
@@ -184,23 +184,23 @@ def _runs(rows: DataFrame, how: tuple[int, int]) -> DataFrame:
     return rows.where("id IS NOT NULL").select("id", "h", "text").mapInPandas(find, "id long, h long, key long, extent long, first int, last int")
 
 
-def _run_claims(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _run_claims(found: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """Claims (id, h, first, last, lo, lo_h, at) of runs that a smaller id has whole, and open runs (id, h, first, last).
 
     Open are the runs of their first document whose anchor other runs have too: single windows decide there.
     """
     shared = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    runs = written(split_join(found, written(shared), ["key"], "n"))
+    runs = keep(split_join(found, keep(shared), ["key"], "n"))
     kinds = runs.groupBy("key", "extent").agg(F.min(F.struct("id", "h", "first")).alias("src"), F.count(F.lit(1)).alias("n"))
-    kinds = written(kinds)
+    kinds = keep(kinds)
     many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", (F.col("n") > 1).alias("mixed"), "n")
-    kinds = written(split_join(kinds.withColumnRenamed("n", "runs"), written(many), ["key"], "n"))
-    placed = written(split_join(runs, kinds.where("mixed OR runs > 1").withColumnRenamed("runs", "n"), ["key", "extent"], "n"))
+    kinds = keep(split_join(kinds.withColumnRenamed("n", "runs"), keep(many), ["key"], "n"))
+    placed = keep(split_join(runs, kinds.where("mixed OR runs > 1").withColumnRenamed("runs", "n"), ["key", "extent"], "n"))
     claims = placed.where("id > src.id").select("id", "h", "first", "last", F.col("src.id").alias("lo"), F.col("src.h").alias("lo_h"), F.col("src.first").alias("at"))
     return claims, placed.where("id = src.id AND mixed").select("id", "h", "first", "last")
 
 
-def _window_claims(rows: DataFrame, open_runs: DataFrame, how: tuple[int, int]) -> DataFrame:
+def _window_claims(rows: DataFrame, open_runs: DataFrame, how: tuple[int, int], keep: Scratch) -> DataFrame:
     """Claims of single windows in open runs that a smaller id has in another open run."""
     asked = open_runs.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("o"))
 
@@ -216,9 +216,9 @@ def _window_claims(rows: DataFrame, open_runs: DataFrame, how: tuple[int, int])
             give_back()
 
     texts = rows.select("id", "h", "text").join(asked, ["id", "h"])
-    windows = written(texts.mapInPandas(name, "name long, id long, h long, first int"))
+    windows = keep(texts.mapInPandas(name, "name long, id long, h long, first int"))
     shared = windows.groupBy("name").agg(F.min(F.struct("id", "h", "first")).alias("src"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("src.id < hi").select("name", "src", "n")
-    rows = split_join(windows, written(shared), ["name"], "n").where("id > src.id")
+    rows = split_join(windows, keep(shared), ["name"], "n").where("id > src.id")
     return rows.select("id", "h", "first", F.col("first").alias("last"), F.col("src.id").alias("lo"), F.col("src.h").alias("lo_h"), F.col("src.first").alias("at"))
 
 
@@ -350,14 +350,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     for how in names:
         text = F.col(text_col)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(how[0]), text).alias("h"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+        keep = Scratch()
         found = released(written(_runs(rows, how)))
-        claims, open_runs = _run_claims(found)
+        claims, open_runs = _run_claims(found, keep)
         discard(found)
-        claims = claims.unionByName(_window_claims(rows, open_runs, how))
+        claims = claims.unionByName(_window_claims(rows, open_runs, how, keep))
         stretches = released(written(_stretches(claims)))
+        keep.clear()
         state = released(written(_settled(rows, stretches, carried, with_text)))
+        discard(stretches)
         if _agree(state):
             break
+        discard(state)
     else:
         raise RuntimeError("different words have the same names under every hash that was tried")
     result = state.where("n_words IS NOT NULL").select("id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried).withColumnRenamed("id", id_col)
