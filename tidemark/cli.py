@@ -1,6 +1,6 @@
 """Command line: review a git change with Spark.
 
-    python -m tidemark.cli PATH [REVS [REV2]] [--staged] [--commit SHA] [--overview | --json | --format github|junit | --escalate]
+    python -m tidemark.cli PATH [REVS [REV2]] [--staged] [--untracked] [--commit SHA] [--cache FOLDER] [--overview | --json | --format github|junit | --escalate]
 
 Exit code 2 means that a gate fired.
 """
@@ -25,7 +25,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     parser.add_argument("path", nargs="?", default=".")
     parser.add_argument("revs", nargs="?")
     parser.add_argument("rev2", nargs="?")
-    for flag in ("--staged", "--json", "--overview", "--local-judge", "--escalate"):
+    for flag in ("--staged", "--untracked", "--json", "--overview", "--local-judge", "--escalate"):
         parser.add_argument(flag, action="store_true")
     parser.add_argument("--commit")
     parser.add_argument("--format", choices=("github", "junit"))
@@ -34,13 +34,13 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     parser.add_argument("--fail-on-task", help="verdict at or below which the exit code is 2")
     parser.add_argument("--escalate-on", default="high")
     parser.add_argument("--max-escalations", type=int, default=10)
+    parser.add_argument("--cache", help="folder of a cache of symbols that spares parsing")
     args = parser.parse_args(argv)
     if args.escalate and args.format:
         parser.error("--escalate and --format exclude each other")
     if args.fail_on_task and not args.task:
         parser.error("--fail-on-task needs --task")
-    if args.path != "." and args.revs is None and (".." in args.path and "/" not in args.path):
-        args.path, args.revs = ".", args.path
+    args.path, args.revs, args.rev2 = git.place_and_revisions(args.path, args.revs, args.rev2)
     return args
 
 
@@ -50,7 +50,7 @@ def level(spark: SparkSession, parse, text: str) -> str:
 
 def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     git.register(spark)
-    reader = spark.read.format("git_changes").option("path", args.path).option("changeset", "change")
+    reader = spark.read.format("git_changes").option("path", args.path).option("changeset", "change").option("untracked", str(args.untracked).lower())
     for key, value in git.resolve_revisions(revs=args.revs, rev2=args.rev2, staged=args.staged, commit=args.commit).items():
         reader = reader.option(key, value)
     return reader.load()
@@ -63,7 +63,7 @@ def review_of(spark: SparkSession, args: argparse.Namespace) -> Review:
     tasks = None
     if args.task:
         tasks = spark.createDataFrame([("change", 0, task_text(spark, args.task))], "changeset_id string, task_id int, task_text string")
-    return review_changes(changes, tests=tests.withColumn("changeset_id", F.lit("change")), sources=sources, definitions=definitions, local_judge=args.local_judge, tasks=tasks)
+    return review_changes(changes, tests=tests.withColumn("changeset_id", F.lit("change")), sources=sources, definitions=definitions, local_judge=args.local_judge, tasks=tasks, cache_path=args.cache)
 
 
 def output(spark: SparkSession, made: Review, args: argparse.Namespace) -> str:
@@ -73,7 +73,7 @@ def output(spark: SparkSession, made: Review, args: argparse.Namespace) -> str:
         package = made.escalation(floor=level(spark, parse_severity, args.escalate_on), most=args.max_escalations, task=made.tasks)
         return first(package.select(F.to_json(F.struct(*package.columns), {"ignoreNullFields": "false"}))) if args.json else first(escalate.summary(package))
     if args.json:
-        return first(render.changeset_json(made.files, made.changes, made.items, made.stats, repo_root=git.discover(args.path)))
+        return first(render.changeset_json(made.files, made.changes, made.items, made.stats, repo_root=git.discover(args.path), tasks=made.tasks))
     if args.format == "github":
         return "\n".join(r["annotation"] for r in render.github_annotations(made.items).orderBy("pos").collect())
     if args.format == "junit":

@@ -4,11 +4,13 @@
     spark.read.format("git_changes").option("path", repo).option("mode", "range").option("base", "a").option("head", "b").load()
 
 Modes: worktree (HEAD to the working tree, untracked files with it), staged (HEAD to the index), commit (a commit to its
-first parent) and range (two trees).  The driver lists the files; each partition reads the contents of its own.
+first parent) and range (two trees).  The driver lists the files; each partition reads the contents of its own, all of them by
+one ``git cat-file --batch``, and their hunks from one ``git diff``, so a partition needs three processes whatever its files.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 import sys
@@ -30,11 +32,12 @@ MOST_CONTENT = 512 * 1024
 MOST_UNTRACKED = 2 * 1024 * 1024
 STATUS = {"A": "Added", "D": "Deleted", "R": "Renamed", "C": "Copied", "T": "TypeChanged"}
 HUNK_HEAD = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+FILE_HEAD = re.compile(r"(?m)^(?=diff --git )")
 FLAGS = ("--minimal", "--indent-heuristic", "-M", "-C", "-l1000", "--ignore-submodules", "--no-ext-diff", "--no-textconv")
 
 
 def git(root: str, *args: str, check: bool = True) -> bytes:
-    run = subprocess.run(["git", "-c", "core.quotePath=off", "-C", root, *args], capture_output=True)
+    run = subprocess.run(["git", "--literal-pathspecs", "-c", "core.quotePath=off", "-C", root, *args], capture_output=True)
     if check and run.returncode:
         raise RuntimeError(f"git {args[0]} failed in {root}: {run.stderr.decode(errors='replace').strip() or 'is it a repository?'}")
     return run.stdout
@@ -52,21 +55,35 @@ def head_short(root: str) -> str:
 
 
 def resolve_revisions(*, revs: str | None = None, rev2: str | None = None, staged: bool = False, commit: str | None = None) -> dict[str, str]:
-    """Options of the source from the ways to name a change: two revisions, a..b, one commit, the index, else the working tree."""
-    if revs and ".." in revs:
-        if "..." in revs:
-            raise ValueError("ranges with three dots are not supported; use two")
-        base, _, head = revs.partition("..")
-        return {"mode": "range", "base": base or "HEAD", "head": head or "HEAD"}
-    if revs and rev2:
-        return {"mode": "range", "base": revs, "head": rev2}
-    if revs:
-        return {"mode": "commit", "commit": revs}
-    if staged:
-        return {"mode": "staged"}
+    """Options of the source from the ways to name a change: one commit, the index, a..b, two revisions, one revision, else the working tree.
+
+    Of several the first in this order counts.
+    """
     if commit:
         return {"mode": "commit", "commit": commit}
-    return {"mode": "worktree"}
+    if staged:
+        return {"mode": "staged"}
+    if not revs:
+        return {"mode": "worktree"}
+    if "..." in revs:
+        raise ValueError("ranges with three dots are not supported; use two")
+    if ".." in revs:
+        base, _, head = revs.partition("..")
+        return {"mode": "range", "base": base.strip() or "HEAD", "head": head.strip() or "HEAD"}
+    return {"mode": "range", "base": revs, "head": rev2} if rev2 else {"mode": "commit", "commit": revs}
+
+
+def place_and_revisions(path: str, revs: str | None, rev2: str | None) -> tuple[str, str | None, str | None]:
+    """Folder and revisions of three positional arguments, of which the folder may have been left out.
+
+    A first argument that is no existing path and reads as a revision (a range, or a name without a separator) moves up, and the
+    folder is the current one.
+    """
+    exists = os.path.exists(path)
+    is_range = ".." in path
+    is_name = is_range or not set(path) & {"/", "\\"}
+    moved = (is_name and not exists and not rev2) if revs else (path != "." and (is_range or (is_name and not exists)))
+    return (".", path, revs) if moved else (path, revs, rev2)
 
 
 class _Files(InputPartition):
@@ -98,8 +115,9 @@ class _Reader(DataSourceReader):
     def _range(self) -> list[str]:
         return [self.old, self.new] if self.new else ["--cached", self.old] if self.mode == "staged" else [self.old]
 
-    def partitions(self) -> list[InputPartition]:
-        fields = git(self.root, "diff", "--name-status", "-z", *FLAGS, *self._range(), "--").decode("utf-8", "replace").split("\0")
+    def _listed(self, *paths: str) -> list[tuple[str, str, str]]:
+        """(status, old path, new path) of the files that differ."""
+        fields = git(self.root, "diff", "--name-status", "-z", *FLAGS, *self._range(), "--", *paths).decode("utf-8", "replace").split("\0")
         rows, i = [], 0
         while i < len(fields) - 1:
             letter = fields[i][:1]
@@ -107,16 +125,36 @@ class _Reader(DataSourceReader):
             new = fields[i + 2] if letter in "RC" else old
             i += 3 if letter in "RC" else 2
             rows.append((STATUS.get(letter, "Modified"), old, new))
+        return rows
+
+    def partitions(self) -> list[InputPartition]:
+        rows = self._listed()
         if self.mode == "worktree" and self.untracked:
             listed = git(self.root, "ls-files", "--others", "--exclude-standard", "-z").decode("utf-8", "replace").split("\0")
             rows += [("Untracked", p, p) for p in listed if p]
         numbered = [(n, *r) for n, r in enumerate(rows)]
         return [_Files(numbered[k : k + self.batch]) for k in range(0, len(numbered), self.batch)] or [_Files([])]
 
-    def _blob(self, side: str, path: str) -> bytes | None:
-        spec = f":{path}" if side == "" else f"{side}:{path}"
-        run = subprocess.run(["git", "-C", self.root, "cat-file", "blob", spec], capture_output=True)
-        return run.stdout if not run.returncode else None
+    def _blobs(self, names: list[str]) -> dict[str, bytes | None]:
+        """Contents of objects like ``HEAD:path`` by name, from one process; None for those that do not exist or are no files."""
+        asked = [n for n in dict.fromkeys(names) if "\n" not in n]
+        run = subprocess.run(["git", "-C", self.root, "cat-file", "--batch"], input="".join(f"{n}\n" for n in asked).encode("utf-8", "surrogateescape"), capture_output=True)
+        found: dict[str, bytes | None] = {}
+        data, at = run.stdout, 0
+        for name in asked:
+            end = data.index(b"\n", at)
+            head = data[at:end].rsplit(b" ", 2)
+            at = end + 1
+            if len(head) == 3 and head[2].isdigit():
+                size = int(head[2])
+                found[name] = data[at : at + size] if head[1] == b"blob" else None
+                at += size + 1
+            else:
+                found[name] = None
+        for name in set(names) - set(asked):  # a name with a line end cannot be asked in a batch
+            one = subprocess.run(["git", "-C", self.root, "cat-file", "blob", name], capture_output=True)
+            found[name] = one.stdout if not one.returncode else None
+        return found
 
     def _disk(self, path: str) -> bytes | None:
         try:
@@ -125,16 +163,20 @@ class _Reader(DataSourceReader):
         except OSError:
             return None
 
-    def _contents(self, status: str, old: str, new: str) -> tuple[bytes | None, bytes | None]:
-        before = None if status in ("Added", "Untracked") else self._blob(self.old, old)
-        if status == "Deleted":
-            return before, None
-        after = self._disk(new) if self.mode == "worktree" else self._blob(self.new, new)
+    def _names(self, status: str, old: str, new: str) -> tuple[str | None, str | None]:
+        """Object names of both sides; None where a side does not exist or is read from the disk."""
+        before = None if status in ("Added", "Untracked") else f"{self.old}:{old}"
+        after = None if status == "Deleted" or self.mode == "worktree" else f"{self.new}:{new}"
         return before, after
 
     def read(self, partition: _Files) -> Iterator[tuple]:
+        names = {index: self._names(status, old, new) for index, status, old, new in partition.rows}
+        blobs = self._blobs([n for both in names.values() for n in both if n is not None]) if partition.rows else {}
+        patches = self._patches(partition.rows)
         for index, status, old, new in partition.rows:
-            before, after = self._contents(status, old, new)
+            name_old, name_new = names[index]
+            before = blobs.get(name_old) if name_old is not None else None
+            after = blobs.get(name_new) if name_new is not None else self._disk(new) if self.mode == "worktree" and status != "Deleted" else None
             binary = any(b is not None and b"\0" in b[:8000] for b in (before, after)) or (status == "Untracked" and len(after or b"") > MOST_UNTRACKED)
             texts = [_text(b) if not binary else None for b in (before, after)]
             if binary or (before is None and after is None):
@@ -142,27 +184,43 @@ class _Reader(DataSourceReader):
             elif status == "Untracked":
                 found = [dict(h, header="untracked file") for h in hunks(None, texts[1])]
             else:
-                found = self._hunks(status, old, new)
+                found = patches[old, new] if (old, new) in patches else hunks(*(b.decode("utf-8", "replace") if b is not None else None for b in (before, after)))
             count = lambda kind: sum(line["kind"] == kind for h in found for line in h["lines"])  # noqa: B023, E731
             rows = [(h["old_start"], h["old_lines"], h["new_start"], h["new_lines"], h["header"], [(x["kind"], x["text"]) for x in h["lines"]]) for h in found]
             yield (self.name or f"{self.mode}:{self.old}..{self.new}", index, old.replace("\\", "/"), new.replace("\\", "/"), status, binary, count("Addition"), count("Deletion"), rows, *texts)
 
-    def _hunks(self, status: str, old: str, new: str) -> list[dict]:
-        paths = [old, new] if old != new else [new]
-        out = git(self.root, "diff", "-U3", *FLAGS, *self._range(), "--", *paths).decode("utf-8", "replace")
-        found: list[dict] = []
-        names = {" ": "Context", "+": "Addition", "-": "Deletion"}
-        for line in out.split("\n"):
-            head = HUNK_HEAD.match(line)
-            if head:
-                n = [int(x) if x else 1 for x in head.groups()]
-                found.append({"old_start": n[0], "old_lines": n[1], "new_start": n[2], "new_lines": n[3], "header": line + "\n", "lines": [], "left": [n[1], n[3]]})
-            elif found and line[:1] in names and (found[-1]["left"][0] > 0 or found[-1]["left"][1] > 0):
-                kind = names[line[0]]
-                found[-1]["lines"].append({"kind": kind, "text": line[1:]})
-                found[-1]["left"][0] -= kind != "Addition"
-                found[-1]["left"][1] -= kind != "Deletion"
-        return found
+
+    def _patches(self, rows: list[tuple[int, str, str, str]]) -> dict[tuple[str, str], list[dict]]:
+        """Hunks by old and new path.  The patch has its files in the order of the list of names, a change of type as two of them."""
+        paths = sorted({p for _, status, old, new in rows if status != "Untracked" for p in (old, new)})
+        if not paths:
+            return {}
+        listed = self._listed(*paths)
+        patch = git(self.root, "diff", "-U3", *FLAGS, *self._range(), "--", *paths).decode("utf-8", "replace")
+        files = [x for x in FILE_HEAD.split(patch) if x]
+        if len(files) != sum(1 + (status == "TypeChanged") for status, *_ in listed):
+            return {}
+        out, at = {}, iter(files)
+        for status, old, new in listed:
+            out[old, new] = [h for _ in range(1 + (status == "TypeChanged")) for h in _hunks(next(at))]
+        return out
+
+
+def _hunks(patch: str) -> list[dict]:
+    """Hunks of one file's patch."""
+    found: list[dict] = []
+    names = {" ": "Context", "+": "Addition", "-": "Deletion"}
+    for line in patch.split("\n"):
+        head = HUNK_HEAD.match(line)
+        if head:
+            n = [int(x) if x else 1 for x in head.groups()]
+            found.append({"old_start": n[0], "old_lines": n[1], "new_start": n[2], "new_lines": n[3], "header": line + "\n", "lines": [], "left": [n[1], n[3]]})
+        elif found and line[:1] in names and (found[-1]["left"][0] > 0 or found[-1]["left"][1] > 0):
+            kind = names[line[0]]
+            found[-1]["lines"].append({"kind": kind, "text": line[1:]})
+            found[-1]["left"][0] -= kind != "Addition"
+            found[-1]["left"][1] -= kind != "Deletion"
+    return found
 
 
 def _text(data: bytes | None) -> str | None:

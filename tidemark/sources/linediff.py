@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 from ..schemas import HUNK
 
 CONTEXT = 3
-MOST_EDITS = 2000
 
 
 def _lines(text: str | None) -> list[str]:
@@ -20,70 +18,66 @@ def _lines(text: str | None) -> list[str]:
 
 
 def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """Steps (kind, place in a, place in b) of an edit script: Context, Deletion, Addition.
+    """Steps (kind, place in a, place in b) of a shortest edit script: Context, Deletion, Addition.
 
-    Scripts of up to MOST_EDITS steps are shortest ones; texts further apart share only their blocks in order.
+    The two lists are halved at a point that a shortest script passes, so memory stays linear whatever their distance.
+    Lines are compared by number; lines that only one side has are taken out first, as they are edits in any script.
     """
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    stop = 0
-    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
-        stop += 1
-    x, y = a[start : len(a) - stop], b[start : len(b) - stop]
-    trail = _furthest(x, y)
-    middle = _walk(x, y, trail) if trail is not None else _blocks(x, y)
-    steps = [("Context", i, i) for i in range(start)] + [(kind, i + start, j + start) for kind, i, j in middle]
-    return steps + [("Context", len(a) - stop + i, len(b) - stop + i) for i in range(stop)]
-
-
-def _down(reach: dict[int, int], d: int, k: int) -> bool:
-    """Whether the furthest path to diagonal k comes from the one above, by an addition."""
-    return k == -d or (k != d and reach[k - 1] < reach[k + 1])
-
-
-def _furthest(x: list[str], y: list[str]) -> list[dict[int, int]] | None:
-    """How far each diagonal reaches before every edit."""
-    n, m = len(x), len(y)
-    reach, trail = {1: 0}, []
-    for d in range(min(n + m, MOST_EDITS) + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if _down(reach, d, k) else reach[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= n and i - k >= m:
-                return trail
-    return None
-
-
-def _walk(x: list[str], y: list[str], trail: list[dict[int, int]]) -> list[tuple[str, int, int]]:
-    out, i, j = [], len(x), len(y)
-    for d in range(len(trail) - 1, -1, -1):
-        k = i - j
-        down = _down(trail[d], d, k)
-        pi = trail[d][k + 1 if down else k - 1]
-        pj = pi - (k + 1 if down else k - 1)
-        while i > pi and j > pj and i and j:
-            i, j = i - 1, j - 1
-            out.append(("Context", i, j))
-        if d:
-            out.append(("Addition" if down else "Deletion", pi, pj))
-            i, j = pi, pj
-    return out[::-1]
-
-
-def _blocks(x: list[str], y: list[str]) -> list[tuple[str, int, int]]:
-    out = []
-    for kind, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [("Context", i1 + k, j1 + k) for k in range(i2 - i1)]
-        else:
-            out += [("Deletion", i, j1) for i in range(i1, i2)] + [("Addition", i2, j) for j in range(j1, j2)]
+    known: dict[str, int] = {}
+    x, y = ([known.setdefault(line, len(known)) for line in side] for side in (a, b))
+    in_x, in_y = set(x), set(y)
+    xi, yi = [i for i, v in enumerate(x) if v in in_y], [j for j, v in enumerate(y) if v in in_x]
+    pairs: list[tuple[int, int]] = []
+    stack = [(0, len(xi), 0, len(yi))]
+    xs, ys = [x[i] for i in xi], [y[j] for j in yi]
+    while stack:
+        lo, hi, left, right = stack.pop()
+        while lo < hi and left < right and xs[lo] == ys[left]:
+            pairs.append((lo, left))
+            lo, left = lo + 1, left + 1
+        while lo < hi and left < right and xs[hi - 1] == ys[right - 1]:
+            hi, right = hi - 1, right - 1
+            pairs.append((hi, right))
+        if lo < hi and left < right:
+            i, j = _middle(xs, lo, hi, ys, left, right)
+            stack += [(lo, i, left, j), (i, hi, j, right)]
+    pairs = sorted((xi[i], yi[j]) for i, j in pairs)
+    out, i, j = [], 0, 0
+    for p, q in [*pairs, (len(a), len(b))]:
+        out += [("Deletion", k, j) for k in range(i, p)] + [("Addition", p, k) for k in range(j, q)]
+        if p < len(a) and q < len(b):
+            out.append(("Context", p, q))
+        i, j = p + 1, q + 1
     return out
 
 
+def _middle(x: list[int], lo: int, hi: int, y: list[int], left: int, right: int) -> tuple[int, int]:
+    """A point of a shortest edit script of x[lo:hi] and y[left:right], whose first and last lines differ: searches from both ends meet there."""
+    n, m = hi - lo, right - left
+    delta, size = n - m, n + m + 2
+    front, back = [0] * (2 * size + 1), [0] * (2 * size + 1)
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            down = k == -d or (k != d and front[size + k - 1] < front[size + k + 1])
+            i = front[size + k + 1] if down else front[size + k - 1] + 1
+            j = i - k
+            while i < n and 0 <= j < m and x[lo + i] == y[left + j]:
+                i, j = i + 1, j + 1
+            front[size + k] = i
+            if delta % 2 and -d < delta - k < d and 0 <= j <= m and i <= n and i + back[size + delta - k] >= n:
+                return lo + i, left + j
+        for k in range(-d, d + 1, 2):
+            down = k == -d or (k != d and back[size + k - 1] < back[size + k + 1])
+            i = back[size + k + 1] if down else back[size + k - 1] + 1
+            j = i - k
+            while i < n and 0 <= j < m and x[hi - 1 - i] == y[right - 1 - j]:
+                i, j = i + 1, j + 1
+            back[size + k] = i
+            if not delta % 2 and -d <= delta - k <= d and 0 <= j <= m and i <= n and i + front[size + delta - k] >= n:
+                return hi - i, right - j
+    raise AssertionError("two edit scripts always meet")
+
+
 def hunks(old: str | None, new: str | None) -> list[dict]:
     """Hunks with three lines of context; deletions stand before additions."""
     a, b = _lines(old), _lines(new)

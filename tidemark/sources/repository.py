@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -40,9 +40,10 @@ def scan(files: DataFrame, changed: DataFrame | None = None, *, most_tests: int
     if changed is not None:
         rows = rows.join(changed.select("path"), "path", "left_anti")
     rows = rows.withColumn("is_test", is_test_path(F.col("path")))
-    if most_tests is not None and most_sources is not None:
-        place = F.row_number().over(Window.partitionBy("is_test").orderBy("path"))
-        rows = rows.withColumn("rn", place).where(F.col("rn") <= F.when(F.col("is_test"), most_tests).otherwise(most_sources)).drop("rn")
+    for is_test, most in ((True, most_tests), (False, most_sources)):
+        if most is not None:
+            first = rows.where(F.col("is_test") == is_test).orderBy("path").limit(most)
+            rows = rows.where(F.col("is_test") != is_test).unionByName(first)
     found = extract_symbols(rows.select(F.col("path").alias("file"), "content"))
     placed = found.join(rows.select(F.col("path").alias("file"), F.col("is_test").alias("in_tests"), "content"), "file")
     body = text.body_slice(text.lines(F.col("content")), F.col("start_line"), F.col("end_line"))

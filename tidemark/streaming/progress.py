@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def analysed(messages: DataFrame) -> DataFrame:
@@ -26,15 +28,45 @@ def drained(messages: DataFrame, generation: int) -> DataFrame:
     return rows.agg(F.count_distinct(F.when(F.col("kind") == "Progress", F.col("index"))).alias("analysed"), last.alias("last_finished"), last.isNotNull().alias("done"))
 
 
-def run_stream(changes: DataFrame, analyse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, generation: int = 0):
+def run_stream(changes: DataFrame, analyse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, generation: int = 0, *, messages: str | None = None, tag: str | None = None) -> StreamingQuery:
     """Start a query over a stream of change records: each micro-batch is analysed and adds its rows to the target.
 
-    Each batch overwrites its own part, so a batch that runs again after a failure leaves the same rows.  The query is
-    returned; stop() cancels it between batches.
+    Each batch overwrites its own part, so a batch that runs again after a failure leaves the same rows.  ``messages`` is a
+    folder that gets a Progress message (generation, index, kind) for each file, by its file_idx, when its batch is done.  Jobs
+    carry ``tag``, so cancel() can stop them within a batch.  See finish() for the end.
     """
 
     def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if tag:
+            spark.addTag(tag)
         rows = analyse(batch).withColumn("generation", F.lit(generation))
         rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if messages:
+            told = batch.select(F.lit(generation).cast("long").alias("generation"), F.col("file_idx").cast("long").alias("index"), F.lit("Progress").alias("kind"))
+            told.write.mode("overwrite").parquet(f"{messages}/part={number}")
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finish(query: StreamingQuery, spark: SparkSession, messages: str | None = None, generation: int = 0, *, at_end: Callable[[], None] | None = None) -> bool:
+    """Wait for a query; whether it ended by itself.  Only then the Finished message is written, whose index is the number of
+    files, and ``at_end`` is called, which may save a cache.  A failed or cancelled run leaves neither."""
+    try:
+        query.awaitTermination()
+    except PySparkException:
+        return False
+    if query.exception() is not None:
+        return False
+    if messages:
+        done = spark.read.parquet(messages).where(F.col("generation") == generation).select(F.count_distinct("index").alias("index"))
+        done.select(F.lit(generation).cast("long").alias("generation"), "index", F.lit("Finished").alias("kind")).write.mode("overwrite").parquet(f"{messages}/part=end")
+    if at_end:
+        at_end()
+    return True
+
+
+def cancel(query: StreamingQuery, spark: SparkSession, tag: str) -> None:
+    """Stop a query and the jobs of the batch that it is in."""
+    spark.interruptTag(tag)
+    query.stop()
