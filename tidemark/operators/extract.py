@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.paths import language_of
-from . import scanners
+from ..plans.barrier import settled
+from . import cache, scanners
 
 # Words before a parenthesis that do not name a function.
 NOT_FUNCTIONS = "if else elif for foreach while do switch catch try finally throw return using lock fixed checked unchecked unless until".split()
@@ -40,14 +41,17 @@ def generic_symbols(sources: DataFrame) -> DataFrame:
     return rows.where(name.isNotNull()).select("file", number.alias("sym_idx"), name.alias("name"), kind.alias("kind"), number.alias("start_line"), number.alias("end_line"), signature.alias("signature"), test.alias("is_test"), public.alias("is_public"))
 
 
-def extract_symbols(sources: DataFrame) -> DataFrame:
-    """Symbols of sources (file, content), by the language of the path; equal contents of a language are parsed once.
+def _keyed(sources: DataFrame) -> DataFrame:
+    """``sources`` (file, content) with language and key, the hash of language and content."""
+    return sources.withColumn("language", language_of(F.col("file"))).withColumn("key", text.content_key(F.col("language"), F.col("content")))
+
+
+def _parsed(distinct: DataFrame) -> DataFrame:
+    """(key, sym_idx, name, …) of distinct sources (key, language, content).
 
     Languages with a scanner go through one Arrow pass; the rest, and sources that a scanner cannot read, take the
     line rules, which stay in the JVM.
     """
-    keyed = sources.withColumn("language", language_of(F.col("file"))).withColumn("key", text.content_key(F.col("language"), F.col("content")))
-    distinct = keyed.select("key", "language", "content").dropDuplicates(["key"])
     known = F.col("language").isin(*scanners.LANGUAGES)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,19 +66,52 @@ def extract_symbols(sources: DataFrame) -> DataFrame:
     failed = scanned.where("sym_idx = -1").select(F.col("file").alias("key"))
     by_lines = distinct.where(~known).unionByName(distinct.join(failed, "key", "left_semi"))
     lines = generic_symbols(by_lines.select(F.col("key").alias("file"), "content"))
-    found = scanned.where("sym_idx > 0").unionByName(lines).withColumnRenamed("file", "key")
+    return scanned.where("sym_idx > 0").unionByName(lines).withColumnRenamed("file", "key")
+
+
+def _of_files(keyed: DataFrame, found: DataFrame, with_key: bool) -> DataFrame:
+    """Symbols by key as symbols of the files that have the content."""
     helper = F.col("is_test") | F.endswith("file", F.lit("_test.go"))
-    return keyed.select("file", "key").join(found, "key").drop("key").withColumn("is_test", helper)
+    rows = keyed.select("file", "key").distinct().join(found, "key").withColumn("is_test", helper)
+    return rows if with_key else rows.drop("key")
+
+
+def extract_symbols(sources: DataFrame, *, with_key: bool = False) -> DataFrame:
+    """Symbols of sources (file, content), by the language of the path; equal contents of a language are parsed once.
+
+    ``with_key`` adds key, the hash of language and content, for files that come with several contents.
+    """
+    keyed = _keyed(sources)
+    return _of_files(keyed, _parsed(keyed.select("key", "language", "content").dropDuplicates(["key"])), with_key)
+
+
+def extract_cached(sources: DataFrame, entries: DataFrame, *, with_key: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same symbols as extract_symbols, and all entries of the cache after it.
+
+    Contents that ``entries`` (version, content_key, symbols) have are not parsed; their symbols are of the file that asks.
+    """
+    keyed = _keyed(sources)
+    distinct = keyed.select("key", "language", "content").dropDuplicates(["key"])
+    known = entries.select(F.col("content_key").alias("key"), "symbols").dropDuplicates(["key"])
+    misses = distinct.join(known, "key", "left_anti")
+    fresh = settled(_parsed(misses))
+    fields = [c for c in fresh.columns if c not in ("key", "sym_idx")]
+    lists = fresh.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("sym_idx", F.struct(*fields).alias("s"))))["s"].alias("symbols"))
+    empty = F.array().cast(lists.schema["symbols"].dataType)
+    added = misses.select("key").join(lists, "key", "left").select(F.lit(cache.VERSION).alias("version"), F.col("key").alias("content_key"), F.coalesce("symbols", empty).alias("symbols"))
+    hits = distinct.select("key").join(known, "key").select("key", F.posexplode("symbols").alias("i", "s")).select("key", (F.col("i") + 1).alias("sym_idx"), "s.*")
+    every = entries.unionByName(added.withColumn("symbols", F.col("symbols").cast(entries.schema["symbols"].dataType)))
+    return _of_files(keyed, fresh.unionByName(hits.select(*fresh.columns)), with_key), every
 
 
 def import_samples(spark: SparkSession) -> DataFrame:
     """A source of each language with every form of import."""
     rows = [
-        ("Rust", "use crate::auth::{login, Session};\npub(crate) use super::util::*;\nlet x = 1;"),
-        ("Go", 'package a\nimport (\n  "fmt"\n  str "strings"\n)\nfunc f() {}\nimport "os"'),
-        ("CSharp", "using System.Text;\nusing (var x = y) {}\nclass A {}"),
-        ("TypeScript", 'import { login as enter } from "./auth";\nconst db = require("db");\nlet y = 2;'),
-        ("Python", "import os, sys as system\nfrom auth import login\nx = 1"),
-        ("Java", "import java.util.List;"),
+        ("Rust", "use crate::barn::{load, Wagon};\npub(crate) use super::hay::*;\nlet x = 1;"),
+        ("Go", 'package a\nimport (\n  "io"\n  txt "bytes"\n)\nfunc f() {}\nimport "net"'),
+        ("CSharp", "using Farm.Grain;\nusing (var x = y) {}\nclass A {}"),
+        ("TypeScript", 'import { load as fill } from "./barn";\nconst silo = require("silo");\nlet y = 2;'),
+        ("Python", "import json, math as numbers\nfrom barn import load\nx = 1"),
+        ("Java", "import java.util.Map;"),
     ]
     return spark.createDataFrame(rows, "language string, content string")

@@ -27,6 +27,24 @@ class Judge(Protocol):
     def apply(self, items: DataFrame) -> DataFrame: ...
 
 
+def enrich(judge: Judge, items: DataFrame, *, has_key: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The items after a judge, and one row (judge, status, detail): Applied, SkippedNoKey, SkippedNoItems or Failed.
+
+    A judge without its key, without items to judge or with an error leaves the items as they are.
+    """
+    spark, detail = items.sparkSession, None
+    if not has_key:
+        status = "SkippedNoKey"
+    elif not judged(items).head(1):
+        status = "SkippedNoItems"
+    else:
+        try:
+            items, status = judge.apply(items), "Applied"
+        except Exception as error:  # noqa: BLE001  a judge is someone else's code
+            status, detail = "Failed", str(error)
+    return items, spark.createDataFrame([(judge.name, status, detail)], "judge string, status string, detail string")
+
+
 def _has(kind: str) -> Column:
     return F.exists("evidence", lambda e: e["kind"] == kind)
 

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_github, escape_github_prop, escape_xml, single_line
-from ..schemas import SCHEMA_VERSION, SEVERITIES
+from ..schemas import REVIEW_ITEM, SCHEMA_VERSION, SEVERITIES, SYMBOL_CHANGE
 from .rank import review_order
 
 
+JSON_FIELDS = ("schema_version", "repo_root", "base_ref", "head_ref", "files", "symbol_changes", "review_items", "stats")
+
+
 def _percent(confidence: Column) -> Column:
     return F.format_string("%.0f", confidence * 100)
 
@@ -77,8 +80,11 @@ def rendered(items: DataFrame, form: str, threshold: str = "High") -> DataFrame:
     raise ValueError(f"unknown format {form!r}: github or junit")
 
 
-def changeset_json(files: DataFrame, changes: DataFrame, items: DataFrame, stats: DataFrame, *, repo_root: str = "", base_ref: str = "HEAD", head_ref: str = "worktree") -> DataFrame:
-    """(changeset_id, json): everything about a change set as one pretty JSON document; fields that are null stay."""
+def changeset_json(files: DataFrame, changes: DataFrame, items: DataFrame, stats: DataFrame, *, repo_root: str = "", base_ref: str = "HEAD", head_ref: str = "worktree", tasks: DataFrame | None = None, pretty: bool = True) -> DataFrame:
+    """(changeset_id, json): everything about a change set as one JSON document; fields that are null stay.
+
+    ``tasks`` (changeset_id and the columns of a task check) adds a field task_check where a change set has one.
+    """
     of_files = files.groupBy("changeset_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in files.columns if c != "changeset_id"]))).alias("files"))
     span = lambda a, b: F.when(F.col(a).isNotNull(), F.array(a, b))
     change = F.struct("file", "name", "kind", "change", "confidence", "old_signature", "new_signature", span("old_start", "old_end").alias("old_lines"), span("new_start", "new_end").alias("new_lines"), "evidence")
@@ -88,5 +94,25 @@ def changeset_json(files: DataFrame, changes: DataFrame, items: DataFrame, stats
     of_items = review_order(items).groupBy("changeset_id").agg(ordered.alias("review_items"))
     counters = F.struct(*[c for c in stats.columns if c != "changeset_id"]).alias("stats")
     rows = stats.select("changeset_id", counters).join(of_files, "changeset_id", "left").join(of_changes, "changeset_id", "left").join(of_items, "changeset_id", "left")
+    for c, kind in (("files", of_files), ("symbol_changes", of_changes), ("review_items", of_items)):
+        rows = rows.withColumn(c, F.coalesce(c, F.array().cast(kind.schema[c].dataType)))
     document = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(repo_root).alias("repo_root"), F.lit(base_ref).alias("base_ref"), F.lit(head_ref).alias("head_ref"), "files", "symbol_changes", "review_items", "stats")
-    return rows.select("changeset_id", F.to_json(document, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+    how = {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}
+    if tasks is None:
+        return rows.select("changeset_id", F.to_json(document, how).alias("json"))
+    checked = tasks.groupBy("changeset_id").agg(F.first(F.struct("task_text", "verdict", "coverage", "matched_terms", "unmatched")).alias("task_check"))
+    rows = rows.join(checked, "changeset_id", "left")
+    whole = F.struct(*[document[c].alias(c) for c in JSON_FIELDS], "task_check")
+    return rows.select("changeset_id", F.when(F.col("task_check").isNull(), F.to_json(document, how)).otherwise(F.to_json(whole, how)).alias("json"))
+
+
+STORED = f"schema_version INT, repo_root STRING, base_ref STRING, head_ref STRING, symbol_changes ARRAY<STRUCT<{SYMBOL_CHANGE}>>, review_items ARRAY<STRUCT<{REVIEW_ITEM}>>"
+
+
+def read_changesets(rows: DataFrame) -> DataFrame:
+    """Stored change sets (changeset_id, json) as columns: version (1 where it is absent), refs, symbol changes and items, empty where absent."""
+    found = rows.select("changeset_id", F.from_json("json", STORED).alias("d")).select("changeset_id", "d.*")
+    found = found.withColumn("schema_version", F.coalesce("schema_version", F.lit(SCHEMA_VERSION)))
+    for c in ("symbol_changes", "review_items"):
+        found = found.withColumn(c, F.coalesce(c, F.array().cast(found.schema[c].dataType)))
+    return found

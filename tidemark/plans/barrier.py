@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and written to the checkpoint folder, so plans that use them often stay small.
+def shared_folder(spark: SparkSession) -> str:
+    """URI of a new folder in the folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary one.
+    Only where the session runs on one machine and has no such setting, as in tests, a temporary folder takes its place.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and written as Parquet: plans that use them often stay small, and keep their pruning and statistics."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

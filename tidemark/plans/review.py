@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import context, escalate, extract, group, judge, moves, rank, symbols, task
+from ..operators import cache, context, escalate, extract, group, judge, moves, rank, symbols, task
 from ..sources.linediff import line_lists
 from ..sources.tables import prepared
 from .barrier import settled
@@ -62,11 +62,13 @@ def review(
 def review_changes(changes: DataFrame, **how) -> Review:
     """Review change records that carry their hunks, as a git source or ``with_hunks`` gives them.
 
+    ``cache_path`` names a cache of symbols that spares parsing and is saved anew; the review is the same with it and without.
+
     Symbols of both sides are extracted from the contents; binary, generated and very large files are not parsed.
     """
     files = settled(with_lines(changes))
     parsed = files.where(~paths.skip_parse(F.col("is_binary"), F.col("is_generated"), F.col("old_content"), F.col("new_content")))
-    rows = settled(symbols_of(parsed))
+    rows = settled(symbols_of(parsed, how.pop("cache_path", None)))
     compared = settled(with_file_changes(symbols.diff_symbols(rows, renames=how.pop("renames", True)), rows, parsed))
     found = settled(moves.link_moves(compared, rows, similar=how.pop("similar", True)))
     return finished(files, found, **how)
@@ -79,17 +81,23 @@ def with_lines(changes: DataFrame) -> DataFrame:
     return rows.withColumn("formatting_only", paths.formatting_only(F.col("language"), F.col("status"), F.col("is_binary"), F.size("hunks"), F.col("old_content"), F.col("new_content")))
 
 
-def symbols_of(files: DataFrame) -> DataFrame:
-    """Symbols of both sides of change records, with their bodies."""
-    out = None
+def symbols_of(files: DataFrame, cache_path: str | None = None) -> DataFrame:
+    """Symbols of both sides of change records, with their bodies.  Equal contents of either side are parsed once, and those of
+    the cache at ``cache_path`` not at all; the cache is then saved with what is new."""
+    sides = None
     for side, column in (("old", "old_content"), ("new", "new_content")):
-        one = files.where(F.col(column).isNotNull()).select("changeset_id", "path", F.col(column).alias("content"))
-        found = extract.extract_symbols(one.select(F.col("path").alias("file"), "content").distinct())
-        keyed = one.join(found, F.col("path") == F.col("file")).withColumn("side", F.lit(side))
-        body = text.body_slice(text.lines(F.col("content")), F.col("start_line"), F.col("end_line"))
-        keyed = keyed.select("changeset_id", "file", "side", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public", F.coalesce(body, F.lit("")).alias("body"))
-        out = keyed if out is None else out.unionByName(keyed)
-    return out
+        one = files.where(F.col(column).isNotNull()).select("changeset_id", "path", F.lit(side).alias("side"), F.col(column).alias("content"))
+        sides = one if sides is None else sides.unionByName(one)
+    sides = sides.withColumn("key", text.content_key(paths.language_of(F.col("path")), F.col("content")))
+    sources = sides.select(F.col("path").alias("file"), "content")
+    if cache_path is None:
+        found = extract.extract_symbols(sources, with_key=True)
+    else:
+        found, entries = extract.extract_cached(sources, cache.load(files.sparkSession, cache_path), with_key=True)
+        cache.save(cache.evict(settled(entries)), cache_path)
+    keyed = sides.join(found.withColumnRenamed("file", "path"), ["path", "key"])
+    body = text.body_slice(text.lines(F.col("content")), F.col("start_line"), F.col("end_line"))
+    return keyed.select("changeset_id", F.col("path").alias("file"), "side", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public", F.coalesce(body, F.lit("")).alias("body"))
 
 
 def with_file_changes(changes: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
