@@ -9,20 +9,20 @@ from tidemark.schemas import parse_severity, parse_verdict
 
 
 def test_split_ident(spark):
-    got = one_column(spark, ["sessionTimeout", "SESSION_TIMEOUT", "rate-limit", "HTTPServer x", "ÉtéLong ab1", ""], text.split_ident)
-    assert got == [["session", "timeout"], ["session", "timeout"], ["rate", "limit"], ["http", "server"], ["été", "long", "ab1"], []]
+    got = one_column(spark, ["siloCapacity", "SILO_CAPACITY", "hay-bale", "XMLReader x", "ÉtéLong ab1", ""], text.split_ident)
+    assert got == [["silo", "capacity"], ["silo", "capacity"], ["hay", "bale"], ["xml", "reader"], ["été", "long", "ab1"], []]
 
 
 def test_task_terms(spark):
-    got = one_column(spark, ["extend session timeout", "the and a", "Fix the sessionTimeout, fix session", "é ab abc"], text.task_terms)
-    assert got == [["extend", "session", "timeout"], [], ["session", "timeout"], ["abc"]]
+    got = one_column(spark, ["enlarge silo capacity", "by from this", "Update the siloCapacity, update silo", "é ab abc"], text.task_terms)
+    assert got == [["enlarge", "silo", "capacity"], [], ["silo", "capacity"], ["abc"]]
 
 
 def test_match_scores(spark):
-    pairs = [("invoicing", "in", 0.0), ("timeout", "to", 0.0), ("timeout", "timeout", 1.0), ("rewrite", "rewrites", 0.8)]
+    pairs = [("harvester", "er", 0.0), ("capacity", "ca", 0.0), ("capacity", "capacity", 1.0), ("harvest", "harvests", 0.8)]
     rows = spark.createDataFrame([p[:2] for p in pairs], "a string, b string")
     assert [r[0] for r in rows.select(text.match_score(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
-    (typo,) = spark.createDataFrame([("sesion", "session")], "a string, b string").select(text.match_score(F.col("a"), F.col("b"))).collect()
+    (typo,) = spark.createDataFrame([("capcity", "capacity")], "a string, b string").select(text.match_score(F.col("a"), F.col("b"))).collect()
     assert 0.6 <= typo[0] < 1
 
 
@@ -59,8 +59,8 @@ def test_strip_code(spark):
 
 
 def test_called_names(spark):
-    body = 'if (a) { login(x); self.check_all(y) } // gone()\nlet s = "no()"; foo"x"(1); _(2); print(3); démo(4)'
-    assert one_column(spark, [body, ""], text.called_names) == [["check_all", "démo", "login"], []]
+    body = 'while (a) { mow(x); self.bind_all(y) } // gone()\nlet s = "no()"; hay"x"(1); _(2); print(3); démo(4)'
+    assert one_column(spark, [body, ""], text.called_names) == [["bind_all", "démo", "mow"], []]
 
 
 def test_imported_names(spark):
@@ -68,12 +68,12 @@ def test_imported_names(spark):
 
     got = {r["language"]: r["x"] for r in import_samples(spark).select("language", text.imported_names(F.col("language"), F.col("content")).alias("x")).collect()}
     assert got == {
-        "Rust": ["Session", "auth", "login", "util"], "Go": ["fmt", "os", "str", "strings"], "CSharp": ["System", "Text"],
-        "TypeScript": ["auth", "db", "enter", "login"], "Python": ["auth", "login", "os", "sys", "system"], "Java": [],
+        "Rust": ["Wagon", "barn", "hay", "load"], "Go": ["bytes", "io", "net", "txt"], "CSharp": ["Farm", "Grain"],
+        "TypeScript": ["barn", "fill", "load", "silo"], "Python": ["barn", "json", "load", "math", "numbers"], "Java": [],
     }
 
 
-@pytest.mark.parametrize(("test", "symbol", "hit"), [("test_login", "login", True), ("should_login", "LOGIN", True), ("login_test", "login", True), ("testLogin", "login", True), ("TestLogin", "Login", True), ("LoginTest", "login", True), ("login", "Login", True), ("testlogin", "login", False), ("Test", "", False)])
+@pytest.mark.parametrize(("test", "symbol", "hit"), [("test_fill", "fill", True), ("should_fill", "FILL", True), ("fill_test", "fill", True), ("testFill", "fill", True), ("TestFill", "Fill", True), ("FillTest", "fill", True), ("fill", "Fill", True), ("testfill", "fill", False), ("Test", "", False)])
 def test_targets(spark, test, symbol, hit):
     assert one_column(spark, [test], lambda s: text.test_targets(s, F.lit(symbol))) == [hit]
 
@@ -95,8 +95,8 @@ def test_names_and_bodies(spark):
 
 
 def test_paths(spark):
-    yes = ["tests/auth_test.rs", "test/foo.rs", "tests/unit/x.py", "src/auth_test.rs", "src/foo.test.ts", "src/foo.spec.js", "test_foo.py", "test-foo.rs"]
-    no = ["src/testing/util.rs", "testdata/fixture.json", "src/contest_results.rs", "src/latest_news.rs", "src/mytest/file.rs", "src/protest.rs"]
+    yes = ["tests/barn.rs", "a/test/silo.rs", "Tests/unit/hay.py", "lib/silo_test.go", "lib/silo.test.ts", "lib/silo.spec.js", "test_silo.py", "test-silo.rs"]
+    no = ["lib/testers/a.rs", "testbed/b.json", "lib/attest_all.rs", "lib/greatest_rows.rs", "lib/hightest/c.rs", "lib/detest.rs"]
     assert one_column(spark, yes + no, paths.is_test_path) == [True] * 8 + [False] * 6
     assert one_column(spark, ["a.RS", "b.tsx", "c.h", "d.cxx", "e.txt"], paths.language_of) == ["Rust", "TypeScript", "C", "Cpp", "Unknown"]
     assert one_column(spark, ["Cargo.lock", "target/x.rs", "a/target.rs", "x.pb.go", "src/a.rs"], paths.generated_by_name) == [True, True, False, True, False]
@@ -105,7 +105,7 @@ def test_paths(spark):
 
 
 def test_formatting_only(spark):
-    cases = [("Rust", "a();\nb();", "b();\na();", False), ("Python", "if x:\n    y()", "if x:\ny()", False), ("Rust", 'f("a b")', 'f("ab")', False), ("Rust", "let amount", "letamount", False), ("Rust", "    run();", "        run();", True), ("Rust", None, "        run();", False), ("Unknown", "    run();", "        run();", False), ("Go", "    run();", "  run();", False)]
+    cases = [("Rust", "a();\nb();", "b();\na();", False), ("Python", "if x:\n    y()", "if x:\ny()", False), ("Rust", 'f("a b")', 'f("ab")', False), ("Rust", "let bale", "letbale", False), ("Rust", "    mow();", "        mow();", True), ("Rust", None, "        mow();", False), ("Unknown", "    mow();", "        mow();", False), ("Go", "    mow();", "  mow();", False)]
     rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, l string, o string, n string")
     flag = paths.formatting_only(F.col("l"), F.lit("Modified"), F.lit(False), F.lit(1), F.col("o"), F.col("n"))
     assert [r[0] for r in rows.orderBy("i").select(flag).collect()] == [c[3] for c in cases]

@@ -4,14 +4,77 @@ from __future__ import annotations
 
 import re
 
-from .functions.paths import GENERATED_DIRS, GENERATED_SUFFIXES, SUFFIXES
-from .functions.text import CALL_KEYWORDS, EVIDENCE_PRIORITY, STOPWORDS
-from .operators import score
-from .operators.extract import NOT_FUNCTIONS
-from .operators.judge import LEVELS as JUDGE_LEVELS
-from .operators.judge import RISKY_CATEGORIES, RISKY_SIGNALS
-from .queries import LEVELS, NAMES, SIGNAL_ADDED, SIGNAL_CHANGES, SIGNAL_DELETED, SIGNAL_PATHS, TASK_LEVELS
-from .sources.tables import DIRS, EXTENSIONS, KINDS
+# Fixed values of the definitions and of the queries, written out here once more: a wrong one in the code under test shows.
+GENERATED_DIRS = "target node_modules dist build .next vendor __pycache__ .git".split()
+GENERATED_SUFFIXES = "cargo.lock package-lock.json yarn.lock pnpm-lock.yaml poetry.lock pipfile.lock .min.js .min.css .map .bundle.js .pb.go .generated.ts .g.cs .designer.cs .lock".split()
+SUFFIXES = (
+    ('Rust', ('.rs',)),
+    ('TypeScript', ('.ts', '.tsx', '.mts', '.cts')),
+    ('JavaScript', ('.js', '.jsx', '.mjs', '.cjs')),
+    ('Python', ('.py', '.pyi')),
+    ('CSharp', ('.cs',)),
+    ('Go', ('.go',)),
+    ('Java', ('.java',)),
+    ('C', ('.c', '.h')),
+    ('Cpp', ('.cpp', '.cc', '.hpp', '.cxx')),
+)
+CALL_KEYWORDS = (
+    "if else for while loop match return use mod fn struct enum impl trait const static let mut ref move where async await crate self Self super extern macro function class extends new typeof "
+    "instanceof in of do switch case try catch finally throw def lambda import from with as assert sizeof true false print println"
+).split()
+EVIDENCE_PRIORITY = "secret-handling unsafe validation-removed untested-change blast-radius auth-surface symbol-removed schema".split()
+STOPWORDS = (
+    "a an the and or but of to in on for with by at from as is are was were be been it its this that these those should would could must need needs add adds added adding fix fixes fixed fixing "
+    "update updates updated updating make makes use uses used using new also just please implement"
+).split()
+NOT_FUNCTIONS = "if else elif for foreach while do switch catch try finally throw return using lock fixed checked unchecked unless until".split()
+JUDGE_LEVELS = ('Cosmetic, generated-adjacent, or test-only impact', 'Minor feature impact, easily reverted', 'Auth/security, data-loss, or migration impact')
+RISKY_CATEGORIES = "Auth Security Schema Migration ApiBreak".split()
+RISKY_SIGNALS = ('validation-removed', 'secret-handling', 'unsafe')
+SIGNAL_ADDED = ('y', 'let password = ask();', 'run();', 'unsafe impl Send for X {}', 'let s = "unsafe impl none";', 'match x { }')
+SIGNAL_CHANGES = "Added Removed Modified SignatureChanged VisibilityChanged Renamed Moved".split()
+SIGNAL_DELETED = ('z', '// still valid', 'is_valid(z);', 'if z { }')
+SIGNAL_PATHS = "web/signin/form.rs web/signins.rs tests/oauth_test.rs manual/login.md src/donkey.rs src/public_key.rs src/barn.rs db/prisma/rows.sql go.mod k8s/site.yaml yarn.lock lib/farm.rs".split()
+NAMES = ('test_Region', 'should_REGION', 'regionTest', 'TestRegion', 'testregion', 'Region_test', 'Region', 'm::Region', 'a → b::Region', 'Test', 'contest')
+DIRS = "src/auth tests docs migrations target deploy src/session lib".split()
+EXTENSIONS = "rs py go ts js cs md".split()
+KINDS = ('Function', 'Method', 'Const')
+AUTH_WORDS = "auth session token password login oauth permission secret crypto signin sign-in".split()
+SCHEMA_PARTS = ('migrat', 'schema', 'prisma/', 'alembic/')
+MANIFESTS = "cargo.toml package.json pyproject.toml requirements.txt .csproj go.mod".split()
+DEPLOY_PARTS = "dockerfile k8s/ deploy/ .github/workflows/ appsettings".split()
+SECRET_PATH_WORDS = ('secret', 'credential', 'key')
+SECRET_TEXT = ('secret', 'token', 'password')
+SYMBOL_POINTS = {'Removed': 25, 'SignatureChanged': 22, 'VisibilityChanged': 20, 'Modified': 12, 'Added': 8, 'Renamed': 5, 'Moved': 5}
+SYMBOL_FLOOR = {'Removed': 2, 'SignatureChanged': 1, 'VisibilityChanged': 1}
+SYMBOL_CATEGORY = {'Removed': 'ApiBreak', 'SignatureChanged': 'Behavior', 'VisibilityChanged': 'ApiBreak', 'Modified': 'Behavior', 'Added': 'Behavior'}
+SYMBOL_EVIDENCE = {
+    'Removed': ('symbol-removed', 'symbol removed: '),
+    'SignatureChanged': ('signature-changed', 'signature changed: '),
+    'VisibilityChanged': ('visibility-changed', 'visibility changed: '),
+    'Renamed': ('rename-move', 'renamed/moved: '),
+    'Moved': ('rename-move', 'renamed/moved: '),
+}
+SYMBOL_CAP = 25
+BASE_POINTS = 20
+RISK_QUESTION = 'Does this change carry behavioral risk deserving human review?'
+SEVERITY_QUESTION = 'How severe would a bug in this change be?'
+RISK_CRITERIA = {'true': 'Logic change on a sensitive surface, or uncovered by tests', 'false': 'Mechanical, generated-adjacent, or fully covered change'}
+
+
+# number of the language, then a row of each template of the catalogue's sources, by the line rules of its language
+CODE_SYMBOLS = (
+    (0, 1, "LIMIT", "Const", 1, 1, "LIMIT", False, True), (0, 2, "Box{k}", "Class", 3, 8, "class Box{k}", False, True), (0, 3, "Box{k}::open", "Method", 4, 5, "def open(…)", False, True),
+    (0, 4, "Box{k}::_lid", "Method", 7, 8, "def _lid(…)", False, False), (0, 5, "test_box_{k}", "Test", 10, 11, "def test_box_{k}(…)", True, True),
+    (1, 1, "Box{k}", "Struct", 1, 3, "struct Box{k}", False, True), (1, 2, "Box{k}::open", "Method", 6, 8, "fn open(& self) -> u64", False, True), (1, 3, "LIMIT", "Const", 11, 11, "const LIMIT", False, False),
+    (1, 4, "opens_{k}", "Test", 14, 14, "fn opens_{k}()", True, False),
+    (2, 1, "Box{k}", "Struct", 3, 5, "type Box{k}", False, True), (2, 2, "Load{k}", "Function", 7, 9, "func Load{k}(…)", False, True), (2, 3, "Box{k}::open", "Method", 11, 12, "func open(…)", False, False),
+    (2, 4, "TestLoad{k}", "Test", 14, 14, "func TestLoad{k}(…)", True, True),
+    (3, 1, "load{k}", "Function", 1, 1, "function load{k}(…)", False, True), (3, 2, "lid{k}", "Function", 2, 2, "const lid{k}", False, True), (3, 3, "Box{k}", "Class", 3, 5, "class Box{k}", False, False),
+    (3, 4, "Box{k}::open", "Method", 4, 4, "open(…)", False, True), (3, 5, "Id{k}", "TypeAlias", 6, 6, "type Id{k}", False, False),
+    (4, 1, "Box{k}", "Class", 1, 7, "class Box{k}", False, True), (4, 2, "Box{k}::_lid", "Field", 2, 2, "_lid", False, False), (4, 3, "Box{k}::new", "Method", 3, 3, "Box{k}(…)", False, True),
+    (4, 4, "Box{k}::Load", "Method", 4, 4, "Load(…)", False, True), (4, 5, "Box{k}::Loads", "Test", 6, 6, "Loads(…)", True, True),
+)
 
 
 def q(s: str) -> str:
@@ -138,10 +201,10 @@ def scored(src: str) -> str:
     p = "lower(path)"
     branch = lambda c: f"(contains({c}, 'if ') OR contains({c}, 'match '))"
     unsafe = rf"len(list_filter(added, x -> regexp_matches(lower(trim({strip_code('x')})), '^unsafe|unsafe (fn|\{{|impl|trait|extern)'))) > 0 AND language = 'Rust'"
-    points = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in score.SYMBOL_POINTS.items()) + " ELSE 0 END"
-    floor = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in score.SYMBOL_FLOOR.items()) + " ELSE 0 END"
-    category = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in score.SYMBOL_CATEGORY.items()) + " END"
-    proof = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {q(v[0] + '=' + v[1])} || s.name" for k, v in score.SYMBOL_EVIDENCE.items()) + " END"
+    points = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SYMBOL_POINTS.items()) + " ELSE 0 END"
+    floor = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SYMBOL_FLOOR.items()) + " ELSE 0 END"
+    category = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in SYMBOL_CATEGORY.items()) + " END"
+    proof = "CASE s.change " + " ".join(f"WHEN {q(k)} THEN {q(v[0] + '=' + v[1])} || s.name" for k, v in SYMBOL_EVIDENCE.items()) + " END"
     say = lambda c, kind, what: f"CASE WHEN {c} THEN {q(kind + '=' + what)} END"
     before = ", ".join(
         [
@@ -158,15 +221,15 @@ def scored(src: str) -> str:
     return f"""
 s0 AS (SELECT *, {code("added")} AS atext, {code("deleted")} AS dtext FROM {src}),
 s1 AS (
-  SELECT *, {has_part("path", score.AUTH_WORDS)} AS auth, {any_of(p, "contains", score.SCHEMA_PARTS)} OR ends_with({p}, '.sql') AS sch, {any_of(p, "ends_with", score.MANIFESTS)} AS dep,
-         {any_of(p, "contains", score.DEPLOY_PARTS)} OR ends_with({p}, '.env') AS cfg, {any_of(p, "ends_with", (".md", ".rst"))} OR contains({p}, '/docs/') AS docs, {unsafe} AS uns,
+  SELECT *, {has_part("path", AUTH_WORDS)} AS auth, {any_of(p, "contains", SCHEMA_PARTS)} OR ends_with({p}, '.sql') AS sch, {any_of(p, "ends_with", MANIFESTS)} AS dep,
+         {any_of(p, "contains", DEPLOY_PARTS)} OR ends_with({p}, '.env') AS cfg, {any_of(p, "ends_with", (".md", ".rst"))} OR contains({p}, '/docs/') AS docs, {unsafe} AS uns,
          contains(dtext, 'valid') AND NOT contains(atext, 'valid') AS val, {branch("dtext")} AND {branch("atext")} AS cond,
-         {has_part("path", score.SECRET_PATH_WORDS)} AND {any_of("atext", "contains", score.SECRET_TEXT)} AS sec,
-         least(coalesce(list_sum(list_transform(symbols, s -> {points})), 0), {score.SYMBOL_CAP}) AS bonus, coalesce(list_max(list_transform(symbols, s -> {floor})), 0) AS sfloor,
+         {has_part("path", SECRET_PATH_WORDS)} AND {any_of("atext", "contains", SECRET_TEXT)} AS sec,
+         least(coalesce(list_sum(list_transform(symbols, s -> {points})), 0), {SYMBOL_CAP}) AS bonus, coalesce(list_max(list_transform(symbols, s -> {floor})), 0) AS sfloor,
          list_filter(list_transform(symbols, s -> {category}), c -> c IS NOT NULL)[1] AS scat, list_filter(list_transform(symbols, s -> {proof}), c -> c IS NOT NULL) AS sproof
   FROM s0),
 s2 AS (
-  SELECT *, greatest(0, least(100, {score.BASE_POINTS} + bonus + 45 * auth::INT + 40 * sch::INT + 30 * dep::INT + 25 * cfg::INT - 10 * is_test_file::INT - 12 * docs::INT
+  SELECT *, greatest(0, least(100, {BASE_POINTS} + bonus + 45 * auth::INT + 40 * sch::INT + 30 * dep::INT + 25 * cfg::INT - 10 * is_test_file::INT - 12 * docs::INT
            + 20 * uns::INT + 18 * val::INT + 10 * cond::INT + 25 * sec::INT))::INT AS pr,
          greatest(sfloor, 2 * auth::INT, 2 * sch::INT, dep::INT, cfg::INT, 2 * uns::INT, 2 * val::INT, 3 * sec::INT) AS fl
   FROM s1),
@@ -206,7 +269,7 @@ def line_symbols(where: str = "true") -> str:
 l0 AS ({side("old", "old_content")} UNION ALL {side("new", "new_content")}),
 l1 AS (SELECT *, regexp_extract(line, '([\p{{L}}\p{{N}}_]+)', 1) AS name FROM l0),
 ls AS (
-  SELECT changeset_id, file, side, n::INT AS sym_idx, name, {pick(KINDS, "length(name)")} AS kind, n::INT AS start_line, n::INT AS end_line, substr(line, 1, 40) AS signature,
+  SELECT changeset_id, file, side, n::INT AS sym_idx, name, {pick(KINDS, "length(name)")} AS kind, n::INT AS start_line, n::INT AS end_line, string_split(line, '.')[1] AS signature,
          length(line) % 5 <> 0 AS is_public, line AS body
   FROM l1 WHERE name <> '')"""
 
@@ -256,23 +319,27 @@ NOSIG_KEY = rf"regexp_replace(regexp_replace(body, '^[^\n]*\n?', ''), '{NO_SPACE
 EXACT = f"WITH {CHANGES}, {line_symbols()}, {PAIRS}, {LONE}, {unique_moves(BODY_KEY)}"
 
 
-def check(lang: str) -> str:
-    """CTE tc: each benchmark text as a task against the vocabulary of the documents of a language."""
+def check() -> str:
+    """CTE vd: each benchmark text as a task against the words of all documents, by every pair of lengths that may match."""
     inside = "(contains(term, token) OR contains(token, term)) AND strlen(term) >= 4 AND strlen(token) >= 4"
     return f"""
-WITH voc AS (SELECT DISTINCT unnest({split_ident("text")}) AS token FROM documents WHERE lang = '{lang}'),
+WITH v0 AS (SELECT doc_id, unnest({split_ident("text")}) AS token FROM documents),
+voc AS (SELECT token, min(doc_id) AS ord FROM v0 GROUP BY token),
 tt AS (SELECT item_id AS task_id, list_filter({split_ident("text")}, w -> strlen(w) >= 3 AND NOT list_contains({li(STOPWORDS)}, w)) AS ws FROM benchmark),
 te AS (SELECT task_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS idx FROM tt),
 tm AS (SELECT task_id, term, min(idx) AS idx FROM te GROUP BY ALL),
 dt AS (SELECT DISTINCT term FROM tm),
 ms AS (SELECT term FROM dt WHERE term NOT IN (SELECT token FROM voc)),
 mg AS (SELECT DISTINCT term, unnest({grams("term")}) AS g FROM ms),
-vg AS (SELECT DISTINCT token, unnest({grams("token")}) AS g FROM voc),
-pr AS (SELECT DISTINCT term, token FROM mg JOIN vg USING (g) WHERE {possible("term", "token")} OR ({inside})),
-fz AS (SELECT DISTINCT term FROM pr WHERE ({inside}) OR ({possible("term", "token")} AND 20 * {shared(grams("term"), grams("token"))} >= 6 * ({gram_count("term")} + {gram_count("token")}))),
-ok AS (SELECT term FROM dt WHERE term IN (SELECT token FROM voc) UNION SELECT term FROM fz),
+vg AS (SELECT DISTINCT token, ord, unnest({grams("token")}) AS g FROM voc),
+pr AS (SELECT DISTINCT term, token, ord FROM mg JOIN vg USING (g) WHERE {possible("term", "token")} OR ({inside})),
+px AS (SELECT *, CASE WHEN {possible("term", "token")} THEN {shared(grams("term"), grams("token"))} ELSE 0 END AS hits FROM pr),
+sc AS (SELECT *, {match("term", "token", "hits")} AS score FROM px),
+fz AS (SELECT term, arg_min(ord, {{'s': -score, 'o': ord, 't': token}}) AS ord FROM sc WHERE score > 0 GROUP BY term),
+ok AS (SELECT term, ord FROM dt JOIN voc ON voc.token = dt.term UNION ALL SELECT term, ord FROM fz),
 tc AS (
-  SELECT b.item_id AS task_id, count(t.term) AS terms, count(k.term) AS matched, coalesce(string_agg(CASE WHEN k.term IS NULL THEN t.term END, '|' ORDER BY t.idx), '') AS unmatched
+  SELECT b.item_id AS task_id, count(t.term) AS terms, count(k.term) AS matched, coalesce(string_agg(CASE WHEN k.term IS NOT NULL THEN t.term || '=doc ' || k.ord END, '|' ORDER BY t.idx), '') AS via,
+         coalesce(string_agg(CASE WHEN k.term IS NULL THEN t.term END, '|' ORDER BY t.idx), '') AS unmatched
   FROM benchmark b LEFT JOIN tm t ON t.task_id = b.item_id LEFT JOIN ok k ON k.term = t.term GROUP BY b.item_id),
 vd AS (SELECT *, CASE WHEN terms > 0 AND 10 * matched >= 8 * terms THEN 'Covered' WHEN terms > 0 AND 3 * matched >= terms THEN 'Partial' ELSE 'Uncovered' END AS verdict FROM tc)"""
 
@@ -328,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
     line = f"{pick(LITERALS, 'p_partkey')} || ' ' || {pick(LITERALS, '(p_partkey // 7)')}"
     sql["strip_literals_values"] = f"""WITH p AS (SELECT p_partkey AS ps, {line} AS line FROM part) SELECT ps, {strip_code("line")} AS stripped,
         CASE WHEN NOT contains(line, '"') AND NOT contains(line, '//') THEN line ELSE {strip_code("line")} END AS cleaned FROM p"""
-    sql["escapes"] = f"""WITH c AS (SELECT conv_id, turn, substr(text, 1, 300) AS t FROM conversations)
+    sql["escapes"] = f"""WITH c AS (SELECT conv_id, turn, text AS t FROM conversations)
         SELECT conv_id, turn, {github("t")} AS github, replace(replace({github("t")}, ':', '%3A'), ',', '%2C') AS prop, {xml("t")} AS xml, '''' || replace(t, '''', '''\\''''') || '''' AS shell FROM c"""
     sql["truncate_tokens"] = f"SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS head, ceil(length(text) / 4)::INT AS tokens, md5({single('text')}) AS line, md5(regexp_replace(text, '^{NO_SPACE}|{NO_SPACE}$', '', 'g')) AS trimmed FROM documents"
     sql["text_lines"] = rf"""WITH l AS (SELECT doc_id, {lines("text")} AS l FROM documents), b AS (SELECT doc_id, l, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:4], chr(10)) END AS body FROM l)
@@ -339,7 +406,6 @@ def oracle_sql() -> dict[str, str]:
     severity = pick(("Low", "Medium", "Medium", "High", "Critical", "Critical"), "n_nationkey")
     verdict = pick(("Covered", "Covered", "Partial", "Uncovered", "Uncovered", "Covered"), "n_nationkey")
     kind = pick(("unsafe", "schema", "docs", "secret-handling", "blast-radius", "x"), "n_nationkey")
-    assert len(LEVELS) == len(TASK_LEVELS) == 6
     sql["level_names"] = f"""SELECT n_nationkey, {severity} AS severity, (list_position(['Low', 'Medium', 'High', 'Critical'], {severity}) - 1)::INT AS severity_rank, {verdict} AS verdict, {verdict} <> 'Covered' AS trips,
         coalesce(list_position({li(EVIDENCE_PRIORITY)}, {kind}) - 1, {len(EVIDENCE_PRIORITY)})::INT AS evidence_rank FROM nation"""
     sql["generic_symbols_documents"] = rf"""WITH s AS (
@@ -363,10 +429,10 @@ def oracle_sql() -> dict[str, str]:
     sql["visibility_pairs"] = f"{TALK_DIFF} SELECT changeset_id, file, name, kind, old_start, new_start FROM sd WHERE change = 'VisibilityChanged'"
     move_columns = "changeset_id, file, name, kind, change, moved_from, old_start, new_start"
     sql["exact_moves"] = f"{EXACT} SELECT {move_columns}, confidence::DOUBLE AS confidence, proof FROM mv"
-    doc = lambda s, c: f"SELECT changeset_id, path AS file, '{s}' AS side, '{s}' || file_idx AS name, 'Function' AS kind, {c} AS body FROM ch WHERE {c} IS NOT NULL AND file_idx % 3 <> 0"
+    doc = lambda s, c: f"SELECT changeset_id, path AS file, '{s}' AS side, '{s}' || file_idx AS name, 'Function' AS kind, {c} AS body FROM ch WHERE {c} IS NOT NULL"
     sql["nosig_moves"] = f"""WITH {CHANGES}, lone AS (SELECT *, CASE WHEN side = 'old' THEN 'Removed' ELSE 'Added' END AS change, CASE WHEN side = 'old' THEN 1 END AS old_start, CASE WHEN side = 'new' THEN 1 END AS new_start
         FROM ({doc("old", "old_content")} UNION ALL {doc("new", "new_content")})), {unique_moves(NOSIG_KEY)} SELECT {move_columns} FROM mv"""
-    sql["reorder_moves"] = rf"""WITH b AS (SELECT 'doc/' || doc_id AS file, regexp_extract_all(text, '{IDENTS}')[1:20] AS w FROM documents WHERE length(text) < 400),
+    sql["reorder_moves"] = rf"""WITH b AS (SELECT 'doc/' || doc_id AS file, regexp_extract_all(text, '{IDENTS}') AS w FROM documents),
         o AS (SELECT file, unnest(w) AS name, generate_subscripts(w, 1) AS i FROM b), n AS (SELECT file, unnest(list_sort(w)) AS name, generate_subscripts(w, 1) AS i FROM b),
         o2 AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY i) AS rn FROM o), n2 AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY i) AS rn FROM n)
         SELECT file, name, (o2.i - 1)::INT AS old_start, (n2.i - 1)::INT AS new_start, 'reordered within ' || file || ': position ' || o2.i || ' → ' || n2.i AS proof
@@ -377,8 +443,8 @@ def oracle_sql() -> dict[str, str]:
         [{{'name': 'f', 'change': {pick(SIGNAL_CHANGES, "o_orderkey")}}}, {{'name': 'g', 'change': {pick(SIGNAL_CHANGES, "o_orderkey // 7")}}}][1:o_orderkey % 3] AS symbols FROM orders),
         gs AS (SELECT *, {language("path")} AS language, {by_name("path")} AS is_generated, false AS formatting_only, {is_test_path("path")} AS is_test_file FROM g)"""
     sql["signal_scores"] = f"WITH {sig}, {scored('gs')} SELECT file_idx, priority, {SEVERITY} AS severity, category, {proof} FROM sc"
-    weight = "CASE change " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in score.SYMBOL_POINTS.items()) + " END"
-    sql["symbol_bonus"] = f"{TALK_DIFF} SELECT changeset_id, file, least(sum({weight}), {score.SYMBOL_CAP})::INT AS bonus FROM sd GROUP BY ALL"
+    weight = "CASE change " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SYMBOL_POINTS.items()) + " END"
+    sql["symbol_bonus"] = f"{TALK_DIFF} SELECT changeset_id, file, least(sum({weight}), {SYMBOL_CAP})::INT AS bonus FROM sd GROUP BY ALL"
     sql["mechanical_bucket"] = f"{DOC_ITEMS} SELECT changeset_id, title, len(files)::INT AS n, md5(array_to_string(files, '|')) AS files, {proof} FROM mech"
     sql["gate_top"] = f"""{DOC_ITEMS}, g AS (SELECT *, row_number() OVER (PARTITION BY changeset_id ORDER BY severity_rank DESC, priority DESC, title DESC, id DESC) AS r FROM items
         WHERE category <> 'Mechanical' AND severity_rank >= 1) SELECT changeset_id, id, title, severity, priority FROM g WHERE r = 1"""
@@ -412,17 +478,17 @@ def oracle_sql() -> dict[str, str]:
     sql["visible_items"] = f"""{DOC_ITEMS} SELECT changeset_id, id, row_number() OVER (PARTITION BY changeset_id ORDER BY severity_rank DESC, priority DESC, title, id)::INT AS shown_pos FROM items
         WHERE category <> 'Mechanical' AND (contains(lower(title), 'src1') OR len(list_filter(files, x -> contains(lower(x), 'src1'))) > 0)"""
     sql["next_meaningful"] = f"""{DOC_ITEMS} SELECT changeset_id, pos, id, min(CASE WHEN category NOT IN ('Mechanical', 'Test') THEN pos END) OVER (PARTITION BY changeset_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_pos FROM ranked"""
-    sql["task_check"] = f"{check('es')} SELECT task_id, terms, matched, unmatched, CASE WHEN terms > 0 THEN round(matched / terms, 6) ELSE 0 END AS coverage, verdict FROM vd"
-    sql["task_verdict_gate"] = f"{check('de')} SELECT task_id, verdict, verdict <> 'Covered' AS trips FROM vd"
+    sql["task_check"] = f"{check()} SELECT task_id, terms, matched, via, unmatched, CASE WHEN terms > 0 THEN round(matched / terms, 6) ELSE 0 END AS coverage, verdict FROM vd"
+    sql["task_verdict_gate"] = f"{check()} SELECT task_id, verdict, verdict <> 'Covered' AS trips FROM vd"
     title = f"regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '{IDENTS}')[1:3]"
     sql["definition_index"] = f"WITH d AS (SELECT unnest({title}) AS name, {PAGE_PATH} AS file FROM pages) SELECT name, count(DISTINCT file) AS files FROM d GROUP BY name"
     sql["blast_radius"] = f"""WITH s AS (SELECT {PAGE_PATH} AS path, {CALLS} AS calls FROM pages),
         m AS (SELECT n_name, path FROM nation, s WHERE list_contains(calls, 'track') AND NOT {is_test_path("path")} AND path <> n_name), a AS (SELECT n_name, list_sort(list(DISTINCT path)) AS a FROM m GROUP BY n_name)
         SELECT 'file:' || n_name AS id, len(a)::INT AS n, md5(array_to_string(a, '|')) AS affected, {SUMMARY} AS summary FROM a"""
-    sql["coverage_links"] = """WITH c AS (SELECT 'src/' || p_partkey || '.rs' AS file, string_split(p_name, ' ')[1] AS short FROM part WHERE p_partkey % 2 = 0),
-        t AS (SELECT 'test_' || string_split(p_name, ' ')[1] AS name, 'tests/' || p_partkey || '.rs' AS file, string_split(p_name, ' ')[2:3] AS calls FROM part WHERE p_partkey % 7 = 1),
+    sql["coverage_links"] = """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, p_partkey // 5 AS g FROM part), c AS (SELECT 'src/' || p_partkey || '.rs' AS file, w[1] || '_' || g AS short FROM p),
+        t AS (SELECT 'test_' || w[1] || '_' || g AS name, 'tests/' || p_partkey || '.rs' AS file, [w[1] || '_' || (g + 1), w[2] || '_' || g] AS calls FROM p),
         k AS (SELECT name, file, unnest(calls) AS key FROM t UNION ALL SELECT name, file, substr(name, 6) FROM t)
-        SELECT DISTINCT 'parts' AS changeset_id, c.file, 'shop::' || c.short AS name, k.name || ' (' || k.file || ')' AS label FROM c JOIN k ON k.key = c.short OR lower(k.key) = lower(c.short) AND k.key = substr(k.name, 6)"""
+        SELECT DISTINCT 'parts' AS changeset_id, c.file, 'shop::' || c.short AS name, k.name || ' (' || k.file || ')' AS label FROM c JOIN k ON k.key = c.short"""
     sql["diff_rows"] = f"""WITH f AS (SELECT conv_id::VARCHAR AS changeset_id, turn, 'talk/' || conv_id || '/' || turn AS path, {lines("text")} AS l FROM conversations),
         r AS (SELECT changeset_id, turn, path, -1 AS hunk_idx, -1 AS line_idx, 'file' AS level, NULL AS kind, path AS text FROM f UNION ALL SELECT changeset_id, turn, path, 0, -1, 'hunk', NULL, 'untracked file' FROM f
               UNION ALL SELECT changeset_id, turn, path, 0, generate_subscripts(l, 1)::INT - 1, 'line', 'Addition', unnest(l) FROM f)
@@ -435,7 +501,7 @@ def oracle_sql() -> dict[str, str]:
     key = "sha256(encode('rust') || '\\x00'::BLOB || encode(o_orderkey::VARCHAR))"
     sql["cache_eviction"] = f"""WITH k AS (SELECT {key} AS k FROM orders), n AS (SELECT count(*) AS n FROM k), r AS (SELECT k, row_number() OVER (ORDER BY k DESC) AS rn FROM k)
         SELECT count(*) AS n, min(k) AS least, max(k) AS most FROM r, n WHERE n.n < 5000 OR rn <= n.n - greatest(625, n.n - 5000 + 625)"""
-    of_symbols = f"WITH {CHANGES}, {FILES}, {line_symbols("changeset_id <> 'en'")}, {DIFF}"
+    of_symbols = f"WITH {CHANGES}, {FILES}, {line_symbols()}, {DIFF}"
     per_file = "pf AS (SELECT changeset_id, file AS path, count(*) FILTER (change = 'Added') AS a, count(*) FILTER (change = 'Modified') AS m, count(*) AS n FROM sd GROUP BY ALL)"
     s = lambda n: f"CASE WHEN {n} = 1 THEN '' ELSE 's' END"
     sql["tests_bucket"] = f"""{of_symbols}, pf AS (SELECT changeset_id, file AS path, count(*) FILTER (change = 'Added') AS a, count(*) FILTER (change = 'Modified') AS m FROM sd WHERE change IN ('Added', 'Modified') GROUP BY ALL),
@@ -446,7 +512,7 @@ def oracle_sql() -> dict[str, str]:
     sql["move_pairs"] = f"""{EXACT}, p AS (SELECT changeset_id, moved_from, file, count(*) AS k, min(confidence) AS c, list(name ORDER BY name, kind, new_start) AS names FROM mv WHERE change = 'Moved' AND moved_from IS NOT NULL GROUP BY ALL)
         SELECT changeset_id, 'move:' || moved_from || '→' || file AS id, CASE WHEN k = 1 THEN names[1] ELSE k || ' symbols' END || ' moved ' || moved_from || ' → ' || file AS title, CASE WHEN c < 0.8 THEN 'Medium' ELSE 'Low' END AS severity,
                CASE WHEN c < 0.8 THEN 25 ELSE 8 END AS priority, k::INT AS n, md5(array_to_string(names, '|')) AS names FROM p"""
-    sql["change_stats"] = f"""{of_symbols}, ff AS (SELECT * FROM f WHERE changeset_id <> 'en'), x AS (SELECT changeset_id, count(*) FILTER (change = 'Added') AS symbols_added, count(*) FILTER (change = 'Removed') AS symbols_removed,
+    sql["change_stats"] = f"""{of_symbols}, ff AS (SELECT * FROM f), x AS (SELECT changeset_id, count(*) FILTER (change = 'Added') AS symbols_added, count(*) FILTER (change = 'Removed') AS symbols_removed,
               count(*) FILTER (change NOT IN ('Added', 'Removed')) AS symbols_modified FROM sd GROUP BY ALL)
         SELECT changeset_id, count(*) AS files_changed, sum(added_lines)::BIGINT AS added_lines, sum(deleted_lines)::BIGINT AS deleted_lines, count(*) FILTER (is_generated OR formatting_only) AS mechanical_files,
                count(*) FILTER (is_test_file) AS test_files, coalesce(any_value(symbols_added), 0) AS symbols_added, coalesce(any_value(symbols_removed), 0) AS symbols_removed, coalesce(any_value(symbols_modified), 0) AS symbols_modified,
@@ -454,7 +520,7 @@ def oracle_sql() -> dict[str, str]:
     verbs = "CASE sy[1].change WHEN 'Added' THEN 'added' WHEN 'Removed' THEN 'removed' WHEN 'SignatureChanged' THEN 'signature changed' WHEN 'VisibilityChanged' THEN 'visibility changed' ELSE 'modified' END"
     sql["file_items"] = f"""{of_symbols}, {per_file.replace("GROUP BY ALL", "GROUP BY ALL")},
         ss AS (SELECT changeset_id, file AS path, list({{'name': name, 'kind': kind, 'change': change}} ORDER BY name, kind, coalesce(new_start, old_start), change) AS sy FROM sd GROUP BY ALL),
-        j AS (SELECT f.*, coalesce(sy, []) AS sy, coalesce(list_transform(sy, x -> {{'name': x.name, 'change': x.change}}), []) AS symbols, coalesce(pf.n, 0) AS k, coalesce(pf.a + pf.m, 0) AS am FROM f LEFT JOIN ss USING (changeset_id, path) LEFT JOIN pf USING (changeset_id, path) WHERE changeset_id <> 'en'),
+        j AS (SELECT f.*, coalesce(sy, []) AS sy, coalesce(list_transform(sy, x -> {{'name': x.name, 'change': x.change}}), []) AS symbols, coalesce(pf.n, 0) AS k, coalesce(pf.a + pf.m, 0) AS am FROM f LEFT JOIN ss USING (changeset_id, path) LEFT JOIN pf USING (changeset_id, path)),
         {scored("j")}
         SELECT changeset_id, 'file:' || path AS id, CASE WHEN k = 1 THEN path || ' — ' || sy[1].name || ' ' || {verbs} WHEN k > 1 THEN path || ' — ' || k || ' symbols changed' WHEN status = 'Added' THEN path || ' — new file'
                ELSE path || ' — +' || added_lines || ' −' || deleted_lines END AS title, category, {SEVERITY} AS severity, priority,
@@ -467,8 +533,40 @@ def oracle_sql() -> dict[str, str]:
     sql["item_detail"] = f"""WITH {TALKS}, {FILES}, df AS (SELECT DISTINCT changeset_id, path, added, deleted FROM f), p AS (SELECT changeset_id, path, count(*) AS k FROM df GROUP BY ALL),
         u AS (SELECT changeset_id, path, kind, unnest(texts) AS text, nd FROM ({change("Deletion", "deleted")} UNION ALL {change("Addition", "added")}))
         SELECT u.changeset_id, 'all' AS id, u.path, u.kind, u.text FROM u JOIN p USING (changeset_id, path), range(p.k)"""
-    imports = [("Rust", "Session|auth|login|util"), ("Go", "fmt|os|str|strings"), ("CSharp", "System|Text"), ("TypeScript", "auth|db|enter|login"), ("Python", "auth|login|os|sys|system"), ("Java", "")]
-    sql["imports_values"] = " UNION ALL ".join(f"SELECT {q(a)} AS language, {q(b)} AS imports" for a, b in imports)
+    names = ("Wagon{k}|barn{k}|hay|load", "bytes|io|net|txt{k}", "Farm|Grain{k}", "barn{k}|fill|load|silo", "barn|json|load|math|numbers{k}", "")
+    languages = ("Rust", "Go", "CSharp", "TypeScript", "Python", "Java")
+    sql["imported_names"] = f"SELECT p_partkey, {pick(languages, 'p_partkey')} AS language, replace({pick(names, 'p_partkey')}, '{{k}}', p_partkey::VARCHAR) AS imports FROM part"
+    rows = ", ".join(f"({kind}, {i}, {q(name)}, {q(what)}, {first}, {last}, {q(signature)}, {test}, {public})" for kind, i, name, what, first, last, signature, test, public in CODE_SYMBOLS)
+    sql["extract_code_symbols"] = f"""WITH g(kind_no, sym_idx, name, kind, start_line, end_line, signature, is_test, is_public) AS (VALUES {rows})
+        SELECT 'src/f' || p_partkey || '.' || {pick(("py", "rs", "go", "ts", "cs"), "p_partkey")} AS file, sym_idx::INT AS sym_idx, replace(name, '{{k}}', p_partkey::VARCHAR) AS name, kind, start_line::INT AS start_line, end_line::INT AS end_line,
+               replace(signature, '{{k}}', p_partkey::VARCHAR) AS signature, is_test, is_public FROM part JOIN g ON kind_no = p_partkey % 5"""
+    hit = re.sub(r" FROM part JOIN g", ", p_partkey % 2 = 0 AS hit FROM part JOIN g", sql["extract_code_symbols"])
+    sql["cached_extraction"] = hit
+    sql["stored_versions"] = "SELECT n_nationkey::VARCHAR AS changeset_id, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE n_nationkey END::INT AS schema_version, n_name AS base_ref, 1 AS items, 'High' AS severity FROM nation"
+    sql["overview"] = f"""{DOC_ITEMS}, {meaningful}, b AS (SELECT changeset_id, count(*) AS k, string_agg(n || '. [' || severity || '] ' || title || ' (priority ' || priority || ', 80% confidence)' || chr(10) || '    ' || why || chr(10), '' ORDER BY n) AS body FROM m GROUP BY ALL),
+        st AS (SELECT changeset_id, count(*) AS nf, sum(added_lines)::BIGINT AS a, sum(deleted_lines)::BIGINT AS d, count(*) FILTER (is_generated OR formatting_only) AS mf FROM f GROUP BY ALL),
+        me AS (SELECT changeset_id, count(*) AS n, string_agg('  - ' || title || chr(10), '' ORDER BY pos) AS l FROM ranked WHERE category = 'Mechanical' GROUP BY ALL)
+        SELECT changeset_id, 'HEAD → worktree' || chr(10) || nf || ' files · +' || a || ' −' || d || ' · ' || coalesce(k, 0) || ' meaningful · ' || mf || ' mechanical' || chr(10) || chr(10) || coalesce(body, '')
+               || coalesce(chr(10) || 'Mechanical (collapsed): ' || me.n || ' item(s)' || chr(10) || l, '') AS overview FROM st LEFT JOIN b USING (changeset_id) LEFT JOIN me USING (changeset_id)"""
+    sql["escalation_summary"] = f"""{DOC_ITEMS}, e0 AS (SELECT *, row_number() OVER (PARTITION BY changeset_id ORDER BY severity_rank DESC, priority DESC, title, id) AS p FROM items WHERE category <> 'Mechanical' AND severity_rank >= 2),
+        e1 AS (SELECT *, ceil((length(title) + length(why) + length(id) + 32 + length(files[1]) + coalesce(list_sum(list_transform(proofs[1:8], x -> length(x) + 1)), 0)) / 4)::BIGINT AS t FROM e0 WHERE p <= 3),
+        e2 AS (SELECT changeset_id, count(*) AS k, sum(t)::BIGINT AS t, string_agg(p || '. [' || severity || '] ' || title || ' (~' || t || ' tokens)' || chr(10) || '    ' || {single("why")} || chr(10) || '    files: ' || files[1] || chr(10), '' ORDER BY p) AS l FROM e1 GROUP BY ALL),
+        st AS (SELECT changeset_id, count(*) AS n, sum(added_lines)::BIGINT AS a, sum(deleted_lines)::BIGINT AS d FROM f GROUP BY ALL)
+        SELECT changeset_id, chr(10) || 'Escalation package — ' || coalesce(k, 0) || ' item(s), ~' || (coalesce(t, 0) + ceil(length('HEAD worktree High ' || n || ' ' || a || ' ' || d) / 4)::BIGINT) || ' tokens, floor High (schema v1)' || chr(10)
+               || CASE WHEN k IS NULL THEN '  no items at or above the floor — nothing to escalate.' ELSE l || '  pipe the JSON package to your model' END || chr(10) AS summary FROM st LEFT JOIN e2 USING (changeset_id)"""
+    facts = "{'id': id, 'title': title, 'category': category, 'severity': severity, 'priority': priority, 'confidence': 0.8, 'files': files, 'symbols': []::VARCHAR[], 'evidence': list_transform(proofs, p -> substr(p, strpos(p, '=') + 1)), 'why': why}"
+    criteria = "{'true': " + q(RISK_CRITERIA["true"]) + ", 'false': " + q(RISK_CRITERIA["false"]) + "}"
+    risk = f"to_json({{'type': 'noul', 'instructions': {{'change': {facts}, 'question': {q(RISK_QUESTION)}}}, 'criteria': {criteria}}})"
+    severe = f"to_json({{'type': 'score', 'instructions': {{'change': {facts}, 'question': {q(SEVERITY_QUESTION)}}}, 'criteria': {li(JUDGE_LEVELS)}}})"
+    sql["judge_requests"] = f"""{DOC_ITEMS}, {judged}, r AS (SELECT changeset_id, pos, to_json(id || '::risk') || ':' || {risk} || ',' || to_json(id || '::severity') || ':' || {severe} AS t FROM jd WHERE pos <= 25)
+        SELECT changeset_id, '{{"model":"judge","state":{{"base":"HEAD","head":"worktree","items_under_review":' || count(*) || '}},"questions":{{' || string_agg(t, ',' ORDER BY pos) || '}}}}' AS request FROM r GROUP BY changeset_id"""
+    proofs = "list_transform(proofs, p -> {'kind': substr(p, 1, strpos(p, '=') - 1), 'summary': substr(p, strpos(p, '=') + 1), 'file': CASE WHEN category = 'Mechanical' THEN '' ELSE files[1] END, 'old_value': NULL::VARCHAR, 'new_value': NULL::VARCHAR})"
+    sql["changeset_json"] = f"""{DOC_ITEMS}, fl AS (SELECT changeset_id, list({{'file_idx': file_idx, 'path': path, 'status': status, 'language': language, 'added_lines': added_lines, 'deleted_lines': deleted_lines}} ORDER BY file_idx, path) AS files FROM f GROUP BY ALL),
+        it AS (SELECT changeset_id, list({{'id': id, 'title': title, 'category': category, 'severity': severity, 'priority': priority, 'confidence': confidence::DOUBLE, 'files': files, 'symbols': []::VARCHAR[], 'evidence': {proofs}, 'why': why}} ORDER BY pos) AS items FROM ranked GROUP BY ALL),
+        st AS (SELECT changeset_id, {{'files_changed': count(*), 'added_lines': sum(added_lines)::BIGINT, 'deleted_lines': sum(deleted_lines)::BIGINT, 'mechanical_files': count(*) FILTER (is_generated OR formatting_only), 'test_files': count(*) FILTER (is_test_file),
+               'symbols_added': 0, 'symbols_removed': 0, 'symbols_modified': 0, 'meaningful_changes': count(*) FILTER (NOT (is_generated OR formatting_only) AND added_lines + deleted_lines > 0)}} AS stats FROM f GROUP BY ALL)
+        SELECT changeset_id, to_json({{'schema_version': 1, 'repo_root': '', 'base_ref': 'HEAD', 'head_ref': 'worktree', 'files': fl.files, 'symbol_changes': []::VARCHAR[], 'review_items': items, 'stats': stats}})::VARCHAR AS json
+        FROM st JOIN fl USING (changeset_id) LEFT JOIN it USING (changeset_id)"""
     sql["junit"] = f"""WITH c AS ({sql["junit_cases"]}) SELECT changeset_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<testsuite name="tidemark" tests="' || count(*) || '" failures="' || count(*) FILTER (failed) || '" skipped="' ||
         count(*) FILTER (skipped) || '">' || chr(10) || string_agg("case", '' ORDER BY id) || '</testsuite>' || chr(10) AS junit FROM c GROUP BY changeset_id"""
     return {name: _lambdas(text) for name, text in sql.items()}

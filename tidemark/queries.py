@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .operators import cache, context, escalate, extract, group, judge, moves, rank, render, score, symbols, task, views
+from .plans.barrier import settled
 from .plans.review import review_changes
 from .schemas import SEVERITIES, parse_severity, parse_verdict, rank_of
 from .sources import linediff, repository, tables
@@ -116,7 +117,7 @@ def strip_literals_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def escapes(spark: SparkSession, d: str) -> DataFrame:
-    t = F.substring("text", 1, 300)
+    t = F.col("text")
     return table(spark, d, "conversations").select(
         "conv_id", "turn", text.escape_github(t).alias("github"), text.escape_github_prop(t).alias("prop"), text.escape_xml(t).alias("xml"), text.shell_quote(t).alias("shell")
     )
@@ -154,8 +155,19 @@ def level_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", severity.alias("severity"), rank_of(severity, SEVERITIES).alias("severity_rank"), verdict.alias("verdict"), rank.task_gate(verdict, "Partial").alias("trips"), text.evidence_rank(kind).alias("evidence_rank"))
 
 
-def imports_values(spark: SparkSession, d: str) -> DataFrame:
-    return extract.import_samples(spark).select("language", _joined(text.imported_names(F.col("language"), F.col("content"))).alias("imports"))
+IMPORTS = {
+    "Rust": "use crate::barn{k}::{load, Wagon{k}};\npub(crate) use super::hay::*;\nlet x = 1;", "Go": 'package a\nimport (\n  "io"\n  txt{k} "bytes"\n)\nfunc f() {}\nimport "net"',
+    "CSharp": "using Farm.Grain{k};\nusing (var x = y) {}\nclass A {}", "TypeScript": 'import { load as fill } from "./barn{k}";\nconst silo = require("silo");\nlet y = 2;',
+    "Python": "import json, math as numbers{k}\nfrom barn import load\nx = 1", "Java": "import java.util.Map;",
+}
+
+
+def imported_names(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of a source for each part, in six languages."""
+    k = F.col("p_partkey")
+    of = lambda xs: F.element_at(lit_list(list(xs)), (k % len(IMPORTS) + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", of(IMPORTS).alias("language"), F.replace(of(IMPORTS.values()), F.lit("{k}"), k.cast("string")).alias("content"))
+    return rows.select("p_partkey", "language", _joined(text.imported_names(F.col("language"), F.col("content"))).alias("imports"))
 
 
 # -- symbols
@@ -207,7 +219,7 @@ def exact_moves(spark: SparkSession, d: str) -> DataFrame:
 
 def nosig_moves(spark: SparkSession, d: str) -> DataFrame:
     """The documents as one symbol each: the same but for the first line."""
-    ch = tables.doc_changes(spark, d).where("file_idx % 3 <> 0")
+    ch = tables.doc_changes(spark, d)
     row = lambda side, c: ch.where(F.col(c).isNotNull()).select("changeset_id", F.col("path").alias("file"), F.lit(side).alias("side"), F.lit(1).alias("sym_idx"), F.concat(F.lit(side), "file_idx").alias("name"), F.lit("Function").alias("kind"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.substring(c, 1, 20).alias("signature"), F.lit(False).alias("is_test"), F.lit(True).alias("is_public"), F.col(c).alias("body"))
     rows = row("old", "old_content").unionByName(row("new", "new_content"))
     changes = symbols.added_removed(symbols.paired(rows))
@@ -216,8 +228,7 @@ def nosig_moves(spark: SparkSession, d: str) -> DataFrame:
 
 def reorder_moves(spark: SparkSession, d: str) -> DataFrame:
     """Documents' words as symbols, old in the order of the text and new in the order of the alphabet."""
-    docs = table(spark, d, "documents").where("length(text) < 400")
-    base = docs.select(F.lit("words").alias("changeset_id"), F.concat(F.lit("doc/"), "doc_id").alias("file"), F.slice(text.ident_list(F.col("text")), 1, 20).alias("w"))
+    base = table(spark, d, "documents").select(F.lit("words").alias("changeset_id"), F.concat(F.lit("doc/"), "doc_id").alias("file"), text.ident_list(F.col("text")).alias("w"))
     side = lambda s, w: base.select("changeset_id", "file", F.lit(s).alias("side"), F.posexplode(w).alias("sym_idx", "name"))
     rows = side("old", F.col("w")).unionByName(side("new", F.array_sort("w")))
     rows = rows.select("*", F.lit("Function").alias("kind"), F.col("sym_idx").alias("start_line"), F.col("sym_idx").alias("end_line"), F.col("name").alias("signature"))
@@ -240,9 +251,9 @@ def file_scores(spark: SparkSession, d: str) -> DataFrame:
     return score.score_files(_files(spark, d).withColumn("symbols", F.array().cast(f"array<{group.SYMBOL}>"))).select("path", "priority", "severity", "category", _evidence().alias("proof"))
 
 
-SIGNAL_PATHS = ("src/auth/session.rs", "src/author.rs", "tests/auth_test.rs", "docs/auth.md", "src/keyboard.rs", "src/api_key.rs", "src/a.rs", "db/schema.sql", "Cargo.toml", "k8s/app.yaml", "Cargo.lock", "src/plain.rs")
-SIGNAL_ADDED = ("x", "let token = 1;", "ok();", "unsafe { f(); }", 'let s = "unsafe fn nope";', "if a { b }")
-SIGNAL_DELETED = ("y", "// validate input", "validate(x);", "match q { }")
+SIGNAL_PATHS = ("web/signin/form.rs", "web/signins.rs", "tests/oauth_test.rs", "manual/login.md", "src/donkey.rs", "src/public_key.rs", "src/barn.rs", "db/prisma/rows.sql", "go.mod", "k8s/site.yaml", "yarn.lock", "lib/farm.rs")
+SIGNAL_ADDED = ("y", "let password = ask();", "run();", "unsafe impl Send for X {}", 'let s = "unsafe impl none";', "match x { }")
+SIGNAL_DELETED = ("z", "// still valid", "is_valid(z);", "if z { }")
 SIGNAL_CHANGES = ("Added", "Removed", "Modified", "SignatureChanged", "VisibilityChanged", "Renamed", "Moved")
 
 
@@ -270,10 +281,8 @@ def mechanical_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_symbols(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Turns of conversations as change records, with the symbols of their first lines."""
-    files = _files(spark, d).where("changeset_id <> 'en'")
-    changes = symbols.diff_symbols(tables.line_symbols(tables.doc_changes(spark, d).where("changeset_id <> 'en'")), renames=False)
-    return files, changes
+    """Documents as change records, with the changes of the symbols of their lines."""
+    return _files(spark, d), symbols.diff_symbols(tables.line_symbols(tables.doc_changes(spark, d)), renames=False)
 
 
 def tests_bucket(spark: SparkSession, d: str) -> DataFrame:
@@ -361,16 +370,18 @@ def _tasks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("task_text"))
 
 
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's texts as tasks against the words of all documents."""
+    return task.check_tasks(_tasks(spark, d), task.vocabulary(table(spark, d, "documents").select("text", F.concat(F.lit("doc "), F.col("doc_id")).alias("via"), F.col("doc_id").alias("ord"))))
+
+
 def task_check(spark: SparkSession, d: str) -> DataFrame:
-    corpus = task.vocabulary(table(spark, d, "documents").where("lang = 'es'"))
-    checks = task.check_tasks(_tasks(spark, d), corpus)
-    return checks.select("task_id", "terms", "matched", _joined("unmatched").alias("unmatched"), F.round("coverage", 6).alias("coverage"), "verdict")
+    via = F.transform("matched_terms", lambda m: F.concat(m["term"], F.lit("="), m["via"]))
+    return _checks(spark, d).select("task_id", "terms", "matched", _joined(via).alias("via"), _joined("unmatched").alias("unmatched"), F.round("coverage", 6).alias("coverage"), "verdict")
 
 
 def task_verdict_gate(spark: SparkSession, d: str) -> DataFrame:
-    corpus = task.vocabulary(table(spark, d, "documents").where("lang = 'de'"))
-    checks = task.check_tasks(_tasks(spark, d), corpus)
-    return checks.select("task_id", "verdict", rank.task_gate(F.col("verdict"), "Partial").alias("trips"))
+    return _checks(spark, d).select("task_id", "verdict", rank.task_gate(F.col("verdict"), "Partial").alias("trips"))
 
 
 def task_item_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -399,8 +410,11 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 CODE = {
-    "py": "LIMIT = {k}\n\nclass Box{k}:\n    def open(self):\n        return load({k})\n\ndef test_box_{k}():\n    open()\n", "rs": "pub fn load_{k}(id: u64) -> u64 {{\n    id + {k}\n}}\n",
-    "go": "package a\n\nfunc Load{k}(x int) int {{\n    return x\n}}\n", "ts": "export function load{k}() {{ return {k}; }}\n", "cs": "public class Box{k} {{\n    public int Load() {{ return {k}; }}\n}}\n",
+    "py": "LIMIT = {k}\n\nclass Box{k}:\n    def open(self):\n        return load({k})\n\n    def _lid(self):\n        pass\n\ndef test_box_{k}():\n    open()\n",
+    "rs": "pub struct Box{k} {\n    pub id: u64,\n}\n\nimpl Box{k} {\n    pub fn open(&self) -> u64 {\n        self.id + {k}\n    }\n}\n\nconst LIMIT: u64 = {k};\n\n#[test]\nfn opens_{k}() {}\n",
+    "go": "package a\n\ntype Box{k} struct {\n    id int\n}\n\nfunc Load{k}(x int) int {\n    return x\n}\n\nfunc (b *Box{k}) open() {\n}\n\nfunc TestLoad{k}(t *testing.T) {}\n",
+    "ts": "export function load{k}() { return {k}; }\nexport const lid{k} = () => { return 1; }\nclass Box{k} {\n  open() { return 2; }\n}\ntype Id{k} = string;\n",
+    "cs": "public class Box{k} {\n    private int _lid;\n    public Box{k}() { }\n    public int Load() { return {k}; }\n    [Fact]\n    public void Loads() { }\n}\n",
 }
 
 
@@ -408,7 +422,7 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
     """A file of code for each part, in five languages."""
     kinds = list(CODE)
     k = F.col("p_partkey")
-    template = F.element_at(F.array(*[F.lit(CODE[x].replace("{{", "{").replace("}}", "}")) for x in kinds]), (k % 5 + 1).cast("int"))
+    template = F.element_at(lit_list(list(CODE.values())), (k % 5 + 1).cast("int"))
     return table(spark, d, "part").select(F.concat(F.lit("src/f"), k, F.lit("."), F.element_at(lit_list(kinds), (k % 5 + 1).cast("int"))).alias("file"), F.replace(template, F.lit("{k}"), k.cast("string")).alias("content"))
 
 
@@ -420,6 +434,24 @@ def extract_code_symbols(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_symbols(_code(spark, d)).select("file", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public")
 
 
+def cached_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """The same symbols when a cache holds every other part's source; which were hits shows."""
+    rows = _code(spark, d)
+    even = F.regexp_extract("file", r"f(\d+)", 1).cast("int") % 2 == 0
+    _, entries = extract.extract_cached(rows.where(even), cache.load(spark, None))
+    entries = settled(entries)
+    found, _ = extract.extract_cached(rows, entries)
+    return found.select("file", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public", even.alias("hit"))
+
+
+def stored_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Stored change sets, every third of them without a version."""
+    head = F.when(F.col("n_nationkey") % 3 == 0, "{").otherwise(F.concat(F.lit('{"schema_version":'), F.col("n_nationkey"), F.lit(",")))
+    stored = F.concat(head, F.lit('"base_ref":"'), F.col("n_name"), F.lit('","review_items":[{"id":"a","title":"t","severity":"High","priority":7,"files":["x"]}]}'))
+    rows = render.read_changesets(table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("changeset_id"), stored.alias("json")))
+    return rows.select("changeset_id", "schema_version", "base_ref", F.size("review_items").alias("items"), F.col("review_items")[0]["severity"].alias("severity"))
+
+
 def review_of_code(spark: SparkSession, d: str) -> DataFrame:
     """Review of an edit in every third file of code, with coverage and blast radius in all the others and the local judge."""
     rows = _code(spark, d).select(F.lit("code").alias("changeset_id"), F.xxhash64("file").alias("file_idx"), F.col("file").alias("path"), F.lit("Modified").alias("status"), F.lit(False).alias("is_binary"), F.col("content").alias("old_content"))
@@ -448,7 +480,7 @@ def junit(spark: SparkSession, d: str) -> DataFrame:
 def changeset_json(spark: SparkSession, d: str) -> DataFrame:
     files, items = _files(spark, d).select("changeset_id", "file_idx", "path", "status", "language", "added_lines", "deleted_lines"), _items(spark, d)
     changes = spark.createDataFrame([], symbols.CHANGE)
-    return render.changeset_json(files, changes, items, group.change_stats(_files(spark, d), changes, items))
+    return render.changeset_json(files, changes, items, group.change_stats(_files(spark, d), changes, items), pretty=False)
 
 
 def judge_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -479,10 +511,11 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_links(spark: SparkSession, d: str) -> DataFrame:
-    nouns = F.split("p_name", " ")
+    """Parts as changed symbols and as tests: tests are named after a few parts each, and call others."""
+    noun = lambda k, more=0: F.concat_ws("_", F.get(F.split("p_name", " "), F.lit(k)), F.floor(F.col("p_partkey") / 5) + more)
     parts = table(spark, d, "part")
-    changed = parts.where("p_partkey % 2 = 0").select(F.lit("parts").alias("changeset_id"), F.concat(F.lit("src/"), "p_partkey", F.lit(".rs")).alias("file"), F.concat(F.lit("shop::"), F.get(nouns, F.lit(0))).alias("name"), F.lit("Function").alias("kind"), F.lit(False).alias("is_test_file"))
-    tests = parts.where("p_partkey % 7 = 1").select(F.lit("parts").alias("changeset_id"), F.concat(F.lit("test_"), F.get(nouns, F.lit(0))).alias("name"), F.concat(F.lit("tests/"), "p_partkey", F.lit(".rs")).alias("file"), F.slice(nouns, 2, 2).alias("calls"))
+    changed = parts.select(F.lit("parts").alias("changeset_id"), F.concat(F.lit("src/"), "p_partkey", F.lit(".rs")).alias("file"), F.concat(F.lit("shop::"), noun(0)).alias("name"), F.lit("Function").alias("kind"), F.lit(False).alias("is_test_file"))
+    tests = parts.select(F.lit("parts").alias("changeset_id"), F.concat(F.lit("test_"), noun(0)).alias("name"), F.concat(F.lit("tests/"), "p_partkey", F.lit(".rs")).alias("file"), F.array(noun(0, 1), noun(1)).alias("calls"))
     return context.coverage_links(changed, tests)
 
 
@@ -524,7 +557,7 @@ def cache_eviction(spark: SparkSession, d: str) -> DataFrame:
     return cache.evict(rows).agg(F.count(F.lit(1)).alias("n"), F.min("content_key").alias("least"), F.max("content_key").alias("most"))
 
 
-_HELPERS = {"diff_rows_files", "lit_list", "queries"}
+_HELPERS = {"diff_rows_files", "lit_list", "queries", "settled", "review_changes"}
 
 
 def queries() -> dict[str, Query]:

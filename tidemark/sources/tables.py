@@ -72,7 +72,7 @@ def line_symbols(changes: DataFrame) -> DataFrame:
     number = (F.col("pos") + 1).cast("int")
     return rows.select(
         "changeset_id", "file", "side", number.alias("sym_idx"), name.alias("name"), _pick(KINDS, F.length(name)).alias("kind"), number.alias("start_line"), number.alias("end_line"),
-        F.substring("line", 1, 40).alias("signature"), F.lit(False).alias("is_test"), (F.length("line") % 5 != 0).alias("is_public"), F.col("line").alias("body"),
+        F.substring_index("line", ".", 1).alias("signature"), F.lit(False).alias("is_test"), (F.length("line") % 5 != 0).alias("is_public"), F.col("line").alias("body"),
     ).where("name <> ''")
 
 
