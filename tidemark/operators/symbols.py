@@ -26,9 +26,11 @@ def _change(name: Column, kind: str, confidence: float, evidence: Column) -> Col
 def paired(symbols: DataFrame) -> DataFrame:
     """Old and new symbols side by side: the n-th of a kind and name in a file with the n-th of the other side.
 
+    Where a file comes with several symbols of one place, signature and body settle their order.
+
     One aggregate over the key stands for a full outer join of the two sides.
     """
-    turn = F.row_number().over(Window.partitionBy("changeset_id", "file", "kind", "name", "side").orderBy("sym_idx"))
+    turn = F.row_number().over(Window.partitionBy("changeset_id", "file", "kind", "name", "side").orderBy("sym_idx", "signature", "body"))
     sides = symbols.withColumn("rn", turn).withColumn("s", F.struct(*_FIELDS))
     return sides.groupBy("changeset_id", "file", "kind", "name", "rn").agg(
         F.max(F.when(F.col("side") == "old", F.col("s"))).alias("o"), F.max(F.when(F.col("side") == "new", F.col("s"))).alias("n")

@@ -275,7 +275,7 @@ ls AS (
 
 
 PAIRS = """
-r0 AS (SELECT *, row_number() OVER (PARTITION BY changeset_id, file, kind, name, side ORDER BY sym_idx) AS rn FROM ls),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY changeset_id, file, kind, name, side ORDER BY sym_idx, signature, body) AS rn FROM ls),
 o AS (SELECT * FROM r0 WHERE side = 'old'), n AS (SELECT * FROM r0 WHERE side = 'new'),
 pr AS (
   SELECT changeset_id, file, kind, name, rn, o.signature AS old_signature, n.signature AS new_signature, o.start_line AS old_start, n.start_line AS new_start, o.is_public AS op, n.is_public AS np,
