@@ -60,6 +60,32 @@ def test_many_rules_are_joined(pages):
     assert collections.Counter(few) == collections.Counter(many) and len({r["rule"] for r in few}) > 3
 
 
+def test_rules_match_brute_force(spark):
+    """Host, path and longest rule of random urls in plain Python, with rules as literals and as a table."""
+    rng = random.Random(37)
+    label = lambda: rng.choice(["a", "b", "co", "net", "org"])
+    host = lambda: ".".join(label() for _ in range(rng.randrange(1, 4)))
+    path = lambda: "".join(f"{rng.choice(['x', 'y', 'en'])}/" for _ in range(rng.randrange(3)))
+    rules = sorted({(rng.choice(["allow", "block"]), f"{host()}/{path()}") for _ in range(40)})
+    rows = [(k, rng.choice(["http://", "HTTPS://", "://", "", "ftp://u@"]) + rng.choice([host(), host().upper()]) + rng.choice(["", "/", f"/{path()}", f"?{path()}", f"#{path()}", f"/{path()}q?z=http://b.net/"])) for k in range(400)]
+
+    def judged(url):
+        _, there, rest = url.partition("://")
+        end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest)) if there else 0
+        host_ = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]) if there else ""
+        tail = rest[end:] if there else ""
+        path_ = tail[: min((tail.index(c) for c in "?#" if c in tail), default=len(tail))]
+        fits = [(len(r), r, v) for v, r in rules if (host_ == r.split("/")[0] or host_.endswith("." + r.split("/")[0])) and path_.startswith(r[r.index("/") :])]
+        return (host_, path_, *(max(fits)[1:] if fits else (None, None)))
+
+    host_of, path_of = urlgraph.host_and_path(F.col("url"))
+    df = spark.createDataFrame(rows, "id long, url string").select("id", host_of.alias("host"), path_of.alias("path"))
+    for most in (200, 0):
+        got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlgraph.with_rule(df, rules, most_literals=most).select("id", "host", "path", "fit.rule", "fit.verdict").collect()}
+        assert got == {k: judged(u) for k, u in rows}
+    assert len({judged(u)[2] for _, u in rows}) > 8
+
+
 def test_propagation_follows_links(spark):
     links = [("good", "friend", 3), ("friend", "far", 1), ("liar", "bad", 2), ("minion", "liar", 1), ("good", "bad", 1)]
     seeds = [("good", 1.0, 0.0), ("bad", 0.0, 1.0), ("lone", 0.0, 0.0)]
