@@ -37,7 +37,7 @@ from .common import WORD_PATTERN, Scratch, discard, give_back, hash_words, mix64
 WINDOW = 50
 CAPS = (2, 2, 4, 4, 4, 8)
 #: Words that are parsed at a time.
-CHUNK_WORDS = 1 << 17
+CHUNK_WORDS = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(WORD_PATTERN)
