@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, fingerprint, mixing, neardup, substrings, tokens, toxicity, urlgraph, warc, webtext
+from . import codes, common, decontam, exactdup, fingerprint, lexical, mixing, neardup, substrings, tokens, toxicity, urlgraph, warc, webtext
 
 #: Vocabulary of the token counts; a parameter of the operator, read on the driver only.
 VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -58,6 +58,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 #: Base32 is read off the SHA-1's 160 bits: a 0 in front keeps the hexadecimal digits whole, then 5 bits a character.
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -131,9 +143,67 @@ FROM e
 """
 
 
+#: One round of assignment and update; {p} is the round before.
+_OP11_ROUND = """
+a{n} AS MATERIALIZED (
+  SELECT id, part, min(d * 64 + entry) AS best
+  FROM (SELECT id, v.part, c.entry, sum((v.x - c.x) * (v.x - c.x))::HUGEINT AS d FROM v JOIN c{p} c USING (part, place) GROUP BY ALL) GROUP BY ALL),
+c{n} AS MATERIALIZED (
+  SELECT c.part, c.entry, c.place, coalesce(m.x, c.x) AS x
+  FROM c{p} c LEFT JOIN (
+    SELECT v.part, (best % 64)::BIGINT AS entry, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM v JOIN a{n} USING (id, part) GROUP BY ALL) m
+  USING (part, entry, place)),
+"""
+
+OP11_SQL = """
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS id, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT id, i // (width // 16) AS part, i % (width // 16) AS place, floor(256 * x::DOUBLE)::BIGINT AS x
+  FROM (SELECT id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, len(embedding) AS width FROM k)),
+c0 AS MATERIALIZED (SELECT part, id AS entry, place, x FROM v WHERE id < 64),
+""" + _OP11_ROUND.format(n=1, p=0) + _OP11_ROUND.format(n=2, p=1) + _OP11_ROUND.format(n=3, p=2).split("c3 AS")[0] + """
+r AS (SELECT id, string_agg(printf('%02x', (best % 64)::INTEGER), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a3 GROUP BY id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(coalesce(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place), '')) FROM c2) AS codebooks_sha256
+FROM r JOIN k USING (id)
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+q AS MATERIALIZED (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, docs),
+i AS MATERIALIZED (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS impact FROM p JOIN w USING (term), s),
+t AS (SELECT item, item_id, row, doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM t WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_repeated_substrings": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op9_source_mix": OP9_SQL}
+    return {
+        "op3_warc": OP3_SQL, "op5_repeated_substrings": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op9_source_mix": OP9_SQL, "op11_vector_codes": OP11_SQL,
+        "op12_ranked_search": OP12_SQL, "op13_exact_duplicates": OP13_SQL,
+    }
