@@ -18,11 +18,18 @@ DOCUMENTS = [
 PAGES = [(5, "u", "<p>é</p>"), (3, "v", "<p>é</p>"), (9, None, None), (1, "w", ""), (2, "x", "y"), (8, "u", "<p>é</p>"), (4, "z", "long " * 50_000)]
 
 
+ITEMS = [(1, "x"), (2, "one x y É"), (3, None), (4, ""), (5, "w1 w2 w3 W1"), (5, "w7"), (6, "nothing-like-it")]
+VECTORS = [(i, [((i * 37 + k * 11) % 101) / 50 - 1 for k in range(32)], i % 3 if i % 5 else None) for i in range(90)]
+VECTORS += [(91, None, 1), (92, [None] * 32, 1), (93, [float("nan")] * 32, 2), (94, [float("-inf")] * 32, 2), (95, [], 0), (-1, [0.5] * 32, 1), (7, [0.25] * 32, 1), (None, [0.125] * 32, None)]
+
+
 @pytest.fixture(scope="module")
 def edges(spark: SparkSession, tmp_path_factory) -> str:
     at = str(tmp_path_factory.mktemp("edges"))
     spark.createDataFrame(DOCUMENTS, "doc_id long, text string, source string").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 

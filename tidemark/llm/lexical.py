@@ -51,10 +51,10 @@ class Items:
 
 
 class Shard:
-    """Impact-ordered postings of some documents."""
+    """Impact-ordered postings of some documents.  ``read`` counts those that searches added up."""
 
     def __init__(self, ids: list, lengths: list[int], terms: list[np.ndarray], tfs: list[np.ndarray], weights: np.ndarray, n_docs: int, n_terms: int):
-        self.ids = ids
+        self.ids, self.read = ids, 0
         sizes = np.array([len(t) for t in terms], np.int64)
         # Python's integers: the product of a very long document and a very large corpus leaves 64 bits
         m = np.array([25 + (75 * n * n_docs) // n_terms for n in lengths], np.int64)
@@ -85,7 +85,10 @@ class Shard:
         floor = known[most - 1][0] if len(known) >= most else 0
         while True:
             end = min(at + step, len(order))
-            end = int(np.searchsorted(fall_in_order, fall_in_order[end - 1], side="right"))  # the whole of the last group
+            if end < len(order):  # whole groups only: without the one that is cut, or if it is the only one with all of it
+                group = int(np.searchsorted(fall_in_order, fall_in_order[end], side="left"))
+                end = group if group > at else int(np.searchsorted(fall_in_order, fall_in_order[end], side="right"))
+            self.read += end - at
             np.add.at(sums, docs_in_order[at:end], -fall_in_order[at:end])
             at, step = end, step * 2
             if at == len(order):
