@@ -9,6 +9,15 @@ from ..schemas import EVIDENCE, SEVERITIES, evidence, name_of
 from .score import score_files
 
 ITEM = ("changeset_id", "id", "title", "category", "severity", "severity_rank", "priority", "confidence", "files", "symbols", "evidence", "why")
+ITEM_SCHEMA = (
+    "changeset_id STRING, id STRING, title STRING, category STRING, severity STRING, severity_rank INT, priority INT, confidence FLOAT, files ARRAY<STRING>, "
+    f"symbols ARRAY<STRING>, evidence ARRAY<{EVIDENCE}>, why STRING"
+)
+STATS_SCHEMA = (
+    "changeset_id STRING, files_changed BIGINT, added_lines BIGINT, deleted_lines BIGINT, mechanical_files BIGINT, test_files BIGINT, symbols_added BIGINT, symbols_removed BIGINT, "
+    "symbols_modified BIGINT, meaningful_changes BIGINT"
+)
+# fixed values: titles, reasons and verbs of items
 MECHANICAL_WHY = "These files match generated-output or whitespace-only heuristics. Expand to verify, but they rarely need line-by-line review."
 TESTS_WHY = "New tests document intended behavior. Modified tests changed what they assert — check the diffs if their targets are in the queue above."
 EDITED_WHY = "Symbols relocated across files with small body edits. The move itself is safe; review the edits flagged on each symbol."

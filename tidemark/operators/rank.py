@@ -6,30 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SEVERITIES, VERDICTS, rank_of
+from .numbering import MOST_IN_TASK, numbered
 
 MOST_JUDGED = 25
+GROUP = ["changeset_id"]
 
 
-def _turn(*tie: Column | str) -> Column:
-    order = [F.desc("severity_rank"), F.desc("priority"), *[F.col(t) if isinstance(t, str) else t for t in tie]]
-    return F.row_number().over(Window.partitionBy("changeset_id").orderBy(*order))
+def _order(*tie: str) -> list[Column]:
+    return [F.desc("severity_rank"), F.desc("priority"), *map(F.col, tie)]
 
 
-def review_order(items: DataFrame) -> DataFrame:
-    """``items`` with pos, their place in the order of severity, priority and title."""
-    return items.withColumn("pos", _turn("title", "id"))
+def _first(items: DataFrame, most: int, *tie: str) -> DataFrame:
+    """The first ``most`` items of each change set; every task drops its own others before rows meet."""
+    turn = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*_order(*tie)))
+    return items.withColumn("pos", turn).where(F.col("pos") <= most)
+
+
+def review_order(items: DataFrame, *, most: int = MOST_IN_TASK) -> DataFrame:
+    """``items`` with pos, their place in the order of severity, priority and title; change sets of more than ``most`` items are
+    ordered by many tasks."""
+    return numbered(items, GROUP, _order("title", "id"), "pos", most=most)
 
 
 def judged(items: DataFrame, most: int = MOST_JUDGED) -> DataFrame:
     """The first meaningful items by severity, priority and id."""
-    return items.where("category <> 'Mechanical'").withColumn("pos", _turn("id")).where(F.col("pos") <= most)
+    return _first(items.where("category <> 'Mechanical'"), most, "id")
 
 
 def candidates(items: DataFrame, floor: str = "High", most: int = 10) -> DataFrame:
     """Meaningful items from a severity up, in review order, no more than ``most`` and never more than 25."""
     least = SEVERITIES.index(floor)
     rows = items.where((F.col("category") != "Mechanical") & (F.col("severity_rank") >= least))
-    return review_order(rows).where(F.col("pos") <= min(most, MOST_JUDGED))
+    return _first(rows, min(most, MOST_JUDGED), "title", "id")
 
 
 def gate(items: DataFrame, threshold: str) -> DataFrame:
@@ -44,21 +52,18 @@ def task_gate(verdict: Column, threshold: str) -> Column:
     return rank_of(verdict, VERDICTS) <= VERDICTS.index(threshold)
 
 
-def visible(items: DataFrame, *, search: str = "", show_mechanical: bool = False) -> DataFrame:
+def visible(items: DataFrame, *, search: str = "", show_mechanical: bool = False, most: int = MOST_IN_TASK) -> DataFrame:
     """Items that a list shows: by a search in title and files, mechanical ones on demand; shown_pos counts them."""
     q = search.lower()
     rows = items if show_mechanical else items.where("category <> 'Mechanical'")
     if q:
         rows = rows.where(F.contains(F.lower("title"), F.lit(q)) | F.exists("files", lambda f: F.contains(F.lower(f), F.lit(q))))
-    return rows.withColumn("shown_pos", _turn("title", "id"))
+    return numbered(rows, GROUP, _order("title", "id"), "shown_pos", most=most)
 
 
-def next_meaningful(items: DataFrame) -> DataFrame:
+def next_meaningful(items: DataFrame, *, most: int = MOST_IN_TASK) -> DataFrame:
     """Items in review order with next_pos, the next place that is neither mechanical nor a test; null after the last."""
-    rows = review_order(items)
-    wanted = F.when(~F.col("category").isin("Mechanical", "Test"), F.col("pos"))
-    after = Window.partitionBy("changeset_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("next_pos", F.min(wanted).over(after))
+    return numbered(items, GROUP, _order("title", "id"), "pos", most=most, next_where=~F.col("category").isin("Mechanical", "Test"))
 
 
 def in_range(rows: DataFrame, pos: str, first: int, last: int) -> DataFrame:

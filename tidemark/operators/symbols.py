@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,70 +68,94 @@ def added_removed(pairs: DataFrame) -> DataFrame:
     return _finished(lone.withColumn("c", change))
 
 
+def _bigrams(name: str) -> Counter:
+    s = name.lower()
+    return Counter([s[i : i + 2] for i in range(len(s) - 1)] or [s])
+
+
 def similarity(a: str, b: str) -> tuple[int, int]:
     """Bigram Dice coefficient of two names without case, as a fraction."""
     if a == b:
         return 1, 1
-    grams = [Counter([s[i : i + 2] for i in range(len(s) - 1)] or [s]) for s in (a.lower(), b.lower())]
+    grams = [_bigrams(a), _bigrams(b)]
     return 2 * (grams[0] & grams[1]).total(), grams[0].total() + grams[1].total()
 
 
-def _renames(frame: pd.DataFrame) -> list[tuple[int, int]]:
-    """Rows (old, new) of one file matched as renames: new symbols by kind and name, each with the best old one left."""
-    order = frame.sort_values(["kind", "name", "rn"], kind="stable")
-    olds = [(i, r.kind, r.name_) for i, r in zip(order.index, order.rename(columns={"name": "name_"}).itertuples(), strict=True) if r.side == "old"]
-    found, used = [], set()
-    for i, r in zip(order.index, order.rename(columns={"name": "name_"}).itertuples(), strict=True):
-        if r.side != "new":
-            continue
-        best, best_at = (0, 1), None
-        for j, kind, name in olds:
-            if j in used or kind != r.kind:
-                continue
-            hits, total = similarity(name, r.name_)
-            if 10 * hits > 6 * total and hits * best[1] > best[0] * total:
-                best, best_at = (hits, total), j
-        if best_at is not None:
-            used.add(best_at)
-            found.append((best_at, i))
+class _Names:
+    """Names of one kind, with the places of each bigram, so that a name meets all of them in one pass over its own bigrams."""
+
+    def __init__(self, names: list[str]):
+        self.sizes = np.zeros(len(names), np.int64)
+        places: dict[str, list[tuple[int, int]]] = {}
+        for i, name in enumerate(names):
+            grams = _bigrams(name)
+            self.sizes[i] = grams.total()
+            for gram, times in grams.items():
+                places.setdefault(gram, []).append((i, times))
+        self.places = {g: (np.array([i for i, _ in p]), np.array([t for _, t in p])) for g, p in places.items()}
+
+    def shared(self, grams: Counter) -> np.ndarray:
+        """Bigrams that each name has in common with these."""
+        out = np.zeros(len(self.sizes), np.int64)
+        for gram, times in grams.items():
+            if gram in self.places:
+                at, have = self.places[gram]
+                out[at] += np.minimum(have, times)
+        return out
+
+
+def greedy_matches(olds: list[str], news: list[str]) -> list[tuple[int, int]]:
+    """Places (old, new): new names, in order, each with the most similar old one left, over 0.6; of equals the first."""
+    index, free, found = _Names(olds), np.ones(len(olds), bool), []
+    for n, name in enumerate(news):
+        if not free.any():
+            break
+        grams = _bigrams(name)
+        hits, total = 2 * index.shared(grams), index.sizes + grams.total()
+        # quotients of equal fractions are the same double, and those of different ones are not, below 2**26
+        ratio = np.where(free & (10 * hits > 6 * total), hits / total, 0.0)
+        best = int(ratio.argmax())
+        if ratio[best] > 0:
+            free[best] = False
+            found.append((best, n))
     return found
 
 
 def renamed(pairs: DataFrame) -> DataFrame:
-    """Added, removed and renamed symbols of files where both happen.  A match depends on those before it in its file,
-    so a file's leftover symbols meet in one Python task; files without both sides left never leave the JVM."""
+    """Added, removed and renamed symbols of files where both happen.
+
+    A match depends on those before it of its file and kind, so these leftover symbols meet in one task: no more than a
+    source that is parsed at all holds.  Kinds without both sides left never leave the JVM.
+    """
     lone = pairs.where("o IS NULL OR n IS NULL").withColumn("side", F.when(F.col("n").isNull(), "old").otherwise("new"))
     of_kind = Window.partitionBy("changeset_id", "file", "kind")
     both = (F.max("side").over(of_kind) == "old") & (F.min("side").over(of_kind) == "new")
     lone = lone.withColumn("both", both)
-    flat = lone.where("both").select(
-        "changeset_id", "file", "kind", "name", "rn", "side", F.coalesce("o.signature", "n.signature").alias("signature"), F.coalesce("o.start_line", "n.start_line").alias("start"), F.coalesce("o.end_line", "n.end_line").alias("end")
-    )
+    flat = lone.where("both").select("changeset_id", "file", "kind", "name", "rn", "side")
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, gone = [], set()
-        get = frame.loc
-        for old, new in _renames(frame):
-            o, n = get[old], get[new]
-            gone |= {old, new}
-            why = f"same-kind symbol with similar name ({o['name']} vs {n['name']})"
-            rows.append((f"{o['name']} → {n['name']}", n["kind"], "Renamed", 0.7, o["signature"], n["signature"], o["start"], o["end"], n["start"], n["end"], [why]))
-        for i, r in frame.iterrows():
-            if i in gone:
-                continue
-            if r["side"] == "new":
-                rows.append((r["name"], r["kind"], "Added", 0.98, None, r["signature"], None, None, r["start"], r["end"], ["no matching symbol in base version"]))
-            else:
-                rows.append((r["name"], r["kind"], "Removed", 0.95, r["signature"], None, r["start"], r["end"], None, None, ["symbol absent from new version"]))
-        names = ["name", "kind", "change", "confidence", "old_signature", "new_signature", "old_start", "old_end", "new_start", "new_end", "evidence"]
-        out = pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[6:10]})
-        out.insert(0, "changeset_id", frame["changeset_id"].iloc[0])
-        out.insert(1, "file", frame["file"].iloc[0])
-        out["moved_from"] = None
-        return out
-
-    matched = flat.groupBy("changeset_id", "file").applyInPandas(match, CHANGE)
-    return matched.unionByName(added_removed(lone.where("NOT both")))
+        order = frame.sort_values(["name", "rn"], kind="stable")
+        old, new = order[order["side"] == "old"], order[order["side"] == "new"]
+        found = greedy_matches(old["name"].tolist(), new["name"].tolist())
+        o, n = old.iloc[[i for i, _ in found]], new.iloc[[j for _, j in found]]
+        key = {c: frame[c].iloc[0] for c in ("changeset_id", "file", "kind")}
+        return pd.DataFrame({"old_name": o["name"].to_numpy(), "old_rn": o["rn"].to_numpy(), "new_name": n["name"].to_numpy(), "new_rn": n["rn"].to_numpy()}).assign(**key)
+
+    kinds = "changeset_id string, file string, kind string, old_name string, old_rn int, new_name string, new_rn int"
+    matched = flat.groupBy("changeset_id", "file", "kind").applyInPandas(lambda f: match(f)[[k.split(" ")[0] for k in kinds.split(", ")]], kinds)
+    # a matched symbol takes its partner's place: both ends meet on the new one's name
+    ends = matched.select("changeset_id", "file", "kind", F.explode(F.array(
+        F.struct(F.lit("old").alias("side"), F.col("old_name").alias("name"), F.col("old_rn").alias("rn"), F.col("new_name").alias("to_name"), F.col("new_rn").alias("to_rn")),
+        F.struct(F.lit("new").alias("side"), F.col("new_name").alias("name"), F.col("new_rn").alias("rn"), F.col("new_name").alias("to_name"), F.col("new_rn").alias("to_rn")),
+    )).alias("e")).select("changeset_id", "file", "kind", "e.*")
+    key = ["changeset_id", "file", "kind", "name", "rn", "side"]
+    met = lone.where("both").join(ends, key, "left")
+    two = met.where("to_rn IS NOT NULL").groupBy("changeset_id", "file", "kind", "to_name", "to_rn").agg(
+        F.max(F.when(F.col("side") == "old", F.col("name"))).alias("old_name"), F.max("o").alias("o"), F.max("n").alias("n")
+    )
+    why = F.concat(F.lit("same-kind symbol with similar name ("), "old_name", F.lit(" vs "), "to_name", F.lit(")"))
+    pairs_found = two.withColumn("c", _change(F.concat("old_name", F.lit(" → "), "to_name"), "Renamed", 0.7, why))
+    return _finished(pairs_found).unionByName(added_removed(met.where("to_rn IS NULL"))).unionByName(added_removed(lone.where("NOT both")))
 
 
 def diff_symbols(symbols: DataFrame, *, renames: bool = True) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import MOST_IN_TASK, numbered
 
-def diff_rows(files: DataFrame) -> DataFrame:
+
+def diff_rows(files: DataFrame, *, most: int = MOST_IN_TASK) -> DataFrame:
     """(changeset_id, row, level, path, hunk_idx, line_idx, kind, text): files, their hunks and lines, in reading order.
 
     ``files``: (changeset_id, file_idx, path, hunks).
@@ -17,8 +19,8 @@ def diff_rows(files: DataFrame) -> DataFrame:
     rows = files.select("changeset_id", "file_idx", "path", none.alias("hunk_idx"), none.alias("line_idx"), F.lit("file").alias("level"), F.lit(None).cast("string").alias("kind"), F.col("path").alias("text"))
     rows = rows.unionByName(hunks.select("changeset_id", "file_idx", "path", "hunk_idx", none.alias("line_idx"), F.lit("hunk").alias("level"), F.lit(None).cast("string").alias("kind"), F.col("hunk.header").alias("text")))
     rows = rows.unionByName(lines.select("changeset_id", "file_idx", "path", "hunk_idx", "line_idx", F.lit("line").alias("level"), F.col("line.kind").alias("kind"), F.col("line.text").alias("text")))
-    order = Window.partitionBy("changeset_id").orderBy("file_idx", "hunk_idx", "line_idx")
-    return rows.select("changeset_id", F.row_number().over(order).alias("row"), "level", "path", "hunk_idx", "line_idx", "kind", "text")
+    order = [F.col(c) for c in ("file_idx", "hunk_idx", "line_idx")]
+    return numbered(rows, ["changeset_id"], order, "row", most=most).select("changeset_id", "row", "level", "path", "hunk_idx", "line_idx", "kind", "text")
 
 
 def item_detail(items: DataFrame, files: DataFrame) -> DataFrame:

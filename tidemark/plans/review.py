@@ -67,13 +67,18 @@ def review_changes(changes: DataFrame, **how) -> Review:
     Symbols of both sides are extracted from the contents; binary, generated and very large files are not parsed.
     """
     files = settled(with_lines(changes))
-    parsed = files.where(~paths.skip_parse(F.col("is_binary"), F.col("is_generated"), F.col("old_content"), F.col("new_content")))
+    parsed = parsable(files)
     rows = settled(symbols_of(parsed, how.pop("cache_path", None)))
     compared = settled(with_file_changes(symbols.diff_symbols(rows, renames=how.pop("renames", True)), rows, parsed))
     found = settled(moves.link_moves(compared, rows, similar=how.pop("similar", True)))
     return finished(files, found, **how)
 
 
+def parsable(files: DataFrame) -> DataFrame:
+    """Files whose symbols are extracted."""
+    return files.where(~paths.skip_parse(F.col("is_binary"), F.col("is_generated"), F.col("old_content"), F.col("new_content")))
+
+
 def with_lines(changes: DataFrame) -> DataFrame:
     """Change records with hunks, and the derived columns that scoring reads."""
     rows = line_lists(changes).withColumn("language", paths.language_of(F.col("path"))).withColumn("is_test_file", paths.is_test_path(F.col("path")))

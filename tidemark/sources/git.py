@@ -2,10 +2,15 @@
 
     register(spark)
     spark.read.format("git_changes").option("path", repo).option("mode", "range").option("base", "a").option("head", "b").load()
+    spark.readStream.format("git_changes").option("path", repo).option("branch", "main").load()
 
 Modes: worktree (HEAD to the working tree, untracked files with it), staged (HEAD to the index), commit (a commit to its
-first parent) and range (two trees).  The driver lists the files; each partition reads the contents of its own, all of them by
-one ``git cat-file --batch``, and their hunks from one ``git diff``, so a partition needs three processes whatever its files.
+first parent) and range (two trees).  The driver lists the files and asks for the sizes of their blobs; files are dealt to
+partitions by bytes.  A partition reads the contents of its own one by one from ``git cat-file --batch``, of blobs over the limit
+only the start, and their hunks from one ``git diff`` that it reads line by line.  Conditions on path and status are
+applied before anything is read.
+
+As a stream, each commit of a branch is a change set, named by its id, compared with its first parent.
 """
 
 from __future__ import annotations
@@ -14,14 +19,14 @@ import os
 import re
 import subprocess
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from ..schemas import HUNK
-from .linediff import hunks
 
 SCHEMA = (
     "changeset_id STRING, file_idx BIGINT, old_path STRING, path STRING, status STRING, is_binary BOOLEAN, added_lines BIGINT, deleted_lines BIGINT, "
@@ -32,7 +37,10 @@ MOST_CONTENT = 512 * 1024
 MOST_UNTRACKED = 2 * 1024 * 1024
 STATUS = {"A": "Added", "D": "Deleted", "R": "Renamed", "C": "Copied", "T": "TypeChanged"}
 HUNK_HEAD = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
-FILE_HEAD = re.compile(r"(?m)^(?=diff --git )")
+#: Bytes of a file in which a zero byte makes it binary.
+HEAD_BYTES = 8000
+#: Bytes that one partition reads, by the sizes of its blobs.
+MOST_PARTITION = 8 << 20
 FLAGS = ("--minimal", "--indent-heuristic", "-M", "-C", "-l1000", "--ignore-submodules", "--no-ext-diff", "--no-textconv")
 
 
@@ -86,8 +94,22 @@ def place_and_revisions(path: str, revs: str | None, rev2: str | None) -> tuple[
     return (".", path, revs) if moved else (path, revs, rev2)
 
 
+class _File(NamedTuple):
+    """A file that differs: its place in the list, and the blobs of both sides with their sizes; no blob where a side does not exist or
+    lies on the disk."""
+
+    index: int
+    status: str
+    old: str
+    new: str
+    old_blob: str | None
+    new_blob: str | None
+    old_size: int
+    new_size: int
+
+
 class _Files(InputPartition):
-    def __init__(self, rows: list[tuple[int, str, str, str]]):
+    def __init__(self, rows: list[_File]):
         self.rows = rows
 
 
@@ -97,7 +119,9 @@ class _Reader(DataSourceReader):
         self.mode = options.get("mode", "worktree")
         self.name = options.get("changeset", "")
         self.batch = int(options.get("batch", "64"))
+        self.bytes = int(options.get("partition_bytes", str(MOST_PARTITION)))
         self.untracked = options.get("untracked", "true") == "true"
+        self.wanted: dict[str, set[str]] = {}
         if self.mode == "range":
             self.old, self.new = options["base"], options["head"]
         elif self.mode == "commit":
@@ -112,126 +136,270 @@ class _Reader(DataSourceReader):
             if rev.startswith("-"):
                 raise ValueError(f"not a revision: {rev!r}")
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes equality and lists of path and status; nothing of other files is read then."""
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute in (("path",), ("status",)):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                known = self.wanted.get(f.attribute[0])
+                self.wanted[f.attribute[0]] = values if known is None else known & values
+            else:
+                yield f
+
     def _range(self) -> list[str]:
         return [self.old, self.new] if self.new else ["--cached", self.old] if self.mode == "staged" else [self.old]
 
-    def _listed(self, *paths: str) -> list[tuple[str, str, str]]:
-        """(status, old path, new path) of the files that differ."""
-        fields = git(self.root, "diff", "--name-status", "-z", *FLAGS, *self._range(), "--", *paths).decode("utf-8", "replace").split("\0")
+    def _listed(self) -> list[tuple[str, str, str, str | None, str | None]]:
+        """(status, old path, new path, old blob, new blob) of the files that differ."""
+        fields = git(self.root, "diff", "--raw", "-z", "--no-abbrev", *FLAGS, *self._range(), "--").decode("utf-8", "surrogateescape").split("\0")
         rows, i = [], 0
         while i < len(fields) - 1:
-            letter = fields[i][:1]
-            old = fields[i + 1]
-            new = fields[i + 2] if letter in "RC" else old
-            i += 3 if letter in "RC" else 2
-            rows.append((STATUS.get(letter, "Modified"), old, new))
+            _, _, before, after, letter = fields[i].split(" ")
+            both = letter[:1] in "RC"
+            old, new = fields[i + 1], fields[i + 2] if both else fields[i + 1]
+            i += 3 if both else 2
+            rows.append((STATUS.get(letter[:1], "Modified"), old, new, *(None if not x.strip("0") else x for x in (before, after))))
         return rows
 
+    def _sizes(self, blobs: list[str]) -> dict[str, int]:
+        if not blobs:
+            return {}
+        run = subprocess.run(["git", "-C", self.root, "cat-file", "--batch-check"], input="".join(f"{b}\n" for b in blobs).encode(), capture_output=True)
+        lines = [line.split(b" ") for line in run.stdout.splitlines()]
+        return {b: int(x[2]) for b, x in zip(blobs, lines, strict=True) if len(x) == 3 and x[1] == b"blob"}
+
+    def _disk_size(self, path: str) -> int:
+        try:
+            return os.stat(f"{self.root}/{path}").st_size
+        except OSError:
+            return 0
+
     def partitions(self) -> list[InputPartition]:
         rows = self._listed()
         if self.mode == "worktree" and self.untracked:
-            listed = git(self.root, "ls-files", "--others", "--exclude-standard", "-z").decode("utf-8", "replace").split("\0")
-            rows += [("Untracked", p, p) for p in listed if p]
+            listed = git(self.root, "ls-files", "--others", "--exclude-standard", "-z").decode("utf-8", "surrogateescape").split("\0")
+            rows += [("Untracked", p, p, None, None) for p in listed if p]
         numbered = [(n, *r) for n, r in enumerate(rows)]
-        return [_Files(numbered[k : k + self.batch]) for k in range(0, len(numbered), self.batch)] or [_Files([])]
-
-    def _blobs(self, names: list[str]) -> dict[str, bytes | None]:
-        """Contents of objects like ``HEAD:path`` by name, from one process; None for those that do not exist or are no files."""
-        asked = [n for n in dict.fromkeys(names) if "\n" not in n]
-        run = subprocess.run(["git", "-C", self.root, "cat-file", "--batch"], input="".join(f"{n}\n" for n in asked).encode("utf-8", "surrogateescape"), capture_output=True)
-        found: dict[str, bytes | None] = {}
-        data, at = run.stdout, 0
-        for name in asked:
-            end = data.index(b"\n", at)
-            head = data[at:end].rsplit(b" ", 2)
-            at = end + 1
-            if len(head) == 3 and head[2].isdigit():
-                size = int(head[2])
-                found[name] = data[at : at + size] if head[1] == b"blob" else None
-                at += size + 1
-            else:
-                found[name] = None
-        for name in set(names) - set(asked):  # a name with a line end cannot be asked in a batch
-            one = subprocess.run(["git", "-C", self.root, "cat-file", "blob", name], capture_output=True)
-            found[name] = one.stdout if not one.returncode else None
-        return found
-
-    def _disk(self, path: str) -> bytes | None:
+        paths, states = self.wanted.get("path"), self.wanted.get("status")
+        numbered = [r for r in numbered if (paths is None or r[3].replace("\\", "/") in paths) and (states is None or r[1] in states)]
+        sizes = self._sizes(sorted({b for r in numbered for b in r[4:] if b}))
+        out, held, load = [], [], 0
+        for index, status, old, new, before, after in numbered:
+            on_disk = self.mode == "worktree" and status != "Deleted"
+            file = _File(index, status, old, new, before if before in sizes else None, None if on_disk or after not in sizes else after, sizes.get(before, 0), self._disk_size(new) if on_disk else sizes.get(after, 0))
+            weight = file.old_size + file.new_size
+            if held and (len(held) >= self.batch or load + weight > self.bytes):
+                out.append(_Files(held))
+                held, load = [], 0
+            held.append(file)
+            load += weight
+        return [*out, _Files(held)] if held or not out else out
+
+    def _head(self, blob: str) -> bytes:
+        """The first bytes of a large blob, which is not held whole by any process where git can stream it."""
+        run = subprocess.Popen(["git", "-c", "core.bigFileThreshold=1m", "-C", self.root, "cat-file", "blob", blob], stdout=subprocess.PIPE)
+        data = run.stdout.read(HEAD_BYTES)
+        run.kill()
+        run.stdout.close()
+        run.wait()
+        return data
+
+    def _disk(self, path: str, most: int) -> bytes | None:
         try:
-            with open(f"{self.root}/{path}", "rb") as file:
-                return file.read()
+            with open(os.fsencode(f"{self.root}/{path}"), "rb") as file:
+                return file.read(most)
         except OSError:
             return None
 
-    def _names(self, status: str, old: str, new: str) -> tuple[str | None, str | None]:
-        """Object names of both sides; None where a side does not exist or is read from the disk."""
-        before = None if status in ("Added", "Untracked") else f"{self.old}:{old}"
-        after = None if status == "Deleted" or self.mode == "worktree" else f"{self.new}:{new}"
-        return before, after
-
     def read(self, partition: _Files) -> Iterator[tuple]:
-        names = {index: self._names(status, old, new) for index, status, old, new in partition.rows}
-        blobs = self._blobs([n for both in names.values() for n in both if n is not None]) if partition.rows else {}
-        patches = self._patches(partition.rows)
-        for index, status, old, new in partition.rows:
-            name_old, name_new = names[index]
-            before = blobs.get(name_old) if name_old is not None else None
-            after = blobs.get(name_new) if name_new is not None else self._disk(new) if self.mode == "worktree" and status != "Deleted" else None
-            binary = any(b is not None and b"\0" in b[:8000] for b in (before, after)) or (status == "Untracked" and len(after or b"") > MOST_UNTRACKED)
-            texts = [_text(b) if not binary else None for b in (before, after)]
-            if binary or (before is None and after is None):
-                found: list[dict] = []
-            elif status == "Untracked":
-                found = [dict(h, header="untracked file") for h in hunks(None, texts[1])]
+        if not partition.rows:
+            return
+        binary: dict[int, bool] = {}
+        ask = _Blobs(self.root)
+        try:
+            for f in partition.rows:  # what is binary gets no line from git diff, so it need not read it
+                binary[f.index] = any(x is not None and b"\0" in x[:HEAD_BYTES] for x in self._sides(f, ask, heads=True))
+            patches = self._patches([f for f in partition.rows if not binary[f.index] and f.status != "Untracked"])
+            for f in partition.rows:
+                before, after = (None, None) if binary[f.index] else self._sides(f, ask)
+                found = patches.pop(f.index, None) or []
+                if f.status == "Untracked":
+                    text = None if binary[f.index] or f.new_size > MOST_UNTRACKED else _decoded(self._disk(f.new, MOST_UNTRACKED + 1))
+                    is_binary, texts = text is None, (None, text)
+                    found = [] if text is None else [_untracked(text)]
+                else:
+                    is_binary, texts = binary[f.index], (_text(before), _text(after))
+                count = lambda kind: sum(line["kind"] == kind for h in found for line in h["lines"])  # noqa: B023, E731
+                rows = [(h["old_start"], h["old_lines"], h["new_start"], h["new_lines"], h["header"], [(x["kind"], x["text"]) for x in h["lines"]]) for h in found]
+                old, new = (_shown(p) for p in (f.old, f.new))
+                yield (self.name or f"{self.mode}:{self.old}..{self.new}", f.index, old, new, f.status, is_binary, count("Addition"), count("Deletion"), rows, *texts)
+        finally:
+            ask.close()
+
+    def _sides(self, f: _File, ask: _Blobs, *, heads: bool = False) -> tuple[bytes | None, bytes | None]:
+        """Both sides of a file; of those over the limit nothing, or the first bytes if only these are wanted."""
+        out = []
+        for blob, size in ((f.old_blob, f.old_size), (f.new_blob, f.new_size)):
+            if blob is not None:
+                out.append(ask.get(blob) if size <= MOST_CONTENT else self._head(blob) if heads else None)
             else:
-                found = patches[old, new] if (old, new) in patches else hunks(*(b.decode("utf-8", "replace") if b is not None else None for b in (before, after)))
-            count = lambda kind: sum(line["kind"] == kind for h in found for line in h["lines"])  # noqa: B023, E731
-            rows = [(h["old_start"], h["old_lines"], h["new_start"], h["new_lines"], h["header"], [(x["kind"], x["text"]) for x in h["lines"]]) for h in found]
-            yield (self.name or f"{self.mode}:{self.old}..{self.new}", index, old.replace("\\", "/"), new.replace("\\", "/"), status, binary, count("Addition"), count("Deletion"), rows, *texts)
+                on_disk = len(out) == 1 and self.mode == "worktree" and f.status != "Deleted"
+                out.append(self._disk(f.new, HEAD_BYTES if heads else MOST_CONTENT + 1) if on_disk else None)
+        return out[0], out[1]
+
+    def _patches(self, rows: list[_File]) -> dict[int, list[dict]]:
+        """Hunks by index.  Files that keep their path come from one diff of these paths, renames and copies from a diff of their two blobs."""
+        out: dict[int, list[dict]] = {}
+        plain = {f.new: f.index for f in rows if f.status not in ("Renamed", "Copied")}
+        flags = [x for x in FLAGS if x[:2] not in ("-M", "-C", "-l")]
+        if plain:
+            for path, found in self._diff("--no-renames", *flags, *self._range(), "--", *sorted(plain)):
+                if path in plain:  # a path that became a folder brings its files along
+                    out.setdefault(plain[path], []).extend(found)
+        for f in rows:
+            if f.status in ("Renamed", "Copied") and f.old_blob:
+                ends = [f.old_blob, f.new_blob] if f.new_blob else [f.old_blob, "--", f.new]
+                out[f.index] = [h for _, found in self._diff(*flags, *ends) for h in found]
+        return out
 
+    def _diff(self, *args: str) -> Iterator[tuple[str, list[dict]]]:
+        """(path, hunks) of each file of a patch, read line by line.  A change of type comes as two of one path."""
+        command = ["git", "--literal-pathspecs", "-C", self.root, "diff", "--raw", "-z", "--no-abbrev", "-p", "-U3", *args]
+        run = subprocess.Popen([os.fsencode(c) for c in command], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        names: list[str] = []
+        stream = run.stdout
+        while True:  # records of the list end with zero bytes; an empty one stands before the patch
+            head = _until_zero(stream)
+            if not head:
+                break
+            status, path = head.decode().rsplit(" ", 1)[1], os.fsdecode(_until_zero(stream))
+            names += [path] * (1 + (status[:1] == "T"))
+        at, found, started = -1, [], False
+        for raw in stream:
+            line = raw.decode("utf-8", "replace").removesuffix("\n")
+            if raw.startswith(b"diff --git ") and not _open(found):
+                if started:
+                    yield names[at] if at < len(names) else "", found
+                at, found, started = at + 1, [], True
+            else:
+                _add_line(found, line)
+        if started:
+            yield names[at] if at < len(names) else "", found
+        stream.close()
+        if run.wait():
+            raise RuntimeError(f"git diff failed in {self.root}")
 
-    def _patches(self, rows: list[tuple[int, str, str, str]]) -> dict[tuple[str, str], list[dict]]:
-        """Hunks by old and new path.  The patch has its files in the order of the list of names, a change of type as two of them."""
-        paths = sorted({p for _, status, old, new in rows if status != "Untracked" for p in (old, new)})
-        if not paths:
-            return {}
-        listed = self._listed(*paths)
-        patch = git(self.root, "diff", "-U3", *FLAGS, *self._range(), "--", *paths).decode("utf-8", "replace")
-        files = [x for x in FILE_HEAD.split(patch) if x]
-        if len(files) != sum(1 + (status == "TypeChanged") for status, *_ in listed):
-            return {}
-        out, at = {}, iter(files)
-        for status, old, new in listed:
-            out[old, new] = [h for _ in range(1 + (status == "TypeChanged")) for h in _hunks(next(at))]
-        return out
+
+class _Blobs:
+    """One ``git cat-file --batch``, asked for a blob at a time, so no more than one is held."""
+
+    def __init__(self, root: str):
+        self.run = subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def get(self, blob: str) -> bytes | None:
+        self.run.stdin.write(f"{blob}\n".encode())
+        self.run.stdin.flush()
+        head = self.run.stdout.readline().split(b" ")
+        if len(head) != 3:
+            return None
+        return self.run.stdout.read(int(head[2]) + 1)[:-1]
+
+    def close(self) -> None:
+        self.run.stdin.close()
+        self.run.stdout.close()
+        self.run.wait()
+
+
+def _until_zero(stream) -> bytes:
+    out = bytearray()
+    while (byte := stream.read(1)) not in (b"", b"\0"):
+        out += byte
+    return bytes(out)
 
 
-def _hunks(patch: str) -> list[dict]:
-    """Hunks of one file's patch."""
-    found: list[dict] = []
-    names = {" ": "Context", "+": "Addition", "-": "Deletion"}
-    for line in patch.split("\n"):
-        head = HUNK_HEAD.match(line)
-        if head:
-            n = [int(x) if x else 1 for x in head.groups()]
-            found.append({"old_start": n[0], "old_lines": n[1], "new_start": n[2], "new_lines": n[3], "header": line + "\n", "lines": [], "left": [n[1], n[3]]})
-        elif found and line[:1] in names and (found[-1]["left"][0] > 0 or found[-1]["left"][1] > 0):
-            kind = names[line[0]]
+def _shown(path: str) -> str:
+    return os.fsencode(path).decode("utf-8", "replace").replace("\\", "/")
+
+
+def _open(found: list[dict]) -> bool:
+    """Whether the last hunk still waits for lines."""
+    return bool(found) and (found[-1]["left"][0] > 0 or found[-1]["left"][1] > 0)
+
+
+KIND_OF = {" ": "Context", "+": "Addition", "-": "Deletion"}
+
+
+def _add_line(found: list[dict], line: str) -> None:
+    """A line of one file's patch: the head of a hunk, or a line of the last one."""
+    if _open(found):
+        kind = KIND_OF.get(line[:1])
+        if kind:
             found[-1]["lines"].append({"kind": kind, "text": line[1:]})
             found[-1]["left"][0] -= kind != "Addition"
             found[-1]["left"][1] -= kind != "Deletion"
-    return found
+        return
+    head = HUNK_HEAD.match(line)
+    if head:
+        n = [int(x) if x else 1 for x in head.groups()]
+        found.append({"old_start": n[0], "old_lines": n[1], "new_start": n[2], "new_lines": n[3], "header": line + "\n", "lines": [], "left": [n[1], n[3]]})
 
 
-def _text(data: bytes | None) -> str | None:
-    if data is None or len(data) > MOST_CONTENT:
-        return None
+def _untracked(text: str) -> dict:
+    lines = [x.removesuffix("\r") for x in (text[:-1] if text.endswith("\n") else text).split("\n")] if text else []
+    return {"old_start": 0, "old_lines": 0, "new_start": 1, "new_lines": len(lines), "header": "untracked file", "lines": [{"kind": "Addition", "text": x} for x in lines]}
+
+
+def _decoded(data: bytes | None) -> str | None:
     try:
-        return data.decode("utf-8")
+        return None if data is None else data.decode("utf-8")
     except UnicodeDecodeError:
         return None
 
 
+def _text(data: bytes | None) -> str | None:
+    return None if data is None or len(data) > MOST_CONTENT else _decoded(data)
+
+
+class _Commits(InputPartition):
+    def __init__(self, ids: list[str]):
+        self.ids = ids
+
+
+class _CommitStream(DataSourceStreamReader):
+    """The commits of a branch, along first parents, oldest first.  An offset is the id of the last commit read."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = {k: options[k] for k in ("path", "batch", "partition_bytes") if k in options}
+        self.root = discover(options.get("path", "."))
+        self.branch = options.get("branch", "HEAD")
+        self.since = options.get("since", "")
+        self.commits = int(options.get("commits", "16"))
+        if self.branch.startswith("-") or self.since.startswith("-"):
+            raise ValueError("not a revision")
+
+    def _id(self, revision: str) -> str:
+        return git(self.root, "rev-parse", "--verify", "-q", f"{revision}^{{commit}}", check=False).decode().strip()
+
+    def initialOffset(self) -> dict:
+        return {"commit": self._id(self.since) if self.since else ""}
+
+    def latestOffset(self) -> dict:
+        return {"commit": self._id(self.branch) or self.initialOffset()["commit"]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if not end["commit"] or start == end:
+            return []
+        since = [f"^{start['commit']}"] if start["commit"] else []
+        ids = git(self.root, "rev-list", "--reverse", "--first-parent", end["commit"], *since).decode().split()
+        return [_Commits(ids[k : k + self.commits]) for k in range(0, len(ids), self.commits)]
+
+    def read(self, partition: _Commits) -> Iterator[tuple]:
+        for commit in partition.ids:
+            reader = _Reader({**self.options, "mode": "commit", "commit": commit, "changeset": commit})
+            for part in reader.partitions():
+                yield from reader.read(part)
+
+
 class GitChanges(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -243,9 +411,14 @@ class GitChanges(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> _CommitStream:
+        return _CommitStream(self.options)
+
 
 def register(spark: SparkSession) -> None:
-    """Make the source known to a session; its code travels with it, so workers need not have the package."""
+    """Make the source known to a session; its code travels with it, so workers need not have the package.  Filters of Python
+    sources are pushed down from then on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     package = sys.modules[__name__.partition(".")[0]]
     cloudpickle.register_pickle_by_value(package)
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,71 @@ def _lines(text: str | None) -> list[str]:
     return text.split("\n")[:-1] if text and text.endswith("\n") else text.split("\n") if text else []
 
 
+#: Edits up to which a search from both ends looks for the middle of a script; beyond, whole rows of lengths are computed bit by bit.
+FEW_EDITS = 64
+#: A line that stands in more places than this keeps its bit mask; the masks of others are made when needed.
+RARE = 16
+
+
+class _Masks:
+    """Bit masks of the places of each line in y[left:right], for one stretch of it."""
+
+    def __init__(self, y: list[int]):
+        self.places: dict[int, list[int]] = {}
+        for j, v in enumerate(y):
+            self.places.setdefault(v, []).append(j)
+        self.known: dict[int, int] = {}
+
+    def __getitem__(self, value: int) -> int:
+        places = self.places.get(value)
+        if places is None:
+            return 0
+        if len(places) <= RARE:
+            mask = 0
+            for j in places:
+                mask |= 1 << j
+            return mask
+        if value not in self.known:
+            bits = bytearray(places[-1] // 8 + 1)
+            for j in places:
+                bits[j // 8] |= 1 << (j % 8)
+            self.known[value] = int.from_bytes(bits, "little")
+        return self.known[value]
+
+
+def _row(x: list[int], y: list[int]) -> int:
+    """Bits of the last row of the table of common lengths of x and y: a zero where the length grows by one."""
+    masks, full = _Masks(y), (1 << len(y)) - 1
+    row = full
+    for v in x:
+        mask = masks[v]
+        if mask:
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+    return row
+
+
+def _lengths(row: int, m: int) -> np.ndarray:
+    """Common lengths with the first 0, 1 ... m lines."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((m + 7) // 8, "little"), np.uint8), bitorder="little")[:m]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_length(a: list, b: list) -> int:
+    """Length of a longest common subsequence, in about len(a) * len(b) / 64 steps."""
+    known: dict = {}
+    x, y = ([known.setdefault(line, len(known)) for line in side] for side in (a, b))
+    lo, hi = 0, 0
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+        lo += 1
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    in_x, in_y = set(x), set(y)
+    x, y = [v for v in x if v in in_y], [v for v in y if v in in_x]
+    return lo + hi + (int(_lengths(_row(x, y), len(y))[-1]) if x and y else 0)
+
+
 def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """Steps (kind, place in a, place in b) of a shortest edit script: Context, Deletion, Addition.
 
@@ -38,8 +104,10 @@ def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
         while lo < hi and left < right and xs[hi - 1] == ys[right - 1]:
             hi, right = hi - 1, right - 1
             pairs.append((hi, right))
-        if lo < hi and left < right:
-            i, j = _middle(xs, lo, hi, ys, left, right)
+        if hi - lo == 1 and xs[lo] in ys[left:right]:
+            pairs.append((lo, ys.index(xs[lo], left)))
+        elif hi - lo > 1 and left < right:
+            i, j = _middle(xs, lo, hi, ys, left, right) or _halved(xs, lo, hi, ys, left, right)
             stack += [(lo, i, left, j), (i, hi, j, right)]
     pairs = sorted((xi[i], yi[j]) for i, j in pairs)
     out, i, j = [], 0, 0
@@ -51,12 +119,17 @@ def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _middle(x: list[int], lo: int, hi: int, y: list[int], left: int, right: int) -> tuple[int, int]:
-    """A point of a shortest edit script of x[lo:hi] and y[left:right], whose first and last lines differ: searches from both ends meet there."""
+def _middle(x: list[int], lo: int, hi: int, y: list[int], left: int, right: int) -> tuple[int, int] | None:
+    """A point of a shortest edit script of x[lo:hi] and y[left:right], whose first and last lines differ: searches from both ends meet there.
+
+    None where they do not meet within FEW_EDITS edits each."""
     n, m = hi - lo, right - left
-    delta, size = n - m, n + m + 2
+    most = min((n + m + 1) // 2, FEW_EDITS)
+    delta, size = n - m, most + abs(n - m) + 2
+    if abs(delta) > 2 * most:
+        return None
     front, back = [0] * (2 * size + 1), [0] * (2 * size + 1)
-    for d in range((n + m + 1) // 2 + 1):
+    for d in range(most + 1):
         for k in range(-d, d + 1, 2):
             down = k == -d or (k != d and front[size + k - 1] < front[size + k + 1])
             i = front[size + k + 1] if down else front[size + k - 1] + 1
@@ -75,7 +148,15 @@ def _middle(x: list[int], lo: int, hi: int, y: list[int], left: int, right: int)
             back[size + k] = i
             if not delta % 2 and -d <= delta - k <= d and 0 <= j <= m and i <= n and i + front[size + delta - k] >= n:
                 return hi - i, right - j
-    raise AssertionError("two edit scripts always meet")
+    return None
+
+
+def _halved(x: list[int], lo: int, hi: int, y: list[int], left: int, right: int) -> tuple[int, int]:
+    """The half of x[lo:hi] and the place in y[left:right] where a longest common subsequence passes it, from the rows of both halves."""
+    half, m = (lo + hi) // 2, right - left
+    above = _lengths(_row(x[lo:half], y[left:right]), m)
+    below = _lengths(_row(x[half:hi][::-1], y[left:right][::-1]), m)[::-1]
+    return half, left + int(np.argmax(above + below))
 
 
 def hunks(old: str | None, new: str | None) -> list[dict]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.barrier import Scope
+
 
 def analysed(messages: DataFrame) -> DataFrame:
     """(generation, analysed, finished): files done and whether the run ended, by generation."""
@@ -28,6 +31,24 @@ def drained(messages: DataFrame, generation: int) -> DataFrame:
     return rows.agg(F.count_distinct(F.when(F.col("kind") == "Progress", F.col("index"))).alias("analysed"), last.alias("last_finished"), last.isNotNull().alias("done"))
 
 
+@contextlib.contextmanager
+def tagged(spark: SparkSession, tag: str | None) -> Iterator[None]:
+    """Jobs started inside carry a tag, those after it do not."""
+    if tag:
+        spark.addTag(tag)
+    try:
+        yield
+    finally:
+        if tag:
+            spark.removeTag(tag)
+
+
+def tell(batch: DataFrame, messages: str, number: int, generation: int) -> None:
+    """Write a Progress message for each file of a batch."""
+    told = batch.select(F.lit(generation).cast("long").alias("generation"), F.col("file_idx").cast("long").alias("index"), F.lit("Progress").alias("kind"))
+    told.write.mode("overwrite").parquet(f"{messages}/part={number}")
+
+
 def run_stream(changes: DataFrame, analyse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, generation: int = 0, *, messages: str | None = None, tag: str | None = None) -> StreamingQuery:
     """Start a query over a stream of change records: each micro-batch is analysed and adds its rows to the target.
 
@@ -37,14 +58,11 @@ def run_stream(changes: DataFrame, analyse: Callable[[DataFrame], DataFrame], ta
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if tag:
-            spark.addTag(tag)
-        rows = analyse(batch).withColumn("generation", F.lit(generation))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        if messages:
-            told = batch.select(F.lit(generation).cast("long").alias("generation"), F.col("file_idx").cast("long").alias("index"), F.lit("Progress").alias("kind"))
-            told.write.mode("overwrite").parquet(f"{messages}/part={number}")
+        with tagged(batch.sparkSession, tag), Scope(batch.sparkSession):
+            rows = analyse(batch).withColumn("generation", F.lit(generation))
+            rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            if messages:
+                tell(batch, messages, number, generation)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
