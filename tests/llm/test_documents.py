@@ -193,6 +193,26 @@ def test_repeats_do_not_depend_on_hashes(spark):
         substrings.remove_repeats(docs, names=((0, 3),))
 
 
+def test_only_refuted_documents_are_searched_again(spark, monkeypatch):
+    """Two words that share a name by chance refute one stretch: its documents alone take a second pass."""
+    how = (0, 12)
+    by_name = collections.defaultdict(list)
+    for k in range(20_000):
+        by_name[int(substrings.word_names([f"w{k}".encode()], how)[0])].append(f"w{k}")
+    names = [v for v in by_name.values() if len(v) > 1]
+    one, other = names[0][:2]
+    apart = [v[0] for v in by_name.values()]
+    text = lambda seed, n=70: random.Random(seed).sample(apart[:2_000], n)
+    shared, far = text(1), text(2)
+    rows = [(i, " ".join([f"w{i}", *far])) for i in range(5)] + [(10, " ".join([*shared[:35], one, *shared[35:]])), (11, " ".join([*shared[:35], other, *shared[35:]])), (12, " ".join(["x", *shared[:35], other, *shared[35:]]))]
+    rows += [(20 + i, " ".join(text(100 + i))) for i in range(20)]
+    passes, found = [], substrings._found_stretches
+    monkeypatch.setattr(substrings, "_found_stretches", lambda rows, how: passes.append(sorted(r["id"] for r in rows.select("id").collect())) or found(rows, how))
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), names=(how, (1, 64)))))
+    assert got == brute_repeats(rows)
+    assert len(passes) == 2 and passes[1] == [10, 11, 12]
+
+
 def test_stretches_grow_past_windows():
     assert substrings.grown([(1, 0, 10, 12, 110), (1, 0, 13, 13, 113), (1, 0, 30, 40, 130), (1, 0, 200, 200, 300), (2, 0, 14, 14, 14)]) == [(10, 80, 1, 0, 110), (200, 50, 1, 0, 300), (14, 50, 2, 0, 14)]
     assert list(substrings.pieces(200, 400)) == [(200, 56), (256, 256), (512, 88)]

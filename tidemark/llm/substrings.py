@@ -17,8 +17,9 @@ finds the first document of each.  Where several runs share an anchor, the third
 each run's first document.  Symbols then grow: those of a document that lie on end in the document they were first
 seen in become one stretch, as long as the repeat.
 
-Names only find repeats.  Every stretch is then compared word for word with the earlier document that has it, and
-should a single one differ, all is done again with other names.  So no word goes because of a hash alone.
+Names only find repeats.  Every stretch is then compared word for word with the earlier document that has it.  Should one
+differ, the documents that say so, and those they were said to repeat, are searched again with other names; all others
+are done.  So no word goes because of a hash alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, Scratch, discard, give_back, hash_words, mix64, released, small_batches, split_join, split_words, written
@@ -185,7 +186,7 @@ def _runs(rows: DataFrame, how: tuple[int, int]) -> DataFrame:
 
 
 def _run_claims(found: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Claims (id, h, first, last, lo, lo_h, at) of runs that a smaller id has whole, and open runs (id, h, first, last).
+    """Claims (id, h, first, last, lo, lo_h, at) of runs that a smaller id has whole, and open runs (id, h, first, last, key).
 
     Open are the runs of their first document whose anchor other runs have too: single windows decide there.
     """
@@ -197,28 +198,33 @@ def _run_claims(found: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     kinds = keep(split_join(kinds.withColumnRenamed("n", "runs"), keep(many), ["key"], "n"))
     placed = keep(split_join(runs, kinds.where("mixed OR runs > 1").withColumnRenamed("runs", "n"), ["key", "extent"], "n"))
     claims = placed.where("id > src.id").select("id", "h", "first", "last", F.col("src.id").alias("lo"), F.col("src.h").alias("lo_h"), F.col("src.first").alias("at"))
-    return claims, placed.where("id = src.id AND mixed").select("id", "h", "first", "last")
+    return claims, placed.where("id = src.id AND mixed").select("id", "h", "first", "last", "key")
 
 
 def _window_claims(rows: DataFrame, open_runs: DataFrame, how: tuple[int, int], keep: Scratch) -> DataFrame:
-    """Claims of single windows in open runs that a smaller id has in another open run."""
-    asked = open_runs.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("o"))
+    """Claims of single windows in open runs that a smaller id has in another open run.
+
+    Equal windows have one anchor, so a window goes by its run's anchor and its own name, 128 bits together.
+    """
+    asked = open_runs.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last", "key")).alias("o"))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, h, text, runs in zip(batch["id"], batch["h"], batch["text"], batch["o"], strict=True):
-                at = np.unique(spread([(r["first"], r["last"]) for r in runs]))
+                spans = sorted({(r["first"], r["last"], r["key"]) for r in runs})  # the runs of a document do not overlap
+                at = spread([(a, b) for a, b, _ in spans])
+                key = np.repeat(np.array([k for *_, k in spans], np.int64), [b - a + 1 for a, b, _ in spans])
                 names = stretch_hashes(word_names(split_words(text), how), at, at + WINDOW).view(np.int64)
-                out.append((names, np.full(len(at), i), np.full(len(at), h), at.astype(np.int32)))
+                out.append((key, names, np.full(len(at), i), np.full(len(at), h), at.astype(np.int32)))
             if out:
-                yield pd.DataFrame(dict(zip(("name", "id", "h", "first"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(("key", "name", "id", "h", "first"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
             give_back()
 
     texts = rows.select("id", "h", "text").join(asked, ["id", "h"])
-    windows = keep(texts.mapInPandas(name, "name long, id long, h long, first int"))
-    shared = windows.groupBy("name").agg(F.min(F.struct("id", "h", "first")).alias("src"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("src.id < hi").select("name", "src", "n")
-    rows = split_join(windows, keep(shared), ["name"], "n").where("id > src.id")
+    windows = keep(texts.mapInPandas(name, "key long, name long, id long, h long, first int"))
+    shared = windows.groupBy("key", "name").agg(F.min(F.struct("id", "h", "first")).alias("src"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("src.id < hi").select("key", "name", "src", "n")
+    rows = split_join(windows, keep(shared), ["key", "name"], "n").where("id > src.id")
     return rows.select("id", "h", "first", F.col("first").alias("last"), F.col("src.id").alias("lo"), F.col("src.h").alias("lo_h"), F.col("src.first").alias("at"))
 
 
@@ -288,11 +294,16 @@ def pieces(at: int, n: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _piece(k) -> Column:
+    """The k-th piece of a stretch s, as pieces() cuts it."""
+    start, end = F.greatest(F.col("s.at").cast("long"), k * PIECE), F.least(F.col("s.at") + F.col("s.n").cast("long"), (k + 1) * PIECE)
+    return F.struct(start.cast("int").alias("at"), (end - start).cast("int").alias("n"))
+
+
 def _settled(rows: DataFrame, stretches: DataFrame, carried: dict[str, str], with_text: bool) -> DataFrame:
     """Results and, beside them, the words of every piece of every stretch, from both documents it should be in."""
     steps = F.sequence(F.floor(F.col("s.at") / PIECE), F.floor((F.col("s.at") + F.col("s.n") - 1) / PIECE))
-    start, end = lambda k: F.greatest(F.col("s.at").cast("long"), k * PIECE), lambda k: F.least(F.col("s.at") + F.col("s.n").cast("long"), (k + 1) * PIECE)
-    each = F.transform(steps, lambda k: F.struct(start(k).cast("int").alias("at"), (end(k) - start(k)).cast("int").alias("n")))
+    each = F.transform(steps, _piece)
     asked = stretches.select(F.explode("s").alias("s")).select("s.lo", "s.lo_h", F.explode(each).alias("p"))
     asked = asked.groupBy("lo", "lo_h", "p").agg(F.lit(1).alias("one")).groupBy(F.col("lo").alias("id"), F.col("lo_h").alias("h")).agg(F.collect_list("p").alias("w"))
     joined = rows.where("id IS NOT NULL").join(stretches, ["id", "h"], "left").join(asked, ["id", "h"], "left")
@@ -309,28 +320,59 @@ def _settled(rows: DataFrame, stretches: DataFrame, carried: dict[str, str], wit
                 for x in own if own is not None else ():
                     gone[x["first"] : x["first"] + x["n"]] = True
                     back = x["first"] - x["at"]
-                    proofs += [(x["lo"], x["lo_h"], a, n, b" ".join(words[a + back : a + back + n]), False) for a, n in pieces(x["at"], x["n"])]
+                    proofs += [(x["lo"], x["lo_h"], a, n, b" ".join(words[a + back : a + back + n]), False, id_, h) for a, n in pieces(x["at"], x["n"])]
                 for x in wanted if wanted is not None else ():
-                    proofs.append((id_, h, x["at"], x["n"], b" ".join(words[x["at"] : x["at"] + x["n"]]), True))
+                    proofs.append((id_, h, x["at"], x["n"], b" ".join(words[x["at"] : x["at"] + x["n"]]), True, id_, h))
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 shas.append(_sha([w for w, g in zip(words, gone, strict=True) if not g] if n_removed[-1] else words))
                 texts.append(cut_text(text, gone) if with_text and n_removed[-1] else text if with_text else None)
             frame = pd.DataFrame({"id": batch["id"], **{c: batch[c] for c in carried}, "n_words": n_words, "n_removed": n_removed, "kept_sha256": shas, "kept_text": texts})
-            yield frame.assign(lo=None, lo_h=None, at=None, n=None, words=None, source=None).astype({"id": "Int64"})
+            yield frame.assign(h=batch["h"], lo=None, lo_h=None, at=None, n=None, words=None, source=None, of=None, of_h=None).astype({"id": "Int64"})
             if proofs:
-                frame = pd.DataFrame(proofs, columns=["lo", "lo_h", "at", "n", "words", "source"])
-                yield frame.reindex(columns=["id", *carried, "n_words", "n_removed", "kept_sha256", "kept_text", *frame.columns]).astype(object).where(lambda t: t.notna(), None)
+                frame = pd.DataFrame(proofs, columns=["lo", "lo_h", "at", "n", "words", "source", "of", "of_h"])
+                yield frame.reindex(columns=["id", *carried, "n_words", "n_removed", "kept_sha256", "kept_text", "h", *frame.columns]).astype(object).where(lambda t: t.notna(), None)
             give_back()
 
     kinds = "".join(f", {c} {t}" for c, t in carried.items())
-    return joined.mapInPandas(settle, f"id long{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string, lo long, lo_h long, at int, n int, words binary, source boolean")
+    return joined.mapInPandas(settle, f"id long{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string, h long, lo long, lo_h long, at int, n int, words binary, source boolean, of long, of_h long")
 
 
-def _agree(state: DataFrame) -> bool:
-    """Whether every piece has the same words in all documents that are said to hold it, its first one among them."""
-    proofs = state.where("n_words IS NULL").groupBy("lo", "lo_h", "at", "n").agg(F.min("words").alias("a"), F.max("words").alias("b"), F.max("source").alias("source"))
-    return not proofs.where("a <> b OR NOT source").head(1)
+def _refuted(state: DataFrame, stretches: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Documents (id, h) of which a piece has other words than the document it should be in, and their stretches without such
+    pieces; None where all agree.
+
+    Whoever says that a window is in its first document has a piece there, so documents that share such a window with
+    each other, but not with that first one, are all among these.
+    """
+    pieces_ = ["lo", "lo_h", "at", "n"]
+    proofs = state.where("n_words IS NULL")
+    wrong = proofs.groupBy(*pieces_).agg(F.min("words").alias("a"), F.max("words").alias("b"), F.max("source").alias("source")).where("a <> b OR NOT source")
+    if not wrong.head(1):
+        return None
+    proofs = keep(proofs.join(wrong, pieces_, "left_semi"))
+    right = keep(proofs.where("source").groupBy(*pieces_).agg(F.min("words").alias("words")))
+    cut = F.transform(F.sequence(F.floor(F.col("s.at") / PIECE), F.floor((F.col("s.at") + F.col("s.n") - 1) / PIECE)), _piece)
+    own = stretches.select("id", "h", F.explode("s").alias("s")).select("id", "h", "s.lo", "s.lo_h", (F.col("s.first") - F.col("s.at")).alias("back"), F.explode(cut).alias("p"))
+    own = own.select("id", "h", "lo", "lo_h", "back", F.col("p.at").alias("at"), F.col("p.n").alias("n"))
+    said = proofs.where("NOT source").join(right.withColumnRenamed("words", "true_words"), pieces_, "left").where("true_words IS NULL OR words <> true_words")
+    said = keep(said.select(*pieces_, "of", "of_h").distinct())
+    bad = keep(said.select(F.col("of").alias("id"), F.col("of_h").alias("h")).distinct())
+    good = own.join(bad, ["id", "h"], "left_semi").join(said.withColumnRenamed("of", "id").withColumnRenamed("of_h", "h"), ["id", "h", *pieces_], "left_anti")
+    row = F.struct((F.col("at") + F.col("back")).cast("int").alias("first"), F.col("n").cast("int").alias("n"), "lo", "lo_h", F.col("at").cast("int").alias("at"))
+    return bad, keep(good.select("id", "h", row.alias("s")))
+
+
+def _found_stretches(rows: DataFrame, how: tuple[int, int]) -> DataFrame:
+    """Stretches of all documents of rows (id, h, text), as a written table."""
+    keep = Scratch()
+    found = released(written(_runs(rows, how)))
+    claims, open_runs = _run_claims(found, keep)
+    discard(found)
+    claims = claims.unionByName(_window_claims(rows, open_runs, how, keep))
+    stretches = released(written(_stretches(claims)))
+    keep.clear()
+    return stretches
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False, names: tuple[tuple[int, int], ...] = NAMES) -> DataFrame:
@@ -347,24 +389,33 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = small_batches(docs.sparkSession)
     carried = {f"carry_{c}": docs.schema[c].dataType.simpleString() for c in carry}
-    for how in names:
-        text = F.col(text_col)
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(how[0]), text).alias("h"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    stretches = _found_stretches(rows, names[0])
+    state = released(written(_settled(rows, stretches, carried, with_text)))
+    results = ["id", "h", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
+    final, doubtful = state.where("n_words IS NOT NULL").select(*results), state
+    for how in [*names[1:], None]:
         keep = Scratch()
-        found = released(written(_runs(rows, how)))
-        claims, open_runs = _run_claims(found, keep)
-        discard(found)
-        claims = claims.unionByName(_window_claims(rows, open_runs, how, keep))
-        stretches = released(written(_stretches(claims)))
-        keep.clear()
-        state = released(written(_settled(rows, stretches, carried, with_text)))
-        discard(stretches)
-        if _agree(state):
+        refuted = _refuted(doubtful, stretches, keep)
+        if refuted is None:
             break
-        discard(state)
-    else:
-        raise RuntimeError("different words have the same names under every hash that was tried")
-    result = state.where("n_words IS NOT NULL").select("id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried).withColumnRenamed("id", id_col)
+        if how is None:
+            raise RuntimeError("different words have the same names under every hash that was tried")
+        bad, good = refuted
+        # only documents with refuted pieces, and those that they were said to repeat, are searched again, by other names
+        ends = keep(stretches.join(bad, ["id", "h"], "left_semi").select(F.explode("s").alias("s")).select(F.col("s.lo").alias("id"), F.col("s.lo_h").alias("h")).unionByName(bad).distinct())
+        again = keep(rows.join(ends, ["id", "h"], "left_semi"))
+        found = _found_stretches(again, how).join(bad, ["id", "h"], "left_semi")
+        every = found.select("id", "h", F.explode("s").alias("s")).unionByName(good)
+        before, stretches = stretches, written(every.groupBy("id", "h").agg(F.collect_list("s").alias("s")))
+        doubtful = written(_settled(again, stretches, carried, with_text))
+        mended = doubtful.where("n_words IS NOT NULL").join(bad, ["id", "h"], "left_semi").select(*results)
+        final = written(final.join(bad, ["id", "h"], "left_anti").unionByName(mended))
+        discard(before)
+        keep.clear()
+    discard(stretches)
+    result = final.drop("h").withColumnRenamed("id", id_col)
     for c in carry:
         result = result.withColumnRenamed(f"carry_{c}", c)
     return result if with_text else result.drop("kept_text")
