@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tidemark.llm import common, components, decontam, fingerprint, mixing, neardup, substrings, tokens, toxicity
 
 WS = "\x20\t\n\x0b\x0c\r"
@@ -193,6 +194,19 @@ def test_repeats_do_not_depend_on_hashes(spark):
         substrings.remove_repeats(docs, names=((0, 3),))
 
 
+def test_hot_rows_too_wide_to_broadcast_are_salted(spark):
+    left = spark.range(9_000).selectExpr("id % 3000 * cast(id % 2 = 0 as int) AS k", "id", "array(id) AS more")
+    right = common.written(left.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.repeat(F.lit("wide "), 5_000).alias("wide")))
+    plain = left.join(right.drop("w"), "k")
+    for limit in (0, 32 << 20):
+        for how in ("inner", "left"):
+            got = common.split_join(left.unionByName(spark.createDataFrame([(-1, 5, [5])], left.schema)), right, ["k"], "w", how, limit_bytes=limit)
+            assert "w" not in got.columns and got.where("wide IS NULL").count() == (how == "left")
+            assert got.where("wide IS NOT NULL").agg(F.count(F.lit(1)), F.sum("id"), F.max(F.length("wide"))).first() == plain.agg(F.count(F.lit(1)), F.sum("id"), F.max(F.length("wide"))).first()
+    salted = common.split_join(left, right, ["k"], "w", limit_bytes=0)
+    assert "explode" in salted._jdf.queryExecution().toString() and common.split_join(left, right, ["k"], "w", limit_bytes=32 << 20)._jdf.queryExecution().toString().count("explode") == 0
+
+
 def test_only_refuted_documents_are_searched_again(spark, monkeypatch):
     """Two words that share a name by chance refute one stretch: its documents alone take a second pass."""
     how = (0, 12)

@@ -117,21 +117,36 @@ def fits_broadcast(rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> bo
     return rows * row_bytes <= limit_bytes
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", *, most: int = 1_000) -> DataFrame:
+def _salt(df: DataFrame, parts: int) -> Column:
+    """A number below ``parts`` that a row has by its plain columns, so a task that runs again deals alike."""
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+    return F.pmod(F.xxhash64(*plain), F.lit(parts))
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", *, most: int = 1_000, limit_bytes: int = 32 << 20) -> DataFrame:
     """``left`` joined with the written table ``right``, which has one row per key and in ``weight`` the key's rows in ``left``.
 
-    Keys with more than ``most`` rows, and with more than a 100,000th of all, are broadcast and their rows stay where they are: by
-    that share there can be no more than 100,000 of them, whatever the input.  The rows of all other keys meet in a
-    shuffle.  The result has the columns of both but ``weight``.
+    Keys with more than ``most`` rows, and with more than a 100,000th of all, are hot: by that share there can be no more than
+    100,000 of them, whatever the input.  Where their rows of ``right``, measured, fit ``limit_bytes``, these are broadcast and
+    the rows of ``left`` stay where they are; otherwise only the keys are, hot rows of ``left`` are dealt to many tasks by a salt and
+    each row of ``right`` goes to all of these.  The rows of all other keys meet in a shuffle.  The result has the columns of both but ``weight``.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
     line = max(most, total // 100_000)
     hot = right.where(F.col(weight) > line).drop(weight)
     rest = right.where(F.col(weight) <= line).drop(weight)
-    if not hot.head(1):
+    n_hot, n_bytes = hot.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*hot.columns))).cast("long"))).first()
+    if not n_hot:
         return left.join(rest, on, how)
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
-    return left.join(F.broadcast(hot), on).unionByName(cold)
+    keys = F.broadcast(hot.select(*on))
+    cold = left.join(keys, on, "left_anti").join(rest, on, how)
+    if n_bytes <= limit_bytes:
+        return left.join(F.broadcast(hot), on).unionByName(cold)
+    parts = shuffle_partitions(left.sparkSession)
+    dealt = left.join(keys, on, "left_semi")
+    dealt = dealt.withColumn("__salt", _salt(dealt, parts).cast("int"))
+    copies = hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, [*on, "__salt"]).drop("__salt").unionByName(cold)
 
 
 def word_count(text: Column) -> Column:

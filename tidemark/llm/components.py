@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import Scratch, discard, split_join, written
 
 
 def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -13,19 +13,21 @@ def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFram
 
     Each round hangs every node's larger neighbours on its smallest neighbour (large star), then the node and its
     smaller neighbours too (small star); it ends when nothing changes, after about log**2 rounds at most.  Minima
-    are pre-aggregated, a hub's links are rows of a join that can be split, and every round is written to the shared
-    folder.  Loops and repeated links do no harm; no links give no rows.
+    are pre-aggregated, the links of hubs meet them without a shuffle (split_join), and every round is written to the
+    shared folder.  Loops and repeated links do no harm; no links give no rows.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        scratch = Scratch()
+        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = scratch(split_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = scratch(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = split_join(large, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         before, edges = edges, written(small)
         discard(before)
+        scratch.clear()
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break

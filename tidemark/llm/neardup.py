@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fits_broadcast, give_back, hash_words, mix64, released, shuffle_partitions, small_batches, written
+from .common import Scratch, fits_broadcast, give_back, hash_words, mix64, released, shuffle_partitions, small_batches, split_join, written
 from .components import connected_components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, options: Options) -> DataFrame:
     return docs.mapInPandas(build, "id long, n long, s1 long, s2 long, sketch array<long>")
 
 
-def candidate_pairs(sets: DataFrame, options: Options) -> DataFrame:
+def candidate_pairs(sets: DataFrame, options: Options, put: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """(a, b, likeness) of texts (rep, n, sketch) whose estimated similarity comes near the threshold, a < b.
 
     In each retained value's list every text meets the list's hub, a random member, and its neighbours by size in a
@@ -80,7 +80,7 @@ def candidate_pairs(sets: DataFrame, options: Options) -> DataFrame:
     """
     entries = sets.select("rep", "n", F.explode(F.slice("sketch", 1, options.indexed)).alias("value"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("rep", "n"), F.xxhash64("value", "rep")).alias("hub")).where("size > 1")
-    entries = written(entries.join(lists, "value"))
+    entries = put(split_join(entries, put(lists.withColumn("w", F.col("size"))), ["value"], "w"))
     star = entries.select("rep", "n", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2")).where("rep <> rep2")
     parts = entries.groupBy("value", F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("size") / options.part)).alias("part"))
     parts = parts.agg(F.array_sort(F.collect_list(F.struct("n", "rep"))).alias("m")).where(F.size("m") > 1)
@@ -129,7 +129,7 @@ def _joining(rows: list[tuple], options: Options) -> list[tuple[int, int, float]
     return found
 
 
-def pairs_between_groups(sets: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
+def pairs_between_groups(sets: DataFrame, labels: DataFrame, options: Options, put: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """(a, b, likeness), a < b: pairs that join all groups ``labels`` (node, component) between which any two texts of
     ``sets`` (rep, n, sketch) have an estimate near the threshold.  Nothing is sampled.
 
@@ -140,13 +140,13 @@ def pairs_between_groups(sets: DataFrame, labels: DataFrame, options: Options) -
     least = options.percent / 100 - options.slack
     entries = sets.select("rep", F.explode("sketch").alias("value"))
     common = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rare = entries.join(common, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("v"))
+    rare = split_join(entries, put(common.withColumn("w", F.col("size"))), ["value"], "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("v"))
     known = sets.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label"), F.size("sketch").alias("k"))
     must = F.ceil(F.col("k") * F.lit(least) - 1e-9).cast("int")
     rare = rare.join(known, "rep").where(F.size("v") >= must).select("rep", "n", "label", F.explode(F.slice("v", F.lit(1), F.size("v") - must + 1)).alias("e"))
-    rare = written(rare.select("rep", "n", "label", F.col("e.value").alias("value")))
+    rare = put(rare.select("rep", "n", "label", F.col("e.value").alias("value")))
     lists = rare.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
-    rare = rare.join(lists.select("value", "size"), "value")
+    rare = split_join(rare, put(lists.select("value", "size", F.col("size").alias("w"))), ["value"], "w")
     step = F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / options.percent) * (1 + 1e-9), 1e-9))
     rare = rare.withColumn("parts", F.ceil(F.col("size") / options.cell)).withColumn("mine", F.pmod(F.xxhash64("rep", "value"), F.col("parts")))
     bands = F.when(F.col("parts") > 1, F.array(step, step - 1)).otherwise(F.array(F.lit(0).cast("long")))
@@ -272,9 +272,9 @@ def similar_texts(docs: DataFrame, sets: DataFrame, options: Options) -> DataFra
 
 
 def _similar_texts(docs: DataFrame, sets: DataFrame, options: Options, keep: Scratch) -> DataFrame:
-    pairs = released(keep(candidate_pairs(sets, options)))
+    pairs = released(keep(candidate_pairs(sets, options, keep)))
     labels = connected_components(pairs.select("a", "b"))
-    more = released(keep(pairs_between_groups(sets, labels, options)))
+    more = released(keep(pairs_between_groups(sets, labels, options, keep)))
     pairs = pairs.unionByName(more)
     if not pairs.head(1):
         return connected_components(pairs.select("a", "b"))
