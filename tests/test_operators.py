@@ -270,7 +270,7 @@ def test_scanners():
     assert set(names("TypeScript", TS)) == {"mix", "Silo", "Silo::fill", "Grain", "Farm", "sow"}
     rust = {r[0]: r for r in scanners.scan("Rust", RS)}
     assert rust["harvest"][1:7] == ("Function", 3, 5, "fn harvest(field : & Field) -> Crop", False, True) and rust["opens"][1] == "Test" and rust["Bale"][4] == "type Bale = u16" and "Barn<T>::open" in rust
-    assert scanners.scan("Python", "def (") is None and scanners.scan("Rust", "fn a() {") is None
+    assert scanners.scan("Python", "def (") == [] and scanners.scan("Rust", "fn a() {") is None
 
 
 def test_extraction_falls_back_and_parses_once(spark):

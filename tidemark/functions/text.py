@@ -217,5 +217,9 @@ def evidence_rank(kind: Column) -> Column:
     return F.when(found > 0, found - 1).otherwise(len(EVIDENCE_PRIORITY)).cast("int")
 
 
+#: Parts of the names of attributes and decorators that mark tests.
+TEST_MARKS = ("Test", "Fact", "Theory")
+
+
 def is_test_attr(s: Column) -> Column:
-    return s.rlike("Test|Fact|Theory")
+    return s.rlike("|".join(TEST_MARKS))

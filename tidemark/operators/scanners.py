@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import ast
 import re
 
+from . import pysource
+
 LANGUAGES = ("Rust", "Python", "JavaScript", "TypeScript", "Go", "CSharp")
 MOST_BYTES = 512 * 1024
 
@@ -22,7 +23,7 @@ def scan(language: str, source: str | None) -> list[Row] | None:
     if source is None or len(source.encode("utf-8", "surrogatepass")) > MOST_BYTES:
         return []
     if language == "Python":
-        return python(source)
+        return pysource.rows(source)
     masked = _masked(source, _SCRIPT_SKIP if language in ("JavaScript", "TypeScript") else _SKIP)
     if masked.count("{") != masked.count("}"):
         return None
@@ -75,36 +76,6 @@ class _Text:
         return (place + 1, self.close.get(place, stop)) if place >= 0 else None
 
 
-def python(source: str) -> list[Row] | None:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    out: list[Row] = []
-
-    def visit(body: list[ast.stmt], owner: str | None, top: bool) -> None:
-        for node in body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                test = node.name.startswith("test_") or any("pytest" in ast.unparse(d) or "test" in ast.unparse(d).lower() for d in node.decorator_list)
-                name = f"{owner}::{node.name}" if owner else node.name
-                out.append((name, "Test" if test else "Method" if owner else "Function", node.lineno, node.end_lineno or node.lineno, f"def {node.name}(…)", test, not node.name.startswith("_")))
-                visit(node.body, None, False)
-            elif isinstance(node, ast.ClassDef):
-                name = f"{owner}::{node.name}" if owner else node.name
-                out.append((name, "Class", node.lineno, node.end_lineno or node.lineno, f"class {node.name}", False, not node.name.startswith("_")))
-                visit(node.body, node.name, False)
-            elif top and isinstance(node, (ast.Assign, ast.AnnAssign)):
-                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-                for target in targets:
-                    if isinstance(target, ast.Name):
-                        out.append((target.id, "Const", node.lineno, node.end_lineno or node.lineno, target.id, False, not target.id.startswith("_")))
-            elif isinstance(node, (ast.If, ast.Try, ast.With)):
-                visit(node.body, owner, False)
-
-    visit(tree.body, None, True)
-    return out
-
-
 def _rust_tokens(text: str) -> str:
     """Tokens joined by blanks, the way a printed token stream looks."""
     return " ".join(re.findall(r"'[a-z_]\w*(?!')|\w+|::|->|=>|&&|\S", text)).replace(" :: ", " :: ")

@@ -64,7 +64,7 @@ RISK_CRITERIA = {'true': 'Logic change on a sensitive surface, or uncovered by t
 
 # number of the language, then a row of each template of the catalogue's sources, by the line rules of its language
 CODE_SYMBOLS = (
-    (0, 1, "LIMIT", "Const", 1, 1, "LIMIT", False, True), (0, 2, "Box{k}", "Class", 3, 8, "class Box{k}", False, True), (0, 3, "Box{k}::open", "Method", 4, 5, "def open(…)", False, True),
+    (0, 1, "LIMIT", "Const", 1, 1, "LIMIT = …", False, True), (0, 2, "Box{k}", "Class", 3, 8, "class Box{k}", False, True), (0, 3, "Box{k}::open", "Method", 4, 5, "def open(…)", False, True),
     (0, 4, "Box{k}::_lid", "Method", 7, 8, "def _lid(…)", False, False), (0, 5, "test_box_{k}", "Test", 10, 11, "def test_box_{k}(…)", True, True),
     (1, 1, "Box{k}", "Struct", 1, 3, "struct Box{k}", False, True), (1, 2, "Box{k}::open", "Method", 6, 8, "fn open(& self) -> u64", False, True), (1, 3, "LIMIT", "Const", 11, 11, "const LIMIT", False, False),
     (1, 4, "opens_{k}", "Test", 14, 14, "fn opens_{k}()", True, False),
