@@ -64,9 +64,13 @@ def test_called_names(spark):
 
 
 def test_imported_names(spark):
-    from tidemark.operators.extract import import_samples
+    samples = [
+        ("Rust", "use crate::barn::{load, Wagon};\npub(crate) use super::hay::*;\nlet x = 1;"), ("Go", 'package a\nimport (\n  "io"\n  txt "bytes"\n)\nfunc f() {}\nimport "net"'),
+        ("CSharp", "using Farm.Grain;\nusing (var x = y) {}\nclass A {}"), ("TypeScript", 'import { load as fill } from "./barn";\nconst silo = require("silo");\nlet y = 2;'),
+        ("Python", "import json, math as numbers\nfrom barn import load\nx = 1"), ("Java", "import java.util.Map;"),
+    ]
 
-    got = {r["language"]: r["x"] for r in import_samples(spark).select("language", text.imported_names(F.col("language"), F.col("content")).alias("x")).collect()}
+    got = {r["language"]: r["x"] for r in spark.createDataFrame(samples, "language string, content string").select("language", text.imported_names(F.col("language"), F.col("content")).alias("x")).collect()}
     assert got == {
         "Rust": ["Wagon", "barn", "hay", "load"], "Go": ["bytes", "io", "net", "txt"], "CSharp": ["Farm", "Grain"],
         "TypeScript": ["barn", "fill", "load", "silo"], "Python": ["barn", "json", "load", "math", "numbers"], "Java": [],

@@ -267,7 +267,7 @@ def test_scanners():
     assert names("Python", PY) == {"MAX_CRATES": ("Const", 1, 1), "rows": ("Const", 2, 2), "Orchard": ("Class", 4, 10), "Orchard::prune": ("Method", 5, 7), "Orchard::_count": ("Method", 9, 10), "water": ("Function", 12, 13)}
     assert names("Go", GO) == {"Silo": ("Struct", 3, 5), "fill": ("Function", 7, 9), "Barn::open": ("Method", 11, 12), "TestFill": ("Test", 14, 14)}
     assert {k: v[0] for k, v in names("CSharp", CS).items()} == {"Silo": "Class", "Silo::_level": "Field", "Silo::Volume": "Field", "Silo::new": "Method", "Silo::Fill": "Method", "Silo::Fill_adds": "Test"}
-    assert set(names("TypeScript", TS)) == {"mix", "Silo", "Silo::fill", "Grain", "Farm", "sow"}
+    assert {k: v[0] for k, v in names("TypeScript", TS).items()} == {"mix": "Const", "Silo": "Class", "Silo::fill": "Method", "Grain": "TypeAlias", "Farm": "Module", "sow": "Function"}
     rust = {r[0]: r for r in scanners.scan("Rust", RS)}
     assert rust["harvest"][1:7] == ("Function", 3, 5, "fn harvest(field : & Field) -> Crop", False, True) and rust["opens"][1] == "Test" and rust["Bale"][4] == "type Bale = u16" and "Barn<T>::open" in rust
     assert scanners.scan("Python", "def (") == [] and scanners.scan("Rust", "fn a() {") is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -71,8 +71,9 @@ def _parsed(distinct: DataFrame) -> DataFrame:
 
 def _of_files(keyed: DataFrame, found: DataFrame, with_key: bool) -> DataFrame:
     """Symbols by key as symbols of the files that have the content."""
-    helper = F.col("is_test") | F.endswith("file", F.lit("_test.go"))
-    rows = keyed.select("file", "key").distinct().join(found, "key").withColumn("is_test", helper)
+    rows = keyed.select("file", "key").distinct().join(found, "key")
+    helper = F.endswith("file", F.lit("_test.go")) & F.col("kind").isin("Function", "Method")  # functions of Go's test files are tests
+    rows = rows.withColumn("is_test", F.col("is_test") | helper).withColumn("kind", F.when(F.col("is_test") & F.col("kind").isin("Function", "Method") & F.endswith("file", F.lit("_test.go")), "Test").otherwise(F.col("kind")))
     return rows if with_key else rows.drop("key")
 
 
@@ -102,16 +103,3 @@ def extract_cached(sources: DataFrame, entries: DataFrame, *, with_key: bool = F
     hits = distinct.select("key").join(known, "key").select("key", F.posexplode("symbols").alias("i", "s")).select("key", (F.col("i") + 1).alias("sym_idx"), "s.*")
     every = entries.unionByName(added.withColumn("symbols", F.col("symbols").cast(entries.schema["symbols"].dataType)))
     return _of_files(keyed, fresh.unionByName(hits.select(*fresh.columns)), with_key), every
-
-
-def import_samples(spark: SparkSession) -> DataFrame:
-    """A source of each language with every form of import."""
-    rows = [
-        ("Rust", "use crate::barn::{load, Wagon};\npub(crate) use super::hay::*;\nlet x = 1;"),
-        ("Go", 'package a\nimport (\n  "io"\n  txt "bytes"\n)\nfunc f() {}\nimport "net"'),
-        ("CSharp", "using Farm.Grain;\nusing (var x = y) {}\nclass A {}"),
-        ("TypeScript", 'import { load as fill } from "./barn";\nconst silo = require("silo");\nlet y = 2;'),
-        ("Python", "import json, math as numbers\nfrom barn import load\nx = 1"),
-        ("Java", "import java.util.Map;"),
-    ]
-    return spark.createDataFrame(rows, "language string, content string")

@@ -68,12 +68,12 @@ CODE_SYMBOLS = (
     (0, 4, "Box{k}::_lid", "Method", 7, 8, "def _lid(…)", False, False), (0, 5, "test_box_{k}", "Test", 10, 11, "def test_box_{k}(…)", True, True),
     (1, 1, "Box{k}", "Struct", 1, 3, "struct Box{k}", False, True), (1, 2, "Box{k}::open", "Method", 6, 8, "fn open(& self) -> u64", False, True), (1, 3, "LIMIT", "Const", 11, 11, "const LIMIT", False, False),
     (1, 4, "opens_{k}", "Test", 14, 14, "fn opens_{k}()", True, False),
-    (2, 1, "Box{k}", "Struct", 3, 5, "type Box{k}", False, True), (2, 2, "Load{k}", "Function", 7, 9, "func Load{k}(…)", False, True), (2, 3, "Box{k}::open", "Method", 11, 12, "func open(…)", False, False),
+    (2, 1, "Box{k}", "Struct", 3, 5, "type Box{k} struct", False, True), (2, 2, "Load{k}", "Function", 7, 9, "func Load{k}(…)", False, True), (2, 3, "Box{k}::open", "Method", 11, 12, "func open(…)", False, False),
     (2, 4, "TestLoad{k}", "Test", 14, 14, "func TestLoad{k}(…)", True, True),
-    (3, 1, "load{k}", "Function", 1, 1, "function load{k}(…)", False, True), (3, 2, "lid{k}", "Function", 2, 2, "const lid{k}", False, True), (3, 3, "Box{k}", "Class", 3, 5, "class Box{k}", False, False),
-    (3, 4, "Box{k}::open", "Method", 4, 4, "open(…)", False, True), (3, 5, "Id{k}", "TypeAlias", 6, 6, "type Id{k}", False, False),
-    (4, 1, "Box{k}", "Class", 1, 7, "class Box{k}", False, True), (4, 2, "Box{k}::_lid", "Field", 2, 2, "_lid", False, False), (4, 3, "Box{k}::new", "Method", 3, 3, "Box{k}(…)", False, True),
-    (4, 4, "Box{k}::Load", "Method", 4, 4, "Load(…)", False, True), (4, 5, "Box{k}::Loads", "Test", 6, 6, "Loads(…)", True, True),
+    (3, 1, "load{k}", "Function", 1, 1, "function load{k}(…)", False, True), (3, 2, "lid{k}", "Const", 2, 2, "const lid{k}", False, False), (3, 3, "Box{k}", "Class", 3, 5, "class Box{k}", False, True),
+    (3, 4, "Box{k}::open", "Method", 4, 4, "open(…)", False, True), (3, 5, "Id{k}", "TypeAlias", 6, 6, "type Id{k}", False, True),
+    (4, 1, "Box{k}", "Class", 1, 7, "class Box{k}", False, True), (4, 2, "Box{k}::_lid", "Field", 2, 2, "field _lid", False, False), (4, 3, "Box{k}::new", "Method", 3, 3, "Box{k}::new(…)", False, True),
+    (4, 4, "Box{k}::Load", "Method", 4, 4, "Load(…)", False, True), (4, 5, "Box{k}::Loads", "Test", 5, 6, "Loads(…)", True, True),
 )
 
 
