@@ -313,6 +313,30 @@ mv AS (
   FROM gp WHERE nr = 1 AND na = 1)"""
 
 
+# Each new symbol in turn takes the best old one left: a step of the recursion is one turn of every file and kind.
+GREEDY = f"""WITH RECURSIVE {TALKS}, {line_symbols()}, {PAIRS},
+lo AS (SELECT *, row_number() OVER (PARTITION BY changeset_id, file, kind ORDER BY name, rn) AS oi FROM pr WHERE new_start IS NULL),
+ln AS (SELECT *, row_number() OVER (PARTITION BY changeset_id, file, kind ORDER BY name, rn) AS ni FROM pr WHERE old_start IS NULL),
+cd AS (
+  SELECT changeset_id, file, kind, oi, ni, 2 * {shared(grams("a"), grams("b"))} AS hits, {gram_count("a")} + {gram_count("b")} AS total
+  FROM (SELECT lo.changeset_id, lo.file, lo.kind, oi, ni, lower(lo.name) AS a, lower(ln.name) AS b FROM lo JOIN ln USING (changeset_id, file, kind))),
+ok AS MATERIALIZED (SELECT *, round(hits / total * 1e9)::HUGEINT * 1000000 - oi AS score FROM cd WHERE 10 * hits > 6 * total),
+ng AS MATERIALIZED (SELECT changeset_id, file, kind, max(ni) AS turns FROM ok GROUP BY ALL),
+g AS (
+  SELECT changeset_id, file, kind, 0::BIGINT AS turn, []::BIGINT[] AS used, NULL::BIGINT AS best FROM ng
+  UNION ALL
+  SELECT changeset_id, file, kind, turn + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, best
+  FROM (SELECT g.changeset_id, g.file, g.kind, g.turn, g.used, arg_max(ok.oi, ok.score) FILTER (NOT list_contains(g.used, ok.oi)) AS best
+        FROM g JOIN ng ON ng.changeset_id = g.changeset_id AND ng.file = g.file AND ng.kind = g.kind AND g.turn < ng.turns
+        LEFT JOIN ok ON ok.changeset_id = g.changeset_id AND ok.file = g.file AND ok.kind = g.kind AND ok.ni = g.turn + 1
+        GROUP BY ALL)),
+m AS (SELECT changeset_id, file, kind, turn AS ni, best AS oi FROM g WHERE best IS NOT NULL)
+SELECT changeset_id, file, lo.name || ' → ' || ln.name AS name, kind, 'Renamed' AS change, lo.old_signature, ln.new_signature, lo.old_start, ln.new_start
+FROM m JOIN lo USING (changeset_id, file, kind, oi) JOIN ln USING (changeset_id, file, kind, ni)
+UNION ALL SELECT changeset_id, file, name, kind, 'Removed', old_signature, NULL, old_start, NULL FROM lo ANTI JOIN m USING (changeset_id, file, kind, oi)
+UNION ALL SELECT changeset_id, file, name, kind, 'Added', NULL, new_signature, NULL, new_start FROM ln ANTI JOIN m USING (changeset_id, file, kind, ni)"""
+
+
 NO_SPACE = r"[\s\x{85}\x{A0}\x{2028}\x{2029}]+"
 BODY_KEY = rf"regexp_replace(body, '{NO_SPACE}', '', 'g')"
 NOSIG_KEY = rf"regexp_replace(regexp_replace(body, '^[^\n]*\n?', ''), '{NO_SPACE}', '', 'g')"
@@ -430,6 +454,12 @@ def oracle_sql() -> dict[str, str]:
     move_columns = "changeset_id, file, name, kind, change, moved_from, old_start, new_start"
     sql["exact_moves"] = f"{EXACT} SELECT {move_columns}, confidence::DOUBLE AS confidence, proof FROM mv"
     doc = lambda s, c: f"SELECT changeset_id, path AS file, '{s}' AS side, '{s}' || file_idx AS name, 'Function' AS kind, {c} AS body FROM ch WHERE {c} IS NOT NULL"
+    # one-line bodies are alike in four of five lines only if they are equal
+    sql["similar_moves"] = f"""WITH {CHANGES}, {line_symbols()}, {PAIRS}, {LONE}, {unique_moves("name")}, bd AS (
+        SELECT changeset_id, kind, name AS aname, max(CASE WHEN change = 'Removed' THEN body END) AS rb, max(CASE WHEN change = 'Added' THEN body END) AS ab FROM lone GROUP BY ALL)
+        SELECT changeset_id, file, name, kind, 'Moved' AS change, moved_from, old_start, new_start FROM mv JOIN bd ON bd.changeset_id = mv.changeset_id AND bd.kind = mv.kind AND bd.aname = mv.name
+        WHERE moved_from IS NOT NULL AND rb = ab AND strlen(rb) + strlen(ab) <= 131072""".replace("SELECT changeset_id, file, name, kind, 'Moved'", "SELECT mv.changeset_id, mv.file, mv.name, mv.kind, 'Moved'")
+    sql["greedy_renames"] = GREEDY
     sql["nosig_moves"] = f"""WITH {CHANGES}, lone AS (SELECT *, CASE WHEN side = 'old' THEN 'Removed' ELSE 'Added' END AS change, CASE WHEN side = 'old' THEN 1 END AS old_start, CASE WHEN side = 'new' THEN 1 END AS new_start
         FROM ({doc("old", "old_content")} UNION ALL {doc("new", "new_content")})), {unique_moves(NOSIG_KEY)} SELECT {move_columns} FROM mv"""
     sql["reorder_moves"] = rf"""WITH b AS (SELECT 'doc/' || doc_id AS file, regexp_extract_all(text, '{IDENTS}') AS w FROM documents),
