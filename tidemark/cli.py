@@ -1,6 +1,6 @@
 """Command line: review a git change with Spark.
 
-    python -m tidemark.cli PATH [REVS [REV2]] [--staged] [--untracked] [--commit SHA] [--cache FOLDER] [--overview | --json | --format github|junit | --escalate]
+    python -m tidemark.cli PATH [REVS [REV2]] [--staged] [--untracked] [--commit SHA] [--cache FOLDER] [--out FOLDER] [--overview | --json | --format github|junit | --escalate]
 
 Exit code 2 means that a gate fired.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .operators import escalate, rank, render, task
 from .plans.review import Review, review_changes
 from .schemas import parse_severity, parse_verdict
-from .sources import git, repository
+from .sources import git, repository, sink
 from .sources.tasks import task_text
 
 
@@ -34,10 +34,13 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     parser.add_argument("--fail-on-task", help="verdict at or below which the exit code is 2")
     parser.add_argument("--escalate-on", default="high")
     parser.add_argument("--max-escalations", type=int, default=10)
+    parser.add_argument("--out", help="folder to which the executors write the report instead of its being printed")
     parser.add_argument("--cache", help="folder of a cache of symbols that spares parsing")
     args = parser.parse_args(argv)
     if args.escalate and args.format:
         parser.error("--escalate and --format exclude each other")
+    if args.out and args.escalate:
+        parser.error("--escalate is printed only")
     if args.fail_on_task and not args.task:
         parser.error("--fail-on-task needs --task")
     args.path, args.revs, args.rev2 = git.place_and_revisions(args.path, args.revs, args.rev2)
@@ -66,6 +69,21 @@ def review_of(spark: SparkSession, args: argparse.Namespace) -> Review:
     return review_changes(changes, tests=tests.withColumn("changeset_id", F.lit("change")), sources=sources, definitions=definitions, local_judge=args.local_judge, tasks=tasks, cache_path=args.cache)
 
 
+def write(spark: SparkSession, made: Review, args: argparse.Namespace) -> None:
+    """Write the form asked for as a document per change set, from the executors."""
+    one = lambda df, column: df.select("changeset_id", F.lit(1).alias("section"), F.lit("").alias("pos"), F.col(column).alias("content"))
+    if args.json:
+        lines, extension = one(render.changeset_json(made.files, made.changes, made.items, made.stats, repo_root=git.discover(args.path), tasks=made.tasks), "json"), "json"
+    elif args.format == "github":
+        lines, extension = render.annotation_lines(made.items), "txt"
+    elif args.format == "junit":
+        lines, extension = render.junit_lines(made.items, level(spark, parse_severity, args.fail_on or "high")), "xml"
+    else:
+        sections = task.task_section(made.tasks).select("changeset_id", "task_section") if made.tasks is not None else None
+        lines, extension = one(render.overview(made.items, made.stats, tasks=sections), "overview"), "txt"
+    sink.write_documents(lines, args.out, extension=extension)
+
+
 def output(spark: SparkSession, made: Review, args: argparse.Namespace) -> str:
     """Text of the first form asked for: escalation, JSON, annotations or test report, overview."""
     first = lambda df: next((r[-1] for r in df.collect()), "")
@@ -99,7 +117,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except RuntimeError as error:
         print(error, file=sys.stderr)
         return 1
-    print(output(spark, made, args))
+    if args.out:
+        write(spark, made, args)
+    else:
+        print(output(spark, made, args))
     return 2 if fired(spark, made, args) else 0
 
 

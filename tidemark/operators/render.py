@@ -67,8 +67,29 @@ def junit(items: DataFrame, threshold: str, suite: str = "tidemark") -> DataFram
     rows = junit_cases(items, threshold).groupBy("changeset_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed")).alias("f"), F.count_if(F.col("skipped")).alias("s"), F.array_join(F.array_sort(F.collect_list(F.struct("id", "case")))["case"], "").alias("cases")
     )
-    head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="{suite}" tests="'), "n", F.lit('" failures="'), "f", F.lit('" skipped="'), "s", F.lit('">\n'))
-    return rows.select("changeset_id", F.concat(head, "cases", F.lit("</testsuite>\n")).alias("junit"))
+    return rows.select("changeset_id", F.concat(_suite_head(suite), "cases", F.lit("</testsuite>\n")).alias("junit"))
+
+
+def _line(section: int, pos: Column | str, content: Column) -> list[Column]:
+    return [F.col("changeset_id"), F.lit(section).alias("section"), (F.col(pos) if isinstance(pos, str) else pos).alias("pos"), content.alias("content")]
+
+
+def annotation_lines(items: DataFrame) -> DataFrame:
+    """The annotations as lines (changeset_id, section, pos, content) of a document."""
+    return github_annotations(items).select(*_line(1, F.lpad(F.col("pos").cast("string"), 12, "0"), F.concat("annotation", F.lit("\n"))))
+
+
+def junit_lines(items: DataFrame, threshold: str, suite: str = "tidemark") -> DataFrame:
+    """The test suite as lines (changeset_id, section, pos, content): put in order they are junit(), and no row holds a whole suite."""
+    cases = junit_cases(items, threshold)
+    counts = cases.groupBy("changeset_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed")).alias("f"), F.count_if(F.col("skipped")).alias("s"))
+    none = F.lit("")
+    head = counts.select(*_line(0, none, _suite_head(suite)))
+    return head.unionByName(cases.select(*_line(1, "id", F.col("case")))).unionByName(counts.select(*_line(2, none, F.lit("</testsuite>\n"))))
+
+
+def _suite_head(suite: str) -> Column:
+    return F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="{suite}" tests="'), "n", F.lit('" failures="'), "f", F.lit('" skipped="'), "s", F.lit('">\n'))
 
 
 def rendered(items: DataFrame, form: str, threshold: str = "High") -> DataFrame:
