@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fits_broadcast, split_join, written
+from .common import discard, fits_broadcast, written
 
 #: (verdict, host/path) rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -18,12 +19,12 @@ MAX_RULES = 200
 
 @dataclass(frozen=True)
 class Options:
-    """damping and rounds of the propagation, which ends early when no score moves by more than ``still`` in sum.
-    seed_share: share of a host's pages under one verdict from which the host is a seed.  margin: distrust that
+    """damping of the propagation, which ends when all that is still under way is no more than ``still`` of all trust and distrust,
+    or after ``rounds`` if that is set.  seed_share: share of a host's pages under one verdict from which the host is a seed.  margin: distrust that
     blocks a host, as a multiple of the even share 1/hosts, if it is also more than the host's trust."""
 
     damping: float = 0.85
-    rounds: int = 20
+    rounds: int | None = None
     still: float = 1e-6
     seed_share: float = 0.5
     margin: float = 0.1
@@ -83,7 +84,7 @@ def propagate(links: DataFrame, seeds: DataFrame, options: Options = Options())
     Personalised PageRank carries trust along links, in shares of each host's links; distrust goes the other way,
     from a host to those that link to it, in shares of its incoming links.  Both walk in one pass over the edges;
     every round is written to the shared folder, so its lineage stays short and a lost executor costs one round.
-    Hosts with very many links meet them without a shuffle (split_join), and flows are added up before theirs.
+    Hosts with very many links meet them without a shuffle, and flows are added up before theirs.
     """
     d = options.damping
     out_of = links.groupBy("src").agg(F.sum("n").alias("out_n"))
@@ -99,18 +100,27 @@ def propagate(links: DataFrame, seeds: DataFrame, options: Options = Options())
     if not shares.head(1):
         return scores
     links_of = shares.withColumnRenamed("giver", "host")
-    for _ in range(options.rounds):
-        givers = written(scores.join(fan, "host"))
-        flow = split_join(links_of, givers, ["host"], "n").select(F.col("taker").alias("host"), (d * F.col("t") * F.col("trust")).alias("trust"), (d * F.col("b") * F.col("distrust")).alias("distrust"))
-        after = written(start.unionByName(flow).groupBy("host").agg(*kept))
-        discard(givers)
-        moved = after.unionByName(scores.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
-        moved = moved.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("b"))
-        delta = moved.agg(F.sum(F.abs("t") + F.abs("b"))).first()[0]
-        if scores is not start:
-            discard(scores)
-        scores = after
-        if (delta or 0.0) <= options.still:
+    line = max(1_000, (fan.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hubs = fan.where(F.col("n") > line).select("host")  # no more than 100,000, by the share of all links that each has
+    has_hubs = bool(hubs.head(1))
+    few = F.broadcast(hubs)
+    of_hubs, of_others = (written(links_of.join(few, "host")), written(links_of.join(few, "host", "left_anti"))) if has_hubs else (None, links_of)
+    # a round passes on d of what the round before passed on, so after k rounds d**k of all is still under way
+    most = options.rounds if options.rounds is not None else math.ceil(math.log(options.still) / math.log(d))
+    for k in range(1, most + 1):
+        met = of_others.join(scores, "host")
+        if has_hubs:
+            met = met.unionByName(of_hubs.join(F.broadcast(scores.join(few, "host", "left_semi")), "host"))
+        flow = met.select(F.col("taker").alias("host"), (d * F.col("t") * F.col("trust")).alias("trust"), (d * F.col("b") * F.col("distrust")).alias("distrust"))
+        before, scores = scores, written(start.unionByName(flow).groupBy("host").agg(*kept))
+        ends = False
+        if k % 5 == 0:  # what moved in this round bounds what will: all mass may have left the graph by dead ends
+            moved = scores.unionByName(before.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
+            moved = moved.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("b"))
+            ends = (moved.agg(F.sum(F.abs("t") + F.abs("b"))).first()[0] or 0.0) * d / (1 - d) <= options.still
+        if before is not start:
+            discard(before)
+        if ends:
             break
     return scores
 
