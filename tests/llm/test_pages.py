@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 
 import numpy as np
 import pytest
@@ -157,6 +158,72 @@ def test_distrust_blocks_pages_without_rule(spark):
     assert got == {1: "block", 2: "allow", 3: "block"}
 
 
+def plain_verdicts(rows, rules, options):
+    """Verdicts by the contract's words: the longest rule, else distrust over links between hosts, with dense sums in Python."""
+    def host_path(url):
+        rest = (url or "").partition("://")[2] if "://" in (url or "") else None
+        if rest is None:
+            return "", ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+        return "".join(c.lower() if c.isascii() else c for c in rest[:cut]), path
+
+    def rule_of(host, path):
+        fits = [(len(r), r, v) for v, r in rules for d, _, p in [r.partition("/")] if (host == d or host.endswith("." + d)) and path.startswith("/" + p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    placed = [(i, *host_path(u), h) for i, u, h in rows]
+    decided = [(i, host, path, *rule_of(host, path), h) for i, host, path, h in placed]
+    links, counts = collections.Counter(), collections.defaultdict(collections.Counter)
+    for _, host, _, _, verdict, html in decided:
+        if host:
+            counts[host]["n"] += 1
+            counts[host][verdict] += 1
+            for to in re.findall(r'href="http://([^/"]+)', html or ""):
+                if to.lower() != host:
+                    links[host, to.lower()] += 1
+    share = lambda h, v: counts[h][v] / counts[h]["n"] if counts[h][v] >= options.seed_share * counts[h]["n"] else 0.0
+    seeds = {v: {h: share(h, v) for h in counts} for v in ("allow", "block")}
+    hosts = sorted({*counts, *(x for pair in links for x in pair)})
+    score = {}
+    for v, ends in (("allow", 0), ("block", 1)):
+        total, fan = sum(seeds[v].values()) or 1.0, collections.Counter()
+        for pair, n in links.items():
+            fan[pair[ends]] += n
+        own = {h: 0.15 * seeds[v].get(h, 0.0) / total for h in hosts}
+        now = own
+        for _ in range(200):
+            after = dict(own)
+            for pair, n in links.items():
+                after[pair[1 - ends]] += 0.85 * now[pair[ends]] * n / fan[pair[ends]]
+            now = after
+        score[v] = now
+    known = len([h for h in hosts if h in counts or score["allow"][h] + score["block"][h] > 0 or any(h in p for p in links)])
+    out = {}
+    for i, host, path, rule, verdict, _ in decided:
+        t, b = (score[v].get(host, 0.0) for v in ("allow", "block"))
+        bad = b > t and b >= options.margin * 0.15 / max(known, 1)
+        out[i] = (host, path, rule, verdict or ("block" if bad else "allow"))
+    return out
+
+
+def test_judge_matches_plain_python(spark):
+    rng = random.Random(41)
+    hosts = ["a.net", "B.net", "shop.example.com", "example.com", "en.example.net", "news.org", "x.org", "one.com", "two.com", "three.com", "four.com", "five.com"]
+    rows = []
+    for i in range(90):
+        host = rng.choice(hosts)
+        path = rng.choice(["", "/", "/en/a", "/de/b?q=/fr/", "/fr/c#x", "/other"])
+        to = "".join(f'<a href="http://{rng.choice(hosts[:4] if host in ("one.com", "two.com") else hosts)}/z">' for _ in range(rng.randrange(4)))
+        rows.append((i, f"http://{host}{path}", to))
+    rows += [(90, None, "<a href='http://a.net/'>"), (91, "no scheme", None), (92, "ftp://", "")]
+    options = urlgraph.Options(still=1e-4)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows_of(urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), options=options))}
+    assert got == plain_verdicts(rows, urlgraph.RULES, options)
+    assert {v[3] for v in got.values() if v[2] is None} == {"allow", "block"}
+
+
 # -- archives
 
 
