@@ -131,13 +131,13 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, ho
     the rows of ``left`` stay where they are; otherwise only the keys are, hot rows of ``left`` are dealt to many tasks by a salt and
     each row of ``right`` goes to all of these.  The rows of all other keys meet in a shuffle.  The result has the columns of both but ``weight``.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    line = max(most, total // 100_000)
+    total, largest = right.agg(F.sum(weight), F.max(weight)).first()
+    line = max(most, (total or 0) // 100_000)
+    if (largest or 0) <= line:
+        return left.join(right.drop(weight), on, how)
     hot = right.where(F.col(weight) > line).drop(weight)
     rest = right.where(F.col(weight) <= line).drop(weight)
-    n_hot, n_bytes = hot.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*hot.columns))).cast("long"))).first()
-    if not n_hot:
-        return left.join(rest, on, how)
+    n_bytes = hot.agg(F.sum(F.octet_length(F.to_json(F.struct(*hot.columns))).cast("long"))).first()[0]
     keys = F.broadcast(hot.select(*on))
     cold = left.join(keys, on, "left_anti").join(rest, on, how)
     if n_bytes <= limit_bytes:

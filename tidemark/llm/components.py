@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, discard, split_join, written
 
+#: Links of a node from which it may be a hub.
+MOST_LINKS = 100_000
+
 
 def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b), longs; a component is named by its smallest node.
@@ -20,11 +23,16 @@ def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFram
     mark = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        n_links, most = least.agg(F.sum("n"), F.max("n")).first()
+        hubs = (most or 0) > max(MOST_LINKS, (n_links or 0) // 100_000)  # without hubs here there are none among the rows of the small star either
         scratch = Scratch()
-        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = scratch(split_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = scratch(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-        small = split_join(large, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = split_join(both, scratch(least), ["u"], "n") if hubs else both.join(least.drop("n"), "u")
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch(large) if hubs else large
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = split_join(large, scratch(least), ["u"], "n") if hubs else large.join(least.drop("n"), "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         before, edges = edges, written(small)
         discard(before)
         scratch.clear()
