@@ -8,7 +8,7 @@ import tracemalloc
 import pytest
 from helpers import dicts, items_frame
 from pyspark.sql import functions as F
-from tidemark.operators import moves, numbering, rank, symbols, views
+from tidemark.operators import group, moves, numbering, rank, symbols, views
 from tidemark.sources import git, linediff
 
 
@@ -45,6 +45,32 @@ def test_diff_rows_over_ranges(spark):
     assert dicts(views.diff_rows(files, most=50), "row") == dicts(views.diff_rows(files), "row")
 
 
+def bucket_files(spark, n):
+    """Generated files, formatting-only ones and test files with symbols of two kinds, in two change sets."""
+    k = F.col("id")
+    files = spark.range(n).select(
+        F.concat(F.lit("c"), k % 2).alias("changeset_id"), k.alias("file_idx"), F.concat(F.when(k % 3 == 2, "tests/").otherwise("src/"), F.lit("f"), k, F.lit(".rs")).alias("path"), F.lit("Modified").alias("status"),
+        F.lit("Rust").alias("language"), (k % 3 == 0).alias("is_generated"), F.lit(False).alias("is_binary"), (k % 3 == 2).alias("is_test_file"), (k % 3 == 1).alias("formatting_only"), F.lit(1).cast("long").alias("added_lines"), F.lit(2).cast("long").alias("deleted_lines"),
+        F.array(F.lit("x")).alias("added"), F.array(F.lit("y")).alias("deleted"),
+    )
+    one = lambda name, change: files.where("is_test_file").select("changeset_id", F.col("path").alias("file"), F.concat(F.lit(name), "file_idx").alias("name"), F.lit("Function").alias("kind"), F.lit(change).alias("change"), F.lit(0.9).cast("float").alias("confidence"), F.lit(None).cast("string").alias("old_signature"), F.lit(None).cast("string").alias("new_signature"), *[F.lit(1).alias(c) for c in ("old_start", "old_end", "new_start", "new_end")], F.array(F.lit("e")).alias("evidence"), F.lit(None).cast("string").alias("moved_from"))
+    return files, one("a", "Added").unionByName(one("m", "Modified"))
+
+
+def test_buckets_without_their_files(spark):
+    """Headers do not grow with a change set; the members' table has the same files in the same order."""
+    files, changes = bucket_files(spark, 300)
+    whole, bare = group.group_items(files, changes), group.group_items(files, changes, listed=False)
+    assert {r["id"] for r in whole.collect()} == {"mechanical", "tests"} and bare.where(F.size("files") > 0).count() == 0
+    assert dicts(bare.drop("files"), "changeset_id", "id") == dicts(whole.drop("files"), "changeset_id", "id")
+    for most in (10, 1_000):
+        members = group.bucket_members(files, changes, most=most)
+        assert dicts(group.with_members(bare, members), "changeset_id", "id") == dicts(whole, "changeset_id", "id")
+    assert [len(r["files"]) for r in dicts(group.with_members(bare, members, first=10))] == [10] * 4
+    shown = lambda df, **how: sorted((r["changeset_id"], r["id"]) for r in dicts(rank.visible(df, search="F12.", show_mechanical=True, **how)))
+    assert shown(bare, members=members) == shown(whole) != shown(bare)
+
+
 def plain_matches(olds, news):
     used, found = set(), []
     for n, new in enumerate(news):

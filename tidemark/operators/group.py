@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EVIDENCE, SEVERITIES, evidence, name_of
+from .numbering import MOST_IN_TASK, numbered
 from .score import score_files
 
 ITEM = ("changeset_id", "id", "title", "category", "severity", "severity_rank", "priority", "confidence", "files", "symbols", "evidence", "why")
@@ -42,14 +43,18 @@ def _s(n: Column) -> Column:
     return F.when(n == 1, "").otherwise("s")
 
 
-def mechanical_bucket(files: DataFrame) -> DataFrame:
-    """One item for all generated and formatting-only files of a change set."""
-    n = F.count(F.lit(1))
-    rows = files.where(is_mechanical()).groupBy("changeset_id").agg(n.alias("n"), F.sum(F.col("added_lines") + F.col("deleted_lines")).alias("total"), F.array_sort(F.collect_list(F.struct("file_idx", "path"))).alias("f"))
+def _paths(listed: bool) -> Column:
+    """Aggregate: the paths of a bucket in the order of files, or none."""
+    return F.array_sort(F.collect_list(F.struct("file_idx", "path")))["path"] if listed else F.first(F.array().cast("array<string>"))
+
+
+def mechanical_bucket(files: DataFrame, *, listed: bool = True) -> DataFrame:
+    """One item for all generated and formatting-only files of a change set; without its files if not ``listed``."""
+    rows = files.where(is_mechanical()).groupBy("changeset_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("added_lines") + F.col("deleted_lines")).alias("total"), _paths(listed).alias("files"))
     return rows.select(
         "changeset_id", F.lit("mechanical").alias("id"), F.concat(F.lit("Generated / mechanical changes — "), F.col("n"), F.lit(" file"), _s(F.col("n")), F.lit(" collapsed")).alias("title"),
         F.lit("Mechanical").alias("category"), F.lit("Low").alias("severity"), F.lit(0).alias("severity_rank"), F.lit(2).alias("priority"), F.lit(0.9).cast("float").alias("confidence"),
-        F.col("f.path").alias("files"), F.array().cast("array<string>").alias("symbols"),
+        "files", F.array().cast("array<string>").alias("symbols"),
         F.array(evidence("mechanical-bucket", F.concat(F.col("total"), F.lit(" changed lines across generated/formatting-only files")))).alias("evidence"), F.lit(MECHANICAL_WHY).alias("why"),
     )
 
@@ -63,21 +68,28 @@ def is_bucketed_test() -> Column:
     return F.coalesce(F.col("is_test_file") & ~is_mechanical() & F.col("status").isin("Added", "Untracked", "Modified") & _additive(F.col("all_symbols")), F.lit(False))
 
 
-def tests_bucket(files: DataFrame) -> DataFrame:
-    """One item for the additive test files of a change set."""
+#: Modified test symbols that the tests' bucket names.
+MOST_NAMED = 10
+
+
+def tests_bucket(files: DataFrame, *, listed: bool = True) -> DataFrame:
+    """One item for the additive test files of a change set; without its files if not ``listed``."""
     count = lambda what: F.size(F.filter("all_symbols", lambda s: s["change"] == what))
-    changed = F.transform(F.filter("all_symbols", lambda s: s["change"] == "Modified"), lambda s: F.struct(s["name"].alias("name"), F.col("path").alias("file")))
-    rows = files.where(is_bucketed_test()).groupBy("changeset_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(count("Added")).alias("added"), F.sum(count("Modified")).alias("modified"),
-        F.array_sort(F.collect_list(F.struct("file_idx", "path", changed.alias("m")))).alias("f"),
-    )
+    tests = files.where(is_bucketed_test())
+    rows = tests.groupBy("changeset_id").agg(F.count(F.lit(1)).alias("n"), F.sum(count("Added")).alias("added"), F.sum(count("Modified")).alias("modified"), _paths(listed).alias("files"))
+    changed = F.filter("all_symbols", lambda s: s["change"] == "Modified")
+    named = tests.where(F.size(changed) > 0).select("changeset_id", "file_idx", "path", F.posexplode(F.slice(changed, 1, MOST_NAMED)).alias("at", "s"))
+    turn = F.row_number().over(Window.partitionBy("changeset_id").orderBy("file_idx", "path", "at"))  # each task drops its own others first
+    named = named.withColumn("turn", turn).where(F.col("turn") <= MOST_NAMED)
+    named = named.groupBy(F.col("changeset_id").alias("c")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("s.name").alias("name"), F.col("path").alias("file")))).alias("m"))
+    rows = rows.join(named, F.col("changeset_id").eqNullSafe(F.col("c")), "left").withColumn("m", F.coalesce("m", F.array().cast(named.schema["m"].dataType)))
     head = F.when(F.col("added") > 0, F.concat(F.lit("Tests — "), F.col("added"), F.lit(" new test symbol"), _s(F.col("added")))).otherwise("Tests")
     middle = F.when(F.col("modified") > 0, F.concat(F.lit(", "), F.col("modified"), F.lit(" modified"))).otherwise("")
     first = evidence("test-additions", F.concat(F.col("added"), F.lit(" added test symbols")))
-    more = F.transform(F.slice(F.flatten(F.col("f.m")), 1, 10), lambda m: F.struct(F.lit("test-modified").alias("kind"), m["name"].alias("summary"), m["file"].alias("file"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value")))
+    more = F.transform("m", lambda m: F.struct(F.lit("test-modified").alias("kind"), m["name"].alias("summary"), m["file"].alias("file"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value")))
     return rows.select(
         "changeset_id", F.lit("tests").alias("id"), F.concat(head, middle, F.lit(" across "), F.col("n"), F.lit(" file"), _s(F.col("n"))).alias("title"), F.lit("Test").alias("category"),
-        F.lit("Low").alias("severity"), F.lit(0).alias("severity_rank"), F.lit(15).alias("priority"), F.lit(0.85).cast("float").alias("confidence"), F.col("f.path").alias("files"),
+        F.lit("Low").alias("severity"), F.lit(0).alias("severity_rank"), F.lit(15).alias("priority"), F.lit(0.85).cast("float").alias("confidence"), "files",
         F.array().cast("array<string>").alias("symbols"), F.concat(F.array(first), more).alias("evidence"), F.lit(TESTS_WHY).alias("why"),
     )
 
@@ -148,14 +160,41 @@ def file_items(files: DataFrame, moves: DataFrame | None = None, *, keep_unbucke
     )
 
 
-def group_items(files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """All review items of change sets; nothing is ordered yet."""
+def with_all_symbols(files: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """Files with all_symbols, the changes of their symbols."""
+    if changes is None:
+        return files.withColumn("all_symbols", F.array().cast(f"array<{SYMBOL}>"))
+    return files.join(symbols_by_file(changes), ["changeset_id", "path"], "left")
+
+
+def group_items(files: DataFrame, changes: DataFrame | None = None, *, listed: bool = True) -> DataFrame:
+    """All review items of change sets; nothing is ordered yet.
+
+    If not ``listed``, the two buckets come without their files, which bucket_members() has: then no row grows with a change set.
+    """
+    files = with_all_symbols(files, changes)
     if changes is None:
-        files = files.withColumn("all_symbols", F.array().cast(f"array<{SYMBOL}>"))
-        return mechanical_bucket(files).unionByName(file_items(files))
-    files = files.join(symbols_by_file(changes), ["changeset_id", "path"], "left")
+        return mechanical_bucket(files, listed=listed).unionByName(file_items(files))
     moves = move_items(changes)
-    return mechanical_bucket(files).unionByName(tests_bucket(files)).unionByName(moves).unionByName(file_items(files, moves))
+    return mechanical_bucket(files, listed=listed).unionByName(tests_bucket(files, listed=listed)).unionByName(moves).unionByName(file_items(files, moves))
+
+
+def bucket_members(files: DataFrame, changes: DataFrame | None = None, *, most: int = MOST_IN_TASK) -> DataFrame:
+    """(changeset_id, id, n, path): the files of the two buckets, a row each, numbered from 1 in their order.
+
+    Buckets of more than ``most`` files are numbered by many tasks.
+    """
+    bucket = F.when(is_mechanical(), "mechanical").when(is_bucketed_test(), "tests")
+    rows = with_all_symbols(files, changes).select("changeset_id", bucket.alias("id"), "file_idx", "path").where("id IS NOT NULL")
+    return numbered(rows, ["changeset_id", "id"], [F.col("file_idx"), F.col("path")], "n", most=most).select("changeset_id", "id", "n", "path")
+
+
+def with_members(items: DataFrame, members: DataFrame, *, first: int | None = None) -> DataFrame:
+    """Items whose buckets have their files again, or the ``first`` of them, for renderers that show these."""
+    rows = members if first is None else members.where(F.col("n") <= first)
+    paths = rows.groupBy(F.col("changeset_id").alias("c"), F.col("id").alias("i")).agg(F.array_sort(F.collect_list(F.struct("n", "path")))["path"].alias("listed"))
+    joined = items.join(paths, F.col("changeset_id").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left")
+    return joined.withColumn("files", F.coalesce("listed", "files")).select(*items.columns)
 
 
 def change_stats(files: DataFrame, changes: DataFrame, items: DataFrame) -> DataFrame:

@@ -52,12 +52,20 @@ def task_gate(verdict: Column, threshold: str) -> Column:
     return rank_of(verdict, VERDICTS) <= VERDICTS.index(threshold)
 
 
-def visible(items: DataFrame, *, search: str = "", show_mechanical: bool = False, most: int = MOST_IN_TASK) -> DataFrame:
-    """Items that a list shows: by a search in title and files, mechanical ones on demand; shown_pos counts them."""
+def visible(items: DataFrame, *, search: str = "", show_mechanical: bool = False, members: DataFrame | None = None, most: int = MOST_IN_TASK) -> DataFrame:
+    """Items that a list shows: by a search in title and files, mechanical ones on demand; shown_pos counts them.
+
+    ``members`` (changeset_id, id, path) are the files of buckets that come without them.
+    """
     q = search.lower()
     rows = items if show_mechanical else items.where("category <> 'Mechanical'")
     if q:
-        rows = rows.where(F.contains(F.lower("title"), F.lit(q)) | F.exists("files", lambda f: F.contains(F.lower(f), F.lit(q))))
+        found = F.contains(F.lower("title"), F.lit(q)) | F.exists("files", lambda f: F.contains(F.lower(f), F.lit(q)))
+        if members is not None:
+            hits = members.where(F.contains(F.lower("path"), F.lit(q))).select("changeset_id", "id").distinct().withColumn("hit", F.lit(True))
+            rows = rows.join(hits, ["changeset_id", "id"], "left").where(found | F.coalesce("hit", F.lit(False))).drop("hit")
+        else:
+            rows = rows.where(found)
     return numbered(rows, GROUP, _order("title", "id"), "shown_pos", most=most)
 
 
