@@ -56,7 +56,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, *
         rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         if next_where is None:
             return rows
-        after = Window.partitionBy(*keys).orderBy(name).rowsBetween(1, Window.unboundedFollowing)
+        after = Window.partitionBy(*keys).orderBy(F.desc(name)).rowsBetween(Window.unboundedPreceding, -1)  # backwards: one pass, where a frame to the end takes one a row
         return rows.withColumn(next_name, F.min(F.when(next_where, F.col(name))).over(after))
     table = ranged(rows, keys, order)
     in_range = Window.partitionBy(*keys, "__part").orderBy("__at")
@@ -69,7 +69,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, *
         table = settled(table)
         wanted = F.when(next_where, F.col(name))
         firsts = table.groupBy(*keys, "__part").agg(F.min(wanted).alias("first"))
-        later = firsts.withColumn("__offset", F.min("first").over(of_group.rowsBetween(1, Window.unboundedFollowing))).where(F.col("__offset").isNotNull()).drop("first")
-        inside = F.min(wanted).over(in_range.rowsBetween(1, Window.unboundedFollowing))
+        later = firsts.withColumn("__offset", F.min("first").over(Window.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))).where(F.col("__offset").isNotNull()).drop("first")
+        inside = F.min(wanted).over(Window.partitionBy(*keys, "__part").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1))
         table = _with_offsets(table, later, keys).withColumn(next_name, F.coalesce(inside, F.col("__offset"))).drop("__offset")
     return table.drop("__part", "__at")

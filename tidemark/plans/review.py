@@ -121,7 +121,8 @@ def with_file_changes(changes: DataFrame, rows: DataFrame, files: DataFrame) ->
 
 def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = None, sources: DataFrame | None = None, definitions: DataFrame | None = None, local_judge: bool = False, tasks: DataFrame | None = None) -> Review:
     """Items, stats and task checks from files and their symbol changes."""
-    items = settled(group.group_items(files, found))
+    scored = group.scored(group.with_all_symbols(files, found))
+    items = settled(group.items_of(scored, found))
     if tests is not None:
         of_files = files.select("changeset_id", F.col("path").alias("file"), "is_test_file")
         tests = settled(tests)
@@ -131,6 +132,6 @@ def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = No
     if local_judge:
         items = judge.LocalJudge().apply(items)
     items = settled(items)
-    stats = group.change_stats(files, found, items)
+    stats = group.change_stats(scored, found, items)
     checks = None if tasks is None else task.check_tasks(tasks, task.change_corpus(found, files, items), ("changeset_id",))
     return Review(files, found, rank.review_order(items), stats, checks)
