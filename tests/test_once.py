@@ -3,9 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
+
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
-from tidemark.operators import rank
+from tidemark.operators import moves, rank
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -27,3 +29,16 @@ def test_next_place_is_found_in_one_pass(spark):
         found = rank.next_meaningful(items, most=most)
         assert "unboundedfollowing" not in plan_of(found).lower()
         assert [r["next_pos"] for r in dicts(found, "pos")] == [2, 5, 5, 5, None, None]
+
+
+@needs_data
+def test_reordered_words_are_compared_within_their_row(spark):
+    assert "Exchange" not in catalogue.reorder_moves(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reordered_pairs_occurrences(spark):
+    rows = [("c", f, s, i, n, "Function") for f, olds, news in (("a", "xyxz", "xxyz"), ("b", "xy", "xx"), ("c", "xy", "xyz"), ("d", "x", "")) for s, names in (("old", olds), ("new", news)) for i, n in enumerate(names)]
+    frame = spark.createDataFrame(rows, "changeset_id string, file string, side string, sym_idx int, name string, kind string")
+    frame = frame.withColumn("start_line", F.col("sym_idx")).withColumn("end_line", F.col("sym_idx")).withColumn("signature", F.col("name"))
+    got = [(r["file"], r["name"], r["old_start"], r["new_start"]) for r in dicts(moves.reordered(frame), "file", "old_start")]
+    assert got == [("a", "y", 1, 2), ("a", "x", 2, 1)]
