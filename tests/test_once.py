@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
-from tidemark.operators import moves, rank
+from tidemark.operators import moves, rank, symbols
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -42,3 +42,14 @@ def test_reordered_pairs_occurrences(spark):
     frame = frame.withColumn("start_line", F.col("sym_idx")).withColumn("end_line", F.col("sym_idx")).withColumn("signature", F.col("name"))
     got = [(r["file"], r["name"], r["old_start"], r["new_start"]) for r in dicts(moves.reordered(frame), "file", "old_start")]
     assert got == [("a", "y", 1, 2), ("a", "x", 2, 1)]
+
+
+def test_many_files_share_a_call_of_the_rename_match(spark):
+    rows = [("c", f"f{k}", s, i, n, "Function") for k in range(3) for s, names in (("old", ["load_wheat", "load_oats", "gone"]), ("new", ["load_wheats", "load_oat"])) for i, n in enumerate(names)]
+    frame = spark.createDataFrame(rows, "changeset_id string, file string, side string, sym_idx int, name string, kind string")
+    frame = frame.select("*", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("name").alias("signature"), F.lit(False).alias("is_test"), F.lit(True).alias("is_public"), F.col("name").alias("body"))
+    found = symbols.renamed(symbols.paired(frame))
+    assert "FlatMapGroups" not in plan_of(found)
+    got = sorted((r["file"], r["change"], r["name"]) for r in found.collect())
+    want = [("Removed", "gone"), ("Renamed", "load_oats → load_oat"), ("Renamed", "load_wheat → load_wheats")]
+    assert got == sorted((f"f{k}", *w) for k in range(3) for w in want)
