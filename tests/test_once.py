@@ -1,5 +1,6 @@
 """Steps whose cost has to grow with the input alone: their plans, beside the results that other tests hold."""
 
+import hashlib
 import os
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
-from tidemark.operators import moves, rank, symbols
+from tidemark.operators import context, moves, rank, symbols
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -53,3 +54,16 @@ def test_many_files_share_a_call_of_the_rename_match(spark):
     got = sorted((r["file"], r["change"], r["name"]) for r in found.collect())
     want = [("Removed", "gone"), ("Renamed", "load_oats → load_oat"), ("Renamed", "load_wheat → load_wheats")]
     assert got == sorted((f"f{k}", *w) for k in range(3) for w in want)
+
+
+@needs_data
+def test_sources_of_an_item_never_meet_in_a_row(spark):
+    assert "collect_set" not in plan_of(catalogue.blast_radius(spark, DATA))
+
+
+def test_digests_of_sources_that_pass_by(spark):
+    paths = [f"src/{k}.rs" for k in range(25)]
+    frame = spark.createDataFrame([("c", i, p) for i, n in (("a", 25), ("b", 1)) for p in reversed(paths[:n])], "changeset_id string, id string, path string")
+    want = {i: hashlib.md5("|".join(sorted(paths[:n])).encode()).hexdigest() for i, n in (("a", 25), ("b", 1))}
+    assert {r["id"]: r["md5"] for r in context.blast_digests(frame).collect()} == want
+    assert {r["id"]: (r["n"], r["first"]) for r in context.blast_counts(frame).collect()} == {"a": (25, sorted(paths)[:8]), "b": (1, paths[:1])}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -64,7 +68,7 @@ def apply_coverage(items: DataFrame, links: DataFrame, tests: DataFrame) -> Data
 
 
 def blast_radius(targets: DataFrame, sources: DataFrame, definitions: DataFrame, tests: DataFrame | None = None) -> DataFrame:
-    """(changeset_id, id, affected): sources outside an item that call its symbols and import them, or could mean no others.
+    """(changeset_id, id, path): sources outside an item that call its symbols and import them, or could mean no others; a row each.
 
     ``targets``: (changeset_id, id, files, name); ``sources``: (path, calls, imports); ``definitions``: (name, file).
     """
@@ -80,18 +84,47 @@ def blast_radius(targets: DataFrame, sources: DataFrame, definitions: DataFrame,
     keys = met.select("changeset_id", "id", "name", "path", "unique", F.explode(F.array_distinct(F.array("name", "short"))).alias("key")).distinct()
     by_import = keys.join(imports, ["path", "key"], "left_semi").select("changeset_id", "id", "path")
     sure = met.where("unique").select("changeset_id", "id", "path")
-    return by_import.unionByName(sure).groupBy("changeset_id", "id").agg(F.array_sort(F.collect_set("path")).alias("affected"))
+    return by_import.unionByName(sure).distinct()
+
+
+def blast_counts(affected: DataFrame) -> DataFrame:
+    """(changeset_id, id, n, first) of the rows of blast_radius(): how many sources an item has, and the first ones that are listed."""
+    key = ["changeset_id", "id"]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("path"))
+    first = affected.withColumn("turn", turn).where(F.col("turn") <= MOST_LISTED).groupBy(*key).agg(F.array_sort(F.collect_list("path")).alias("first"))
+    return affected.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n")).join(first, key)
+
+
+def blast_digests(affected: DataFrame) -> DataFrame:
+    """(changeset_id, id, md5) of each item's sources in order, joined by ``|``: they pass by sorted, and no row or task holds them all."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda key, state: pa.RecordBatch.from_pydict({"changeset_id": [key[0]], "id": [key[1]], "md5": [state.hexdigest()]})
+        of, state = None, None
+        for batch in batches:
+            for changeset, item, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (changeset, item) == of:
+                    state.update(b"|" + path.encode())
+                    continue
+                if state is not None:
+                    yield made(of, state)
+                of, state = (changeset, item), hashlib.md5(path.encode())
+        if state is not None:
+            yield made(of, state)
+
+    rows = affected.select("changeset_id", "id", "path").repartition("changeset_id", "id").sortWithinPartitions("changeset_id", "id", "path")
+    return rows.mapInArrow(digests, "changeset_id string, id string, md5 string")
 
 
 def blast_summary() -> Column:
-    n = F.size("affected")
+    n = F.col("n")
     more = F.when(n > MOST_LISTED, F.concat(F.lit(" (and "), n - MOST_LISTED, F.lit(" more)"))).otherwise("")
-    return F.concat(F.lit("referenced by "), n, F.lit(" file"), F.when(n == 1, "").otherwise("s"), F.lit(": "), F.array_join(F.slice("affected", 1, MOST_LISTED), ", "), more)
+    return F.concat(F.lit("referenced by "), n, F.lit(" file"), F.when(n == 1, "").otherwise("s"), F.lit(": "), F.array_join("first", ", "), more)
 
 
 def apply_blast_radius(items: DataFrame, sources: DataFrame, definitions: DataFrame, tests: DataFrame | None = None) -> DataFrame:
     """Items with the sources that depend on them."""
     targets = _targets(items).select("changeset_id", "id", "files", "name").distinct()
-    rows = items.join(blast_radius(targets, sources, definitions, tests), ["changeset_id", "id"], "left")
-    proof = F.when(F.col("affected").isNotNull(), evidence("blast-radius", blast_summary(), F.get("files", F.lit(0))))
-    return rows.withColumn("evidence", _append(rows, proof)).drop("affected")
+    rows = items.join(blast_counts(blast_radius(targets, sources, definitions, tests)), ["changeset_id", "id"], "left")
+    proof = F.when(F.col("n").isNotNull(), evidence("blast-radius", blast_summary(), F.get("files", F.lit(0))))
+    return rows.withColumn("evidence", _append(rows, proof)).drop("n", "first")
