@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -132,3 +133,12 @@ def test_content_key(spark):
 def test_word_lists_are_plain():
     assert len(text.CALL_KEYWORDS) == 56 and len(text.STOPWORDS) == len(set(text.STOPWORDS))
     assert all(re.fullmatch(r"\w+", w) for w in text.CALL_KEYWORDS + text.STOPWORDS)
+
+
+def test_lines_at_all_line_ends(spark):
+    values = [*("".join(p) for n in range(5) for p in itertools.product("a\r\n", repeat=n)), "ä\nö\n", "x y\n", None]
+
+    def plain(s):
+        return None if s is None else [] if s == "" else re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", s))
+
+    assert one_column(spark, values, text.lines) == [plain(v) for v in values]

@@ -9,7 +9,7 @@ import pytest
 from helpers import dicts, items_frame
 from pyspark.sql import functions as F
 from tidemark.operators import group, moves, numbering, rank, symbols, views
-from tidemark.sources import git, linediff
+from tidemark.sources import git, linediff, tables
 
 
 def many_items(spark, n=3_000):
@@ -211,3 +211,19 @@ def test_copies_and_renames_far_from_their_origins(spark, repo):
         assert {p: (r["status"], r["old_path"], r["added_lines"], r["deleted_lines"]) for p, r in got.items()} == {
             "b.rs": ("Modified", "b.rs", 1, 0), "y.rs": ("Copied", "b.rs", 0, 1), "z.rs": ("Renamed", "a.rs", 0, 0), "x": ("Deleted", "x", 0, 1), "x/deep.rs": ("Added", "x/deep.rs", 1, 0),
         }
+
+
+def test_texts_of_one_language_and_source_are_spread_over_tasks(spark, tmp_path):
+    rows = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") != 7, F.col("id"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    rows.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small tables stay in as many partitions as large ones
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = [r["count"] for r in tables.doc_changes(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+        got = {r["file_idx"]: (r["status"], r["old_content"], r["new_content"]) for r in tables.doc_changes(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(counts) >= 3 and max(counts) < 1_000
+    assert len(got) == 2_000 and got[0] == ("Added", None, "text 0") and got[9] == ("Modified", "text 8", "text 9")
+    assert got[7] == ("Modified", "text 6", None) and got[8] == ("Added", None, "text 8")
