@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from helpers import dicts, items_frame, lit_array
 from pyspark.sql import functions as F
 from tidemark import queries
+from tidemark.functions import text
 from tidemark.operators import cache, context, escalate, extract, group, judge, moves, rank, render, scanners, score, symbols, task, views
 
 SYMBOL = "changeset_id string, file string, side string, sym_idx int, name string, kind string, start_line int, end_line int, signature string, is_test boolean, is_public boolean, body string"
@@ -412,3 +414,14 @@ def test_task_item_hits_of_every_change_set(spark, tmp_path):
     spark.createDataFrame([(1, "quarterly ledger text src")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     found = {r["changeset_id"] for r in queries.task_item_hits(spark, str(tmp_path)).collect()}
     assert found == {"en", "es", "de", "fr"}
+
+
+def test_matching_pairs_with_repeated_bigrams_against_all_pairs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abä") for _ in range(rng.randrange(2, 14)))
+    terms, tokens = {word() for _ in range(40)} | {"aaaaaa"}, {word() for _ in range(150)} | {"aaaaaaa", "aaaab"}
+    wanted = spark.createDataFrame([(k, t) for k in "xy" for t in sorted(terms)], "changeset_id string, term string")
+    corpus = spark.createDataFrame([("x", t) for t in sorted(tokens)], "changeset_id string, token string").withColumn("via", F.lit("v")).withColumn("ord", F.lit(1))
+    every = wanted.join(corpus, "changeset_id").withColumn("score", text.match_score(F.col("term"), F.col("token"))).where("score > 0")
+    keys = ["changeset_id", "term", "token"]
+    assert sorted(map(tuple, task.matching_pairs(wanted, corpus, ("changeset_id",)).select(*keys).collect())) == sorted(map(tuple, every.select(*keys).collect()))
