@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
 from tidemark.operators import context, moves, rank, symbols
+from tidemark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -67,3 +68,17 @@ def test_digests_of_sources_that_pass_by(spark):
     want = {i: hashlib.md5("|".join(sorted(paths[:n])).encode()).hexdigest() for i, n in (("a", 25), ("b", 1))}
     assert {r["id"]: r["md5"] for r in context.blast_digests(frame).collect()} == want
     assert {r["id"]: (r["n"], r["first"]) for r in context.blast_counts(frame).collect()} == {"a": (25, sorted(paths)[:8]), "b": (1, paths[:1])}
+
+
+def test_documents_meet_the_ones_before_them_with_one_shuffle_of_texts(spark, tmp_path):
+    ids = [1, 2, 5, 4095, 4096, 4097, 9000, 50_000, 50_001, 1 << 40]
+    rows = [(i, None if i == 5 else f"text {i}", lang, source, 6) for k, i in enumerate(ids) for lang, source in [("en" if k % 2 else "fr", "a" if k % 3 else None)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    made = tables.doc_changes(spark, str(tmp_path))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    last, want = {}, {}
+    for i, text, lang, source, _ in sorted(rows):
+        old = last.get((lang, source))
+        last[lang, source] = text
+        want[i] = ("Added" if old is None else "Modified", old, text)
+    assert {r["file_idx"]: (r["status"], r["old_content"], r["new_content"]) for r in made.collect()} == want and made.count() == len(ids)
