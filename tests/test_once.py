@@ -1,6 +1,7 @@
 """Steps whose cost has to grow with the input alone: their plans, beside the results that other tests hold."""
 
 import hashlib
+import json
 import os
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
-from tidemark.operators import context, moves, rank, symbols
+from tidemark.operators import context, moves, rank, render, symbols
 from tidemark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -82,3 +83,18 @@ def test_documents_meet_the_ones_before_them_with_one_shuffle_of_texts(spark, tm
         last[lang, source] = text
         want[i] = ("Added" if old is None else "Modified", old, text)
     assert {r["file_idx"]: (r["status"], r["old_content"], r["new_content"]) for r in made.collect()} == want and made.count() == len(ids)
+
+
+def test_json_of_a_change_set_is_joined_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(render, "IN_BLOCK", 3)
+    items = items_frame(spark, [{"id": str(i), "priority": i % 5, "changeset_id": c, "evidence": [("k", 'a "b"\n')]} for c, n in (("c", 11), ("d", 1)) for i in range(n)])
+    files = spark.createDataFrame([("c", i, f"f{i}", None) for i in range(8)], "changeset_id string, file_idx long, path string, language string")
+    changes = spark.createDataFrame([], symbols.CHANGE)
+    stats = spark.createDataFrame([("c", 1), ("d", 2), ("e", 3)], "changeset_id string, files_changed long")
+    tasks = spark.createDataFrame([("c", "t", "Covered", 1.0, ["x"], [])], "changeset_id string, task_text string, verdict string, coverage double, matched_terms array<string>, unmatched array<string>")
+    for checks in (None, tasks):
+        flat = render.changeset_json(files, changes, items, stats, pretty=False, tasks=checks)
+        pretty = {r["changeset_id"]: json.loads(r["json"]) for r in render.changeset_json(files, changes, items, stats, tasks=checks).collect()}
+        got = {r["changeset_id"]: r["json"] for r in flat.collect()}
+        assert {k: json.dumps(v, separators=(",", ":")) for k, v in pretty.items()} == got and set(got) == set("cde")
+        assert "to_json(items" not in plan_of(flat) and "array_join" in plan_of(flat)

@@ -16,6 +16,11 @@ def _order(*tie: str) -> list[Column]:
     return [F.desc("severity_rank"), F.desc("priority"), *map(F.col, tie)]
 
 
+def review_places() -> list[Column]:
+    """The order of a review: severity, priority and title."""
+    return _order("title", "id")
+
+
 def _first(items: DataFrame, most: int, *tie: str) -> DataFrame:
     """The first ``most`` items of each change set; every task drops its own others before rows meet."""
     turn = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*_order(*tie)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_github, escape_github_prop, escape_xml, single_line
 from ..schemas import REVIEW_ITEM, SCHEMA_VERSION, SEVERITIES, SYMBOL_CHANGE
-from .rank import review_order
+from .numbering import numbered
+from .rank import review_order, review_places
 
 
 JSON_FIELDS = ("schema_version", "repo_root", "base_ref", "head_ref", "files", "symbol_changes", "review_items", "stats")
@@ -101,28 +102,58 @@ def rendered(items: DataFrame, form: str, threshold: str = "High") -> DataFrame:
     raise ValueError(f"unknown format {form!r}: github or junit")
 
 
+#: JSON texts that one row joins before the rows of a change set meet.
+IN_BLOCK = 2_000
+
+
+def _json_list(rows: DataFrame, sorted_by: list[str], order: list[Column], content: Column, name: str, how: dict) -> DataFrame:
+    """(changeset_id, ``name``): the JSON texts of rows in order, joined by commas.
+
+    Rows are rendered where they are and joined in blocks, so the task of a change set only puts its blocks together.
+    ``order`` reads the columns ``sorted_by``.
+    """
+    texts = numbered(rows.select("changeset_id", *sorted_by, F.to_json(content, how).alias("json")), ["changeset_id"], order, "n")
+    joined = lambda at, part: F.array_join(F.array_sort(F.collect_list(F.struct(at, part)))[part], ",").alias(part)
+    blocks = texts.groupBy("changeset_id", F.floor(F.col("n") / IN_BLOCK).alias("block")).agg(joined("n", "json"))
+    return blocks.groupBy("changeset_id").agg(joined("block", "json")).withColumnRenamed("json", name)
+
+
 def changeset_json(files: DataFrame, changes: DataFrame, items: DataFrame, stats: DataFrame, *, repo_root: str = "", base_ref: str = "HEAD", head_ref: str = "worktree", tasks: DataFrame | None = None, pretty: bool = True) -> DataFrame:
     """(changeset_id, json): everything about a change set as one JSON document; fields that are null stay.
 
-    ``tasks`` (changeset_id and the columns of a task check) adds a field task_check where a change set has one.
+    ``tasks`` (changeset_id and the columns of a task check) adds a field task_check where a change set has one.  Without
+    ``pretty`` the parts of a document are rendered by many tasks; a pretty one is rendered whole by one.
     """
-    of_files = files.groupBy("changeset_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in files.columns if c != "changeset_id"]))).alias("files"))
+    of_file = F.struct(*[c for c in files.columns if c != "changeset_id"])
     span = lambda a, b: F.when(F.col(a).isNotNull(), F.array(a, b))
-    change = F.struct("file", "name", "kind", "change", "confidence", "old_signature", "new_signature", span("old_start", "old_end").alias("old_lines"), span("new_start", "new_end").alias("new_lines"), "evidence")
-    of_changes = changes.groupBy("changeset_id").agg(F.array_sort(F.collect_list(change)).alias("symbol_changes"))
-    fields = ("id", "title", "category", "severity", "priority", "confidence", "files", "symbols", "evidence", "why")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("item")))), lambda x: x["item"])
-    of_items = review_order(items).groupBy("changeset_id").agg(ordered.alias("review_items"))
+    of_change = F.struct("file", "name", "kind", "change", "confidence", "old_signature", "new_signature", span("old_start", "old_end").alias("old_lines"), span("new_start", "new_end").alias("new_lines"), "evidence")
+    of_item = F.struct("id", "title", "category", "severity", "priority", "confidence", "files", "symbols", "evidence", "why")
     counters = F.struct(*[c for c in stats.columns if c != "changeset_id"]).alias("stats")
-    rows = stats.select("changeset_id", counters).join(of_files, "changeset_id", "left").join(of_changes, "changeset_id", "left").join(of_items, "changeset_id", "left")
+    head = (F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(repo_root).alias("repo_root"), F.lit(base_ref).alias("base_ref"), F.lit(head_ref).alias("head_ref"))
+    how = {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}
+    rows = stats.select("changeset_id", counters)
+    if tasks is not None:
+        checked = tasks.groupBy("changeset_id").agg(F.first(F.struct("task_text", "verdict", "coverage", "matched_terms", "unmatched")).alias("task_check"))
+        rows = rows.join(checked, "changeset_id", "left")
+    if not pretty:
+        whole = lambda df, content: (df.select("changeset_id", content.alias("o")), ["o"], [F.col("o")], F.col("o"))
+        parts = {"files": whole(files, of_file), "symbol_changes": whole(changes, of_change), "review_items": (items, ["severity_rank", "priority", "title", "id"], review_places(), of_item)}
+        for name, part in parts.items():
+            rows = rows.join(_json_list(*part, name, how), "changeset_id", "left")
+        of = lambda s: F.regexp_replace(s, r"^\{|\}$", "")
+        lists = [F.concat(F.lit(f',"{name}":['), F.coalesce(name, F.lit("")), F.lit("]")) for name in parts]
+        check = [F.coalesce(F.concat(F.lit(',"task_check":'), F.to_json("task_check", how)), F.lit(""))] if tasks is not None else []
+        return rows.select("changeset_id", F.concat(F.lit("{"), of(F.to_json(F.struct(*head), how)), *lists, F.lit(',"stats":'), F.to_json("stats", how), *check, F.lit("}")).alias("json"))
+    of_files = files.groupBy("changeset_id").agg(F.array_sort(F.collect_list(of_file)).alias("files"))
+    of_changes = changes.groupBy("changeset_id").agg(F.array_sort(F.collect_list(of_change)).alias("symbol_changes"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", of_item.alias("item")))), lambda x: x["item"])
+    of_items = review_order(items).groupBy("changeset_id").agg(ordered.alias("review_items"))
+    rows = rows.join(of_files, "changeset_id", "left").join(of_changes, "changeset_id", "left").join(of_items, "changeset_id", "left")
     for c, kind in (("files", of_files), ("symbol_changes", of_changes), ("review_items", of_items)):
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast(kind.schema[c].dataType)))
-    document = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(repo_root).alias("repo_root"), F.lit(base_ref).alias("base_ref"), F.lit(head_ref).alias("head_ref"), "files", "symbol_changes", "review_items", "stats")
-    how = {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}
+    document = F.struct(*head, "files", "symbol_changes", "review_items", "stats")
     if tasks is None:
         return rows.select("changeset_id", F.to_json(document, how).alias("json"))
-    checked = tasks.groupBy("changeset_id").agg(F.first(F.struct("task_text", "verdict", "coverage", "matched_terms", "unmatched")).alias("task_check"))
-    rows = rows.join(checked, "changeset_id", "left")
     whole = F.struct(*[document[c].alias(c) for c in JSON_FIELDS], "task_check")
     return rows.select("changeset_id", F.when(F.col("task_check").isNull(), F.to_json(document, how)).otherwise(F.to_json(whole, how)).alias("json"))
 
