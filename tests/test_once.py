@@ -98,3 +98,30 @@ def test_json_of_a_change_set_is_joined_from_blocks(spark, monkeypatch):
         got = {r["changeset_id"]: r["json"] for r in flat.collect()}
         assert {k: json.dumps(v, separators=(",", ":")) for k, v in pretty.items()} == got and set(got) == set("cde")
         assert "to_json(items" not in plan_of(flat) and "array_join" in plan_of(flat)
+
+
+def test_items_with_the_same_keys_share_a_list_of_tests(spark):
+    files = [f"src/f{k}.rs" for k in range(6)]
+    items = items_frame(spark, [{"id": f"file:{f}", "files": [f], "symbols": ["Box::open"] if k < 4 else ["Box::open", "lost"] if k == 4 else ["lost"]} for k, f in enumerate(files)])
+    changed = spark.createDataFrame([("c", f, n, "Function", False) for f in files for n in ("Box::open", "lost")], "changeset_id string, file string, name string, kind string, is_test_file boolean")
+    tests = spark.createDataFrame([("c", f"t{k}", f"tests/{k}.rs", ["open"]) for k in range(5)] + [("c", "test_open", "tests/a.rs", ["z"])], "changeset_id string, name string, file string, calls array<string>")
+    marked, covers = context.mark_coverage(items, changed, tests)
+    assert covers.count() == 1 and max(len(e["summary"]) for r in marked.collect() for e in r["evidence"] if e["kind"] == context.COVERING) == len("covered by ")
+    want = dicts(context.apply_coverage(items, context.coverage_links(changed, tests), tests), "id")
+    got = context.with_covers(marked, covers)
+    assert dicts(got, "id") == [{k: r[k] for k in got.columns} for r in want] and set(got.columns) == set(items.columns)
+    assert want[0]["evidence"][0]["summary"] == "covered by " + ", ".join(f"t{k} (tests/{k}.rs)" for k in range(5)) + ", test_open (tests/a.rs)"
+
+
+def test_names_that_many_sources_call_meet_those_that_import_them(spark):
+    names = ["A::open", "B::open", "B::shut", "lone"]
+    targets = spark.createDataFrame([("c", f"i{k}", [f"s{k}"], n) for k, n in enumerate(names)], "changeset_id string, id string, files array<string>, name string")
+    words = ["open", "A::open", "shut", "B::shut", "lone"]
+    sources = [(f"s{i}", [w for b, w in enumerate(words) if i >> b & 1], [w for b, w in enumerate(words) if i >> (b + 5) & 1]) for i in range(1024)]
+    defined = [("B::shut", "x"), ("lone", "x"), ("lone", "y")]
+    want = set()
+    for k, n in enumerate(names):
+        keys = {n, n.split("::")[-1]}
+        want |= {(f"i{k}", p) for p, calls, imports in sources if keys & set(calls) and (n == "B::shut" or keys & set(imports)) and p != f"s{k}"}
+    found = context.blast_radius(targets, spark.createDataFrame(sources, "path string, calls array<string>, imports array<string>"), spark.createDataFrame(defined, "name string, file string"))
+    assert sorted((r["id"], r["path"]) for r in found.collect()) == sorted(want)

@@ -62,7 +62,8 @@ def _parsed(distinct: DataFrame) -> DataFrame:
                 out += [(key, -1, "", "", 0, 0, "", False, False)] if found is None else [(key, i, *s) for i, s in enumerate(found, 1)]
             yield pd.DataFrame(out, columns=["file", "sym_idx", "name", "kind", "start_line", "end_line", "signature", "is_test", "is_public"])
 
-    scanned = distinct.where(known).mapInPandas(scan, ROW)
+    dealt = distinct.where(known).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # sources are few bytes and much work
+    scanned = settled(dealt.mapInPandas(scan, ROW))
     failed = scanned.where("sym_idx = -1").select(F.col("file").alias("key"))
     by_lines = distinct.where(~known).unionByName(distinct.join(failed, "key", "left_semi"))
     lines = generic_symbols(by_lines.select(F.col("key").alias("file"), "content"))

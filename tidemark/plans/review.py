@@ -123,15 +123,17 @@ def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = No
     """Items, stats and task checks from files and their symbol changes."""
     scored = group.scored(group.with_all_symbols(files, found))
     items = settled(group.items_of(scored, found))
+    whole = lambda rows: rows
     if tests is not None:
         of_files = files.select("changeset_id", F.col("path").alias("file"), "is_test_file")
         tests = settled(tests)
-        items = context.apply_coverage(items, context.coverage_links(found.join(of_files, ["changeset_id", "file"]), tests), tests)
+        items, covers = context.mark_coverage(items, found.join(of_files, ["changeset_id", "file"]), tests)
+        whole = lambda rows: context.with_covers(rows, covers)
     if sources is not None and definitions is not None:
-        items = context.apply_blast_radius(items, sources, definitions, tests)
+        items = context.apply_blast_radius(items, settled(sources), definitions, tests)
     if local_judge:
         items = judge.LocalJudge().apply(items)
     items = settled(items)
     stats = group.change_stats(scored, found, items)
-    checks = None if tasks is None else task.check_tasks(tasks, task.change_corpus(found, files, items), ("changeset_id",))
-    return Review(files, found, rank.review_order(items), stats, checks)
+    checks = None if tasks is None else task.check_tasks(tasks, task.change_corpus(found, files, whole(items)), ("changeset_id",))
+    return Review(files, found, whole(rank.review_order(items)), stats, checks)

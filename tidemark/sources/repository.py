@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.paths import is_test_path, language_of
 from ..operators.extract import extract_symbols
+from ..plans.barrier import settled
 
 # Folders that a scan leaves out.
 SKIPPED = "target node_modules dist build vendor __pycache__ venv env out".split()
@@ -44,7 +45,7 @@ def scan(files: DataFrame, changed: DataFrame | None = None, *, most_tests: int
         if most is not None:
             first = rows.where(F.col("is_test") == is_test).orderBy("path").limit(most)
             rows = rows.where(F.col("is_test") != is_test).unionByName(first)
-    found = extract_symbols(rows.select(F.col("path").alias("file"), "content"))
+    found = settled(extract_symbols(rows.select(F.col("path").alias("file"), "content")))
     placed = found.join(rows.select(F.col("path").alias("file"), F.col("is_test").alias("in_tests"), "content"), "file")
     body = text.body_slice(text.lines(F.col("content")), F.col("start_line"), F.col("end_line"))
     tests = placed.where("is_test OR in_tests").select("name", "file", text.called_names(F.coalesce(body, F.lit(""))).alias("calls"))
