@@ -423,3 +423,15 @@ def test_main_text_of_all_pages(pages, page_rows):
     start = {1: "one", 2: "one", 3: "", 4: "", 5: "five", 6: ("word " * 9)[:20], 7: "é ü\x00", None: "one", 8: "one", 9: "WARC/1.1"}
     assert got == collections.Counter((i, u, True, start[i].replace("\x00", "\x00")) for i, u, _ in page_rows)
     assert webtext.main_text(pages.where("false")).count() == 0
+
+
+def test_attributes_of_pages_are_read_once():
+    from tidemark.llm import webtext
+
+    webtext._short_attributes.cache_clear()
+    long = " a='" + "x" * webtext.MOST_CACHED + "' class=footer"
+    for _ in range(3):
+        root = webtext.parse(f"<main><div class='a header'>t</div></main><div class='a header'>t</div><div{long}>t</div>")
+    assert [n.boiler for n in root.nodes() if n.tag.startswith("div")] == [False, True, True]
+    found = webtext._short_attributes.cache_info()
+    assert found.currsize == found.misses == 3 and found.hits == 6

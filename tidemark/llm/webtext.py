@@ -9,6 +9,7 @@ host with too few pages to compare.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
 import sys
@@ -51,6 +52,10 @@ SURE_NAMES = frozenset("comment comments commentlist disqus respond reply replie
 WRAPPER_SHARE = 0.8
 # Elements that hold a piece of text, and so are no place of a whole content.
 TEXT_TAGS = frozenset("#text p td th li dt dd h1 h2 h3 h4 h5 h6 pre blockquote caption".split())
+#: Characters of attributes that are read once and remembered.
+MOST_CACHED = 200
+# Open elements that another one of their kind closes.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
@@ -101,7 +106,7 @@ class Shape:
         return out
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A block of the page; text without markup of the stretches between its child blocks."""
 
@@ -135,7 +140,16 @@ class Node:
         return xxhash.xxh64_intdigest(self.text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@functools.lru_cache(4096)  # pages of a host repeat theirs
+def _short_attributes(source: str, inside_main: bool) -> tuple[bool, bool, str]:
+    return _read_attributes(source, inside_main)
+
+
 def _attributes(source: str, inside_main: bool = False) -> tuple[bool, bool, str]:
+    return _short_attributes(source, inside_main) if len(source) <= MOST_CACHED else _read_attributes(source, inside_main)
+
+
+def _read_attributes(source: str, inside_main: bool) -> tuple[bool, bool, str]:
     """(names boilerplate, names the main part, class for the label).  Within the main part a header is its title's."""
     boiler = main = False
     label = ""
@@ -181,20 +195,21 @@ def parse(source: str | None) -> Node:
     while at < size:
         m = TOKEN.match(source, at)
         at = m.end()
-        if m["text"] is not None or m["cdata"] is not None:
+        cdata, end_tag, tag, attrs, text = m.groups()
+        if text is not None or cdata is not None:
             if not inline_boiler:
-                pieces.append(m["text"] or m["cdata"] or "")
+                pieces.append(text or cdata or "")
             continue
-        if m["tag"] is None:
+        if tag is None:
             continue
-        tag = m["tag"].lower()
-        if tag in RAW_END and not m["end"]:
+        tag = tag.lower()
+        if tag in RAW_END and not end_tag:
             end = RAW_END[tag].search(source, at)
-            if not m["attrs"].rstrip().endswith("/") or tag in ("script", "style"):
+            if not attrs.rstrip().endswith("/") or tag in ("script", "style"):
                 at = end.end() if end else size if tag in ("script", "style") else at
             continue
         if tag in BLOCKS:
-            if m["end"]:
+            if end_tag:
                 if tag == "p" or opened[tag]:
                     flush()
                     inline_boiler.clear()
@@ -205,7 +220,7 @@ def parse(source: str | None) -> Node:
             inline_boiler.clear()
             if tag in CLOSES_P and names[-1] == "p":
                 close(len(stack) - 1)
-            closing = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+            closing = CLOSES.get(tag, ())
             while closing and names[-1] in closing:
                 close(len(stack) - 1)
             if tag == "body":
@@ -213,7 +228,7 @@ def parse(source: str | None) -> Node:
                     close(len(stack) - 1)
             if tag in VOID:
                 continue
-            boiler, main, label = _attributes(m["attrs"], mains > 0)
+            boiler, main, label = _attributes(attrs, mains > 0)
             if tag in ("html", "body"):
                 boiler = False
             node = Node(tag + label, boiler or tag in BOILER_TAGS, main or tag in ("article", "main"))
@@ -227,11 +242,11 @@ def parse(source: str | None) -> Node:
         elif tag == "br":
             pieces.append(" ")
         elif tag not in VOID:
-            if m["end"]:
+            if end_tag:
                 if inline_boiler and inline_boiler[-1] == tag:
                     inline_boiler.pop()
-            elif inline_boiler or _attributes(m["attrs"])[0]:
-                if not m["attrs"].rstrip().endswith("/"):
+            elif inline_boiler or _attributes(attrs)[0]:
+                if not attrs.rstrip().endswith("/"):
                     if inline_boiler and tag != inline_boiler[0]:
                         continue
                     inline_boiler.append(tag)
