@@ -416,6 +416,24 @@ def test_near_copies_among_texts_with_one_passage(spark, cell):
     assert sum(n for (_, _, _, kept), n in got.items() if kept) == 60
 
 
+@pytest.mark.parametrize("sides", [False, True])
+def test_only_texts_outside_a_cells_largest_group_look_for_others(monkeypatch, sides):
+    """A group of 2,000 near copies is not compared with itself, and the likeness of a text and all of them is found at once."""
+    rng = np.random.default_rng(3)
+    base = np.arange(0, 9600, 100)
+    rows = [(96, 1, np.sort(np.concatenate([base[:60], rng.choice(base[:30], 4, replace=False) + 50 + k % 50])), k % 2 if sides else 0) for k in range(2_000)]
+    half = [(96, 2 + k, np.sort(np.concatenate([base[:42], base[:22] + 1 + k])), k % 2 if sides else 0) for k in range(30)]  # share 42 values, enough for a look, but 38 of the union's 64
+    close = (96, 90, np.sort(np.concatenate([base[:60], base[5:9] + 40])), 1 if sides else 0)
+    calls = collections.Counter()
+    for name in ("union1d", "flatnonzero"):  # flatnonzero: once for each text that looks, and once for these
+        monkeypatch.setattr(np, name, lambda *a, _f=getattr(np, name), _n=name, **k: (calls.update([_n]), _f(*a, **k))[1])
+    found = neardup._joining([*rows, *half, close], neardup.Options(shingle=3, percent=85))
+    assert calls["union1d"] == 0 and calls["flatnonzero"] <= 1 + 31
+    assert len(found) == 1 and found[0][0] == 2_030 and found[0][1] < 2_000
+    union = np.union1d(close[2], rows[found[0][1]][2])[:64]
+    assert found[0][2] == np.isin(union, np.intersect1d(close[2], rows[found[0][1]][2])).sum() / 64
+
+
 def test_near_duplicates_edges(edge_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     kept = neardup.without_near_duplicates(edge_docs)
@@ -431,6 +449,21 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df: tables.append(1) or common.written(df))
+    links = spark.createDataFrame([(1, 1 + i) for i in range(1, 50)] + [(100, 101), (101, 100)], "a long, b long")
+    assert {r["node"]: r["component"] for r in rows_of(components.connected_components(links))} == {i: 1 for i in range(1, 51)} | {100: 100, 101: 100}
+    assert len(tables) == 1
+
+
+def test_components_beyond_broadcast_sizes(spark, monkeypatch):
+    monkeypatch.setattr(components, "fits_broadcast", lambda *_: False)
+    links = [(i, i + 1) for i in range(60)] + [(300 + i, 200) for i in range(9)]
+    found = {r["node"]: r["component"] for r in rows_of(components.connected_components(spark.createDataFrame(links, "a long, b long")))}
+    assert found == {i: 0 for i in range(61)} | {i: 200 for i in (200, *range(300, 309))}
+
+
 # -- mixing
 
 

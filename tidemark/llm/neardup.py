@@ -99,7 +99,8 @@ def candidate_pairs(sets: DataFrame, options: Options) -> DataFrame:
 def _joining(rows: list[tuple], options: Options) -> list[tuple[int, int, float]]:
     """(i, j, likeness) that join the groups of a cell's rows (n, label, sketch, side) with an estimate near the threshold.
 
-    Every row of side 0 is compared with all rows, or with those of side 1 if there are such, that are in other groups.
+    All rows are compared with those of other groups, or where there are two sides, of other groups and the other side.  One of
+    two such rows lies outside the cell's largest group, so only the rows outside it look for others.
     """
     least, found = options.percent / 100 - options.slack, []
     sizes, sides = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
@@ -108,23 +109,29 @@ def _joining(rows: list[tuple], options: Options) -> list[tuple[int, int, float]
     cuts = np.concatenate([[0], np.cumsum(lengths)])
     owner = np.repeat(np.arange(len(rows)), lengths)
     _, ids = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-    owners = owner[np.argsort(ids, kind="stable")]
+    order = np.argsort(ids, kind="stable")
+    owners, nth = owner[order], (np.arange(cuts[-1]) - cuts[owner])[order]  # of each value: the rows that have it, and its place in their sketches
     starts = np.concatenate([[0], np.cumsum(np.bincount(ids))])
-    other = sides == 1 if sides.any() else np.ones(len(rows), bool)
-    for at in np.flatnonzero(sides == 0).tolist():
-        open_ = other & (group != group[at])
+    few = group != np.bincount(group).argmax()
+    place, split = np.arange(len(rows)), sides.any()
+    for at in np.flatnonzero(few).tolist():
+        open_ = (group != group[at]) & (~few | (place > at))
+        if split:
+            open_ &= sides != sides[at]
         if not open_.any():
             continue
-        mine = ids[cuts[at] : cuts[at + 1]]
-        shared = np.bincount(np.concatenate([owners[starts[v] : starts[v + 1]] for v in mine]), minlength=len(rows))
+        shared, low = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for i, v in enumerate(ids[cuts[at] : cuts[at + 1]].tolist()):  # ascending, so a shared value's place in the union is known from its places in both
+            who = owners[starts[v] : starts[v + 1]]
+            if len(who) > 1:
+                low[who] += i + nth[starts[v] : starts[v + 1]] - shared[who] < options.sketch
+                shared[who] += 1
         fits = 100 * np.minimum(sizes, sizes[at]) >= options.percent * np.maximum(sizes, sizes[at])
-        for h in np.flatnonzero(open_ & fits & (shared >= least * np.maximum(lengths, lengths[at]) - 1e-9)).tolist():
-            if group[h] == group[at]:
-                continue
-            both = np.union1d(mine, ids[cuts[h] : cuts[h + 1]])[: options.sketch]
-            likeness = float(np.isin(both, np.intersect1d(mine, ids[cuts[h] : cuts[h + 1]], assume_unique=True)).sum() / len(both))
-            if likeness >= least:
-                found.append((at, h, likeness))
+        near = open_ & fits & (shared >= least * np.maximum(lengths, lengths[at]) - 1e-9)
+        likeness = low / np.minimum(options.sketch, lengths + lengths[at] - shared)
+        for h in np.flatnonzero(near & (likeness >= least)).tolist():
+            if group[h] != group[at]:
+                found.append((at, h, float(likeness[h])))
                 group[group == group[h]] = group[at]
     return found
 
@@ -222,7 +229,8 @@ def exact_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
 
 
 def links_in_blocks(docs: DataFrame, members: DataFrame, options: Options) -> DataFrame:
-    """(a, b) true links within the blocks of ``members`` (node, g1, g2), from the whole texts of ``docs`` (id, text).
+    """(a, b): texts b that true links within a block of ``members`` (node, g1, g2) join with others, from the whole texts of
+    ``docs`` (id, text); a is the smallest id of those so joined, so the links of a block are stars.
 
     Members are broadcast to the texts while their counted size allows; else the join shuffles.
     """
@@ -237,8 +245,12 @@ def links_in_blocks(docs: DataFrame, members: DataFrame, options: Options) -> Da
         key, ids, sets = None, [], []
 
         def links() -> pd.DataFrame:
-            pairs = list(exact_links(sets, options.percent)) if len(sets) > 1 else []
-            return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype=np.int64)
+            first = list(range(len(sets)))  # in the order of ids; exact_links reaches all others from the first of them
+            reached = []
+            for i, j in exact_links(sets, options.percent) if len(sets) > 1 else ():
+                first[j] = first[i]
+                reached.append(j)
+            return pd.DataFrame({"a": [ids[first[j]] for j in reached], "b": [ids[j] for j in reached]}, dtype=np.int64)
 
         for batch in batches:
             for g1, g2, id_, text in zip(batch["g1"], batch["g2"], batch["id"], batch["text"], strict=True):
@@ -278,7 +290,7 @@ def _similar_texts(docs: DataFrame, sets: DataFrame, options: Options, keep: Scr
     pairs = pairs.unionByName(more)
     if not pairs.head(1):
         return connected_components(pairs.select("a", "b"))
-    groups = connected_components(pairs.select("a", "b")) if more.head(1) else labels
+    groups = connected_components(labels.toDF("a", "b").unionByName(more.select("a", "b"))) if more.head(1) else labels
     groups = groups.join(sets.select("rep", "n"), F.col("node") == F.col("rep")).select("node", "component", "n")
     sizes = groups.groupBy(F.col("component").alias("c")).agg(F.sum("n").alias("size"))
     dealt = groups.join(sizes, F.col("component") == F.col("c"))
