@@ -125,3 +125,23 @@ def test_names_that_many_sources_call_meet_those_that_import_them(spark):
         want |= {(f"i{k}", p) for p, calls, imports in sources if keys & set(calls) and (n == "B::shut" or keys & set(imports)) and p != f"s{k}"}
     found = context.blast_radius(targets, spark.createDataFrame(sources, "path string, calls array<string>, imports array<string>"), spark.createDataFrame(defined, "name string, file string"))
     assert sorted((r["id"], r["path"]) for r in found.collect()) == sorted(want)
+
+
+def test_review_names_each_test_of_a_group_once(spark, tmp_path):
+    spark.range(1, 241).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    rows = catalogue.review_of_code(spark, str(tmp_path)).collect()
+    groups = {}
+    for r in rows:
+        if r["tests"] is not None:
+            groups.setdefault(r["tests"], set()).add(r["proof"])
+    items = {r["id"]: r["proof"] for r in rows if r["tests"] is None}
+    assert len(groups["tests calling open"]) > 25 and max(len(p) for p in items.values()) < 1_500
+    assert sum(r["tests"] is not None for r in rows) == sum(map(len, groups.values()))
+
+    def whole(proof):
+        """With the names of the tests in place of their groups."""
+        parts = [p.split("covered by ", 1) for p in proof.split("|")]
+        return "|".join(p[0] if len(p) == 1 else p[0] + "covered by " + ", ".join(sorted(set().union(*(groups[g] for g in p[1].split(", "))))) for p in parts)
+
+    want = catalogue._code_review(spark, str(tmp_path), False).items.select("id", catalogue._evidence().alias("proof"))
+    assert {k: whole(p) for k, p in items.items()} == {r["id"]: r["proof"] for r in want.collect()}

@@ -89,22 +89,46 @@ def apply_coverage(items: DataFrame, links: DataFrame, tests: DataFrame) -> Data
     return _remarked(items, targets.join(links, ["changeset_id", "file", "name"]).groupBy("changeset_id", "id").agg(_listed()), tests)
 
 
+def _key_sets(items: DataFrame, symbols: DataFrame, tests: DataFrame, known: DataFrame) -> DataFrame:
+    """(changeset_id, id, keys): the keys (way, key) of an item's symbols that some test knows."""
+    met = _symbol_keys(symbols, tests).join(known.select("changeset_id", "way", "key").distinct(), ["changeset_id", "way", "key"], "left_semi")
+    targets = _targets(items).select("changeset_id", "id", "name", F.explode("files").alias("file"))
+    return targets.join(met, ["changeset_id", "file", "name"]).groupBy("changeset_id", "id").agg(F.array_sort(F.collect_set(F.struct("way", "key"))).alias("keys"))
+
+
 def mark_coverage(items: DataFrame, symbols: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items as apply_coverage() has them but for the tests' names, with ``cover``, and (changeset_id, cover, covered), which with_covers() puts in.
 
     Items whose symbols tests know by the same keys are covered by the same tests.  So tests are listed once for each set
     of keys, and no step between holds items times tests.
     """
-    keys, known = _symbol_keys(symbols, tests), settled(_test_keys(tests))
-    met = keys.join(known.select("changeset_id", "way", "key").distinct(), ["changeset_id", "way", "key"], "left_semi")
-    targets = _targets(items).select("changeset_id", "id", "name", F.explode("files").alias("file"))
-    sets = targets.join(met, ["changeset_id", "file", "name"]).groupBy("changeset_id", "id").agg(F.array_sort(F.collect_set(F.struct("way", "key"))).alias("keys"))
-    sets = settled(sets.withColumn("cover", F.sha2(F.to_json("keys"), 256)))
+    known = settled(_test_keys(tests))
+    sets = settled(_key_sets(items, symbols, tests, known).withColumn("cover", F.sha2(F.to_json("keys"), 256)))
     wanted = sets.groupBy("changeset_id", "cover").agg(F.first("keys").alias("keys")).select("changeset_id", "cover", F.inline("keys"))
     covers = settled(wanted.join(known, ["changeset_id", "way", "key"]).groupBy("changeset_id", "cover").agg(_listed()))
     return _remarked(items, sets.select("changeset_id", "id", "cover", F.lit("").alias("covered")), tests), covers
 
 
+def _group() -> Column:
+    """Name of the tests that know a symbol by a key."""
+    return F.concat(F.lit("tests "), F.when(F.col("way") == "calls", "calling ").otherwise("named after "), "key")
+
+
+def mark_groups(items: DataFrame, symbols: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items as apply_coverage() has them but with the groups of tests that cover them in place of the tests' names, and the groups
+    (changeset_id, tests, label), a row for each test of a group.
+
+    A group is the tests that know symbols by one key; an item's tests are those of its groups together.  So both
+    tables grow with items and tests, where the tests' names in each item grow with items times tests.
+    """
+    known = settled(_test_keys(tests))
+    sets = settled(_key_sets(items, symbols, tests, known))
+    met = sets.select("changeset_id", F.inline("keys")).distinct()
+    groups = known.join(met, ["changeset_id", "way", "key"], "left_semi").select("changeset_id", _group().alias("tests"), "label").distinct()
+    named = sets.select("changeset_id", "id", F.inline("keys")).groupBy("changeset_id", "id").agg(F.array_join(F.array_sort(F.collect_list(_group())), ", ").alias("covered"))
+    return _remarked(items, named, tests), groups
+
+
 def with_covers(items: DataFrame, covers: DataFrame) -> DataFrame:
     """Marked items with the names of their tests.  Nothing is shuffled after this by itself; lists are broadcast up to MOST_COVERS bytes."""
     size = covers.agg(F.sum(F.octet_length("covered"))).first()[0] or 0

@@ -26,6 +26,8 @@ class Review:
     items: DataFrame
     stats: DataFrame
     tasks: DataFrame | None = None
+    #: (changeset_id, tests, label): the tests of each group, where items name groups
+    groups: DataFrame | None = None
 
     def escalation(self, **how) -> DataFrame:
         return escalate.package(self.items, self.stats, **how)
@@ -119,16 +121,24 @@ def with_file_changes(changes: DataFrame, rows: DataFrame, files: DataFrame) ->
     return changes.unionByName(whole)
 
 
-def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = None, sources: DataFrame | None = None, definitions: DataFrame | None = None, local_judge: bool = False, tasks: DataFrame | None = None) -> Review:
-    """Items, stats and task checks from files and their symbol changes."""
+def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = None, sources: DataFrame | None = None, definitions: DataFrame | None = None, local_judge: bool = False, tasks: DataFrame | None = None, grouped: bool = False) -> Review:
+    """Items, stats and task checks from files and their symbol changes.
+
+    With ``grouped``, items name the groups of tests that cover them, and the tests of a group are rows of their own: the names of
+    all tests of all items are as many as items times tests where very many tests call one name.
+    """
     scored = group.scored(group.with_all_symbols(files, found))
     items = settled(group.items_of(scored, found))
-    whole = lambda rows: rows
+    whole, groups = lambda rows: rows, None
     if tests is not None:
         of_files = files.select("changeset_id", F.col("path").alias("file"), "is_test_file")
         tests = settled(tests)
-        items, covers = context.mark_coverage(items, found.join(of_files, ["changeset_id", "file"]), tests)
-        whole = lambda rows: context.with_covers(rows, covers)
+        of_symbols = found.join(of_files, ["changeset_id", "file"])
+        if grouped:
+            items, groups = context.mark_groups(items, of_symbols, tests)
+        else:
+            items, covers = context.mark_coverage(items, of_symbols, tests)
+            whole = lambda rows: context.with_covers(rows, covers)
     if sources is not None and definitions is not None:
         items = context.apply_blast_radius(items, settled(sources), definitions, tests)
     if local_judge:
@@ -136,4 +146,4 @@ def finished(files: DataFrame, found: DataFrame, *, tests: DataFrame | None = No
     items = settled(items)
     stats = group.change_stats(scored, found, items)
     checks = None if tasks is None else task.check_tasks(tasks, task.change_corpus(found, files, whole(items)), ("changeset_id",))
-    return Review(files, found, whole(rank.review_order(items)), stats, checks)
+    return Review(files, found, whole(rank.review_order(items)), stats, checks, groups)
