@@ -3,13 +3,14 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
-from tidemark.operators import context, moves, rank, render, symbols
+from tidemark.operators import context, group, moves, rank, render, symbols
 from tidemark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -145,3 +146,27 @@ def test_review_names_each_test_of_a_group_once(spark, tmp_path):
 
     want = catalogue._code_review(spark, str(tmp_path), False).items.select("id", catalogue._evidence().alias("proof"))
     assert {k: whole(p) for k, p in items.items()} == {r["id"]: r["proof"] for r in want.collect()}
+
+
+@needs_data
+@pytest.mark.parametrize("name,most", [("exact_moves", 2), ("similar_moves", 2), ("move_pairs", 3)])
+def test_symbols_of_documents_are_paired_where_their_texts_meet(spark, name, most):
+    df = catalogue.queries()[name](spark, DATA)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
+
+
+def test_partners_within_a_row_are_those_of_a_join(spark):
+    rng = random.Random(3)
+    line = lambda: rng.choice(("ab c. x", "ab c. y", "ab d. x", "abc", "é f", "_g h", " ", "zz"))
+    body = lambda: None if rng.random() < 0.1 else "\n".join(line() for _ in range(rng.randrange(9)))
+    rows = [("c", f"f{k}", body(), body()) for k in range(120)] + [("c", "none", None, None), ("c", "empty", "", "")]
+    files = spark.createDataFrame(rows, "changeset_id string, path string, old_content string, new_content string").repartition(3)
+    met = symbols.with_partners(tables.with_line_symbols(files))
+    listed = tables.line_symbols(files)
+    changes = symbols.diff_symbols(listed, renames=False)
+    want = {r["path"]: r["all_symbols"] for r in group.symbols_by_file(changes).collect()}
+    got = {r["path"]: r["s"] for r in met.select("path", group.bare_symbols(symbols.change_lists()).alias("s")).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want and len(got) == len(rows)
+    columns = ["file", "name", "kind", "change", "old_signature", "new_signature", "old_start", "old_end", "new_start", "new_end", "body"]
+    rows_of = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert rows_of(symbols.lone_rows(met)) == rows_of(moves.candidates(symbols.added_removed(symbols.paired(listed)), listed))
