@@ -149,9 +149,9 @@ def test_review_names_each_test_of_a_group_once(spark, tmp_path):
 
 
 @needs_data
-@pytest.mark.parametrize("name,most", [("exact_moves", 2), ("similar_moves", 2), ("move_pairs", 3)])
+@pytest.mark.parametrize("name,most", [("exact_moves", 2), ("similar_moves", 2), ("move_pairs", 3), ("file_items", 1)])
 def test_symbols_of_documents_are_paired_where_their_texts_meet(spark, name, most):
-    df = catalogue.queries()[name](spark, DATA)
+    df = catalogue.queries()[name](spark, DATA) if name != "file_items" else catalogue._with_symbols(spark, DATA)
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
 
 
