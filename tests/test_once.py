@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from helpers import dicts, items_frame
 from tidemark import queries as catalogue
-from tidemark.operators import context, group, moves, rank, render, symbols
+from tidemark.functions import text
+from tidemark.operators import context, group, moves, rank, render, symbols, task
 from tidemark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -170,3 +171,44 @@ def test_partners_within_a_row_are_those_of_a_join(spark):
     columns = ["file", "name", "kind", "change", "old_signature", "new_signature", "old_start", "old_end", "new_start", "new_end", "body"]
     rows_of = lambda df: sorted(map(repr, df.select(*columns).collect()))
     assert rows_of(symbols.lone_rows(met)) == rows_of(moves.candidates(symbols.added_removed(symbols.paired(listed)), listed))
+
+
+def test_items_of_tasks_against_every_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 8)))
+    monkeypatch.setattr(task, "MOST_FILES", 3)
+    monkeypatch.setattr(task, "ITEMS_IN_BLOCK", 4)
+    monkeypatch.setattr(task, "TASKS_IN_BLOCK", 2)
+    files = [(c, f"f{k}", [f"{word()} {word()}" for _ in range(3)]) for c in "cd" for k in range(30)]
+    own = [{"changeset_id": c, "id": f"file:f{k}", "title": f"t{k % 3}", "files": [f"f{k}"], "why": word()} for c in "cd" for k in range(20)]
+    own += [{"changeset_id": "c", "id": "mechanical", "title": "m", "files": [f"f{k}" for k in range(18, 30)], "why": ""}]
+    asked = [(t, " ".join(word() for _ in range(6)) + " \U00020000") for t in range(5)]
+    frame = spark.createDataFrame(files, "changeset_id string, path string, added array<string>")
+    tasks = spark.createDataFrame([(c, *a) for c in "cd" for a in asked], "changeset_id string, task_id int, task_text string")
+    terms = tasks.select("changeset_id", "task_id", F.posexplode(text.task_terms(F.col("task_text"))).alias("term_idx", "term"))
+    items = items_frame(spark, own)
+    got = {(r["changeset_id"], r["task_id"], r["rank"]): (r["id"], r["matched_terms"], round(r["score"], 9)) for r in task.item_hits(tasks, terms, items, frame).collect()}
+
+    pairs = items.select("changeset_id", "id", "title", F.explode("files").alias("path")).join(frame, ["changeset_id", "path"]).select("changeset_id", "id", "title", F.explode("added").alias("line"))
+    said = items.select("changeset_id", "id", "title", F.explode(F.concat(F.array("title", "why"), F.col("files"), F.col("symbols"))).alias("line"))
+    tokens = pairs.unionByName(said).select("changeset_id", "id", "title", F.explode(text.split_ident(F.col("line"))).alias("token"))
+    hits = tokens.join(terms, "changeset_id").where(text.match_score(F.col("term"), F.col("token")) > 0).select("changeset_id", "task_id", "id", "title", "term_idx", "term").distinct()
+    found = {}
+    for r in hits.collect():
+        found.setdefault((r["changeset_id"], r["task_id"]), {}).setdefault((r["title"], r["id"]), []).append((r["term_idx"], r["term"]))
+    count = {(r["changeset_id"], r["task_id"]): r["n"] for r in terms.groupBy("changeset_id", "task_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {}
+    for (c, t), of in found.items():
+        for rank, ((_, i), held) in enumerate(sorted(of.items(), key=lambda x: (-len(x[1]), x[0]))[:5], 1):
+            want[c, t, rank] = (i, [term for _, term in sorted(held)], round(len(held) / count[c, t], 9))
+    assert got == want and any(v[0] == "mechanical" for v in got.values())
+
+
+def test_terms_near_tokens_are_those_with_a_score(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abä\U00020000") for _ in range(rng.randrange(1, 9)))
+    terms, tokens = sorted({word() for _ in range(60)}), sorted({word() for _ in range(200)})
+    every = spark.createDataFrame([(a, b) for a in terms for b in tokens], "term string, token string").where(text.match_score(F.col("term"), F.col("token")) > 0)
+    known = task.Terms(terms)
+    for near in (known.near(tokens), known.remembered(tokens), known.remembered(tokens)):
+        assert sorted((terms[i], b) for b, of in zip(tokens, near, strict=True) for i in of) == sorted((r["term"], r["token"]) for r in every.collect())
